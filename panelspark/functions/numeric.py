@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Coefficients of Wichura's algorithm AS 241 (PPND16) for the inverse normal.
@@ -22,23 +22,29 @@ _FAR_DEN = [1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.4875361
             7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15]
 
 
-def _poly(coefs: list, x: Column) -> Column:
-    return reduce(lambda acc, c: acc * x + F.lit(c), reversed(coefs[:-1]), F.lit(coefs[-1]))
-
-
-def norm_ppf(p: Column) -> Column:
-    """Inverse of the standard normal distribution function; null outside (0, 1)."""
-    q = p - 0.5
-    r = 0.180625 - q * q
-    centre = q * _poly(_CENTRE_NUM, r) / _poly(_CENTRE_DEN, r)
-    d = F.sqrt(-F.ln(F.least(p, 1 - p)))
-    mid = _poly(_MID_NUM, d - 1.6) / _poly(_MID_DEN, d - 1.6)
-    far = _poly(_FAR_NUM, d - 5.0) / _poly(_FAR_DEN, d - 5.0)
-    tail = F.when(d <= 5.0, mid).otherwise(far)
-    return (F.when((p <= 0) | (p >= 1), F.lit(None).cast("double"))
-            .when(F.abs(q) <= 0.425, centre)
-            .when(q < 0, -tail)
-            .otherwise(tail))
+def _poly(coefs: list, x: str) -> str:
+    """Horner form of a polynomial as SQL text."""
+    return reduce(lambda acc, c: f"({acc}*{x} + {c!r}D)", reversed(coefs[:-1]), f"{coefs[-1]!r}D")
+
+
+def with_norm_ppf(df: DataFrame, p: Column, name: str) -> DataFrame:
+    """Add the inverse of the standard normal distribution function at ``p``; null outside (0, 1).
+
+    The shared inner terms are columns of their own: repeated inside the
+    polynomials they would be evaluated over and over.
+    """
+    df = df.withColumn("_ppf_p", F.when((p > 0) & (p < 1), p))
+    df = df.withColumns({
+        "_ppf_q": F.expr("_ppf_p - 0.5D"),
+        "_ppf_d": F.expr("sqrt(-ln(least(_ppf_p, 1D - _ppf_p)))"),
+    })
+    df = df.withColumns({
+        "_ppf_r": F.expr("0.180625D - _ppf_q*_ppf_q"), "_ppf_m": F.expr("_ppf_d - 1.6D"), "_ppf_f": F.expr("_ppf_d - 5D")})
+    z = F.expr(f"""CASE
+        WHEN abs(_ppf_q) <= 0.425D THEN _ppf_q*{_poly(_CENTRE_NUM, '_ppf_r')}/{_poly(_CENTRE_DEN, '_ppf_r')}
+        WHEN _ppf_d <= 5D THEN signum(_ppf_q)*{_poly(_MID_NUM, '_ppf_m')}/{_poly(_MID_DEN, '_ppf_m')}
+        ELSE signum(_ppf_q)*{_poly(_FAR_NUM, '_ppf_f')}/{_poly(_FAR_DEN, '_ppf_f')} END""")
+    return df.withColumn(name, z).drop("_ppf_p", "_ppf_q", "_ppf_d", "_ppf_r", "_ppf_m", "_ppf_f")
 
 
 def or_null(col: Column) -> Column:

@@ -72,11 +72,12 @@ def _score_moments(scores: DataFrame) -> DataFrame:
 def rhat_rank(draws: DataFrame, **split_args) -> DataFrame:
     """Rank-normalised R-hat: bulk, folded around the median (tail), and the larger of the two."""
     halves = split_halves(draws).select(*KEYS, "chain", "half", "value")
-    median = written(split.exact_quantiles(halves, KEYS, "value", {"_median": 0.5}, **split_args), "median")
+    cuts = split.value_cuts(halves, KEYS, "value", **split_args)
+    median = written(split.exact_quantiles(halves, KEYS, "value", {"_median": 0.5}, cuts=cuts), "median")
     folded = (halves.join(median, KEYS)
               .select(*KEYS, "chain", "half", F.abs(F.col("value") - F.col("_median")).alias("value")))
     carry = ["chain", "half"]
-    bulk = _rhat(_score_moments(split.rank_scores(halves, KEYS, "value", carry, **split_args)), "rhat_bulk")
+    bulk = _rhat(_score_moments(split.rank_scores(halves, KEYS, "value", carry, cuts=cuts)), "rhat_bulk")
     tail = _rhat(_score_moments(split.rank_scores(folded, KEYS, "value", carry, **split_args)), "rhat_tail")
     return bulk.join(tail, KEYS).withColumn("rhat", F.greatest("rhat_bulk", "rhat_tail"))
 
@@ -125,10 +126,11 @@ def autocovariance(draws: DataFrame, max_lag: int = MAX_LAG, block: int = CHAIN_
     if block < max_lag:
         raise ValueError("block must be at least max_lag")
     halves = split_halves(draws)
-    scores = (split.rank_scores(halves.select(*KEYS, "value"), KEYS, "value", **split_args)
+    cuts = split.value_cuts(halves, KEYS, "value", **split_args)
+    scores = (split.rank_scores(halves.select(*KEYS, "value"), KEYS, "value", cuts=cuts)
               .select(*KEYS, "value", F.col("z").alias("bulk")))
     ends = written(split.exact_quantiles(halves.select(*KEYS, "value"), KEYS, "value",
-                                         {"_q05": 0.05, "_q95": 0.95}, **split_args), "ends")
+                                         {"_q05": 0.05, "_q95": 0.95}, cuts=cuts), "ends")
     signals = (halves.join(scores, [*KEYS, "value"]).join(ends, KEYS)
                .withColumns({"low": (F.col("value") <= F.col("_q05")).cast("double"),
                              "high": (F.col("value") <= F.col("_q95")).cast("double")}))

@@ -12,12 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.numeric import norm_ppf
+from panelspark.functions.numeric import with_norm_ppf
 from panelspark.session import written
 
 BLOCK = 1 << 20             # order values per piece in number_rows and running_mean
 ROWS_PER_SPLIT = 4_000_000  # a value-ordered group above this is cut into pieces
 MAX_SPLITS = 1024
+FIND = "find"               # ``cuts`` argument: look for groups that need cutting
 
 
 def _with_block(df: DataFrame, order: str, width: int) -> DataFrame:
@@ -104,16 +105,18 @@ def _bucket_offsets(bucketed: DataFrame, keys: list, value: str) -> DataFrame:
         F.sum("_size").over(whole).alias("_n"))
 
 
-def exact_quantiles(df: DataFrame, keys: list, value: str, probs: dict,
-                    rows_per_split: int = ROWS_PER_SPLIT, max_splits: int = MAX_SPLITS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list, value: str, probs: dict, rows_per_split: int = ROWS_PER_SPLIT,
+                    max_splits: int = MAX_SPLITS, cuts: DataFrame | str | None = FIND) -> DataFrame:
     """Exact quantiles with linear interpolation; ``probs`` maps output name to probability.
 
     Small groups use ``percentile``.  When some group is larger than
     ``rows_per_split``, only the value ranges that hold a wanted rank are
-    sorted: counts per range locate them first.
+    sorted: counts per range locate them first.  ``cuts`` takes the result of
+    ``value_cuts`` when several steps share it.
     """
     df = df.filter(F.col(value).isNotNull())
-    cuts = value_cuts(df, keys, value, rows_per_split, max_splits)
+    if isinstance(cuts, str):
+        cuts = value_cuts(df, keys, value, rows_per_split, max_splits)
     names = list(probs)
     if cuts is None:
         ps = F.array(*[F.lit(float(probs[n])) for n in names])
@@ -147,8 +150,8 @@ def exact_quantiles(df: DataFrame, keys: list, value: str, probs: dict,
     return placed.groupBy(*keys).agg(*picks)
 
 
-def rank_scores(df: DataFrame, keys: list, value: str, carry: list = (),
-                rows_per_split: int = ROWS_PER_SPLIT, max_splits: int = MAX_SPLITS) -> DataFrame:
+def rank_scores(df: DataFrame, keys: list, value: str, carry: list = (), rows_per_split: int = ROWS_PER_SPLIT,
+                max_splits: int = MAX_SPLITS, cuts: DataFrame | str | None = FIND) -> DataFrame:
     """Average ranks and normal scores of the distinct values of each group.
 
     Returns ``(keys, carry, value, _cnt, rank, z)`` with one row per distinct
@@ -158,7 +161,8 @@ def rank_scores(df: DataFrame, keys: list, value: str, carry: list = (),
     """
     carry = list(carry)
     df = df.filter(F.col(value).isNotNull())
-    cuts = value_cuts(df, keys, value, rows_per_split, max_splits)
+    if isinstance(cuts, str):
+        cuts = value_cuts(df, keys, value, rows_per_split, max_splits)
     counted = df.groupBy(*keys, *carry, value).agg(F.count(F.lit(1)).alias("_cnt"))
     counted = with_bucket(counted, keys, value, cuts)
     piece = Window.partitionBy(*keys, "_bucket")
@@ -172,5 +176,5 @@ def rank_scores(df: DataFrame, keys: list, value: str, carry: list = (),
         ranked = (counted.withColumns({"_upto": upto, "_ties": ties})
                   .join(written(offsets, "offsets"), [*keys, "_bucket"]))
     ranked = ranked.withColumn("rank", F.col("_before") + F.col("_upto") - (F.col("_ties") - 1) / 2)
-    score = norm_ppf((F.col("rank") - 0.375) / (F.col("_n") + 0.25))
-    return ranked.select(*keys, *carry, value, "_cnt", "rank", score.alias("z"))
+    scored = with_norm_ppf(ranked, (F.col("rank") - 0.375) / (F.col("_n") + 0.25), "z")
+    return scored.select(*keys, *carry, value, "_cnt", "rank", "z")

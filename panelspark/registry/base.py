@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.periods import quarter_idx, quarter_start
 from panelspark.operators.split import number_rows
 from panelspark.operators.steady import CALIBRATED
+from panelspark.session import written
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -56,15 +57,19 @@ def quarterly(spark, sf, *extra: str) -> DataFrame:
 
 
 # -- events as draws ------------------------------------------------------------
-def draws(spark, sf, runs: bool = False, numbered: bool = True) -> DataFrame:
-    """Event values as draws: type = parameter, user modulo 3 = chain, event order = iteration."""
+def draws(spark, sf, runs: bool = False, numbered: bool = True, stored: bool = False) -> DataFrame:
+    """Event values as draws: type = parameter, user modulo 3 = chain, event order = iteration.
+
+    ``stored`` writes the numbered draws once, for operators that pass over them several times.
+    """
     e = table(spark, sf, "events").filter(F.col("event_type").isNotNull() & F.col("user_id").isNotNull())
     run = F.when(F.col("ts") < "2024-01-16", "first").otherwise("second") if runs else F.lit("all")
     base = e.select(run.alias("run"), F.col("event_type").alias("param"),
                     (F.col("user_id") % 3).cast("int").alias("chain"), "event_id", "value")
     if not numbered:
         return base.drop("event_id")
-    return number_rows(base, ["run", "param", "chain"], "event_id").drop("event_id")
+    out = number_rows(base, ["run", "param", "chain"], "event_id").drop("event_id")
+    return written(out, "draws") if stored else out
 
 
 # -- parts as parameter rows ----------------------------------------------------

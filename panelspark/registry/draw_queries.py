@@ -37,10 +37,10 @@ def ppf_sql(p: str) -> str:
     return f"CASE WHEN abs({q}) <= 0.425 THEN {centre} WHEN {q} < 0 THEN -{tail} ELSE {tail} END"
 
 
-_HALVES = ("SELECT run, param, chain, value, n_half, CASE WHEN at < n_half THEN 0 ELSE 1 END AS half, "
-           "CASE WHEN at < n_half THEN at ELSE at - (len - n_half) END AS pos FROM (SELECT *, iter - 1 AS at, "
+_HALVES = ("SELECT run, param, chain, value, n_half, CASE WHEN seq < n_half THEN 0 ELSE 1 END AS half, "
+           "CASE WHEN seq < n_half THEN seq ELSE seq - (len - n_half) END AS pos FROM (SELECT *, iter - 1 AS seq, "
            "count(*) OVER (PARTITION BY run, param, chain) AS len, "
-           "count(*) OVER (PARTITION BY run, param, chain) // 2 AS n_half FROM dr) WHERE at < n_half OR at >= len - n_half")
+           "count(*) OVER (PARTITION BY run, param, chain) // 2 AS n_half FROM dr) WHERE seq < n_half OR seq >= len - n_half")
 
 
 def _ranked(source: str) -> str:
@@ -111,7 +111,7 @@ def param_groups(spark, sf):
 @register("rhat_split", sql("SELECT run, param, round(rhat, 6) AS rhat FROM x", "dr", h=_HALVES,
                             x=_rhat_sql("h", "value", "rhat")))
 def rhat_split(spark, sf):
-    return rounded(d.rhat_split(draws(spark, sf)), 6, "rhat")
+    return rounded(d.rhat_split(draws(spark, sf, stored=True)), 6, "rhat")
 
 
 _FOLD = ("SELECT run, param, chain, half, abs(value - median(value) OVER (PARTITION BY run, param)) AS value FROM h")
@@ -124,7 +124,7 @@ _FOLD = ("SELECT run, param, chain, half, abs(value - median(value) OVER (PARTIT
     fz=f"SELECT *, {ppf_sql('p')} AS z FROM ({_ranked('f')})",
     b=_rhat_sql("hz", "z", "rhat_bulk"), t=_rhat_sql("fz", "z", "rhat_tail")))
 def rhat_rank(spark, sf):
-    return rounded(d.rhat_rank(draws(spark, sf)), 6, "rhat_bulk", "rhat_tail", "rhat")
+    return rounded(d.rhat_rank(draws(spark, sf, stored=True)), 6, "rhat_bulk", "rhat_tail", "rhat")
 
 
 _LAGS = 250
@@ -163,7 +163,7 @@ _ESS = {
 @register("effective_sample_size", sql(
     "SELECT run, param, round(ess_bulk, 4) AS ess_bulk, round(ess_tail, 4) AS ess_tail FROM ess", "dr", **_ESS))
 def effective_sample_size(spark, sf):
-    return rounded(d.effective_sample_size(draws(spark, sf)), 4, "ess_bulk", "ess_tail")
+    return rounded(d.effective_sample_size(draws(spark, sf, stored=True)), 4, "ess_bulk", "ess_tail")
 
 
 @register("posterior_report", sql(
@@ -174,7 +174,7 @@ def effective_sample_size(spark, sf):
     "dr", **_ESS, f=_FOLD, fz=f"SELECT *, {ppf_sql('p')} AS z FROM ({_ranked('f')})", rb=_rhat_sql("hz", "z", "rhat_bulk"),
     rt=_rhat_sql("fz", "z", "rhat_tail"), s=_SUMMARY.format(src="dr"), q=_QUANT.format(src="dr")))
 def full_report(spark, sf):
-    out = posterior_report(draws(spark, sf), SECONDS)
+    out = posterior_report(draws(spark, sf, stored=True), SECONDS)
     return rounded(rounded(out, 6, "mean", "std", "mcse", "rhat", *d.QUANTILES), 4, "ess_bulk", "ess_tail", "ess_per_sec")
 
 
@@ -253,12 +253,13 @@ _TRUTH_ROWS = ", ".join(f"('{k}', {v}e0)" for k, v in _TRUTH.items())
     "SELECT s.param, round(CASE WHEN s.param = 'click' THEN sqrt(mean) ELSE mean END, 6) AS mean, "
     "round(CASE WHEN s.param = 'click' THEN sqrt(true_value) ELSE true_value END, 6) AS true_value, "
     "round(CASE WHEN s.param = 'click' THEN sqrt(mean) - sqrt(true_value) ELSE mean - true_value END, 6) AS bias, "
-    "true_value BETWEEN q025 AND q975 AS covered FROM s JOIN q USING (run, param) "
+    "coalesce(true_value BETWEEN q025 AND q975, FALSE) AS covered FROM s JOIN q USING (run, param) "
     f"LEFT JOIN (VALUES {_TRUTH_ROWS}) t(param, true_value) ON s.param = t.param", "dr", s=_SUMMARY.format(src="dr"),
     q=_QUANT.format(src="dr")))
 def recovery_check(spark, sf):
     truth = spark.createDataFrame(list(_TRUTH.items()), "param string, true_value double")
     out = d.recovery_check(_full_summary(draws(spark, sf, numbered=False)), truth, variances=["click"])
+    out = out.withColumn("covered", F.coalesce("covered", F.lit(False)))
     return rounded(out.select("param", "mean", "true_value", "bias", "covered"), 6, "mean", "true_value", "bias")
 
 
@@ -273,13 +274,13 @@ _PRIORS = {
 # the same densities in closed form: a Beta with whole parameters has a binomial tail as its mass
 _BETA_MASS = sum(math.comb(14, j) * 0.97 ** j * 0.03 ** (14 - j) for j in range(12, 15))
 _NORMAL_MASS = 0.5 * (1 + math.erf(0.37 / 0.20 / math.sqrt(2)))
-_PDF_SQL = (
+_LOG_PDF = (
     "CASE param "
-    f"WHEN 'click' THEN CASE WHEN x <= 0.97 THEN pow(x, 11)*pow(1-x, 2)*{math.factorial(14) / math.factorial(11) / 2}/{_BETA_MASS!r} ELSE 0 END "
-    "WHEN 'error' THEN exp(24*ln(x) - x/0.04 - lgamma(25) - 25*ln(0.04)) "
-    "WHEN 'purchase' THEN exp(3*ln(0.5) - ln(2) - 4*ln(x) - 0.5/x) "
-    f"WHEN 'signup' THEN exp(-0.5*pow((x-0.37)/0.20, 2))/(0.20*{math.sqrt(2 * math.pi)!r}*{_NORMAL_MASS!r}) "
-    "WHEN 'view' THEN CASE WHEN x BETWEEN 0.1 AND 0.9 THEN 1/0.8 ELSE 0 END END")
+    f"WHEN 'click' THEN CASE WHEN x <= 0.97 THEN 11*ln(x) + 2*ln(1-x) + ln({math.factorial(14) / math.factorial(11) / 2}) - ln({_BETA_MASS!r}) END "
+    "WHEN 'error' THEN 24*ln(x) - x/0.04 - lgamma(25) - 25*ln(0.04) "
+    "WHEN 'purchase' THEN 3*ln(0.5) - ln(2) - 4*ln(x) - 0.5/x "
+    f"WHEN 'signup' THEN -0.5*pow((x-0.37)/0.20, 2) - ln(0.20*{math.sqrt(2 * math.pi)!r}*{_NORMAL_MASS!r}) "
+    "WHEN 'view' THEN CASE WHEN x BETWEEN 0.1 AND 0.9 THEN -ln(0.8) END END")
 
 
 def _unit(df):
@@ -288,7 +289,7 @@ def _unit(df):
 
 @register("prior_pdf", sql(
     f"SELECT param, chain, round(sum(pdf), 4) AS pdf_sum, round(max(pdf), 6) AS pdf_max, count(*) AS n FROM "
-    f"(SELECT param, chain, {_PDF_SQL} AS pdf FROM (SELECT *, value/(value + 20) AS x FROM dr)) GROUP BY 1, 2", "dr"))
+    f"(SELECT param, chain, coalesce(exp({_LOG_PDF}), 0) AS pdf FROM (SELECT *, value/(value + 20) AS x FROM dr)) GROUP BY 1, 2", "dr"))
 def prior_pdf(spark, sf):
     grid = _unit(draws(spark, sf, numbered=False)).select("param", "chain", F.col("value").alias("x"))
     return priors.prior_pdf(grid, _PRIORS).groupBy("param", "chain").agg(
@@ -296,8 +297,8 @@ def prior_pdf(spark, sf):
 
 
 @register("log_prior", sql(
-    f"SELECT run, chain, iter, CASE WHEN min(pdf) > 0 THEN round(sum(ln(nullif(pdf, 0))), 4) END AS log_prior FROM "
-    f"(SELECT run, chain, iter, {_PDF_SQL} AS pdf FROM (SELECT *, value/(value + 20) AS x FROM dr)) GROUP BY 1, 2, 3", "dr"))
+    f"SELECT run, chain, iter, CASE WHEN count(lp) = count(*) THEN round(sum(lp), 4) END AS log_prior FROM "
+    f"(SELECT run, chain, iter, {_LOG_PDF} AS lp FROM (SELECT *, value/(value + 20) AS x FROM dr)) GROUP BY 1, 2, 3", "dr"))
 def log_prior(spark, sf):
     return rounded(priors.log_prior(_unit(draws(spark, sf)), _PRIORS), 4, "log_prior")
 
