@@ -45,8 +45,16 @@ def _inv(col: Column) -> Column:
     return F.try_divide(F.lit(1.0), col)
 
 
-def _drop_temp(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("_t_")])
+def _emit(df: DataFrame, out: dict) -> DataFrame:
+    """Add the outputs through a one-element ``inline`` and drop the working columns.
+
+    The generator keeps the optimizer from substituting the outputs' definitions
+    into later filters: a test on revenue would otherwise unfold, step by step,
+    into a predicate too large to compile.
+    """
+    kept = [c for c in df.columns if not c.startswith("_t_") and c not in out]
+    row = F.struct(*[v.alias(k) for k, v in out.items()])
+    return df.select(*kept, F.inline(F.array(row)))
 
 
 def _technology(df: DataFrame) -> DataFrame:
@@ -176,7 +184,7 @@ def steady_state(params: DataFrame, prefix: str = "") -> DataFrame:
         - q["B_0"] * _pow(t("_t_n_m") + t("_t_n_u"), 1 + q["xi"]) / (1 + q["xi"])
         - q["B_1"] * _pow(t("_t_n_u"), 1 + q["phi"]) / (1 + q["phi"]),
     }
-    return _drop_temp(df.withColumns({prefix + k: v for k, v in out.items()}))
+    return _emit(df, {prefix + k: v for k, v in out.items()})
 
 
 def calibrate_b0(params: DataFrame, target: float = 0.19) -> DataFrame:
@@ -202,10 +210,7 @@ def calibrate_b0(params: DataFrame, target: float = 0.19) -> DataFrame:
     })
     df = _solve(df)
     b0 = t("_t_net") * F.exp(-q["sigma"] * t("_t_x")) / F.pow(hours, q["xi"])
-    return _drop_temp(df.withColumns({
-        "b0_star": F.when(t("_t_status") == "ok", b0),
-        "b0_status": t("_t_status"),
-    }))
+    return _emit(df, {"b0_star": F.when(t("_t_status") == "ok", b0), "b0_status": t("_t_status")})
 
 
 def total_revenue(prefix: str = "", parts: tuple = ("G_c", "G_h", "G_s")) -> Column:

@@ -49,7 +49,6 @@ def steady_sql(source: str) -> str:
 
 _PR = "SELECT * FROM pr"
 _ALL = VARIABLES + EXTRA
-_BARE = [c for c in _ALL]
 
 
 @register("steady_state", sql(
@@ -65,7 +64,8 @@ def steady_status(spark, sf):
     broken = params(spark, sf).withColumns({
         "xi": F.when(F.col("draw_id") % 4 != 0, F.col("xi")),
         "tau_h_ss": F.when(F.col("draw_id") % 4 == 1, 1.0).otherwise(F.col("tau_h_ss")),
-        "alpha_u": F.when(F.col("draw_id") % 4 == 2, 0.05).otherwise(F.col("alpha_u"))})
+        "alpha": F.when(F.col("draw_id") % 4 == 2, 0.60).otherwise(F.col("alpha")),
+        "alpha_u": F.when(F.col("draw_id") % 4 == 2, 0.95).otherwise(F.col("alpha_u"))})
     return steady_state(broken).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -130,7 +130,6 @@ def against_baseline(spark, sf):
 
 _LABEL_ROWS = ", ".join(f"({i}, '{v}', '{policy.POLICY_LABELS[v]}')"
                         for i, v in enumerate([*policy.REPORTED, "G_total", "ecv"]))
-_PCT = ("CASE WHEN variable = 'ecv' THEN 100*(exp(b.utility - s.utility) - 1) ELSE 100*(sv - bv)/abs(bv) END")
 _PICK = "CASE variable " + " ".join(f"WHEN '{v}' THEN {{t}}.{v}" for v in policy.REPORTED) + \
         " WHEN 'G_total' THEN {t}.G_c + {t}.G_h + {t}.G_s END"
 
@@ -170,9 +169,7 @@ def welfare_ecv(spark, sf):
     "ON b.draw_id = s.draw_id AND b.scenario = 'base' AND s.scenario <> 'base') GROUP BY 1",
     "pr", sc=_SCEN, ss=f"SELECT * FROM ({_SOLVED})"))
 def functional(spark, sf):
-    # a part whose own rate equals the scenario's has an exact zero that two solvers may sign differently
-    jitter = params(spark, sf)
-    out = policy.posterior_functional(jitter)
+    out = policy.posterior_functional(params(spark, sf))
     return rounded(out, 6, *[c for c in out.columns if c not in ("scenario", "n")])
 
 

@@ -100,12 +100,12 @@ def half_life(spark, sf):
 
 
 @register("ar1_irf", sql(
-    "SELECT p_partkey AS draw_id, h, round((1 + p_partkey % 7)*pow(CAST(0.5 AS DOUBLE) + CAST(0.0095 AS DOUBLE)*p_size, h), 9) "
+    "SELECT p_partkey AS draw_id, h, round((1 + p_partkey % 7)/11.0e0*pow(CAST(0.5 AS DOUBLE) + CAST(0.0095 AS DOUBLE)*p_size, h), 9) "
     "AS response FROM part, (SELECT CAST(range AS INTEGER) AS h FROM range(13))"))
 def ar1_irf(spark, sf):
     p = table(spark, sf, "part").select(
         F.col("p_partkey").alias("draw_id"), (0.5 + 0.0095 * F.col("p_size")).alias("rho"),
-        (1 + F.col("p_partkey") % 7).cast("double").alias("sigma"))
+        ((1 + F.col("p_partkey") % 7) / 11.0).alias("sigma"))
     return rounded(shocks.ar1_irf(p, "rho", "sigma", 12).select("draw_id", "h", "response"), 9, "response")
 
 
@@ -117,12 +117,12 @@ def _systems(spark, sf):
     return table(spark, sf, "part").select(
         F.col("p_partkey").alias("draw_id"), F.lit(2).alias("n_state"), F.lit(2).alias("n_shock"),
         F.array(num["a"], num["c"], zero, num["b"]).alias("A"), F.array(one, zero, zero, F.lit(0.5)).alias("B"),
-        F.array(one, one, F.lit(-1.0), F.lit(2.0)).alias("C"))
+        F.array(*[F.lit(v / 7) for v in (1.0, 1.0, -1.0, 2.0)]).alias("C"))
 
 
 # A = [[a, c], [0, b]]: A^h has a^h and b^h on the diagonal and c (a^h - b^h)/(a - b) above it
-_PATHS = ("SELECT draw_id, variable, shock, h, CASE WHEN shock = 'e1' THEN CASE WHEN variable = 'v1' THEN ah ELSE -ah END "
-          "ELSE CASE WHEN variable = 'v1' THEN 0.5*(u + bh) ELSE 0.5*(2*bh - u) END END AS value FROM (SELECT draw_id, h, "
+_PATHS = ("SELECT draw_id, variable, shock, h, CASE WHEN shock = 'e1' THEN CASE WHEN variable = 'v1' THEN ah ELSE -ah END/7 "
+          "ELSE CASE WHEN variable = 'v1' THEN 0.5*(u + bh) ELSE 0.5*(2*bh - u) END/7 END AS value FROM (SELECT draw_id, h, "
           "pow(a, h) AS ah, pow(b, h) AS bh, CASE WHEN abs(a - b) < 1e-9 THEN CASE WHEN h = 0 THEN 0 ELSE c*h*pow(a, h - 1) END "
           "ELSE c*(pow(a, h) - pow(b, h))/(a - b) END AS u FROM (SELECT p_partkey AS draw_id, 0.5e0 + 0.009e0*p_size AS a, "
           "0.3e0 + 0.006e0*(p_partkey % 100) AS b, 0.1e0 + 0.002e0*(p_partkey % 10) AS c FROM part), "
