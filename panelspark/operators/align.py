@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,26 +36,20 @@ def asof_interpolate(df: DataFrame, annual: DataFrame, keys: list, date: str = "
     The quarter takes ``v0 (1-f) + v1 f`` with ``f = (quarter-1)/4``, where
     ``v0`` belongs to the last annual row at or before the year and ``v1`` to the
     row after it.  Before the first annual row the first value is used, at and
-    after the last row the last value.  Each annual row is spread over the years
-    it covers, which turns the range lookup into an equality join.
+    after the last row the last value.  The annual rows of a key travel as one
+    array (a value per year), so the join is an equality on ``keys`` and later
+    windows over ``keys`` need no further shuffle.
     """
-    w = Window.partitionBy(*keys).orderBy(year)
-    spans = annual.select(
-        *keys, F.col(year).alias("_y0"), F.col(value).alias("_v0"),
-        F.lead(year).over(w).alias("_y1"), F.lead(value).over(w).alias("_v1"))
-    covered = (spans.filter(F.col("_y1").isNotNull())
-               .withColumn("_year", F.explode(F.sequence("_y0", F.col("_y1") - 1)))
-               .select(*keys, "_year", "_v0", "_v1"))
-    ends = annual.groupBy(*keys).agg(
-        F.min(year).alias("_first_year"),
-        F.min_by(value, year).alias("_first"), F.max_by(value, year).alias("_last"))
-    q = df.withColumn("_year", F.year(date)).withColumn("_f", (F.quarter(date) - 1) / F.lit(4.0))
-    joined = q.join(covered, [*keys, "_year"], "left").join(ends, keys, "left")
-    between = F.col("_v0") * (1 - F.col("_f")) + F.col("_v1") * F.col("_f")
-    out = (F.when(F.col("_v0").isNotNull(), between)
-           .when(F.col("_year") < F.col("_first_year"), F.col("_first"))
-           .otherwise(F.col("_last")))
-    return joined.withColumn(name, out.cast("double")).select(*df.columns, name)
+    years = annual.filter(F.col(year).isNotNull()).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(year).alias("y"), F.col(value).cast("double").alias("v")))).alias("_years"))
+    known = F.size(F.filter("_years", lambda r: r["y"] <= F.year(date)))
+    f = (F.quarter(date) - 1) / F.lit(4.0)
+    v0, v1 = F.get("_years", F.col("_at") - 1)["v"], F.get("_years", F.col("_at"))["v"]
+    out = (F.when(F.col("_at") == 0, v1)
+           .when(F.col("_at") == F.size("_years"), v0)
+           .otherwise(v0 * (1 - f) + v1 * f))
+    return (df.join(years, keys, "left").withColumn("_at", known).withColumn(name, out)
+            .select(*df.columns, name))
 
 
 def missing_keys(requested: DataFrame, available: DataFrame, on: list) -> DataFrame:

@@ -109,9 +109,8 @@ def dlog(df: DataFrame, keys: list, cols: dict, order: str = "quarter_idx", scal
 def index_base(df: DataFrame, keys: list, value: str, name: str, order: str = "quarter_idx",
                base: float = 100.0) -> DataFrame:
     """``base`` times the value relative to the first row of the series."""
-    first = df.groupBy(*keys).agg(F.min_by(value, order).alias("_base"))
-    return (df.join(first, keys)
-            .withColumn(name, F.lit(base) * F.try_divide(F.col(value), F.col("_base"))).drop("_base"))
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(name, F.lit(base) * F.try_divide(F.col(value), F.first(value).over(w)))
 
 
 def signed_stack(df: DataFrame, keys: list, rank: str, value: str) -> DataFrame:
@@ -133,9 +132,8 @@ def thin(df: DataFrame, keys: list, k: int, order: str = "quarter_idx") -> DataF
 
 def axis_ticks(df: DataFrame, keys: list, date: str = "date", every_years: int = 4) -> DataFrame:
     """First quarters of every ``every_years``-th year, and the first row if it is a January."""
-    first = df.groupBy(*keys).agg(F.min(date).alias("_start"))
     january = F.month(date) == 1
-    return (df.join(first, keys)
+    return (df.withColumn("_start", F.min(date).over(Window.partitionBy(*keys)))
             .filter(january & ((F.col(date) == F.col("_start")) | (F.year(date) % every_years == 0)))
             .drop("_start").withColumn("tick", F.year(date).cast("string")))
 

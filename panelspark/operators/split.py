@@ -16,8 +16,8 @@ from panelspark.functions.numeric import with_norm_ppf
 from panelspark.session import written
 
 BLOCK = 1 << 20             # order values per piece in number_rows and running_mean
-ROWS_PER_SPLIT = 4_000_000  # a value-ordered group above this is cut into pieces
-MAX_SPLITS = 1024
+ROWS_PER_SPLIT = 250_000     # a value-ordered group above this is cut into pieces
+MAX_SPLITS = 4096
 FIND = "find"               # ``cuts`` argument: look for groups that need cutting
 
 
