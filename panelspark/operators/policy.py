@@ -2,6 +2,8 @@
 
 A baseline row, its scenarios and its grid points stay in one partition: the
 row is solved once, exploded, overridden and solved again, without a join.
+Tables per id hash the parameter rows by id first (``spread``); everything that
+follows, the final aggregation included, works inside that partitioning.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.labels import POLICY_LABELS, lookup
 from panelspark.operators.steady import PARAMS, VARIABLES, steady_state, total_revenue
+from panelspark.session import spread
 
 # The four policy scenarios.
 SCENARIOS = [
@@ -54,8 +57,10 @@ def apply_overrides(df: DataFrame, overrides: str = "overrides", names: list = P
     defaults = defaults or {}
     cols = {}
     for n in names:
-        base = F.col(n) if n in df.columns else F.lit(None).cast("double")
-        cols[n] = F.coalesce(F.try_element_at(F.col(overrides), F.lit(n)), base, F.lit(defaults.get(n)).cast("double"))
+        chain = [f"try_element_at(`{overrides}`, '{n}')"]
+        chain += [n] if n in df.columns else []
+        chain += [f"{float(defaults[n])!r}D"] if defaults.get(n) is not None else []
+        cols[n] = F.expr(f"coalesce({', '.join(chain)})")
     return df.withColumns(cols)
 
 
@@ -126,7 +131,7 @@ def counterfactual_table(params: DataFrame, ids: list, scenarios: list = SCENARI
                          digits: int | None = 3) -> DataFrame:
     """One row per id and variable with a ``<scenario>_pct`` column per scenario."""
     names = [n for n, _ in scenarios]
-    long = scenario_changes(params, ids, scenarios, reversed_ecv, digits)
+    long = scenario_changes(spread(params, ids), ids, scenarios, reversed_ecv, digits)
     wide = long.groupBy(*ids, "ord", "variable").agg(
         *[F.max(F.when(F.col("scenario") == n, F.col("pct"))).alias(f"{n}_pct") for n in names])
     return wide.select(*ids, "ord", "variable", F.coalesce(lookup(F.col("variable"), POLICY_LABELS), "variable").alias("label"),
@@ -153,13 +158,13 @@ def param_grid(df: DataFrame, ranges: dict = RANGES, n: int = GRID_POINTS) -> Da
     return out.withColumn("grid_value", grid_value(F.col("_lo"), F.col("_hi"), F.col("i"), n)).drop("_lo", "_hi")
 
 
-def sweep(params: DataFrame, ranges: dict = RANGES, n: int = GRID_POINTS) -> DataFrame:
+def sweep(params: DataFrame, ids: list, ranges: dict = RANGES, n: int = GRID_POINTS) -> DataFrame:
     """Replace one instrument at a time by every grid value and solve again.
 
     Adds ``base_value`` (the row's own rate), the solution, ``G_total`` and
     ``welfare``.  A failed point keeps its row with nulls and a ``status``.
     """
-    grid = param_grid(params, ranges, n)
+    grid = param_grid(spread(params, ids), ranges, n)
     own = F.coalesce(*[F.when(F.col("instrument") == p, F.col(p)) for p in ranges])
     grid = grid.withColumn("base_value", own)
     grid = grid.withColumns({p: F.when(F.col("instrument") == p, F.col("grid_value")).otherwise(F.col(p)) for p in ranges})
@@ -172,8 +177,7 @@ def sweep(params: DataFrame, ranges: dict = RANGES, n: int = GRID_POINTS) -> Dat
 def laffer_peak(swept: DataFrame, ids: list) -> DataFrame:
     """Revenue-maximising rate per instrument and the side of the peak the baseline is on.
 
-    Ties go to the lowest rate.  The grid points of a row are next to each
-    other, so the partial aggregate leaves one row per id and instrument.
+    Ties go to the lowest rate.
     """
     ok = swept.filter(F.col("G_total").isNotNull() & ~F.isnan("G_total"))
     peak = ok.groupBy(*ids, "instrument").agg(

@@ -67,10 +67,10 @@ def value_cuts(df: DataFrame, keys: list, value: str, rows_per_split: int = ROWS
     result stays exact whatever they are.  They are written out once because a
     sketch may differ from one evaluation to the next.
     """
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("_size"))
-    hot = written(sizes.filter(F.col("_size") > rows_per_split), "hot")
+    hot = df.groupBy(*keys).agg(F.count(value).alias("_size")).filter(F.col("_size") > rows_per_split)
     if hot.isEmpty():
         return None
+    hot = written(hot, "hot")
     grid = [i / max_splits for i in range(1, max_splits)]
     sketch = (df.join(hot, keys, "left_semi").groupBy(*keys)
               .agg(F.percentile_approx(value, grid, 10 * max_splits).alias("_q")))

@@ -37,68 +37,60 @@ _HI = 10.0          # upper end of the consumption bracket
 _STEPS = 60
 
 
-def _pow(base: Column, expo: Column) -> Column:
-    return F.when(base > 0, F.pow(base, expo))
+def _steps(df: DataFrame, *steps: dict) -> DataFrame:
+    """Add columns in order; a step may use the columns of the steps before it."""
+    for step in steps:
+        df = df.withColumns({name: F.expr(text) for name, text in step.items()})
+    return df
 
 
-def _inv(col: Column) -> Column:
-    return F.try_divide(F.lit(1.0), col)
+def _as_double(df: DataFrame) -> DataFrame:
+    kinds = dict(df.dtypes)
+    return df.withColumns({n: F.col(n).cast("double") for n in PARAMS if kinds[n] != "double"})
 
 
-def _emit(df: DataFrame, out: dict) -> DataFrame:
+def _power(base: str, expo: str) -> str:
+    """Power of a positive base; null otherwise."""
+    return f"CASE WHEN {base} > 0 THEN pow({base}, {expo}) END"
+
+
+def _emit(df: DataFrame, prefix: str, out: dict) -> DataFrame:
     """Add the outputs through a one-element ``inline`` and drop the working columns.
 
     The generator keeps the optimizer from substituting the outputs' definitions
     into later filters: a test on revenue would otherwise unfold, step by step,
     into a predicate too large to compile.
     """
-    kept = [c for c in df.columns if not c.startswith("_t_") and c not in out]
-    row = F.struct(*[v.alias(k) for k, v in out.items()])
+    kept = [c for c in df.columns if not c.startswith("_t_") and c not in {prefix + k for k in out}]
+    row = F.struct(*[F.expr(v).alias(prefix + k) for k, v in out.items()])
     return df.select(*kept, F.inline(F.array(row)))
 
 
 def _technology(df: DataFrame) -> DataFrame:
-    """Ratios that do not depend on consumption (per hour or per unit of capital)."""
-    t = F.col
-    q = {n: F.col(n).cast("double") for n in PARAMS}
-    missing = F.lit(False)
-    for n in PARAMS:
-        missing = missing | q[n].isNull() | F.isnan(q[n])
-    rent_u = q["gamma_ss"] / q["beta"] - 1 + q["delta_k"]
-    df = df.withColumns({
-        "_t_null": missing,
-        "_t_r_u": rent_u,
-        "_t_r_m": F.try_divide(rent_u, 1 - q["tau_h_ss"]),
-    })
-    df = df.withColumns({
-        "_t_ykm": F.try_divide(t("_t_r_m"), (1 - q["tau_c_ss"]) * (1 - q["alpha"])),
-        "_t_yku": F.try_divide(t("_t_r_u"), (1 - q["p_ss"] * q["s"] * q["tau_c_ss"]) * (1 - q["alpha_u"])),
-    })
-    df = df.withColumns({
-        "_t_hkm": _pow(t("_t_ykm"), _inv(q["alpha"])) / q["gamma_ss"],
-        "_t_hku": _pow(t("_t_yku"), _inv(q["alpha_u"])) / q["gamma_ss"],
-    })
-    df = df.withColumns({
-        "_t_ym": F.try_divide(t("_t_ykm"), t("_t_hkm")),
-        "_t_yu": F.try_divide(t("_t_yku"), t("_t_hku")),
-    })
-    df = df.withColumns({
-        "_t_w_m": F.try_divide(q["alpha"] * t("_t_ym") * (1 - q["tau_c_ss"]), 1 + q["tau_s_ss"] - q["tau_c_ss"]),
-        "_t_w_u": q["alpha_u"] * t("_t_yu"),
-        "_t_inv_m": F.try_divide(q["gamma_ss"] - 1 + q["delta_k"], t("_t_hkm")),
-        "_t_inv_u": F.try_divide(q["gamma_ss"] - 1 + q["delta_k"], t("_t_hku")),
-    })
-    # kap_*: resources absorbed per hour in each sector, net of output.
-    return df.withColumns({
-        "_t_net": (1 - q["tau_h_ss"]) * t("_t_w_m"),
-        "_t_gap": t("_t_w_u") - (1 - q["tau_h_ss"]) * t("_t_w_m"),
-        "_t_kap_m": t("_t_inv_m")
-        + q["tau_h_ss"] * (t("_t_w_m") + F.try_divide(t("_t_r_m"), t("_t_hkm")))
-        + q["tau_c_ss"] * (t("_t_ym") - t("_t_w_m"))
-        + q["tau_s_ss"] * t("_t_w_m") - t("_t_ym"),
-        "_t_kap_u": t("_t_inv_u")
-        + q["tau_c_ss"] * q["p_ss"] * q["s"] * (t("_t_yu") - t("_t_w_u")) - t("_t_yu"),
-    })
+    """Ratios that do not depend on consumption (per hour or per unit of capital).
+
+    ``kap_m`` and ``kap_u`` are the resources absorbed per hour in each sector, net of output.
+    """
+    missing = " OR ".join(f"{n} IS NULL OR isnan({n})" for n in PARAMS)
+    return _steps(
+        _as_double(df),
+        {"_t_null": missing,
+         "_t_r_u": "try_divide(gamma_ss, beta) - 1 + delta_k"},
+        {"_t_r_m": "try_divide(_t_r_u, 1 - tau_h_ss)"},
+        {"_t_ykm": "try_divide(_t_r_m, (1 - tau_c_ss) * (1 - alpha))",
+         "_t_yku": "try_divide(_t_r_u, (1 - p_ss * s * tau_c_ss) * (1 - alpha_u))"},
+        {"_t_hkm": "try_divide(" + _power("_t_ykm", "try_divide(1D, alpha)") + ", gamma_ss)",
+         "_t_hku": "try_divide(" + _power("_t_yku", "try_divide(1D, alpha_u)") + ", gamma_ss)"},
+        {"_t_ym": "try_divide(_t_ykm, _t_hkm)", "_t_yu": "try_divide(_t_yku, _t_hku)"},
+        {"_t_w_m": "try_divide(alpha * _t_ym * (1 - tau_c_ss), 1 + tau_s_ss - tau_c_ss)",
+         "_t_w_u": "alpha_u * _t_yu",
+         "_t_inv_m": "try_divide(gamma_ss - 1 + delta_k, _t_hkm)",
+         "_t_inv_u": "try_divide(gamma_ss - 1 + delta_k, _t_hku)"},
+        {"_t_net": "(1 - tau_h_ss) * _t_w_m",
+         "_t_gap": "_t_w_u - (1 - tau_h_ss) * _t_w_m",
+         "_t_kap_m": "_t_inv_m + tau_h_ss * (_t_w_m + try_divide(_t_r_m, _t_hkm)) + tau_c_ss * (_t_ym - _t_w_m) "
+                     "+ tau_s_ss * _t_w_m - _t_ym",
+         "_t_kap_u": "_t_inv_u + tau_c_ss * p_ss * s * (_t_yu - _t_w_u) - _t_yu"})
 
 
 @F.pandas_udf(T.DoubleType())
@@ -121,15 +113,16 @@ def _root(a1: pd.Series, k1: pd.Series, a2: pd.Series, k2: pd.Series, lo: pd.Ser
 
 def _solve(df: DataFrame) -> DataFrame:
     """Needs ``_t_a1 _t_k1 _t_a2 _t_k2 _t_lo``; adds ``_t_x`` and ``_t_status``."""
-    t = F.col
-    df = df.withColumn("_t_x", _root(*[F.when(~t("_t_null"), t(c)) for c in ("_t_a1", "_t_k1", "_t_a2", "_t_k2", "_t_lo")]))
-    return df.withColumn("_t_status", (
-        F.when(t("_t_null"), "null_param")
-        .when(t("_t_gap").isNull() | t("_t_kap_m").isNull() | t("_t_kap_u").isNull(), "bad_param")
-        .when(t("_t_gap") <= 0, "no_interior")
-        .when(t("_t_x").isNull() | F.isnan("_t_x"), "no_bracket")
-        .otherwise("ok")
-    ))
+    inputs = [F.expr(f"CASE WHEN NOT _t_null THEN {c} END") for c in ("_t_a1", "_t_k1", "_t_a2", "_t_k2", "_t_lo")]
+    return _steps(df.withColumn("_t_x", _root(*inputs)), {"_t_status": """CASE
+        WHEN _t_null THEN 'null_param'
+        WHEN _t_gap IS NULL OR _t_kap_m IS NULL OR _t_kap_u IS NULL THEN 'bad_param'
+        WHEN _t_gap <= 0 THEN 'no_interior'
+        WHEN _t_x IS NULL OR isnan(_t_x) THEN 'no_bracket'
+        ELSE 'ok' END"""})
+
+
+_LOWEST = "ln(1e-6D)"   # start of the bracket where hours set no lower bound
 
 
 def steady_state(params: DataFrame, prefix: str = "") -> DataFrame:
@@ -138,53 +131,42 @@ def steady_state(params: DataFrame, prefix: str = "") -> DataFrame:
     ``params`` carries the columns of ``PARAMS``.  ``prefix`` names the outputs
     (``base_`` keeps a baseline solution beside a scenario solution).
     """
-    t = F.col
-    q = {n: F.col(n).cast("double") for n in PARAMS}
-    df = _technology(params).withColumns({
-        "_t_hours_u": _pow(F.try_divide(t("_t_gap"), q["B_1"]), _inv(q["phi"])),
-        "_t_hours": _pow(F.try_divide(t("_t_net"), q["B_0"]), _inv(q["xi"])),
-        "_t_k1": F.try_divide(q["sigma"], q["xi"]),
-        "_t_k2": F.try_divide(q["sigma"], q["phi"]),
+    df = _steps(
+        _technology(params),
+        {"_t_hours_u": _power("try_divide(_t_gap, B_1)", "try_divide(1D, phi)"),
+         "_t_hours": _power("try_divide(_t_net, B_0)", "try_divide(1D, xi)"),
+         "_t_k1": "try_divide(sigma, xi)",
+         "_t_k2": "try_divide(sigma, phi)"},
+        # lower end: consumption at which regular hours reach zero; needs k2 > k1 (phi < xi)
+        {"_t_a1": "_t_kap_m * _t_hours",
+         "_t_a2": "(_t_kap_u - _t_kap_m) * _t_hours_u",
+         "_t_lo": "CASE WHEN _t_k2 > _t_k1 AND _t_hours_u > 0 AND _t_hours > 0 "
+                  f"THEN (ln(_t_hours_u) - ln(_t_hours)) / (_t_k2 - _t_k1) ELSE {_LOWEST} END"})
+    df = _steps(
+        _solve(df),
+        {"_t_c": "CASE WHEN _t_status = 'ok' THEN exp(_t_x) END"},
+        {"_t_n_u": "_t_hours_u * " + "(" + _power("_t_c", "-_t_k2") + ")",
+         "_t_hours_all": "_t_hours * " + "(" + _power("_t_c", "-_t_k1") + ")"},
+        {"_t_n_m": "_t_hours_all - _t_n_u"},
+        {"_t_y_m": "_t_ym * _t_n_m", "_t_y_u": "_t_yu * _t_n_u",
+         "_t_pay_m": "_t_w_m * _t_n_m", "_t_pay_u": "_t_w_u * _t_n_u"})
+    return _emit(df, prefix, {
+        "status": "_t_status",
+        "y": "_t_y_m + _t_y_u", "y_m": "_t_y_m", "y_u": "_t_y_u",
+        "underground_share": "try_divide(_t_y_u, _t_y_m + _t_y_u)",
+        "c": "_t_c",
+        "inv": "_t_inv_m * _t_n_m + _t_inv_u * _t_n_u",
+        "G_c": "tau_c_ss * (p_ss * s * (_t_y_u - _t_pay_u) + _t_y_m - _t_pay_m)",
+        "G_h": "tau_h_ss * (_t_pay_m + _t_r_m / _t_hkm * _t_n_m)",
+        "G_s": "tau_s_ss * _t_pay_m",
+        "TE": "tau_s_ss * _t_pay_u + tau_h_ss * (_t_pay_u + _t_r_u / _t_hku * _t_n_u) "
+              "+ (1 - p_ss) * tau_c_ss * (_t_y_u - _t_pay_u)",
+        "n_m": "_t_n_m", "n_u": "_t_n_u",
+        "w_m": "CASE WHEN _t_status = 'ok' THEN _t_w_m END",
+        "w_u": "CASE WHEN _t_status = 'ok' THEN _t_w_u END",
+        "utility": "ln(_t_c) - B_0 * (" + _power("_t_hours_all", "1 + xi") + ") / (1 + xi) "
+                   "- B_1 * (" + _power("_t_n_u", "1 + phi") + ") / (1 + phi)",
     })
-    df = df.withColumns({
-        "_t_a1": t("_t_kap_m") * t("_t_hours"),
-        "_t_a2": (t("_t_kap_u") - t("_t_kap_m")) * t("_t_hours_u"),
-        # Consumption at which regular hours reach zero; needs k2 > k1 (phi < xi).
-        "_t_lo": F.when(
-            (t("_t_k2") > t("_t_k1")) & (t("_t_hours_u") > 0) & (t("_t_hours") > 0),
-            (F.ln(t("_t_hours_u")) - F.ln(t("_t_hours"))) / (t("_t_k2") - t("_t_k1")),
-        ).otherwise(F.log(F.lit(1e-6))),
-    })
-    df = _solve(df)
-    df = df.withColumn("_t_c", F.when(t("_t_status") == "ok", F.exp(t("_t_x"))))
-    df = df.withColumn("_t_n_u", t("_t_hours_u") * _pow(t("_t_c"), -t("_t_k2")))
-    df = df.withColumn("_t_n_m", t("_t_hours") * _pow(t("_t_c"), -t("_t_k1")) - t("_t_n_u"))
-    df = df.withColumns({
-        "_t_y_m": t("_t_ym") * t("_t_n_m"),
-        "_t_y_u": t("_t_yu") * t("_t_n_u"),
-        "_t_pay_m": t("_t_w_m") * t("_t_n_m"),
-        "_t_pay_u": t("_t_w_u") * t("_t_n_u"),
-    })
-    out = {
-        "status": t("_t_status"),
-        "y": t("_t_y_m") + t("_t_y_u"), "y_m": t("_t_y_m"), "y_u": t("_t_y_u"),
-        "underground_share": F.try_divide(t("_t_y_u"), t("_t_y_m") + t("_t_y_u")),
-        "c": t("_t_c"),
-        "inv": t("_t_inv_m") * t("_t_n_m") + t("_t_inv_u") * t("_t_n_u"),
-        "G_c": q["tau_c_ss"] * (q["p_ss"] * q["s"] * (t("_t_y_u") - t("_t_pay_u")) + t("_t_y_m") - t("_t_pay_m")),
-        "G_h": q["tau_h_ss"] * (t("_t_pay_m") + t("_t_r_m") / t("_t_hkm") * t("_t_n_m")),
-        "G_s": q["tau_s_ss"] * t("_t_pay_m"),
-        "TE": q["tau_s_ss"] * t("_t_pay_u")
-        + q["tau_h_ss"] * (t("_t_pay_u") + t("_t_r_u") / t("_t_hku") * t("_t_n_u"))
-        + (1 - q["p_ss"]) * q["tau_c_ss"] * (t("_t_y_u") - t("_t_pay_u")),
-        "n_m": t("_t_n_m"), "n_u": t("_t_n_u"),
-        "w_m": F.when(t("_t_status") == "ok", t("_t_w_m")),
-        "w_u": F.when(t("_t_status") == "ok", t("_t_w_u")),
-        "utility": F.ln(t("_t_c"))
-        - q["B_0"] * _pow(t("_t_n_m") + t("_t_n_u"), 1 + q["xi"]) / (1 + q["xi"])
-        - q["B_1"] * _pow(t("_t_n_u"), 1 + q["phi"]) / (1 + q["phi"]),
-    }
-    return _emit(df, {prefix + k: v for k, v in out.items()})
 
 
 def calibrate_b0(params: DataFrame, target: float = 0.19) -> DataFrame:
@@ -192,25 +174,21 @@ def calibrate_b0(params: DataFrame, target: float = 0.19) -> DataFrame:
 
     Total hours are fixed, so one solve in consumption gives ``B_0`` in closed form.
     """
-    t = F.col
     if "B_0" not in params.columns:
         params = params.withColumn("B_0", F.lit(1.0))
-    q = {n: F.col(n).cast("double") for n in PARAMS}
-    hours = F.lit(float(target))
-    df = _technology(params).withColumns({
-        "_t_hours_u": _pow(F.try_divide(t("_t_gap"), q["B_1"]), _inv(q["phi"])),
-        "_t_k1": F.lit(0.0),
-        "_t_k2": F.try_divide(q["sigma"], q["phi"]),
-    })
-    df = df.withColumns({
-        "_t_a1": t("_t_kap_m") * hours,
-        "_t_a2": (t("_t_kap_u") - t("_t_kap_m")) * t("_t_hours_u"),
-        "_t_lo": F.when(t("_t_hours_u") > 0, F.try_divide(F.ln(t("_t_hours_u")) - F.ln(hours), t("_t_k2")))
-        .otherwise(F.log(F.lit(1e-6))),
+    hours = f"{float(target)!r}D"
+    df = _steps(
+        _technology(params),
+        {"_t_hours_u": _power("try_divide(_t_gap, B_1)", "try_divide(1D, phi)"),
+         "_t_k1": "0D",
+         "_t_k2": "try_divide(sigma, phi)"},
+        {"_t_a1": f"_t_kap_m * {hours}",
+         "_t_a2": "(_t_kap_u - _t_kap_m) * _t_hours_u",
+         "_t_lo": f"CASE WHEN _t_hours_u > 0 THEN try_divide(ln(_t_hours_u) - ln({hours}), _t_k2) ELSE {_LOWEST} END"})
+    return _emit(_solve(df), "", {
+        "b0_star": f"CASE WHEN _t_status = 'ok' THEN _t_net * exp(-sigma * _t_x) / pow({hours}, xi) END",
+        "b0_status": "_t_status",
     })
-    df = _solve(df)
-    b0 = t("_t_net") * F.exp(-q["sigma"] * t("_t_x")) / F.pow(hours, q["xi"])
-    return _emit(df, {"b0_star": F.when(t("_t_status") == "ok", b0), "b0_status": t("_t_status")})
 
 
 def total_revenue(prefix: str = "", parts: tuple = ("G_c", "G_h", "G_s")) -> Column:

@@ -26,4 +26,4 @@ def rows_from_means(summary: DataFrame, params: list, run: str = "run") -> DataF
 
 def revenue_peaks(params: DataFrame, ids: list, n: int) -> DataFrame:
     """Peak of total revenue for every instrument and parameter row."""
-    return laffer_peak(sweep(params, n=n), ids)
+    return laffer_peak(sweep(params, ids, n=n), ids)

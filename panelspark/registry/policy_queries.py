@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import policy
 from panelspark.operators.steady import EXTRA, VARIABLES, calibrate_b0, size_table, steady_state, total_revenue
 from panelspark.registry.base import params, register, rounded, sql
+from panelspark.session import spread
 
 _STEPS = 52
 
@@ -122,7 +123,8 @@ _SOLVED = steady_sql("SELECT * FROM sc")
     "(VALUES ('y'), ('c')) v(variable)", "pr", sc=_SCEN, ss=f"SELECT draw_id, scenario, y, c FROM ({_SOLVED})"))
 def against_baseline(spark, sf):
     scenarios = [("base", {}), *policy.SCENARIOS]
-    solved = steady_state(policy.apply_overrides(policy.cross_scenarios(params(spark, sf), scenarios)))
+    each = policy.cross_scenarios(spread(params(spark, sf), ["draw_id"]), scenarios)
+    solved = steady_state(policy.apply_overrides(each))
     long = solved.select("draw_id", "scenario", "y", "c").unpivot(["draw_id", "scenario"], ["y", "c"], "variable", "value")
     out = policy.pct_vs_baseline(long, ["draw_id", "variable"], "base")
     return out.select("draw_id", "scenario", "variable", "pct")
@@ -152,7 +154,7 @@ def counterfactuals(spark, sf):
     "FROM ss s JOIN ss b ON b.draw_id = s.draw_id AND b.scenario = 'base' AND s.scenario <> 'base'",
     "pr", sc=_SCEN, ss=f"SELECT draw_id, scenario, utility FROM ({_SOLVED})"))
 def welfare_ecv(spark, sf):
-    both = policy.solve_scenarios(params(spark, sf))
+    both = policy.solve_scenarios(spread(params(spark, sf), ["draw_id"]))
     u0, u1, beta = F.col("base_utility"), F.col("utility"), F.col("beta")
     out = both.select("draw_id", "scenario", policy.welfare(u1, beta).alias("welfare"),
                       policy.welfare(u0, beta).alias("base_welfare"), policy.ecv(u0, u1, beta).alias("ecv"),
@@ -169,7 +171,7 @@ def welfare_ecv(spark, sf):
     "ON b.draw_id = s.draw_id AND b.scenario = 'base' AND s.scenario <> 'base') GROUP BY 1",
     "pr", sc=_SCEN, ss=f"SELECT * FROM ({_SOLVED})"))
 def functional(spark, sf):
-    out = policy.posterior_functional(params(spark, sf))
+    out = policy.posterior_functional(spread(params(spark, sf), ["draw_id"]))
     return rounded(out, 6, *[c for c in out.columns if c not in ("scenario", "n")])
 
 
@@ -204,7 +206,7 @@ def grid(spark, sf):
     "round(avg(G_c + G_h + G_s), 6) AS g_total, round(avg(utility/(1 - beta)), 4) AS welfare FROM ss GROUP BY 1, 2",
     "pr", gr=_GRID, sw=_SWEPT, ss=f"SELECT * FROM ({steady_sql('SELECT * FROM sw')})"))
 def swept(spark, sf):
-    out = policy.sweep(params(spark, sf)).filter("status = 'ok'").groupBy("instrument", "i").agg(
+    out = policy.sweep(params(spark, sf), ["draw_id"]).filter("status = 'ok'").groupBy("instrument", "i").agg(
         F.count(F.lit(1)).alias("n"), F.avg("y").alias("y"), F.avg("underground_share").alias("share"),
         F.avg("TE").alias("te"), F.avg("G_total").alias("g_total"), F.avg("welfare").alias("welfare"))
     return rounded(rounded(out, 6, "y", "share", "te", "g_total"), 4, "welfare")
@@ -217,5 +219,5 @@ def swept(spark, sf):
     "max(G_c + G_h + G_s) AS peak_revenue, max(base_value) AS base_value FROM ss GROUP BY 1, 2)",
     "pr", gr=_GRID, sw=_SWEPT, ss=f"SELECT * FROM ({steady_sql('SELECT * FROM sw')})"))
 def peaks(spark, sf):
-    out = policy.laffer_peak(policy.sweep(params(spark, sf)), ["draw_id"])
+    out = policy.laffer_peak(policy.sweep(params(spark, sf), ["draw_id"]), ["draw_id"])
     return rounded(out, 6, "peak_value", "peak_revenue", "base_value")

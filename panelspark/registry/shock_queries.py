@@ -8,6 +8,7 @@ from panelspark.operators import labels, moments, shocks
 from panelspark.operators.draws import posterior_quantiles
 from panelspark.operators.series import dlog, long_to_wide
 from panelspark.registry.base import contributions, quarterly, register, responses, rounded, sql, table
+from panelspark.session import spread
 
 _GROUPS = [("Productivitat", ["eps_a", "eps_b"]), ("Fiscal", ["eps_c", "eps_h", "eps_s"]), ("Inspeccio", ["eps_p"])]
 _GROUP_CASE = "CASE component WHEN 'eps_a' THEN 'Productivitat' WHEN 'eps_c' THEN 'Fiscal' ELSE 'Inspeccio' END"
@@ -139,7 +140,7 @@ def irf_paths(spark, sf):
     "SELECT variable, shock, h, round(quantile_cont(value, 0.025), 6) + 0.0 AS q025, round(quantile_cont(value, 0.5), 6) + 0.0 AS q50, "
     "round(quantile_cont(value, 0.975), 6) + 0.0 AS q975 FROM p GROUP BY 1, 2, 3", p=_PATHS.format(n=40)))
 def irf_bands(spark, sf):
-    paths = shocks.irf_paths(_systems(spark, sf), ["v1", "v2"], ["e1", "e2"], 40)
+    paths = shocks.irf_paths(spread(_systems(spark, sf), ["draw_id"]), ["v1", "v2"], ["e1", "e2"], 40)
     bands = posterior_quantiles(paths, ["variable", "shock", "h"], {"q025": 0.025, "q50": 0.5, "q975": 0.975})
     return rounded(bands, 6, "q025", "q50", "q975")
 

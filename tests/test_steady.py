@@ -119,7 +119,7 @@ def test_laffer_peaks(point):
 
 
 def test_sweep_keeps_every_grid_point(point):
-    swept = policy.sweep(point, n=25)
+    swept = policy.sweep(point, ["id"], n=25)
     assert swept.count() == 100
     ends = rows(swept.filter("instrument = 'p_ss'").agg(F.min("grid_value").alias("lo"), F.max("grid_value").alias("hi")))[0]
     assert ends == {"lo": 0.001, "hi": pytest.approx(0.15)}
