@@ -2,8 +2,8 @@
 
 A baseline row, its scenarios and its grid points stay in one partition: the
 row is solved once, exploded, overridden and solved again, without a join.
-Tables per id hash the parameter rows by id first (``spread``); everything that
-follows, the final aggregation included, works inside that partitioning.
+Tables per id hash the parameter rows by id first (``spread``), one row each, so
+the many results of a row meet again in the partial aggregate of their own task.
 """
 
 from __future__ import annotations

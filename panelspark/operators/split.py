@@ -166,8 +166,9 @@ def rank_scores(df: DataFrame, keys: list, value: str, carry: list = (), rows_pe
     counted = df.groupBy(*keys, *carry, value).agg(F.count(F.lit(1)).alias("_cnt"))
     counted = with_bucket(counted, keys, value, cuts)
     piece = Window.partitionBy(*keys, "_bucket")
-    upto = F.sum("_cnt").over(piece.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
-    ties = F.sum("_cnt").over(Window.partitionBy(*keys, "_bucket", value))
+    ordered = piece.orderBy(value)
+    upto = F.sum("_cnt").over(ordered.rangeBetween(Window.unboundedPreceding, 0))
+    ties = F.sum("_cnt").over(ordered.rangeBetween(0, 0))  # peers only; same sort as the line above
     if cuts is None:
         ranked = counted.withColumns({"_upto": upto, "_ties": ties, "_n": F.sum("_cnt").over(piece)})
         ranked = ranked.withColumn("_before", F.lit(0))

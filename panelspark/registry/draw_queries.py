@@ -203,7 +203,7 @@ def _bin_sql(p: str) -> str:
     r="SELECT run, " + ", ".join(f"min(value) FILTER (param = '{p}') AS {p}_lo, max(value) FILTER (param = '{p}') AS {p}_hi"
                                  for p in _TYPES[:3]) + " FROM dr GROUP BY 1"))
 def pair_hist2d(spark, sf):
-    return d.pair_hist2d(draws(spark, sf), _TYPES[:3], bins=10)
+    return d.pair_hist2d(draws(spark, sf, stored=True), _TYPES[:3], bins=10)
 
 
 @register("density", sql(
@@ -221,11 +221,11 @@ def density(spark, sf):
 
 
 @register("trace", sql(
-    "SELECT run, param, chain, iter, value, round(running_mean, 6) AS running_mean FROM (SELECT *, avg(value) OVER "
-    "(PARTITION BY run, param, chain ORDER BY iter ROWS UNBOUNDED PRECEDING) AS running_mean FROM dr) WHERE (iter - 1) % 5 = 0",
-    "dr"))
+    "SELECT run, param, chain, iter, round(value, 6) AS value, round(running_mean, 6) AS running_mean FROM (SELECT *, avg(value) "
+    "OVER (PARTITION BY run, param, chain ORDER BY iter ROWS UNBOUNDED PRECEDING) AS running_mean FROM u) WHERE (iter - 1) % 5 = 0",
+    "dr", u="SELECT run, param, chain, iter, value/(value + 20) AS value FROM dr"))
 def trace(spark, sf):
-    return rounded(d.trace(draws(spark, sf), thin=5), 6, "running_mean")
+    return rounded(d.trace(_unit(draws(spark, sf, stored=True)), thin=5), 6, "value", "running_mean")
 
 
 # -- comparisons ---------------------------------------------------------------------------------------
@@ -275,12 +275,12 @@ _PRIORS = {
 _BETA_MASS = sum(math.comb(14, j) * 0.97 ** j * 0.03 ** (14 - j) for j in range(12, 15))
 _NORMAL_MASS = 0.5 * (1 + math.erf(0.37 / 0.20 / math.sqrt(2)))
 _LOG_PDF = (
-    "CASE param "
+    "CASE WHEN x <= 0 AND param IN ('click', 'error', 'purchase') THEN NULL ELSE CASE param "
     f"WHEN 'click' THEN CASE WHEN x <= 0.97 THEN 11*ln(x) + 2*ln(1-x) + ln({math.factorial(14) / math.factorial(11) / 2}) - ln({_BETA_MASS!r}) END "
     "WHEN 'error' THEN 24*ln(x) - x/0.04 - lgamma(25) - 25*ln(0.04) "
     "WHEN 'purchase' THEN 3*ln(0.5) - ln(2) - 4*ln(x) - 0.5/x "
     f"WHEN 'signup' THEN -0.5*pow((x-0.37)/0.20, 2) - ln(0.20*{math.sqrt(2 * math.pi)!r}*{_NORMAL_MASS!r}) "
-    "WHEN 'view' THEN CASE WHEN x BETWEEN 0.1 AND 0.9 THEN -ln(0.8) END END")
+    "WHEN 'view' THEN CASE WHEN x BETWEEN 0.1 AND 0.9 THEN -ln(0.8) END END END")
 
 
 def _unit(df):

@@ -8,7 +8,7 @@ from panelspark.functions import numeric, periods
 from panelspark.operators import align, labels, series
 from panelspark.plans.observables import annualised_growth, level_series, observables
 from panelspark.registry.base import (VIEWS, contributions, money, quarterly, register, rounded, sql, table)
-from panelspark.session import scratch_path
+from panelspark.session import scratch_path, written
 from panelspark.sources import tables as io
 
 KEY = ["series_key"]
@@ -419,17 +419,23 @@ def observable_series(spark, sf):
                        "_nom": F.col("o_totalprice") * (1 + F.col("o_custkey") % 10),
                        "_tax": F.when(F.col("o_orderkey") % 5 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))})
     keys, on = ["series_key"], ["series_key", "date"]
+    status = F.col("o_orderstatus")
 
-    def total(col, name, where=None):
-        rows = o.filter(where) if where is not None else o
-        return rows.groupBy(*on).agg(money(col).alias(name))
+    def total(col, where=None):
+        amount = F.col(col).cast("decimal(18,2)")
+        return F.sum(amount if where is None else F.when(where, amount)).cast("double")
+
+    # one pass over the orders; the sources of the plan are then columns of this table
+    sources = written(o.groupBy(*on).agg(
+        total("o_totalprice").alias("GDP"), total("o_totalprice", status == "F").alias("C"),
+        total("o_totalprice", status == "O").alias("I"), total("o_totalprice", status == "P").alias("D1"),
+        total("_nom").alias("GDP_nominal"), total("_tax").alias("IS"), total("_tax", status != "P").alias("IRPF")), "sources")
+
+    def source(*cols):
+        return sources.select(*on, *cols).dropna(subset=list(cols))
 
-    status = F.col("o_orderstatus")
-    accounts = align.align(total("o_totalprice", "GDP"), total("o_totalprice", "C", status == "F"),
-                           total("o_totalprice", "I", status == "O"), on=on)
-    taxes = align.align(total("_tax", "IS"), total("_tax", "IRPF", status != "P"), on=on)
     population = o.groupBy(*keys, F.year("date").alias("year")).agg(F.count_distinct("o_custkey").cast("double").alias("value"))
-    levels = level_series(accounts, total("_nom", "GDP_nominal"), total("o_totalprice", "D1", status == "P"), taxes,
-                          population, keys, last_date="2001-04-01")
+    levels = level_series(source("GDP", "C", "I"), source("GDP_nominal"), source("D1"), source("IS", "IRPF"), population, keys,
+                          last_date="2001-04-01")
     cols = [f"obs_{s}" for s in ("c", "inv", "Gc", "Gh", "wh")]
     return rounded(observables(levels, keys, on_nonpositive="null"), 6, *cols)

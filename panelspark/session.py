@@ -63,10 +63,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame, ids: list) -> DataFrame:
     """Hash rows by ``ids`` over the session's shuffle partitions before work that multiplies them.
 
-    Moving one row per id here is cheaper than moving its many results later:
-    an aggregation by ``ids`` and further columns then needs no shuffle.  The
-    explicit number keeps adaptive execution from merging the still small rows
-    into a few tasks.
+    Few input splits would otherwise do all the work, and all results of an id
+    stay in one task, so a partial aggregation leaves one row per group.  The
+    explicit number keeps adaptive execution from merging the still small rows.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *ids)
