@@ -6,6 +6,8 @@ of the rows: every ordered step goes through ``split``.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +47,22 @@ def split_halves(draws: DataFrame) -> DataFrame:
     return out.filter(F.col("half").isNotNull()).withColumn("pos", pos).drop("_lo", "_hi", "_at")
 
 
+@dataclass
+class Prepared:
+    """What several diagnostics of the same draws share, so the draws are read less often."""
+
+    halves: DataFrame           # draws with their half chain
+    cuts: DataFrame | None      # cut points of parameters too large for one task
+    quantiles: DataFrame        # exact quantiles per run and parameter, written
+
+
+def prepare(draws: DataFrame, **split_args) -> Prepared:
+    cuts = split.value_cuts(draws, KEYS, "value", **split_args)
+    probs = {**QUANTILES, "_q05": 0.05, "_q95": 0.95}
+    quantiles = written(split.exact_quantiles(draws, KEYS, "value", probs, cuts=cuts), "quantiles")
+    return Prepared(split_halves(draws), cuts, quantiles)
+
+
 def _rhat(moments: DataFrame, name: str) -> DataFrame:
     """Potential scale reduction from ``n, mean, var`` per half chain."""
     agg = moments.groupBy(*KEYS).agg(
@@ -69,15 +87,25 @@ def _score_moments(scores: DataFrame) -> DataFrame:
     return agg.select(*KEYS, "chain", "half", "n", (F.col("_s1") / F.col("n")).alias("mean"), var.alias("var"))
 
 
-def rhat_rank(draws: DataFrame, **split_args) -> DataFrame:
-    """Rank-normalised R-hat: bulk, folded around the median (tail), and the larger of the two."""
-    halves = split_halves(draws).select(*KEYS, "chain", "half", "value")
-    cuts = split.value_cuts(halves, KEYS, "value", **split_args)
-    median = written(split.exact_quantiles(halves, KEYS, "value", {"_median": 0.5}, cuts=cuts), "median")
-    folded = (halves.join(median, KEYS)
-              .select(*KEYS, "chain", "half", F.abs(F.col("value") - F.col("_median")).alias("value")))
+def rhat_rank(draws: DataFrame, prepared: Prepared | None = None, acov: DataFrame | None = None,
+              **split_args) -> DataFrame:
+    """Rank-normalised R-hat: bulk, folded around the median (tail), and the larger of the two.
+
+    With ``acov`` (a result of ``autocovariance``) the bulk part needs no pass over the draws.
+    """
+    prepared = prepared or prepare(draws, **split_args)
+    halves = prepared.halves.select(*KEYS, "chain", "half", "value")
     carry = ["chain", "half"]
-    bulk = _rhat(_score_moments(split.rank_scores(halves, KEYS, "value", carry, cuts=cuts)), "rhat_bulk")
+    if acov is None:
+        moments = _score_moments(split.rank_scores(halves, KEYS, "value", carry, cuts=prepared.cuts))
+    else:
+        n = F.col("n_half")
+        moments = acov.filter("signal = 'bulk' AND lag = 0").select(
+            *KEYS, "chain", "half", n.alias("n"), "mean", F.try_divide(F.col("acov") * n, n - 1).alias("var"))
+    median = prepared.quantiles.select(*KEYS, F.col("q50").alias("_median"))
+    folded = (halves.join(median, KEYS)
+              .select(*KEYS, *carry, F.abs(F.col("value") - F.col("_median")).alias("value")))
+    bulk = _rhat(moments, "rhat_bulk")
     tail = _rhat(_score_moments(split.rank_scores(folded, KEYS, "value", carry, **split_args)), "rhat_tail")
     return bulk.join(tail, KEYS).withColumn("rhat", F.greatest("rhat_bulk", "rhat_tail"))
 
@@ -115,7 +143,8 @@ def _lag_sums(keys: list, block: int, max_lag: int):
     return run
 
 
-def autocovariance(draws: DataFrame, max_lag: int = MAX_LAG, block: int = CHAIN_BLOCK, **split_args) -> DataFrame:
+def autocovariance(draws: DataFrame, max_lag: int = MAX_LAG, block: int = CHAIN_BLOCK,
+                   prepared: Prepared | None = None, **split_args) -> DataFrame:
     """Autocovariances of each split half chain for the three signals of the sample-size estimates.
 
     ``bulk`` is the normal score of the draw, ``low`` and ``high`` flag draws at
@@ -125,12 +154,11 @@ def autocovariance(draws: DataFrame, max_lag: int = MAX_LAG, block: int = CHAIN_
     """
     if block < max_lag:
         raise ValueError("block must be at least max_lag")
-    halves = split_halves(draws)
-    cuts = split.value_cuts(halves, KEYS, "value", **split_args)
-    scores = (split.rank_scores(halves.select(*KEYS, "value"), KEYS, "value", cuts=cuts)
+    prepared = prepared or prepare(draws, **split_args)
+    halves = prepared.halves
+    scores = (split.rank_scores(halves.select(*KEYS, "value"), KEYS, "value", cuts=prepared.cuts)
               .select(*KEYS, "value", F.col("z").alias("bulk")))
-    ends = written(split.exact_quantiles(halves.select(*KEYS, "value"), KEYS, "value",
-                                         {"_q05": 0.05, "_q95": 0.95}, cuts=cuts), "ends")
+    ends = prepared.quantiles.select(*KEYS, "_q05", "_q95")
     signals = (halves.join(scores, [*KEYS, "value"]).join(ends, KEYS)
                .withColumns({"low": (F.col("value") <= F.col("_q05")).cast("double"),
                              "high": (F.col("value") <= F.col("_q95")).cast("double")}))
@@ -157,13 +185,17 @@ def autocovariance(draws: DataFrame, max_lag: int = MAX_LAG, block: int = CHAIN_
 
 def effective_sample_size(draws: DataFrame, max_lag: int = MAX_LAG, block: int = CHAIN_BLOCK,
                           **split_args) -> DataFrame:
-    """``ess_bulk`` and ``ess_tail`` (the smaller of the 5 % and 95 % flags).
+    """``ess_bulk`` and ``ess_tail`` (the smaller of the 5 % and 95 % flags)."""
+    return ess_from(autocovariance(draws, max_lag, block, **split_args), max_lag)
+
+
+def ess_from(acov: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
+    """Effective sample sizes from autocovariances.
 
     Autocorrelations over all split chains are added in pairs while the pairs
     stay positive, forced to be non-increasing; lags reach ``max_lag`` as in the
     estimator's published default.
     """
-    acov = autocovariance(draws, max_lag, block, **split_args)
     lags = acov.groupBy(*KEYS, "signal", "lag").agg(
         F.avg("acov").alias("acov"), F.var_samp("mean").alias("_b"),
         F.avg("n_half").alias("_n"), F.min("n_half").alias("_n_min"), F.sum("n_half").alias("_draws"),

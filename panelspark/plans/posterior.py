@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from panelspark.operators import draws as d
+from panelspark.session import written
 
 
 def posterior_report(draws: DataFrame, seconds: float, **split_args) -> DataFrame:
     """One row per run and parameter: moments, error, sample sizes, R-hat and quantiles."""
-    summary = d.posterior_summary(draws)
-    ess = d.effective_sample_size(draws, **split_args)
-    report = d.with_errors(summary, ess, seconds)
-    rhat = d.rhat_rank(draws, **split_args).select(*d.KEYS, "rhat")
-    quantiles = d.posterior_quantiles(draws, **split_args)
+    prepared = d.prepare(draws, **split_args)
+    acov = written(d.autocovariance(draws, prepared=prepared), "acov")
+    report = d.with_errors(d.posterior_summary(draws), d.ess_from(acov), seconds)
+    rhat = d.rhat_rank(draws, prepared, acov, **split_args).select(*d.KEYS, "rhat")
+    quantiles = prepared.quantiles.select(*d.KEYS, *d.QUANTILES)
     return report.join(rhat, d.KEYS).join(quantiles, d.KEYS).select(
         *d.KEYS, "mean", "std", "mcse", "ess_bulk", "ess_tail", "rhat", "ess_per_sec", *d.QUANTILES)

@@ -114,7 +114,8 @@ def rhat_split(spark, sf):
     return rounded(d.rhat_split(draws(spark, sf, stored=True)), 6, "rhat")
 
 
-_FOLD = ("SELECT run, param, chain, half, abs(value - median(value) OVER (PARTITION BY run, param)) AS value FROM h")
+_FOLD = ("SELECT run, param, chain, half, abs(value - md) AS value FROM h JOIN "
+         "(SELECT run, param, median(value) AS md FROM dr GROUP BY 1, 2) USING (run, param)")
 
 
 @register("rhat_rank", sql(
@@ -131,7 +132,7 @@ _LAGS = 250
 _ESS = {
     "h": _HALVES,
     "hz": f"SELECT *, {ppf_sql('p')} AS z FROM ({_ranked('h')})",
-    "ends": "SELECT run, param, quantile_cont(value, 0.05) AS q05, quantile_cont(value, 0.95) AS q95 FROM h GROUP BY 1, 2",
+    "ends": "SELECT run, param, quantile_cont(value, 0.05) AS q05, quantile_cont(value, 0.95) AS q95 FROM dr GROUP BY 1, 2",
     "sig": "SELECT run, param, chain, half, n_half, pos, 'bulk' AS signal, z AS x FROM hz UNION ALL "
            "SELECT run, param, chain, half, n_half, pos, 'low', CAST(value <= q05 AS DOUBLE) FROM h JOIN ends USING (run, param) "
            "UNION ALL SELECT run, param, chain, half, n_half, pos, 'high', CAST(value <= q95 AS DOUBLE) "

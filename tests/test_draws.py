@@ -109,7 +109,7 @@ def test_rhat_rank(draws, args):
     for k in ("mixed", "shifted", "tied", "ar"):
         h = halves(chains(k))
         assert got[k]["rhat_bulk"] == pytest.approx(rhat(scores(h)), rel=1e-9), k
-        assert got[k]["rhat_tail"] == pytest.approx(rhat(scores(np.abs(h - np.median(h)))), rel=1e-9), k
+        assert got[k]["rhat_tail"] == pytest.approx(rhat(scores(np.abs(h - np.median(chains(k))))), rel=1e-9), k
 
 
 @pytest.mark.parametrize("args", [{}, {"block": 64, "max_lag": 40, **SPLIT}])
@@ -119,15 +119,19 @@ def test_effective_sample_size(draws, args):
     for k in ("mixed", "shifted", "tied", "ar"):
         h = halves(chains(k))
         assert got[k]["ess_bulk"] == pytest.approx(ess(scores(h), lag), rel=1e-7), k
-        tails = [ess((h <= np.quantile(h, p)).astype(float), lag) for p in (0.05, 0.95)]
+        tails = [ess((h <= np.quantile(chains(k), p)).astype(float), lag) for p in (0.05, 0.95)]
         assert got[k]["ess_tail"] == pytest.approx(min(t for t in tails if t is not None), rel=1e-7), k
     assert got["constant"]["ess_bulk"] is None
     assert got["ar"]["ess_bulk"] < got["mixed"]["ess_bulk"] / 5
 
 
 def test_report_has_every_parameter(draws):
-    got = {r["param"]: r for r in rows(posterior_report(draws, 100.0))}
+    got = {r["param"]: r for r in rows(posterior_report(draws, 100.0, **SPLIT))}
     assert set(got) == set(KINDS)
+    for k in ("mixed", "shifted", "tied", "ar"):
+        h = halves(chains(k))
+        want = max(rhat(scores(h)), rhat(scores(np.abs(h - np.median(chains(k))))))
+        assert got[k]["rhat"] == pytest.approx(want, rel=1e-9), k
     r = got["mixed"]
     assert r["mcse"] == pytest.approx(r["std"] / math.sqrt(r["ess_bulk"]))
     assert r["ess_per_sec"] == pytest.approx(r["ess_bulk"] / 100)
