@@ -67,7 +67,8 @@ def shock_convolution(irf: DataFrame, shocks: DataFrame, keys: list = ("run", "s
     variable; dates beyond the last shock are cut by ``t_max``.
     """
     keys = list(keys)
-    paths = irf.groupBy(*keys, "variable").agg(
+    steps = irf.groupBy(*keys, "variable", "h").agg(F.sum("value").alias("value"))  # one entry per horizon
+    paths = steps.groupBy(*keys, "variable").agg(
         F.array_sort(F.collect_list(F.struct("h", F.col("value").alias("v")))).alias("_path"))
     hits = (shocks.select(*keys, F.col(t).alias("_t0"), F.col("value").alias("_e")).join(paths, keys)
             .select(*keys, "variable", "_t0", "_e", F.inline("_path"))

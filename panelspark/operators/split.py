@@ -71,9 +71,9 @@ def value_cuts(df: DataFrame, keys: list, value: str, rows_per_split: int = ROWS
     if hot.isEmpty():
         return None
     hot = written(hot, "hot")
-    grid = [i / max_splits for i in range(1, max_splits)]
+    grid = ", ".join(f"{i / max_splits!r}D" for i in range(1, max_splits))
     sketch = (df.join(hot, keys, "left_semi").groupBy(*keys)
-              .agg(F.percentile_approx(value, grid, 10 * max_splits).alias("_q")))
+              .agg(F.expr(f"percentile_approx(`{value}`, array({grid}), {10 * max_splits})").alias("_q")))
     pieces = F.least(F.lit(max_splits), F.ceil(F.col("_size") / rows_per_split)).cast("int")
     picked = F.transform(
         F.sequence(F.lit(1), F.col("_pieces") - 1),

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import policy
-from panelspark.operators.steady import EXTRA, VARIABLES, calibrate_b0, size_table, steady_state, total_revenue
-from panelspark.registry.base import params, register, rounded, sql
+from panelspark.operators.draws import posterior_summary
+from panelspark.operators.labels import lookup
+from panelspark.operators.steady import CALIBRATED, EXTRA, VARIABLES, calibrate_b0, size_table, steady_state, total_revenue
+from panelspark.plans.policy import rows_from_means
+from panelspark.registry.base import draws, params, register, rounded, sql
 from panelspark.session import spread
 
 _STEPS = 52
@@ -186,6 +189,33 @@ def appended(spark, sf):
     return rounded(policy.append_rows(*rows), 6, "value")
 
 
+# -- from draws to policy: event types stand for five estimated parameters ----------------
+_MAP = {"click": ("alpha", 0.64, 2000.0), "error": ("delta_k", 0.015, 10000.0), "purchase": ("alpha_u", 0.63, 2000.0),
+        "signup": ("phi", 0.95, 1000.0), "view": ("xi", 1.90, 200.0)}
+_MEANS = "SELECT run, " + ", ".join(
+    f"{lo}e0 + avg(value) FILTER (param = '{e}')/{div}e0 AS {p}" for e, (p, lo, div) in _MAP.items()) + \
+    ", 0.0255e0 AS p_ss, " + ", ".join(f"{v!r}::DOUBLE AS {k}" for k, v in CALIBRATED.items()) + " FROM dr2 GROUP BY 1"
+_CUT = "SELECT * REPLACE (CASE WHEN scenario = 'base' THEN tau_c_ss ELSE 0.20e0 END AS tau_c_ss) FROM mn, " \
+       "(VALUES ('base'), ('cut')) t(scenario)"
+
+
+@register("policy_from_draws", sql(
+    "SELECT run, variable, round(100*(s - b)/abs(b), 3) AS cut_pct FROM (SELECT run, unnest(['y', 'c', 'G_total']) AS variable, "
+    "unnest([max(y) FILTER (scenario = 'cut'), max(c) FILTER (scenario = 'cut'), max(G_c + G_h + G_s) FILTER (scenario = 'cut')]) AS s, "
+    "unnest([max(y) FILTER (scenario = 'base'), max(c) FILTER (scenario = 'base'), max(G_c + G_h + G_s) FILTER (scenario = 'base')]) AS b "
+    "FROM ss GROUP BY 1)", "dr2", mn=_MEANS, cu=_CUT, ss=f"SELECT * FROM ({steady_sql('SELECT * FROM cu')})"))
+def policy_from_draws(spark, sf):
+    d = draws(spark, sf, runs=True, numbered=False)
+    value, name = F.lit(None).cast("double"), {}
+    for event, (param, low, div) in _MAP.items():
+        value = F.when(F.col("param") == event, low + F.col("value") / div).otherwise(value)
+        name[event] = param
+    d = d.withColumns({"value": value, "param": lookup(F.col("param"), name)})
+    means = rows_from_means(posterior_summary(d), list(name.values())).withColumn("p_ss", F.lit(0.0255))
+    table = policy.counterfactual_table(means, ["run"], [("cut", {"tau_c_ss": 0.20})])
+    return table.filter(F.col("variable").isin("y", "c", "G_total")).select("run", "variable", "cut_pct")
+
+
 # -- sweeps --------------------------------------------------------------------------------
 _GRID_ROWS = ", ".join(f"('{p}', {lo}e0, {hi}e0)" for p, (lo, hi) in policy.RANGES.items())
 _GRID = ("SELECT pr.*, instrument, CAST(i AS INTEGER) AS i, lo + i*(hi - lo)/24 AS grid_value FROM pr, "

@@ -180,20 +180,22 @@ def test_observables_plan(spark):
     assert r["obs_Gc"] == pytest.approx(100 * math.log((8 / 1.1 / people(4)) / (8 / 1.1 / people(3))))
 
 
-@pytest.mark.skipif("PANEL_FIXTURES" not in os.environ, reason="set PANEL_FIXTURES to a folder with the public CSV files")
+PUBLIC = ("PANEL_ACCOUNTS", "PANEL_POPULATION", "PANEL_TAXES")
+
+
+@pytest.mark.skipif(any(v not in os.environ for v in PUBLIC), reason="set " + ", ".join(PUBLIC) + " to the public CSV files")
 def test_public_series(spark):
-    """Real and per-head growth on the shipped files; nominal accounts and pay are stand-ins (they are not shipped)."""
-    base = os.environ["PANEL_FIXTURES"]
+    """Growth on the public quarterly accounts; nominal accounts and pay are stand-ins and not compared."""
+    accounts, population, taxes = (os.environ[v] for v in PUBLIC)
     acc = periods.with_period(io.read_delimited(
-        spark, f"{base}/namq_10_gdp.csv", GDP_COLUMNS, "TIME_PERIOD", ";",
+        spark, accounts, GDP_COLUMNS, "TIME_PERIOD", ";",
         types={"GDP": "double", "C": "double", "I": "double"}), "TIME_PERIOD").select("geo", "date", "GDP", "C", "I")
     assert acc.count() == 124
-    pop = (io.read_sdmx(spark, f"{base}/eurostat_population_1564.csv", {"geo": "ES"})
+    pop = (io.read_sdmx(spark, population, {"geo": "ES"})
            .select(F.lit("Spain").alias("geo"), F.col("period").cast("int").alias("year"), "value"))
     tax = periods.with_period(io.read_delimited(
-        spark, f"{base}/aeat_is_irpf_trimestral.csv", ["fecha", "IS_Meur", "IRPF_Meur"], "fecha",
-        types={"IS_Meur": "double", "IRPF_Meur": "double"}), "fecha").select(
-        F.lit("Spain").alias("geo"), "date", F.col("IS_Meur").alias("IS"), F.col("IRPF_Meur").alias("IRPF"))
+        spark, taxes, ["period", "IS", "IRPF"], "period", types={"IS": "double", "IRPF": "double"}), "period").select(
+        F.lit("Spain").alias("geo"), "date", "IS", "IRPF")
     nom = acc.select("geo", "date", F.col("GDP").alias("GDP_nominal"))
     levels = level_series(acc, nom, acc.select("geo", "date", F.col("GDP").alias("D1")), tax, pop, ["geo"])
     obs = {r["date"]: r for r in rows(observables(levels, ["geo"]))}
