@@ -54,8 +54,15 @@ def sample_info(df: DataFrame, keys: list, date: str = "date") -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
 
 
+def _within(keys: list) -> Window:
+    """Window over one series; a window without keys would put a whole table into one task."""
+    if not keys:
+        raise ValueError("this operator works within a series and needs keys")
+    return Window.partitionBy(*keys)
+
+
 def _row_frame(keys: list, order: str, n: int) -> Window:
-    return Window.partitionBy(*keys).orderBy(order).rowsBetween(-(n - 1), 0)
+    return _within(keys).orderBy(order).rowsBetween(-(n - 1), 0)
 
 
 def rolling_sum(df: DataFrame, keys: list, value: str, name: str, n: int = 4, order: str = "quarter_idx",
@@ -77,7 +84,7 @@ def rolling_sum(df: DataFrame, keys: list, value: str, name: str, n: int = 4, or
         out = df.join(spread, [order], "left")
         return out.withColumn(name, F.when(F.col("_n") >= min_periods, F.col(name))).drop("_n")
     w = (_row_frame(keys, order, n) if mode == "rows"
-         else Window.partitionBy(*keys).orderBy(order).rangeBetween(-(n - 1), 0))
+         else _within(keys).orderBy(order).rangeBetween(-(n - 1), 0))
     return df.withColumn(name, F.when(F.count(value).over(w) >= min_periods, F.sum(value).over(w)))
 
 
@@ -87,10 +94,10 @@ def dlog(df: DataFrame, keys: list, cols: dict, order: str = "quarter_idx", scal
 
     ``cols`` maps output name to input column.  The first row of a series has no
     difference and is dropped.  A value <= 0 raises, or gives null with
-    ``on_nonpositive="null"``.
+    ``on_nonpositive="null"``.  Without ``keys`` each row meets its successor by
+    ``order + 1`` in an aggregation, so the one series is not gathered in one
+    task; a row whose predecessor is missing is then dropped as well.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-
     def log(x: str) -> Column:
         if on_nonpositive == "null":
             return F.when(F.col(x) > 0, F.ln(x))
@@ -98,6 +105,20 @@ def dlog(df: DataFrame, keys: list, cols: dict, order: str = "quarter_idx", scal
         return F.when(F.col(x) <= 0, bad).otherwise(F.ln(x))
 
     out = df.withColumns({f"_ln_{o}": log(x) for o, x in cols.items()})
+    if not keys:
+        moves = [F.struct(F.lit(0).alias("_ahead"), F.col(order).alias("_to")),
+                 F.struct(F.lit(1).alias("_ahead"), (F.col(order) + 1).alias("_to"))]
+        sent = out.select(*out.columns, F.inline(F.array(*moves)))
+        own, before = F.col("_ahead") == 0, F.col("_ahead") == 1
+        kept = [c for c in df.columns if c != order]
+        met = sent.groupBy(F.col("_to").alias(order)).agg(
+            F.max(own).alias("_own"), F.max(before).alias("_met"),
+            *[F.max(F.when(own, F.col(c))).alias(c) for c in kept],
+            *[(F.lit(scale) * (F.max(F.when(own, F.col(f"_ln_{o}"))) - F.max(F.when(before, F.col(f"_ln_{o}"))))).alias(o)
+              for o in cols])
+        met = met.filter(F.col("_own") & F.col("_met") if drop_first else F.col("_own"))
+        return met.select(*df.columns, *cols)
+    w = _within(keys).orderBy(order)
     out = out.withColumns({
         **{o: F.lit(scale) * (F.col(f"_ln_{o}") - F.lag(f"_ln_{o}").over(w)) for o in cols},
         "_pos": F.row_number().over(w)})
@@ -109,7 +130,7 @@ def dlog(df: DataFrame, keys: list, cols: dict, order: str = "quarter_idx", scal
 def index_base(df: DataFrame, keys: list, value: str, name: str, order: str = "quarter_idx",
                base: float = 100.0) -> DataFrame:
     """``base`` times the value relative to the first row of the series."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = _within(keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.lit(base) * F.try_divide(F.col(value), F.first(value).over(w)))
 
 
@@ -118,7 +139,7 @@ def signed_stack(df: DataFrame, keys: list, rank: str, value: str) -> DataFrame:
 
     Adds ``pos_bottom, pos_top, neg_bottom, neg_top`` in ``rank`` order within ``keys``.
     """
-    w = Window.partitionBy(*keys).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
+    w = _within(keys).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
     pos, neg = F.greatest(F.col(value), F.lit(0.0)), F.least(F.col(value), F.lit(0.0))
     return (df.withColumns({"pos_top": F.sum(pos).over(w), "neg_top": F.sum(neg).over(w)})
             .withColumns({"pos_bottom": F.col("pos_top") - pos, "neg_bottom": F.col("neg_top") - neg}))
@@ -126,14 +147,14 @@ def signed_stack(df: DataFrame, keys: list, rank: str, value: str) -> DataFrame:
 
 def thin(df: DataFrame, keys: list, k: int, order: str = "quarter_idx") -> DataFrame:
     """Every ``k``-th row of a series, starting with the first."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    w = _within(keys).orderBy(order)
     return df.withColumn("_pos", F.row_number().over(w)).filter((F.col("_pos") - 1) % k == 0).drop("_pos")
 
 
 def axis_ticks(df: DataFrame, keys: list, date: str = "date", every_years: int = 4) -> DataFrame:
     """First quarters of every ``every_years``-th year, and the first row if it is a January."""
     january = F.month(date) == 1
-    return (df.withColumn("_start", F.min(date).over(Window.partitionBy(*keys)))
+    return (df.withColumn("_start", F.min(date).over(_within(keys)))
             .filter(january & ((F.col(date) == F.col("_start")) | (F.year(date) % every_years == 0)))
             .drop("_start").withColumn("tick", F.year(date).cast("string")))
 
@@ -144,7 +165,7 @@ def sort_by_period(df: DataFrame, keys: list = (), date: str = "date") -> DataFr
 
 def head_by_time(df: DataFrame, keys: list, n: int, order: str = "quarter_idx") -> DataFrame:
     """First ``n`` rows of every series; Spark limits each group before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    w = _within(keys).orderBy(order)
     return df.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") <= n).drop("_pos")
 
 

@@ -1,13 +1,6 @@
 """All registered queries, by name."""
 
-import importlib
-
+from panelspark.registry import draw_queries, panel_queries, policy_queries, shock_queries  # noqa: F401
 from panelspark.registry.base import ORACLE, QUERIES
 
-for _module in ("panel_queries", "draw_queries", "shock_queries", "policy_queries"):
-    try:
-        importlib.import_module(f"panelspark.registry.{_module}")
-    except ModuleNotFoundError:
-        pass
-
 __all__ = ["ORACLE", "QUERIES"]

@@ -297,6 +297,14 @@ def dlog(spark, sf):
     return rounded(out.select(*KEY, "date", "growth"), 6, "growth")
 
 
+@register("dlog_one_series", sql(
+    "SELECT quarter_idx, round(100.0*(ln(v) - ln(p)), 6) AS growth FROM (SELECT a.quarter_idx, a.v, b.v AS p FROM t a JOIN t b "
+    "ON b.quarter_idx = a.quarter_idx - 1)", "q5", g=_GAPPED, t="SELECT quarter_idx, sum(v) AS v FROM g GROUP BY 1"))
+def dlog_one_series(spark, sf):
+    one = _gapped(spark, sf).groupBy("quarter_idx").agg(F.sum("v").alias("v"))
+    return rounded(series.dlog(one, [], {"growth": "v"}).select("quarter_idx", "growth"), 6, "growth")
+
+
 @register("index_base", sql(
     "SELECT series_key, date, round(100.0*v / first_value(v) OVER (PARTITION BY series_key ORDER BY quarter_idx), 6) AS idx "
     "FROM q5 WHERE date >= DATE '1996-01-01'", "q5"))

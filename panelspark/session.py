@@ -21,6 +21,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # room for the cut-point and offset tables of very large inputs; decided by their written size
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
 }
 
 
@@ -61,11 +63,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame, ids: list) -> DataFrame:
-    """Hash rows by ``ids`` over the session's shuffle partitions before work that multiplies them.
+    """Hash rows by ``ids`` over all shuffle partitions (or cores, if more) before work that multiplies them.
 
     Few input splits would otherwise do all the work, and all results of an id
     stay in one task, so a partial aggregation leaves one row per group.  The
     explicit number keeps adaptive execution from merging the still small rows.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *ids)

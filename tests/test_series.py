@@ -86,6 +86,16 @@ def test_dlog(panel):
         series.dlog(bad, ["k"], {"g": "v"}).collect()
 
 
+def test_one_long_series_is_not_gathered(panel):
+    one = panel.filter("k = 'b'").select("quarter_idx", "v", "date").withColumn("v", F.col("v") + F.col("quarter_idx"))
+    got = rows(series.dlog(one, [], {"g": "v"}), "quarter_idx")
+    assert [x["quarter_idx"] for x in got] == [7981, 7984]       # the quarter after the gap has no predecessor
+    assert got[0]["g"] == pytest.approx(100 * math.log(7991 / 7990)) and got[0]["date"] == day(1995, 2)
+    assert "SinglePartition" not in series.dlog(one, [], {"g": "v"})._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        series.thin(panel, [], 4)
+
+
 def test_samples_index_ticks_thin(panel):
     s = series.split_samples(panel, [("full", None, None), ("early", None, "1996-01-01")])
     info = {(r["sample"], r["k"]): r for r in rows(series.sample_info(s, ["sample", "k"]))}
