@@ -19,6 +19,7 @@ HEADLINE = [
     "log_prior", "fevd_horizons", "group_contributions", "shock_convolution", "irf_paths", "irf_bands", "var1_ols",
     "steady_state", "calibrate_b0", "counterfactual_table", "welfare_ecv", "posterior_functional", "sweep", "laffer_peak",
 ]
+WARM_UP = ["annualised_growth", "rhat_split", "steady_state"]
 
 
 def run(df) -> float:
@@ -34,7 +35,8 @@ def main() -> None:
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": cpus,
         "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
-    run(spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_orderpriority").count())  # start the engine
+    for name in WARM_UP:    # start the engine and its Python workers; not timed
+        run(QUERIES[name](spark, sf))
     times = {}
     for name in HEADLINE:
         start = time.time()
@@ -45,7 +47,7 @@ def main() -> None:
     rate = n / run(steady_state(rows))
     print(json.dumps({
         "metric": "total wall time of headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": os.path.basename(sf.rstrip("/")), "cpus": int(cpus),
+        "queries": times, "sf": os.path.basename(sf.rstrip("/")), "cpus": int(cpus), "warm_up": WARM_UP,
         "steady_state_rows_per_sec": round(rate)}))
 
 
