@@ -104,37 +104,40 @@ class Benchmark:
         np.add.at(cover, dense, 1)
         np.add.at(cover, ahead[dense], -1)
         hit = hit[np.cumsum(cover[:-1]) > 0]
-        # stretches far apart share no window: each is looked at by itself, so memory follows a stretch
-        gaps = np.flatnonzero(np.diff(hit) > self.span) + 1
         out = []
-        for part in np.split(hit, gaps):
-            for at in range(0, len(part), PIECE):    # long stretches in pieces that overlap by more than a window
-                end = np.searchsorted(part, part[min(at + PIECE, len(part)) - 1] + 2 * self.span)
-                out += self._stretch(text, g, part[at:end])
+        for at in range(0, len(hit), PIECE):    # pieces overlap by more than any window, so memory follows a piece
+            end = np.searchsorted(hit, hit[min(at + PIECE, len(hit)) - 1] + 2 * self.span)
+            out += self._piece(text, g, hit[at:end])
         return sorted(set(out))
 
-    def _stretch(self, text: bytes, g: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        low, high = np.searchsorted(self.code, g[hit]), np.searchsorted(self.code, g[hit], "right")
-        n = high - low
-        if not n.sum():
+    def _piece(self, text: bytes, g: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        shared = g[hit]
+        low = np.searchsorted(self.code, shared)
+        n = np.searchsorted(self.code, shared, "right") - low
+        if not n.any():
             return []
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        window, start = self.owner[at], np.repeat(hit, n) - self.place[at]    # where the window would begin
-        half = self.allowed[window] + 1
-        bands = np.concatenate([start // half, start // half - 1])           # band b holds diagonals [b half, (b + 2) half)
-        # q-grams that repeat inside a band count once per position of the window
-        first, many = int(bands.min()), int(bands.max() - bands.min()) + 1
-        key = np.concatenate([window, window]) * many + bands - first
-        key = np.unique(key * WINDOW + np.concatenate([self.place[at], self.place[at]]))
-        pair, shared = np.unique(key // WINDOW, return_counts=True)
-        window, bands = pair // many, pair % many + first
-        kept = shared >= self.bounds[window]
-        out = []
-        for w, b in zip(window[kept].tolist(), bands[kept].tolist()):
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        window = self.owner[at]
+        # diagonals in strips of k + 1; a band is a strip and the next one, so bands overlap by half
+        strip = (np.repeat(hit, n) - self.place[at]) // (self.allowed[window] + 1)
+        first, many = int(strip.min()), int(strip.max() - strip.min()) + 2
+        key, count = np.unique(window * many + strip - first, return_counts=True)
+        follows = np.append(key[1:] == key[:-1] + 1, False)
+        both = count + np.where(follows, np.append(count[1:], 0), 0)
+        # the band that starts one strip earlier holds the same q-grams as a strip whose predecessor is empty
+        kept = np.flatnonzero(both >= self.bounds[key // many])
+        out, done = [], set()
+        for w, b in zip((key[kept] // many).tolist(), (key[kept] % many + first).tolist()):
+            if (w, b - 1) in done:    # found in the band that overlaps this one
+                continue
+            item, place, pattern = self.windows[w]
             k = int(self.allowed[w])
-            found = banded(self.windows[w][2], text, b * (k + 1), 2 * (k + 1), k)
+            begin = b * (k + 1) - (k + 1)
+            exact = text.find(pattern, max(0, begin), max(0, begin) + len(pattern) + 3 * (k + 1))
+            found = (exact, exact + len(pattern), 0) if exact >= 0 else banded(pattern, text, begin, 3 * (k + 1), k)
             if found:
-                out.append((self.windows[w][0], self.windows[w][1], *found))
+                done.add((w, b))
+                out.append((item, place, *found))
         return out
 
 
