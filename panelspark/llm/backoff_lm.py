@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import bytes_of, id_and_text, open_folder, py_crc_mod
 from panelspark.session import scratch_path
 
-BLOCK_BYTES = 16 << 20    # text after which a new block begins
+BLOCK_BYTES = 8 << 20     # text after which a new block begins
 STEPS = 2                 # classes of context counts per power of two
 CLASSES = 64 * STEPS
 PART_BYTES = 16 << 20     # text per hash partition
@@ -84,7 +84,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for t in texts:
         group.append(t)
         size += len(t) + 1
-        if size > 1 << 20:
+        if size > 1 << 19:
             found.append(_word_hashes(group))
             group, size = [], 0
     if group:
@@ -100,7 +100,9 @@ class Block:
         self.ids, self.tokens = ids, tokens
         self.held = np.array([py_crc_mod(i, modulus) == held for i in ids], bool)
         self.train = np.repeat(~self.held, tokens)
-        self.words, self.word_at = np.unique(h, return_inverse=True)
+        self.words, at = np.unique(h, return_inverse=True)
+        self.word_at = at.astype(np.int32)
+        del at
         self.ends = np.cumsum(tokens)
         before = np.concatenate([[START], h[:-1]])
         before[np.concatenate([[0], self.ends[:-1]])] = START
