@@ -38,19 +38,37 @@ class Encoder:
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
+        from tokenizers.processors import ByteLevel
         self.library = Tokenizer.from_file(file)
         self.width = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.chunks = ChunkCache(self.whole, tuple(t.content for t in self.library.get_added_tokens_decoder().values()))
+        # exact offsets tell which chunk a token of several joined chunks is from; ids do not depend on them
+        self.library.post_processor = ByteLevel(trim_offsets=False)
+        self.chunks = ChunkCache(self.whole, self.many, tuple(t.content for t in self.library.get_added_tokens_decoder().values()))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        try:
-            return self.whole(first) + b"".join(map(self.chunks.__getitem__, rest))
-        except Irregular:
-            return self.whole(text)
+    def many(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks with their space, encoded in one call."""
+        if not chunks:
+            return []
+        found = self.library.encode(" " + " ".join(chunks), add_special_tokens=False)
+        ids = np.array(found.ids, self.width)
+        ends = np.cumsum([1 + len(c) for c in chunks])
+        cuts = np.searchsorted(np.array([a for a, _ in found.offsets]), ends).tolist()
+        raw, width = ids.tobytes(), ids.itemsize
+        return [raw[a * width:b * width] for a, b in zip([0, *cuts], cuts)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") for t in texts]
+        self.chunks.learn([s[1:] for s in split])
+        out = []
+        for text, (first, *rest) in zip(texts, split):
+            try:
+                out.append(self.whole(first) + b"".join(map(self.chunks.__getitem__, rest)))
+            except Irregular:
+                out.append(self.whole(text))
+        return out
 
 
 class ShardWriter:
@@ -129,7 +147,7 @@ def write_packed(docs: DataFrame, folder: str, file: str, end_id: int = 2, lengt
             ids, texts = b.column("doc_id").to_pylist(), texts_of(b.column("text"))
             for at in range(0, len(ids), 256):
                 shard = shard or ShardWriter(folder, length, encoder.width)
-                shard.write(ids[at:at + 256], [encoder.encode(t) + end for t in texts[at:at + 256]])
+                shard.write(ids[at:at + 256], [e + end for e in encoder.encode(texts[at:at + 256])])
         if shard:
             yield shard.close()
 

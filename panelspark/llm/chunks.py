@@ -10,7 +10,8 @@ over the cut.  Texts with such a chunk are tokenized whole.
 
 from __future__ import annotations
 
-CACHE_LIMIT = 600_000    # chunks remembered per worker; the cache starts anew beyond that
+CACHE_LIMIT = 1_200_000    # chunks remembered per worker; the cache starts anew beyond that
+LONGEST = 64               # longer chunks hardly repeat and are not remembered
 
 
 class Irregular(Exception):
@@ -18,17 +19,28 @@ class Irregular(Exception):
 
 
 class ChunkCache(dict):
-    """chunk -> value of ``' ' + chunk``; fills itself, never holds an irregular chunk."""
+    """chunk -> value of ``' ' + chunk``; never holds an irregular chunk.
 
-    def __init__(self, value_of, added: tuple[str, ...]):
-        self.value_of, self.added = value_of, added
+    ``value_of`` gives the value of a text, ``values_of`` those of many chunks at once.
+    """
+
+    def __init__(self, value_of, values_of, added: tuple[str, ...]):
+        self.value_of, self.values_of, self.added = value_of, values_of, added
+
+    def regular(self, chunk: str) -> bool:
+        return bool(chunk) and not chunk[0].isspace() and not (self.added and chunk.startswith(self.added))
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Fills in what the chunks of some texts need, all together."""
+        every = set().union(*texts)
+        new = every - self.keys()
+        if len(self) + len(new) > CACHE_LIMIT:
+            self.clear()
+            new = every
+        short = [c for c in new if len(c) <= LONGEST and self.regular(c)]
+        self.update(zip(short, self.values_of(short)))
 
     def __missing__(self, chunk: str):
-        if not chunk or chunk[0].isspace() or (self.added and chunk.startswith(self.added)):
+        if not self.regular(chunk):
             raise Irregular
-        value = self.value_of(" " + chunk)
-        if len(chunk) <= 64:    # longer ones hardly repeat
-            if len(self) >= CACHE_LIMIT:
-                self.clear()
-            self[chunk] = value
-        return value
+        return self.value_of(" " + chunk)

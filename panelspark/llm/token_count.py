@@ -22,32 +22,31 @@ from panelspark.llm.common import id_and_text, texts_of, worker_cache
 def count_after_merges(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     """Symbols left after all merges, lowest rank first."""
     n = len(symbols)
-    if n < 2:
-        return n
-    heap = [(r, i) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
+    rank_of = ranks.get
+    heap = [(r, i) for i, pair in enumerate(zip(symbols, symbols[1:])) if (r := rank_of(pair)) is not None]
     if not heap:
         return n
     heapify(heap)
-    left, right, last = list(range(-1, n - 1)), list(range(1, n + 1)), n
-    merges = 0
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+    count = n
     while heap:
         rank, i = heappop(heap)
         j = right[i]
-        # an entry is stale if its left symbol is gone or the pair has changed since
-        if j >= last or symbols[i] is None or ranks.get((symbols[i], symbols[j])) != rank:
+        # an entry is stale if its left symbol is gone (empty) or the pair has changed since
+        if j >= n or rank_of((symbols[i], symbols[j])) != rank:
             continue
-        symbols[i] += symbols[j]
-        symbols[j] = None
-        merges += 1
+        merged = symbols[i] = symbols[i] + symbols[j]
+        symbols[j] = ""
+        count -= 1
         k = right[i] = right[j]
-        if k < last:
+        if k < n:
             left[k] = i
-            if (r := ranks.get((symbols[i], symbols[k]))) is not None:
+            if (r := rank_of((merged, symbols[k]))) is not None:
                 heappush(heap, (r, i))
         h = left[i]
-        if h >= 0 and (r := ranks.get((symbols[h], symbols[i]))) is not None:
+        if h >= 0 and (r := rank_of((symbols[h], merged))) is not None:
             heappush(heap, (r, h))
-    return n - merges
+    return count
 
 
 class Counter:
@@ -64,7 +63,7 @@ class Counter:
         self.words_of = Tokenizer.from_file(file).pre_tokenizer.pre_tokenize_str
         self.added = tuple(t["content"] for t in spec["added_tokens"])
         self.words: dict[str, int] = {}
-        self.chunks = ChunkCache(self.plain, self.added)
+        self.chunks = ChunkCache(self.plain, self.many, self.added)
 
     def word(self, word: str) -> int:
         n = self.words.get(word)
@@ -88,12 +87,29 @@ class Counter:
     def between(self, text: str) -> int:
         return sum(self.word(w) for w, _ in self.words_of(text)) if text else 0
 
-    def count(self, text: str) -> int:
-        first, *rest = text.split(" ")
-        try:
-            return self.plain(first) + sum(map(self.chunks.__getitem__, rest))
-        except Irregular:
-            return self.plain(text)
+    def many(self, chunks: list[str]) -> list[int]:
+        """Counts of chunks with their space, split into words in one call."""
+        with_added = [k for k, c in enumerate(chunks) if any(t in c for t in self.added)]
+        out, k, end = [0] * len(chunks), 0, 1 + len(chunks[0]) if chunks else 0
+        for w, (begin, _) in self.words_of(" " + " ".join(chunks)) if chunks else ():
+            while begin >= end:
+                k += 1
+                end += 1 + len(chunks[k])
+            out[k] += self.words.get(w) or self.word(w)
+        for k in with_added:
+            out[k] = self.plain(" " + chunks[k])
+        return out
+
+    def counts(self, texts: list[str]) -> list[int]:
+        split = [t.split(" ") for t in texts]
+        self.chunks.learn([s[1:] for s in split])
+        out = []
+        for text, (first, *rest) in zip(texts, split):
+            try:
+                out.append(self.plain(first) + sum(map(self.chunks.__getitem__, rest)))
+            except Irregular:
+                out.append(self.plain(text))
+        return out
 
 
 def count_tokens(docs: DataFrame, file: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,8 +123,9 @@ def count_tokens(docs: DataFrame, file: str, limit: int = 1024, id_col: str = "d
         counter = worker_cache(("token_count", file), lambda: Counter(file))
         for b in batches:
             texts = texts_of(b.column("text"))
+            found = [n for at in range(0, len(texts), 256) for n in counter.counts(texts[at:at + 256])]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_bytes"), pa.array([counter.count(t) for t in texts], pa.int64())],
+                [b.column("doc_id"), b.column("n_bytes"), pa.array(found, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = id_and_text(docs, id_col, text_col).withColumn(

@@ -27,7 +27,7 @@ from panelspark.llm.common import id_and_text, texts_of, worker_cache
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0    # below the lowest piece score, as in the published algorithm
-WORD_LIMIT = 600_000      # words remembered per worker
+WORD_LIMIT = 1_000_000      # words remembered per worker
 
 
 class DoubleArray:
