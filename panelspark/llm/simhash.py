@@ -204,7 +204,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, tile: int
     linked = (classes.join(roots, classes.fp == roots.node).select("fp", "root", "low"))
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     named = linked.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    final = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    # a table on either side of the last join, so that a fingerprint shared by many documents can be split
+    final = written(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "components")
     return fps.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
