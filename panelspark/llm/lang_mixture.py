@@ -150,7 +150,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         run, "doc_id long, lang_pred string, score double, languages array<string>")
 
 
-def keep_identified(docs: DataFrame, model: dict, least: float = 0.4, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: dict, least: float = 0.25, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose language is identified with a share of ``least`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
