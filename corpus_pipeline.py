@@ -17,7 +17,7 @@ ORACLE_SQL = None    # models, sketches and Viterbi paths have no SQL form; test
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is identified: some letter, and one language with at least 0.4 of the text."""
+    """Keeps documents whose language is identified: some letter, and one language with at least a quarter of the text."""
     model = lang_mixture.train(lang_mixture.training_rows(docs))
     return lang_mixture.keep_identified(docs, model)
 
