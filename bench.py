@@ -16,7 +16,7 @@ HEADLINE = [
     "annualised_growth", "observables", "align_sources", "first_match", "asof_interpolate", "rolling_sum_rows",
     "rolling_sum_calendar", "sample_split", "posterior_summary", "posterior_quantiles", "rhat_split", "rhat_rank",
     "effective_sample_size", "posterior_report", "param_correlation", "pair_hist2d", "density", "trace", "compare_runs",
-    "log_prior", "fevd_horizons", "group_contributions", "shock_convolution", "irf_paths", "irf_bands", "var1_ols",
+    "log_prior", "fevd_horizons", "group_contributions", "shock_convolution", "irf_bands", "var1_ols",
     "steady_state", "calibrate_b0", "counterfactual_table", "welfare_ecv", "posterior_functional", "sweep", "laffer_peak",
 ]
 WARM_UP = ["annualised_growth", "rhat_split", "steady_state"]

@@ -284,7 +284,8 @@ def density(draws: DataFrame, points: int = 64, bins: int = 512, pad: float = 4.
     Draws are counted into ``bins`` cells first; the kernel then runs over
     cells, so the cost after one pass does not depend on the number of draws.
     The bandwidth is 0.9 min(sd, IQR/1.34) n^(-1/5); the grid reaches ``pad``
-    bandwidths beyond the data.
+    bandwidths beyond the data.  A constant chain has no density: one row at its
+    value with a null density.
     """
     keys = [*KEYS, "chain"]
     stats = draws.groupBy(*keys).agg(
@@ -293,8 +294,10 @@ def density(draws: DataFrame, points: int = 64, bins: int = 512, pad: float = 4.
     iqr = split.exact_quantiles(draws, keys, "value", {"_q1": 0.25, "_q3": 0.75}, **split_args)
     spread = F.when(F.col("_q3") > F.col("_q1"), F.least(F.col("_sd"), (F.col("_q3") - F.col("_q1")) / 1.34)) \
         .otherwise(F.col("_sd"))
-    stats = written(stats.join(iqr, keys).withColumn("_bw", 0.9 * spread * F.pow("_n", F.lit(-0.2)))
-                    .filter((F.col("_bw") > 0) & (F.col("_hi") > F.col("_lo"))), "bandwidth")
+    every = written(stats.join(iqr, keys).withColumn("_bw", 0.9 * spread * F.pow("_n", F.lit(-0.2))), "bandwidth")
+    wide = F.coalesce((F.col("_bw") > 0) & (F.col("_hi") > F.col("_lo")), F.lit(False))
+    stats = every.filter(wide)
+    constant = every.filter(~wide).select(*keys, F.lit(0).alias("i"), F.col("_lo").alias("x"), F.lit(None).cast("double").alias("density"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     cell = F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("_lo")) / width)).cast("int")
     counted = (draws.join(stats, keys).withColumn("_cell", cell)
@@ -305,8 +308,9 @@ def density(draws: DataFrame, points: int = 64, bins: int = 512, pad: float = 4.
     u = (F.col("x") - centre) / F.col("_bw")
     curve = (counted.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", x)
              .groupBy(*keys, "i", "x", "_n", "_bw").agg(F.sum(F.col("_cnt") * F.exp(-0.5 * u * u)).alias("_k")))
-    return curve.select(*keys, "i", "x",
-                        (F.col("_k") / (F.col("_n") * F.col("_bw") * float(np.sqrt(2 * np.pi)))).alias("density"))
+    curve = curve.select(*keys, "i", "x",
+                         (F.col("_k") / (F.col("_n") * F.col("_bw") * float(np.sqrt(2 * np.pi)))).alias("density"))
+    return curve.union(constant)
 
 
 def trace(draws: DataFrame, thin: int = 1, width: int = split.BLOCK) -> DataFrame:
@@ -340,10 +344,13 @@ def recovery_check(summary: DataFrame, truth: DataFrame, variances: list = ()) -
 
 
 def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The same parameter in two runs: means, intervals, % change and interval overlap."""
+    """The same parameter in two runs: means, intervals, % change and interval overlap.
+
+    Each side holds one run.  A parameter of one side only stays, with nulls for the other.
+    """
     cols = ["mean", "q025", "q975"]
     a = left.select("param", *[F.col(c).alias(f"{c}_a") for c in cols])
     b = right.select("param", *[F.col(c).alias(f"{c}_b") for c in cols])
-    return a.join(b, ["param"]).withColumns({
+    return a.join(b, ["param"], "full_outer").withColumns({
         "change_pct": 100 * F.try_divide(F.col("mean_b") - F.col("mean_a"), F.abs("mean_a")),
         "overlap": (F.col("q025_a") <= F.col("q975_b")) & (F.col("q025_b") <= F.col("q975_a"))})

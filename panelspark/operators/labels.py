@@ -9,31 +9,6 @@ from pyspark.sql import functions as F
 NON_SHOCKS = ("mean", "initial_conditions", "Initial_values", "constant")
 INITIAL = ("Initial_values", "initial_conditions")
 
-# Display names of shocks and variables.
-SHOCK_LABELS = {
-    "eps_a": "Productivitat formal (A)",
-    "eps_b": "Productivitat informal (B)",
-    "eps_x": "Tecnologia inversió (xi_x)",
-    "eps_xi_h": "Preferència laboral (xi_h)",
-    "eps_c": "Impost corporatiu (tau_c)",
-    "eps_h": "Impost personal (tau_h)",
-    "eps_s": "Cotitzacions socials (tau_s)",
-    "eps_p": "Inspecció fiscal (p)",
-}
-VARIABLE_LABELS = {
-    "y": "Output total",
-    "y_m": "Output formal",
-    "y_u": "Output informal",
-    "underground_share": "Quota submergida (y_u/y)",
-    "c": "Consum",
-    "inv": "Inversió",
-    "G_c": "Recaptació corporativa",
-    "G_h": "Recaptació personal (IRPF)",
-    "G_s": "Cotitzacions",
-    "TE": "Evasió fiscal (TE)",
-    "n_m": "Treball formal",
-    "n_u": "Treball informal",
-}
 # Display names of the policy table.
 POLICY_LABELS = {
     "y": "PIB total (y)",
@@ -57,6 +32,7 @@ SHOCK_GROUPS = [
     ("Tecnologia inv.", ["eps_x"]),
     ("Laboral", ["eps_xi_h"]),
 ]
+SHOCKS = [code for _, codes in SHOCK_GROUPS for code in codes]
 # Parameter groups of the estimation report.
 PARAM_GROUPS = {
     "structural": ["alpha", "delta_k", "alpha_u", "phi", "xi", "gamma_pct", "p_ss"],

@@ -71,13 +71,16 @@ def moment_distance(simulated: DataFrame, target: DataFrame, keys: list, on: lis
     """``J = sum w (simulated - target)^2`` per candidate.
 
     ``simulated`` may carry a boolean ``out_of_bounds``; such a candidate costs
-    ``PENALTY`` whatever its moments are.
+    ``PENALTY`` whatever its moments are, and so does one that lacks any moment of the target.
     """
     wanted = target.select(*on, F.col(moment).alias("_target"),
-                           (F.col(weight) if weight else F.lit(1.0)).alias("_w"))
+                           (F.col(weight) if weight else F.lit(1.0)).alias("_w"),
+                           F.count(F.lit(1)).over(Window.partitionBy()).alias("_all"))    # one row per moment
     gap = F.col(moment) - F.col("_target")
     outside = F.col("out_of_bounds") if "out_of_bounds" in simulated.columns else F.lit(False)
-    joined = simulated.join(wanted, list(on)).withColumn("_out", outside)
+    joined = simulated.join(wanted, list(on), "left").withColumn("_out", outside)
     return joined.groupBy(*keys).agg(
-        F.sum(F.col("_w") * gap * gap).alias("_j"), F.max("_out").alias("_out")
-    ).select(*keys, F.when(F.col("_out"), F.lit(PENALTY)).otherwise(F.col("_j")).alias("distance"))
+        F.sum(F.col("_w") * gap * gap).alias("_j"), F.max("_out").alias("_out"), F.count(gap).alias("_found"),
+        F.max("_all").alias("_all")
+    ).select(*keys, F.when(F.coalesce(F.col("_out"), F.lit(False)) | F.coalesce(F.col("_found") < F.col("_all"), F.lit(True)),
+                           F.lit(PENALTY)).otherwise(F.col("_j")).alias("distance"))

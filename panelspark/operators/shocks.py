@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.labels import INITIAL, NON_SHOCKS, SHOCK_GROUPS, is_component_shock, lookup
+from panelspark.operators.labels import INITIAL, NON_SHOCKS, SHOCK_GROUPS, is_component_shock, lookup, match_shock_name
+
+OTHER = "other"    # shocks of no group
 
 
 def fevd(irf: DataFrame, horizons: list | None = None, keys: list = ("run", "variable"), shock: str = "shock",
@@ -36,10 +38,15 @@ def fevd(irf: DataFrame, horizons: list | None = None, keys: list = ("run", "var
 
 def group_contributions(contrib: DataFrame, groups: list = SHOCK_GROUPS, keys: list = ("run", "variable", "t"),
                         component: str = "component", value: str = "value") -> DataFrame:
-    """Contributions added up by shock group, with the group's stacking rank."""
+    """Contributions added up by shock group, with the group's stacking rank.
+
+    Decorated names count for the shock they decorate.  Shocks of no group form the
+    group ``other``, ranked last, so the groups add up to the sum of all shocks.
+    """
     name = {s: g for g, shocks in groups for s in shocks}
-    rank = {g: i for i, (g, _) in enumerate(groups)}
-    labelled = contrib.filter(F.col(component).isin(*name)).withColumn("group", lookup(F.col(component), name))
+    rank = {g: i for i, (g, _) in enumerate([*groups, (OTHER, ())])}
+    found = lookup(match_shock_name(F.col(component), list(name)), name)
+    labelled = contrib.filter(is_component_shock(F.col(component))).withColumn("group", F.coalesce(found, F.lit(OTHER)))
     return (labelled.groupBy(*keys, "group").agg(F.sum(value).alias("contribution"))
             .withColumn("rank", lookup(F.col("group"), rank)))
 
@@ -80,7 +87,7 @@ def shock_convolution(irf: DataFrame, shocks: DataFrame, keys: list = ("run", "s
 
 def half_life(rho: Column) -> Column:
     """Periods until half of a shock is left; null unless 0 < rho < 1."""
-    return F.when((rho > 0) & (rho < 1), F.lit(float(np.log(0.5))) / F.ln(rho))
+    return F.when((rho > 0) & (rho < 1), F.lit(math.log(0.5)) / F.ln(rho))
 
 
 def ar1_irf(df: DataFrame, rho: str, sigma: str, horizon: int, name: str = "response") -> DataFrame:
@@ -89,37 +96,4 @@ def ar1_irf(df: DataFrame, rho: str, sigma: str, horizon: int, name: str = "resp
     return out.withColumn(name, F.col(sigma) * F.pow(F.col(rho), F.col("h")))
 
 
-def irf_paths(systems: DataFrame, variables: list, shocks: list, horizon: int, ids: list = ("draw_id",)) -> DataFrame:
-    """Responses of a linear system ``x' = A x + B e, y = C x`` to one unit of each shock.
-
-    One row per draw carries ``n_state, n_shock`` and the matrices as row-major
-    arrays ``A, B, C``.  A batch of draws is stepped together and written out in
-    long form ``(ids, variable, shock, h, value)``, ``h = 0 .. horizon-1``.
-    """
-    ids = list(ids)
-    schema = ", ".join([f"`{c}` {systems.schema[c].dataType.simpleString()}" for c in ids]
-                       + ["variable string", "shock string", "h int", "value double"])
-    nv, ns = len(variables), len(shocks)
-
-    def run(batches):
-        for pdf in batches:
-            for n, part in pdf.groupby("n_state"):
-                n = int(n)
-                a = np.stack(part["A"].to_numpy()).reshape(-1, n, n)
-                x = np.stack(part["B"].to_numpy()).reshape(-1, n, ns)
-                c = np.stack(part["C"].to_numpy()).reshape(-1, nv, n)
-                for h in range(horizon):
-                    y = c @ x
-                    out = {k: np.repeat(part[k].to_numpy(), nv * ns) for k in ids}
-                    out["variable"] = np.tile(np.repeat(variables, ns), len(part))
-                    out["shock"] = np.tile(shocks, len(part) * nv)
-                    out["h"] = np.int32(h)
-                    out["value"] = y.reshape(-1)
-                    yield pd.DataFrame(out)
-                    x = a @ x
-
-    return systems.select(*ids, "n_state", "A", "B", "C").mapInPandas(run, schema)
-
-
-__all__ = ["NON_SHOCKS", "ar1_irf", "component_total", "fevd", "group_contributions", "half_life", "irf_paths",
-           "shock_convolution"]
+__all__ = ["NON_SHOCKS", "ar1_irf", "component_total", "fevd", "group_contributions", "half_life", "shock_convolution"]

@@ -5,10 +5,11 @@ The equilibrium conditions reduce to one scalar equation in log consumption,
     e^x + a1 e^(-k1 x) + a2 e^(-k2 x) = 0,
 
 whose coefficients are closed forms of the parameters, written as Columns.  Only
-the root itself is found in an Arrow batch: 60 bisection steps over whole
-columns.  (The same loop as an SQL lambda is interpreted and measured 30 times
-slower; unrolled Newton steps overflow the JIT's method size.)  Nothing here
-shuffles: the operators are projections, so they scale with the input splits.
+the root itself is found in an Arrow batch: the bracket grows from the edge where regular
+hours vanish (or from zero where there is none) until the sign changes, then 60 bisection
+steps run over whole columns.  (The same loop as an SQL lambda is interpreted and
+measured 30 times slower; unrolled Newton steps overflow the JIT's method size.)  The
+functions of this module are projections without a shuffle.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ CALIBRATED = {
 VARIABLES = ["y", "y_m", "y_u", "underground_share", "c", "inv", "G_c", "G_h", "G_s", "TE", "n_m", "n_u"]
 EXTRA = ["w_m", "w_u", "utility"]
 
-_HI = 10.0          # upper end of the consumption bracket
 _STEPS = 60
+_FAR = 700.0        # log consumption at which exp leaves the range of a double; the only end of a search
 
 
 def _steps(df: DataFrame, *steps: dict) -> DataFrame:
@@ -94,15 +95,20 @@ def _technology(df: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.DoubleType())
-def _root(a1: pd.Series, k1: pd.Series, a2: pd.Series, k2: pd.Series, lo: pd.Series) -> pd.Series:
-    """Root in log consumption, or null where the bracket shows no sign change."""
-    a1, k1, a2, k2, lo = (v.to_numpy(dtype=float, copy=True) for v in (a1, k1, a2, k2, lo))
-    hi = np.full_like(lo, np.log(_HI))
+def _root(a1: pd.Series, k1: pd.Series, a2: pd.Series, k2: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+    """Root in log consumption between ``low`` and ``high`` (null: open), or null where the sign never changes."""
+    a1, k1, a2, k2, low, high = (v.to_numpy(dtype=float, copy=True) for v in (a1, k1, a2, k2, low, high))
 
     def f(x):
         return np.exp(x) + a1 * np.exp(-k1 * x) + a2 * np.exp(-k2 * x)
 
     with np.errstate(all="ignore"):
+        start = np.where(np.isnan(low), np.where(np.isnan(high), 0.0, high), low)
+        lo, hi, step = start.copy(), start.copy(), 1.0
+        while step < 2 * _FAR:    # open ends move outwards until the sign is right there
+            hi = np.where(np.isnan(high) & ~(f(hi) > 0), np.minimum(start + step, _FAR), hi)
+            lo = np.where(np.isnan(low) & ~(f(lo) < 0), np.maximum(start - step, -_FAR), lo)
+            step *= 2
         bracket = (f(lo) < 0) & (f(hi) > 0)
         for _ in range(_STEPS):
             mid = (lo + hi) / 2
@@ -112,19 +118,20 @@ def _root(a1: pd.Series, k1: pd.Series, a2: pd.Series, k2: pd.Series, lo: pd.Ser
 
 
 def _solve(df: DataFrame) -> DataFrame:
-    """Needs ``_t_a1 _t_k1 _t_a2 _t_k2 _t_lo``; adds ``_t_x`` and ``_t_status``."""
-    inputs = [F.expr(f"CASE WHEN NOT _t_null THEN {c} END") for c in ("_t_a1", "_t_k1", "_t_a2", "_t_k2", "_t_lo")]
+    """Needs ``_t_a1 _t_k1 _t_a2 _t_k2 _t_lo _t_hi _t_idle``; adds ``_t_x`` and ``_t_status``.
+
+    ``_t_idle`` marks rows in which no consumption leaves regular hours.
+    """
+    inputs = [F.expr(f"CASE WHEN NOT _t_null THEN {c} END") for c in ("_t_a1", "_t_k1", "_t_a2", "_t_k2", "_t_lo", "_t_hi")]
     return _steps(df.withColumn("_t_x", _root(*inputs)), {"_t_status": """CASE
         WHEN _t_null THEN 'null_param'
         WHEN _t_gap IS NULL OR _t_kap_m IS NULL OR _t_kap_u IS NULL THEN 'bad_param'
-        WHEN _t_gap <= 0 THEN 'no_interior'
+        WHEN _t_gap <= 0 OR _t_idle THEN 'no_interior'
+        WHEN _t_hi IS NOT NULL AND (_t_x IS NULL OR isnan(_t_x)) THEN 'no_interior'
         WHEN _t_x IS NULL OR isnan(_t_x) THEN 'no_bracket'
         ELSE 'ok' END"""})
 
 
-_LOWEST = "ln(1e-6D)"   # start of the bracket where hours set no lower bound
-
-
 def steady_state(params: DataFrame, prefix: str = "") -> DataFrame:
     """Add the steady state of every row; failed rows get nulls and a ``status``.
 
@@ -137,11 +144,12 @@ def steady_state(params: DataFrame, prefix: str = "") -> DataFrame:
          "_t_hours": _power("try_divide(_t_net, B_0)", "try_divide(1D, xi)"),
          "_t_k1": "try_divide(sigma, xi)",
          "_t_k2": "try_divide(sigma, phi)"},
-        # lower end: consumption at which regular hours reach zero; needs k2 > k1 (phi < xi)
+        # consumption at which regular hours reach zero: a lower end for k2 > k1 (phi < xi), an upper end for k2 < k1
         {"_t_a1": "_t_kap_m * _t_hours",
          "_t_a2": "(_t_kap_u - _t_kap_m) * _t_hours_u",
-         "_t_lo": "CASE WHEN _t_k2 > _t_k1 AND _t_hours_u > 0 AND _t_hours > 0 "
-                  f"THEN (ln(_t_hours_u) - ln(_t_hours)) / (_t_k2 - _t_k1) ELSE {_LOWEST} END"})
+         "_t_idle": "coalesce(_t_k1 = _t_k2 AND _t_hours <= _t_hours_u, false)",
+         "_t_edge": "CASE WHEN _t_hours_u > 0 AND _t_hours > 0 THEN try_divide(ln(_t_hours_u) - ln(_t_hours), _t_k2 - _t_k1) END"},
+        {"_t_lo": "CASE WHEN _t_k2 > _t_k1 THEN _t_edge END", "_t_hi": "CASE WHEN _t_k2 < _t_k1 THEN _t_edge END"})
     df = _steps(
         _solve(df),
         {"_t_c": "CASE WHEN _t_status = 'ok' THEN exp(_t_x) END"},
@@ -184,7 +192,8 @@ def calibrate_b0(params: DataFrame, target: float = 0.19) -> DataFrame:
          "_t_k2": "try_divide(sigma, phi)"},
         {"_t_a1": f"_t_kap_m * {hours}",
          "_t_a2": "(_t_kap_u - _t_kap_m) * _t_hours_u",
-         "_t_lo": f"CASE WHEN _t_hours_u > 0 THEN try_divide(ln(_t_hours_u) - ln({hours}), _t_k2) ELSE {_LOWEST} END"})
+         "_t_idle": "false", "_t_hi": "CAST(NULL AS DOUBLE)",
+         "_t_lo": f"CASE WHEN _t_hours_u > 0 THEN try_divide(ln(_t_hours_u) - ln({hours}), _t_k2) END"})
     return _emit(_solve(df), "", {
         "b0_star": f"CASE WHEN _t_status = 'ok' THEN _t_net * exp(-sigma * _t_x) / pow({hours}, xi) END",
         "b0_status": "_t_status",

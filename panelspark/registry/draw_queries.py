@@ -200,11 +200,11 @@ def _bin_sql(p: str) -> str:
     " UNION ALL ".join(
         f"SELECT run, '{a}' AS param_a, '{b}' AS param_b, {_bin_sql(a)} AS bin_a, {_bin_sql(b)} AS bin_b, count(*) AS n "
         f"FROM w JOIN r USING (run) WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2, 3, 4, 5"
-        for a, b in d._pairs(_TYPES[:3])), "dr", w=_WIDE,
+        for a, b in d._pairs(_TYPES)), "dr", w=_WIDE,
     r="SELECT run, " + ", ".join(f"min(value) FILTER (param = '{p}') AS {p}_lo, max(value) FILTER (param = '{p}') AS {p}_hi"
-                                 for p in _TYPES[:3]) + " FROM dr GROUP BY 1"))
+                                 for p in _TYPES) + " FROM dr GROUP BY 1"))
 def pair_hist2d(spark, sf):
-    return d.pair_hist2d(draws(spark, sf, stored=True), _TYPES[:3], bins=10)
+    return d.pair_hist2d(draws(spark, sf, stored=True), _TYPES, bins=10)
 
 
 @register("density", sql(

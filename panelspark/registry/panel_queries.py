@@ -15,6 +15,9 @@ KEY = ["series_key"]
 
 
 # -- sources and sinks --------------------------------------------------------------
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
 @register("delimited_roundtrip", sql(
     "SELECT series_key, strftime(date, '%Y') || '-Q' || CAST(quarter(date) AS VARCHAR) AS period, date, quarter_idx, v "
     "FROM q5", "q5"))
@@ -41,13 +44,13 @@ def sdmx_roundtrip(spark, sf):
 
 
 @register("observables_readback", sql(
-    "SELECT date, sum(v) FILTER (series_key = '1-URGENT') AS a, sum(v) FILTER (series_key = '5-LOW') AS b "
-    "FROM q5 GROUP BY 1", "q5"))
+    "SELECT date, " + ", ".join(f"sum(v) FILTER (series_key = '{p}') AS p{p[0]}" for p in _PRIORITIES) + " FROM q5 GROUP BY 1", "q5"))
 def observables_readback(spark, sf):
     path = scratch_path(spark, "observables")
-    wide = series.long_to_wide(quarterly(spark, sf), ["date"], "series_key", "v", ["5-LOW", "1-URGENT"])
-    io.write_table(wide.withColumnsRenamed({"5-LOW": "b", "1-URGENT": "a"}), path, ["date", "b", "a"], fmt="parquet")
-    return io.read_observables(spark, path, ["a", "b"])
+    wide = series.long_to_wide(quarterly(spark, sf), ["date"], "series_key", "v", _PRIORITIES)
+    short = {p: f"p{p[0]}" for p in _PRIORITIES}
+    io.write_table(wide.withColumnsRenamed(short), path, ["date", *reversed(short.values())], fmt="parquet")
+    return io.read_observables(spark, path, list(short.values()))
 
 
 # -- periods and scalar functions -----------------------------------------------------
@@ -180,9 +183,10 @@ def align_sources(spark, sf):
 
 
 @register("common_periods", sql(
-    "SELECT series_key, date FROM f INTERSECT SELECT series_key, date FROM o", "q5s", f=_HALF + "'F'", o=_HALF + "'O'"))
+    "SELECT series_key, date FROM f INTERSECT SELECT series_key, date FROM o INTERSECT SELECT series_key, date FROM p", "q5s",
+    f=_HALF + "'F'", o=_HALF + "'O'", p=_HALF + "'P'"))
 def common_periods(spark, sf):
-    return align.common_periods(_by_status(spark, sf, "F"), _by_status(spark, sf, "O"), on=[*KEY, "date"])
+    return align.common_periods(*[_by_status(spark, sf, s) for s in "FOP"], on=[*KEY, "date"])
 
 
 @register("first_match", sql(
@@ -352,9 +356,6 @@ def sorted_periods(spark, sf):
     return series.sort_by_period(quarterly(spark, sf).select(*KEY, "date", "v"), KEY)
 
 
-_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-
-
 @register("long_to_wide", sql(
     "SELECT date, " + ", ".join(f"max(v) FILTER (series_key = '{p}') AS p{p[0]}" for p in _PRIORITIES)
     + " FROM q5 GROUP BY 1", "q5"))

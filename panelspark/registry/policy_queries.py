@@ -12,7 +12,7 @@ from panelspark.plans.policy import rows_from_means
 from panelspark.registry.base import draws, params, register, rounded, sql
 from panelspark.session import spread
 
-_STEPS = 52
+_STEPS = 58    # halvings of an interval of at most 120
 
 
 def _tech(source: str) -> str:
@@ -41,8 +41,9 @@ def _bisect(source: str) -> str:
 def steady_sql(source: str) -> str:
     """All steady-state variables for the parameter rows of ``source``; rows without a bracket drop out."""
     coef = ("SELECT *, pow(gap/B_1, 1/phi) AS hu, pow(net/B_0, 1/xi) AS hm, sigma/xi AS k1, sigma/phi AS k2, "
-            "kapm*hm AS a1, (kapu - kapm)*hu AS a2, (ln(hu) - ln(hm))/(k2 - k1) AS l0, ln(CAST(10 AS DOUBLE)) AS h0 "
-            f"FROM ({_tech(source)}) WHERE gap > 0")
+            "kapm*hm AS a1, (kapu - kapm)*hu AS a2, (ln(hu) - ln(hm))/(k2 - k1) AS edge, CASE WHEN k2 > k1 THEN edge ELSE -60e0 END AS l0, "
+            "CASE WHEN k2 > k1 THEN 60e0 ELSE edge END AS h0 "
+            f"FROM ({_tech(source)}) WHERE gap > 0 AND k1 <> k2")
     return ("SELECT *, exp(x) AS c, hu*pow(c, -k2) AS n_u, hm*pow(c, -k1) - n_u AS n_m, ym*n_m AS y_m, yu*n_u AS y_u, "
             "y_m + y_u AS y, y_u/y AS underground_share, im*n_m + iu*n_u AS inv, "
             "tau_c_ss*(p_ss*s*(y_u - wu*n_u) + y_m - wm*n_m) AS G_c, tau_h_ss*(wm*n_m + rm/hkm*n_m) AS G_h, "
@@ -73,6 +74,32 @@ def steady_status(spark, sf):
     return steady_state(broken).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+# phi above, at and below xi, and capital shares under which consumption exceeds 10: an interior row has
+# positive hours in both sectors and its resources add up
+_REGIONS = ("SELECT * REPLACE (CASE draw_id % 4 WHEN 0 THEN 2.0e0 WHEN 1 THEN 2.5e0 ELSE phi END AS phi, "
+            "CASE draw_id % 4 WHEN 0 THEN 1.0e0 WHEN 1 THEN 0.5e0 WHEN 3 THEN 4.0e0 ELSE xi END AS xi, "
+            "CASE WHEN draw_id % 4 >= 2 THEN 0.40e0 ELSE alpha END AS alpha, CASE WHEN draw_id % 4 >= 2 THEN 0.40e0 ELSE alpha_u END "
+            "AS alpha_u, CASE WHEN draw_id % 4 >= 2 THEN 0.005e0 ELSE delta_k END AS delta_k, "
+            "CASE WHEN draw_id % 4 = 3 THEN 0.05e0 ELSE tau_c_ss END AS tau_c_ss) FROM pr")
+
+
+@register("steady_state_regions", sql(
+    "SELECT pr.draw_id, CASE WHEN n_m > 1e-9 AND n_u > 0 THEN 'ok' ELSE 'no_interior' END AS status, "
+    "coalesce(n_m > 1e-9, false) AS hours_positive, coalesce(n_m > 1e-9, false) AS adds_up "
+    f"FROM pr LEFT JOIN ({steady_sql(_REGIONS)}) s USING (draw_id)", "pr"))
+def steady_regions(spark, sf):
+    k = F.col("draw_id") % 4
+    rows = params(spark, sf).withColumns({
+        "phi": F.when(k == 0, 2.0).when(k == 1, 2.5).otherwise(F.col("phi")),
+        "xi": F.when(k == 0, 1.0).when(k == 1, 0.5).when(k == 3, 4.0).otherwise(F.col("xi")),
+        "alpha": F.when(k >= 2, 0.40).otherwise(F.col("alpha")), "alpha_u": F.when(k >= 2, 0.40).otherwise(F.col("alpha_u")),
+        "delta_k": F.when(k >= 2, 0.005).otherwise(F.col("delta_k")),
+        "tau_c_ss": F.when(k == 3, 0.05).otherwise(F.col("tau_c_ss"))})
+    used = F.col("c") + F.col("inv") + F.col("G_c") + F.col("G_h") + F.col("G_s")
+    return steady_state(rows).select("draw_id", "status", F.coalesce((F.col("n_m") > 0) & (F.col("n_u") > 0), F.lit(False)).alias("hours_positive"),
+                                     F.coalesce(F.abs(used - F.col("y")) < 1e-8 * F.col("y"), F.lit(False)).alias("adds_up"))
+
+
 @register("size_table", sql(
     "SELECT draw_id, round(n_m + n_u, 6) AS hours, round(n_u/(n_m + n_u), 6) AS hours_share, "
     f"round(underground_share*100, 4) AS share_pct FROM ({steady_sql(_PR)})", "pr"))
@@ -87,7 +114,7 @@ def revenue(spark, sf):
 
 
 _B0_COEF = ("SELECT *, pow(gap/B_1, 1/phi) AS hu, CAST(0 AS DOUBLE) AS k1, sigma/phi AS k2, kapm*0.19e0 AS a1, "
-            "(kapu - kapm)*hu AS a2, (ln(hu) - ln(0.19e0))/k2 AS l0, ln(CAST(10 AS DOUBLE)) AS h0 "
+            "(kapu - kapm)*hu AS a2, (ln(hu) - ln(0.19e0))/k2 AS l0, 60e0 AS h0 "
             f"FROM ({_tech(_PR)}) WHERE gap > 0")
 
 
@@ -120,15 +147,14 @@ _SOLVED = steady_sql("SELECT * FROM sc")
 
 
 @register("pct_vs_baseline", sql(
-    "SELECT s.draw_id, s.scenario, v.variable, round((CASE v.variable WHEN 'y' THEN s.y ELSE s.c END - "
-    "CASE v.variable WHEN 'y' THEN b.y ELSE b.c END)/abs(CASE v.variable WHEN 'y' THEN b.y ELSE b.c END)*100, 3) + 0.0 AS pct "
-    "FROM ss s JOIN ss b ON b.draw_id = s.draw_id AND b.scenario = 'base' AND s.scenario <> 'base', "
-    "(VALUES ('y'), ('c')) v(variable)", "pr", sc=_SCEN, ss=f"SELECT draw_id, scenario, y, c FROM ({_SOLVED})"))
+    "SELECT s.draw_id, s.scenario, s.variable, round((s.value - b.value)/abs(b.value)*100, 3) + 0.0 AS pct FROM u s JOIN u b "
+    "ON b.draw_id = s.draw_id AND b.variable = s.variable AND b.scenario = 'base' AND s.scenario <> 'base'", "pr", sc=_SCEN,
+    u=f"UNPIVOT (SELECT draw_id, scenario, {', '.join(VARIABLES)} FROM ({_SOLVED})) ON {', '.join(VARIABLES)} INTO NAME variable VALUE value"))
 def against_baseline(spark, sf):
     scenarios = [("base", {}), *policy.SCENARIOS]
     each = policy.cross_scenarios(spread(params(spark, sf), ["draw_id"]), scenarios)
     solved = steady_state(policy.apply_overrides(each))
-    long = solved.select("draw_id", "scenario", "y", "c").unpivot(["draw_id", "scenario"], ["y", "c"], "variable", "value")
+    long = solved.select("draw_id", "scenario", *VARIABLES).unpivot(["draw_id", "scenario"], VARIABLES, "variable", "value")
     out = policy.pct_vs_baseline(long, ["draw_id", "variable"], "base")
     return out.select("draw_id", "scenario", "variable", "pct")
 
@@ -179,13 +205,14 @@ def functional(spark, sf):
 
 
 @register("append_rows", sql(
-    "SELECT draw_id, variable, round(value, 6) AS value FROM (SELECT draw_id, 'y' AS variable, y AS value FROM ss UNION ALL "
-    "SELECT draw_id, 'G_total', G_c + G_h + G_s FROM ss UNION ALL SELECT draw_id, 'utility', utility FROM ss)",
+    "SELECT draw_id, variable, round(value, 6) AS value FROM (" + " UNION ALL ".join(
+        f"SELECT draw_id, '{v}' AS variable, {v} AS value FROM ss" for v in _ALL)
+    + " UNION ALL SELECT draw_id, 'G_total', G_c + G_h + G_s FROM ss)",
     "pr", ss=f"SELECT * FROM ({steady_sql(_PR)})"))
 def appended(spark, sf):
     solved = steady_state(params(spark, sf))
     rows = [solved.select("draw_id", F.lit(n).alias("variable"), v.alias("value"))
-            for n, v in (("y", F.col("y")), ("G_total", total_revenue()), ("utility", F.col("utility")))]
+            for n, v in [*((v, F.col(v)) for v in _ALL), ("G_total", total_revenue())]]
     return rounded(policy.append_rows(*rows), 6, "value")
 
 

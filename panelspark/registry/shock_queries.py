@@ -82,14 +82,15 @@ def _daily(spark, sf):
 
 @register("shock_convolution", sql(
     "SELECT e.run, e.shock, p.variable, CAST(e.t + p.h AS INTEGER) AS t, round(sum(e.value*p.value), 4) AS value "
-    "FROM e JOIN p USING (run, shock) WHERE e.t + p.h <= 29 GROUP BY 1, 2, 3, 4",
+    "FROM e JOIN p USING (run, shock) WHERE e.t + p.h <= (SELECT max(t) FROM e) GROUP BY 1, 2, 3, 4",
     e="SELECT 'all' AS run, event_type AS shock, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS t, "
       "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2, 3",
     p="SELECT 'all' AS run, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS variable, event_type AS shock, "
       "hour(ts) AS h, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE)/1000 AS value FROM events GROUP BY 1, 2, 3, 4"))
 def shock_convolution(spark, sf):
     path, hits = _daily(spark, sf)
-    return rounded(shocks.shock_convolution(path, hits, t_max=29), 4, "value")
+    last = hits.agg(F.max("t")).first()[0]    # the path ends with the last shock
+    return rounded(shocks.shock_convolution(path, hits, t_max=last), 4, "value")
 
 
 @register("half_life", sql(
@@ -110,41 +111,17 @@ def ar1_irf(spark, sf):
     return rounded(shocks.ar1_irf(p, "rho", "sigma", 12).select("draw_id", "h", "response"), 9, "response")
 
 
-_SCALE = 2 ** -0.5   # keeps responses off decimal ties when they are rounded
-
-
-def _systems(spark, sf):
-    """Two-state systems from parts: a triangular transition, so states interact."""
-    num = {"a": 0.5 + 0.009 * F.col("p_size"), "b": 0.3 + 0.006 * (F.col("p_partkey") % 100),
-           "c": 0.1 + 0.002 * (F.col("p_partkey") % 10)}
-    zero, one = F.lit(0.0), F.lit(1.0)
-    return table(spark, sf, "part").select(
-        F.col("p_partkey").alias("draw_id"), F.lit(2).alias("n_state"), F.lit(2).alias("n_shock"),
-        F.array(num["a"], num["c"], zero, num["b"]).alias("A"), F.array(one, zero, zero, F.lit(0.5)).alias("B"),
-        F.array(*[F.lit(v * _SCALE) for v in (1.0, 1.0, -1.0, 2.0)]).alias("C"))
-
-
-# A = [[a, c], [0, b]]: A^h has a^h and b^h on the diagonal and c (a^h - b^h)/(a - b) above it
-_PATHS = ("SELECT draw_id, variable, shock, h, CASE WHEN shock = 'e1' THEN CASE WHEN variable = 'v1' THEN ah ELSE -ah END*{k} "
-          "ELSE CASE WHEN variable = 'v1' THEN 0.5*(u + bh) ELSE 0.5*(2*bh - u) END*{k} END AS value FROM (SELECT draw_id, h, "
-          "pow(a, h) AS ah, pow(b, h) AS bh, CASE WHEN abs(a - b) < 1e-9 THEN CASE WHEN h = 0 THEN 0 ELSE c*h*pow(a, h - 1) END "
-          "ELSE c*(pow(a, h) - pow(b, h))/(a - b) END AS u FROM (SELECT p_partkey AS draw_id, 0.5e0 + 0.009e0*p_size AS a, "
-          "0.3e0 + 0.006e0*(p_partkey % 100) AS b, 0.1e0 + 0.002e0*(p_partkey % 10) AS c FROM part), "
-          "(SELECT CAST(range AS INTEGER) AS h FROM range({n}))), (VALUES ('v1'), ('v2')) v(variable), "
-          "(VALUES ('e1'), ('e2')) s(shock)")
-
-
-@register("irf_paths", sql("SELECT draw_id, variable, shock, h, round(value, 6) + 0.0 AS value FROM p", p=_PATHS.format(n=12, k=repr(_SCALE))))
-def irf_paths(spark, sf):
-    return rounded(shocks.irf_paths(_systems(spark, sf), ["v1", "v2"], ["e1", "e2"], 12), 6, "value")
-
-
 @register("irf_bands", sql(
-    "SELECT variable, shock, h, round(quantile_cont(value, 0.025), 6) + 0.0 AS q025, round(quantile_cont(value, 0.5), 6) + 0.0 AS q50, "
-    "round(quantile_cont(value, 0.975), 6) + 0.0 AS q975 FROM p GROUP BY 1, 2, 3", p=_PATHS.format(n=40, k=repr(_SCALE))))
+    "SELECT h, round(quantile_cont(r, 0.025), 6) AS q025, round(quantile_cont(r, 0.5), 6) AS q50, "
+    "round(quantile_cont(r, 0.975), 6) AS q975 FROM (SELECT h, (1 + p_partkey % 7)/11.0e0*pow(CAST(0.5 AS DOUBLE) + "
+    "CAST(0.0095 AS DOUBLE)*p_size, h) AS r FROM part, (SELECT CAST(range AS INTEGER) AS h FROM range(41))) GROUP BY 1"))
 def irf_bands(spark, sf):
-    paths = shocks.irf_paths(spread(_systems(spark, sf), ["draw_id"]), ["v1", "v2"], ["e1", "e2"], 40)
-    bands = posterior_quantiles(paths, ["variable", "shock", "h"], {"q025": 0.025, "q50": 0.5, "q975": 0.975})
+    """Bands over a given table of responses."""
+    p = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("draw_id"), (0.5 + 0.0095 * F.col("p_size")).alias("rho"),
+        ((1 + F.col("p_partkey") % 7) / 11.0).alias("sigma"))
+    paths = shocks.ar1_irf(spread(p, ["draw_id"]), "rho", "sigma", 40).withColumnRenamed("response", "value")
+    bands = posterior_quantiles(paths, ["h"], {"q025": 0.025, "q50": 0.5, "q975": 0.975})
     return rounded(bands, 6, "q025", "q50", "q975")
 
 

@@ -26,13 +26,17 @@ DRAWS = T.StructType([
 
 def read_delimited(spark: SparkSession, path: str, columns: list, period: str, sep: str = ",",
                    nulls: tuple = NULLS, types: dict | None = None) -> DataFrame:
-    """Delimited text with a header; ``columns`` lists the file's header in order.
+    """The named ``columns`` of delimited text, found by the file's header in any order.
 
-    Every field is read as text, the strings in ``nulls`` become null, rows
+    A name the header lacks is an error.  Every field is read as text, the strings in ``nulls`` become null, rows
     without a period are dropped and the fields named in ``types`` are cast.  A
     field that does not parse as its type is null rather than an error.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    header = spark.read.csv(path, sep=sep, header=False).first()    # the first line only
+    names = distinct_names([c or f"column {k}" for k, c in enumerate(header or columns)])
+    if missing := [c for c in columns if c not in names]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     raw = spark.read.csv(path, sep=sep, header=True, schema=schema, enforceSchema=True)
     types = types or {}
     picked = []
@@ -52,13 +56,13 @@ SDMX_COLUMNS = [
 
 
 def distinct_names(header: list) -> list:
-    """Column names that stay apart without regard to case: a repeated name gets ``label`` appended."""
-    seen: set = set()
-    names = []
-    for c in header:
-        names.append(f"{c} label" if c.lower() in seen else c)
-        seen.add(c.lower())
-    return names
+    """Column names that stay apart without regard to case.
+
+    Of names that differ in case only, the lower-case one (a code) stays and the others (its labels) get
+    ``label`` appended, in whatever order they come.
+    """
+    codes = {c for c in header if c == c.lower()}
+    return [c if c in codes or c.lower() not in codes else f"{c} label" for c in header]
 
 
 def read_sdmx(spark: SparkSession, path: str, filters: dict | None = None,
@@ -66,10 +70,10 @@ def read_sdmx(spark: SparkSession, path: str, filters: dict | None = None,
     """SDMX long file to ``(geo, freq, unit, period, value)``.
 
     ``filters`` maps a dimension code column to the wanted value or values.
-    Names that differ only in case (``sex`` and ``Sex``) are told apart by
-    position, so the label columns are renamed on the way in.
+    Columns are found by the header, in any order.  Names that differ only in case
+    (``sex`` and ``Sex``) are a code and its label; the label columns are renamed on the way in.
     """
-    names = distinct_names(columns or SDMX_COLUMNS)
+    names = columns or list(dict.fromkeys(["geo", "freq", "unit", "TIME_PERIOD", "OBS_VALUE", *(filters or {})]))
     df = read_delimited(spark, path, names, "TIME_PERIOD", sep, types={"OBS_VALUE": "double"})
     for dim, wanted in (filters or {}).items():
         wanted = [wanted] if isinstance(wanted, str) else list(wanted)
@@ -98,9 +102,13 @@ def write_table(df: DataFrame, path: str, order: list | None = None, fmt: str =
         out.write.mode(mode).format(fmt).save(path)
 
 
-def write_draws(draws: DataFrame, path: str, mode: str = "append") -> None:
-    """Store draws under one folder per ``run``, so that a run is read without its neighbours."""
-    draws.select(*DRAWS.names).write.mode(mode).partitionBy("run").parquet(path)
+def write_draws(draws: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store draws under one folder per ``run``, so that a run is read without its neighbours.
+
+    By default the folders of the runs in ``draws`` are replaced and other runs stay, so a rerun is safe.
+    """
+    (draws.select(*DRAWS.names).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run").parquet(path))
 
 
 def read_draws(spark: SparkSession, path: str, run: str | None = None, internals: bool = False) -> DataFrame:

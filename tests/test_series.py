@@ -150,7 +150,7 @@ def test_ratio_calibration(spark):
 
 def test_labels(spark):
     df = spark.createDataFrame([("eps_x₍ₓ₎",), ("eps_xi_h₍ₓ₎",), ("eps_x",), ("eps_xq",), ("mean",)], "c string")
-    got = {r["c"]: r for r in rows(df.select("c", labels.match_shock_name(F.col("c"), list(labels.SHOCK_LABELS)).alias("m"),
+    got = {r["c"]: r for r in rows(df.select("c", labels.match_shock_name(F.col("c"), labels.SHOCKS).alias("m"),
                                              labels.is_component_shock(F.col("c")).alias("s")))}
     assert [got[c]["m"] for c in ("eps_x₍ₓ₎", "eps_xi_h₍ₓ₎", "eps_x", "eps_xq")] == ["eps_x", "eps_xi_h", "eps_x", None]
     assert got["mean"]["s"] is False
@@ -218,3 +218,18 @@ def test_public_series(spark):
     assert rows(idx.filter("date = '2024-10-01'"))[0]["x"] == pytest.approx(143.464490, abs=2e-6)
     rolled = series.rolling_sum(tax.withColumn("quarter_idx", periods.quarter_idx(F.col("date"))), ["geo"], "IS", "s")
     assert rows(rolled.filter("date = '1996-01-01'"))[0]["s"] == pytest.approx(7366.527)
+
+
+def test_columns_are_found_by_header(spark, tmp_path):
+    from panelspark.sources.tables import read_delimited, read_draws, read_sdmx, write_draws
+    (tmp_path / "a.csv").write_text("OBS_VALUE,Sex,geo,TIME_PERIOD,sex,freq,unit\n27,Males,ES,1995,M,A,NR\n28,Total,ES,1995,T,A,NR\n")
+    got = rows(read_sdmx(spark, str(tmp_path / "a.csv"), {"sex": "T"}))
+    assert got == [{"geo": "ES", "freq": "A", "unit": "NR", "period": "1995", "value": 28.0}]
+    with pytest.raises(ValueError):
+        read_delimited(spark, str(tmp_path / "a.csv"), ["geo", "absent"], "geo")
+    draws = spark.createDataFrame([(r, "p", 1, k, 1.0) for r in "ab" for k in (1, 2)],
+                                  "run string, param string, chain int, iter long, value double")
+    for _ in range(2):
+        write_draws(draws, str(tmp_path / "draws"))
+    write_draws(draws.filter("run = 'a'").limit(1), str(tmp_path / "draws"))
+    assert read_draws(spark, str(tmp_path / "draws"), "a").count() == 1 and read_draws(spark, str(tmp_path / "draws"), "b").count() == 2

@@ -48,7 +48,7 @@ def contrib(spark):
     out = [(r, "y", n, t, (i + 1.0) * (-1) ** (i + t)) for r in ("one", "two") for i, n in enumerate(names) for t in (1, 2)]
     out += [("one", "y", "Initial_values", t, 0.5) for t in (1, 2)]
     df = spark.createDataFrame(out, "run string, variable string, component string, t int, value double")
-    clean = F.coalesce(labels.match_shock_name(F.col("component"), list(labels.SHOCK_LABELS)), "component")
+    clean = F.coalesce(labels.match_shock_name(F.col("component"), labels.SHOCKS), "component")
     return df.withColumn("component", clean)
 
 
@@ -81,22 +81,6 @@ def test_half_life_and_ar1(spark):
     assert [r["response"] for r in path] == pytest.approx([0.1 * 0.9463 ** h for h in range(4)])
 
 
-def test_irf_paths(spark):
-    a2, b2, c2 = [.9, 0., 0., .5], [1., 0., 0., 2.], [1., 1., 0., 3.]
-    a3 = [.5, .1, 0., 0., .4, .2, .1, 0., .3]
-    b3, c3 = [1., 0., 0., 1., .5, .5], [1., 0., 1., 0., 1., 0.]
-    df = spark.createDataFrame([(1, 2, 2, a2, b2, c2), (2, 3, 2, a3, b3, c3)],
-                               "draw_id int, n_state int, n_shock int, A array<double>, B array<double>, C array<double>")
-    got = {(r["draw_id"], r["variable"], r["shock"], r["h"]): r["value"] for r in rows(shocks.irf_paths(df, ["y", "z"], ["u", "w"], 40))}
-    assert len(got) == 2 * 2 * 2 * 40
-    for h in (0, 1, 7, 39):
-        assert got[(1, "y", "u", h)] == pytest.approx(0.9 ** h) and got[(1, "z", "w", h)] == pytest.approx(6 * 0.5 ** h)
-        want = np.reshape(c3, (2, 3)) @ np.linalg.matrix_power(np.reshape(a3, (3, 3)), h) @ np.reshape(b3, (3, 2))
-        for i, v in enumerate("yz"):
-            for j, s in enumerate("uw"):
-                assert got[(2, v, s, h)] == pytest.approx(want[i, j], abs=1e-14)
-
-
 def test_var1_and_distance(spark):
     rng = np.random.default_rng(2)
     cols = ["y", "c", "i", "n"]
@@ -118,3 +102,21 @@ def test_var1_and_distance(spark):
     bad = theta.withColumn("alpha", F.lit(1.2)).withColumn("out_of_bounds", moments.out_of_bounds())
     assert {r["distance"] for r in rows(moments.moment_distance(bad, coef.filter("k = 'a'"), ["k"]))} == {moments.PENALTY}
     assert math.isclose(moments.PENALTY, 1e6)
+
+
+def test_groups_add_up_with_decorated_and_other_names(spark):
+    df = spark.createDataFrame([("r", "y", 1, n, float(v)) for n, v in
+                                [("eps_a₍ₓ₎", 1), ("eps_c", 2), ("noise", 4), ("mean", 8)]],
+                               "run string, variable string, t int, component string, value double")
+    got = {r["group"]: r["contribution"] for r in rows(shocks.group_contributions(df))}
+    assert got == {"Productivitat": 1.0, "Fiscal": 2.0, "other": 4.0}
+    assert sum(got.values()) == rows(shocks.component_total(df))[0]["shocks"]
+
+
+def test_missing_moments_cost_the_penalty(spark):
+    from panelspark.operators import moments
+    target = spark.createDataFrame([(0, 1.0), (1, 2.0)], "pos int, coef double")
+    df = spark.createDataFrame([("full", 0, 1.5, False), ("full", 1, 3.0, False), ("half", 0, 1.0, False), ("out", None, None, True)],
+                               "id string, pos int, coef double, out_of_bounds boolean")
+    got = {r["id"]: r["distance"] for r in rows(moments.moment_distance(df, target, ["id"]))}
+    assert got == {"full": 1.25, "half": moments.PENALTY, "out": moments.PENALTY}

@@ -77,7 +77,7 @@ def test_failed_rows_keep_their_row(spark):
         {"id": 6, **POINT, "xi": float("nan")})
     got = rows(steady.steady_state(df), "id")
     assert [r["status"] for r in got][:4] == ["ok", "null_param", "bad_param", "no_interior"]
-    assert got[4]["status"] in ("no_bracket", "ok") and got[5]["status"] == "null_param"
+    assert got[4]["status"] in ("no_interior", "ok") and got[5]["status"] == "null_param"
     for r in got:
         assert (r["y"] is None) == (r["status"] != "ok")
 
@@ -144,3 +144,18 @@ def test_posterior_functional(spark):
     assert got["cf1"]["n"] == 8
     assert 0 < got["cf1"]["self_financing_share"] < 1
     assert math.isfinite(got["cf4"]["ecv_pct_std"])
+
+
+def test_open_brackets_and_positive_hours(spark):
+    low = {**POINT, "alpha": 0.40, "alpha_u": 0.40, "delta_k": 0.005}
+    df = parameter_rows(
+        spark, {"id": 1, **low}, {"id": 2, **low, "xi": 4.0, "tau_c_ss": 0.05}, {"id": 3, **POINT, "phi": 2.0, "xi": 1.0},
+        {"id": 4, **POINT, "phi": 2.5, "xi": 0.5}, {"id": 5, **POINT, "phi": 1.5, "xi": 1.5})
+    got = rows(steady.steady_state(df), "id")
+    assert [r["status"] for r in got[:2]] == ["ok", "ok"]
+    assert got[0]["c"] == pytest.approx(25.52, abs=0.01) and got[1]["c"] == pytest.approx(64.65, abs=0.01)
+    for r in got:
+        assert (r["status"] == "ok") == (r["c"] is not None)
+        if r["status"] == "ok":
+            assert r["n_m"] > 0 and r["n_u"] > 0
+            assert r["c"] + r["inv"] + r["G_c"] + r["G_h"] + r["G_s"] == pytest.approx(r["y"])
