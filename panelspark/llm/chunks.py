@@ -33,7 +33,7 @@ class ChunkCache(dict):
     def learn(self, texts: list[list[str]]) -> None:
         """Fills in what the chunks of some texts need, all together."""
         every = set().union(*texts)
-        new = every - self.keys()
+        new = [c for c in every if c not in self]
         if len(self) + len(new) > CACHE_LIMIT:
             self.clear()
             new = every
