@@ -30,7 +30,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of every group of near duplicates."""
+    """Keeps the smallest id of every group of near duplicates: five-word shingles, similarity 0.8 or more."""
     return simhash.keep_one(docs)
 
 

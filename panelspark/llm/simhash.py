@@ -10,6 +10,13 @@ never formed.  A tile pair is one exclusive-or and bit count over a numpy matrix
 Equal fingerprints are one class before any comparison, so exact copies add no work.
 A tile pair returns edges that connect what it found linked, not every link:
 components need no more, and a group of near copies stays linear in its output.
+
+Copies with edits (``similar_groups``).  A shingle similarity of 0.8 moves about
+ten of 64 bits, too many for bands.  There fingerprints have ``64 * WIDE`` bits over distinct
+shingles, and groups share one of ``KEYS`` pairs of smallest shingle hashes, which
+two such texts miss with a probability of 0.0003.  Tiles are compared as above within a wide
+radius, larger groups return the shortest connecting edges, and every edge is
+checked by the exact similarity of its two shingle sets.
 """
 
 from __future__ import annotations
@@ -25,28 +32,61 @@ from panelspark.session import written
 TILE = 1024
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 1 << 15    # shingles whose bits are unpacked at once
+WIDE = 8            # 64-bit words of a wide fingerprint
+WIDE_RADIUS = 108   # of 512 bits: similarity 0.8 differs in 78 bits, standard deviation 8
+KEYS = 8            # groups a text is dealt to by its smallest shingle hashes
+_ODD = np.random.default_rng(20250119).integers(1, 1 << 63, WIDE + 2 * KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
-    """Bits set in over half of the shingle hashes, as an unsigned 64-bit integer; 0 without words."""
+def _shingles(split: list[bytes], words: int, seed: int) -> np.ndarray:
+    """Hashes of the shingles of a text's words, repeats included; a shorter text is one shingle."""
     import xxhash
-    split = text.translate(_LOWER).split()
-    if not split:
-        return 0
     joined = b" ".join(split)
     hashed = xxhash.xxh64_intdigest
     if len(split) <= words:
-        hashes = np.array([hashed(joined, seed)], np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in split])
-        starts = np.concatenate([[0], ends[:-1]])
-        hashes = np.array([hashed(joined[a:b], seed) for a, b in
-                           zip(starts[:len(split) - words + 1].tolist(), (ends[words - 1:] - 1).tolist())], np.uint64)
+        return np.array([hashed(joined, seed)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in split])
+    starts = np.concatenate([[0], ends[:-1]])
+    return np.array([hashed(joined[a:b], seed) for a, b in
+                     zip(starts[:len(split) - words + 1].tolist(), (ends[words - 1:] - 1).tolist())], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Bits set in over half of the hashes, as one unsigned 64-bit integer."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _BLOCK):
         block = hashes[at:at + _BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
+    """Bits set in over half of the shingle hashes, as an unsigned 64-bit integer; 0 without words."""
+    split = text.translate(_LOWER).split()
+    return int(_majority(_shingles(split, words, seed))[0]) if split else 0
+
+
+def shingle_set(text: bytes, words: int, seed: int = 42) -> tuple[int, np.ndarray]:
+    """Digest of the sequence of words, and the sorted distinct shingle hashes; none without words."""
+    import xxhash
+    split = text.translate(_LOWER).split()
+    found = np.unique(_shingles(split, words, seed)) if split else np.zeros(0, np.uint64)
+    return xxhash.xxh64_intdigest(b" ".join(split), seed + 1), found
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    h = hashes * _ODD[k]
+    return (h ^ (h >> np.uint64(29))) * _ODD[k]
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[bytes, list[int]]:
+    """``WIDE`` words of majority bits over distinct shingle hashes, and ``KEYS`` keys from pairs of smallest hashes."""
+    if not len(hashes):
+        return bytes(8 * WIDE), [0] * KEYS
+    bits = np.concatenate([_majority(_mixed(hashes, k)) for k in range(WIDE)])
+    low = np.array([_mixed(hashes, WIDE + k).min() for k in range(2 * KEYS)])
+    keys = (low[0::2] * np.uint64(0x9E3779B97F4A7C15) ^ (low[1::2] >> np.uint64(7))) + np.arange(KEYS, dtype=np.uint64)
+    return bits.tobytes(), keys.view(np.int64).tolist()
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,6 +170,29 @@ def _links(radius: int):
     return run
 
 
+def _deal(rows: DataFrame, group: list, node: list, radius: int, tile: int, above: int, how: str) -> DataFrame:
+    """Rows with the tile pairs they take part in: (*node, tile, pair).
+
+    Groups with more than ``above`` rows get a layout: per population count, the rows before and within the radius.
+    ``how`` says whether rows of other groups stay, in one tile ("left"), or go ("inner").
+    """
+    whole = Window.partitionBy(*group)
+    upto = whole.orderBy("ones")
+    layout = (rows.groupBy(*group, "ones").agg(F.count("*").alias("n"))
+              .withColumn("total", F.sum("n").over(whole)).filter(F.col("total") > above)
+              .select(*group, "ones", "n",
+                      (F.sum("n").over(upto) - F.col("n")).alias("before"),
+                      F.coalesce(F.sum("n").over(upto.rangeBetween(Window.unboundedPreceding, -radius - 1)), F.lit(0)).alias("low"),
+                      F.sum("n").over(upto.rangeBetween(Window.unboundedPreceding, radius)).alias("high")))
+    layout = written(layout, "tiles")
+    mine = F.coalesce(F.floor((F.col("before") + F.pmod(F.xxhash64(node[0]), F.col("n"))) / tile), F.lit(0))
+    first = F.coalesce(F.floor(F.col("low") / tile), F.lit(0))
+    last = F.coalesce(F.floor((F.col("high") - 1) / tile), F.lit(0))
+    return (rows.join(layout, [*group, "ones"], how)
+            .select(*node, *group, mine.alias("tile"), F.explode(F.sequence(first, last)).alias("other"))
+            .select(*node, "tile", F.xxhash64(*group, F.least("tile", "other"), F.greatest("tile", "other")).alias("pair")))
+
+
 def linked_pairs(classes: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` that connect exactly what links within ``radius`` connect."""
     bands = radius + 1
@@ -141,30 +204,126 @@ def linked_pairs(classes: DataFrame, radius: int = 3, tile: int = TILE) -> DataF
         at += w
     rows = classes.select("fp", F.bit_count("fp").alias("ones"), F.explode(F.array(*parts)).alias("g")).select(
         "fp", "ones", "g.band", "g.value")
-    # only groups beyond one tile need a layout: per population count, the rows before and within the radius
-    group = Window.partitionBy("band", "value")
-    upto = group.orderBy("ones")
-    layout = (rows.groupBy("band", "value", "ones").agg(F.count("*").alias("n"))
-              .withColumn("total", F.sum("n").over(group)).filter(F.col("total") > tile)
-              .select("band", "value", "ones", "n",
-                      (F.sum("n").over(upto) - F.col("n")).alias("before"),
-                      F.coalesce(F.sum("n").over(upto.rangeBetween(Window.unboundedPreceding, -radius - 1)), F.lit(0)).alias("low"),
-                      F.sum("n").over(upto.rangeBetween(Window.unboundedPreceding, radius)).alias("high")))
-    layout = written(layout, "tiles")
-    mine = F.coalesce(F.floor((F.col("before") + F.pmod(F.xxhash64("fp"), F.col("n"))) / tile), F.lit(0))
-    first = F.coalesce(F.floor(F.col("low") / tile), F.lit(0))
-    last = F.coalesce(F.floor((F.col("high") - 1) / tile), F.lit(0))
-    dealt = (rows.join(layout, ["band", "value", "ones"], "left")
-             .select("fp", "band", "value", mine.alias("tile"),
-                     F.explode(F.sequence(first, last)).alias("other"))
-             .select("fp", "tile", F.xxhash64("band", "value", F.least("tile", "other"),
-                                              F.greatest("tile", "other")).alias("pair")))
+    dealt = _deal(rows, ["band", "value"], ["fp"], radius, tile, tile, "left")
     n = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")),
             classes.sparkSession.sparkContext.defaultParallelism)
     return (dealt.repartition(n, "pair").sortWithinPartitions("pair", "tile")
             .mapInArrow(_links(radius), "a long, b long").filter("a <> b"))
 
 
+# -- copies with edits --------------------------------------------------------------
+def _distances(bits: np.ndarray) -> np.ndarray:
+    """Differing bits between all rows of one tile pair."""
+    out = np.zeros((len(bits), len(bits)), np.int16)
+    for word in bits.T:
+        out += np.bitwise_count(word[:, None] ^ word[None, :])
+    return out
+
+
+def _shortest_edges(apart: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A forest of the shortest edges within ``radius``, grown row by row (Prim)."""
+    n, out = len(apart), []
+    left, near, source = np.ones(n, bool), np.full(n, 1 << 14, np.int16), np.zeros(n, np.int64)
+    for _ in range(n):
+        at = int(np.where(left, near, 1 << 14 | 1).argmin())
+        if near[at] <= radius:
+            out.append((int(source[at]), at))
+        left[at] = False
+        closer = apart[at] < near
+        near[closer] = apart[at][closer]
+        source[closer] = at
+    return out
+
+
+def _wide_links(radius: int, every: int = 32):
+    """Per tile pair: all links where it has at most ``every`` rows, else the shortest that connect what is linked."""
+    def found(node, tile, bits):
+        apart = _distances(bits)
+        if tile[0] != tile[-1]:
+            apart[tile[:, None] == tile[None, :]] = 1 << 14
+        np.fill_diagonal(apart, 1 << 14)
+        edges = np.argwhere(np.triu(apart <= radius)) if len(node) <= every else np.array(_shortest_edges(apart, radius), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(c).to_numpy() for c in ("pair", "tile", "node")]
+            cols.append(np.frombuffer(b"".join(b.column("bits").to_pylist()), "<u8").reshape(-1, WIDE))
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+            starts = np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1]]))
+            for at, end in zip(starts, starts[1:]):    # rows are sorted by pair: the last may go on
+                yield from found(held[2][at:end], held[1][at:end], held[3][at:end])
+            held = [x[starts[-1]:] for x in held]
+        if held is not None:
+            yield from found(held[2], held[1], held[3])
+    return run
+
+
+def similar_pairs(classes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) between the ``node`` of classes with wide fingerprints ``bits`` within ``radius`` that share one of their ``keys``."""
+    spark = classes.sparkSession
+    rows = classes.select("node", "bits", "ones", F.explode("keys").alias("key"))
+    dealt = _deal(rows, ["key"], ["node", "bits"], radius, tile, 1, "inner")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    edges = (dealt.repartition(n, "pair").sortWithinPartitions("pair", "tile")
+             .mapInArrow(_wide_links(radius), "a long, b long"))
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, tile: int = TILE,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable over texts whose shingle sets are ``least`` similar or more.
+
+    Similarity is shared over all distinct shingles of both.  Texts of the same words are one
+    class; null, empty and blank texts are one class too.  A text shorter than a
+    shingle is one shingle.  Repeated rows repeat.  Rows without an id are left out.
+    """
+    rows = id_and_text(docs, id_col, text_col).filter("doc_id is not null")
+
+    def measure(batches):
+        for b in batches:
+            ids, found = b.column("doc_id"), [shingle_set(t, words) for t in bytes_of(b.column("text"))]
+            wide = [wide_fingerprint(h) for _, h in found]
+            ones = [int.from_bytes(bits).bit_count() for bits, _ in wide]
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(np.array([d for d, _ in found], np.uint64).view(np.int64)), pa.array([w[0] for w in wide], pa.binary()),
+                 pa.array(ones, pa.int32()), pa.array([w[1] for w in wide], pa.list_(pa.int64()))],
+                names=["doc_id", "node", "bits", "ones", "keys"])
+
+    fps = written(rows.mapInArrow(measure, "doc_id long, node long, bits binary, ones int, keys array<long>"), "wide")
+    classes = written(fps.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("bits").alias("bits"), F.first("ones").alias("ones"),
+                                              F.first("keys").alias("keys")), "classes")
+    edges = written(similar_pairs(classes, tile=tile), "candidates")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    wanted = written(classes.join(nodes, "node").select("node", F.col("low").alias("doc_id")), "wanted")
+
+    def sets(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                found = [shingle_set(t, words) for t in bytes_of(b.column("text").slice(at, 256))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array([d for d, _ in found], np.uint64).view(np.int64)),
+                     pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    # an id may be repeated with other words, so the digest is compared again
+    again = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(sets, "node long, hashes array<long>")
+    again = written(again.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    both = (edges.join(again.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+            .join(again.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b"))
+    shared = F.size(F.array_intersect("ha", "hb"))
+    alike = both.filter(shared >= least * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
+    roots = written(components(alike), "roots")
+    linked = classes.join(roots, "node").select("node", "root", "low")
+    lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = linked.select("node", "root").join(lowest, "root").select("node", "component_id")
+    final = written(classes.select("node", "low").join(named, "node", "left")
+                    .select("node", F.coalesce("component_id", "low").alias("component_id")), "components")
+    return fps.select("doc_id", "node").join(final, "node").select("doc_id", "component_id")
+
+
 # -- components -------------------------------------------------------------------
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge: root is the smallest node reachable.
@@ -209,13 +368,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, tile: int
     return fps.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that represent their group of near duplicates: the smallest id of each.
 
-    Of repeated rows with the same id one stays.  Rows without an id cannot be named
-    as a representative and all stay.
+    Groups are those of ``similar_groups``.  Of repeated rows with the same id one
+    stays.  Rows without an id cannot be named as a representative and all stay.
     """
-    found = near_duplicates(docs, words, radius, TILE, id_col, text_col)
+    found = similar_groups(docs, words, least, TILE, id_col, text_col)
     kept = written(found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct(), "kept")
     named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -165,11 +165,43 @@ def test_simhash_components_equal_all_pairs(spark, tile):
         low = np.array([low[row].min() for row in linked])
     assert [got[i]["component_id"] for i in sorted(got)] == (low + 7).tolist()
     assert got[max(got)]["fingerprint"] == "0" * 16
-    kept = {r["doc_id"] for r in simhash.keep_one(df, words=3).collect()}
-    assert kept == {r["component_id"] for r in got.values()}
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [1024, 8])
+def test_copies_with_edits_equal_all_pairs(spark, tile):
+    rng = random.Random(10)
+    base = [text_of(rng, 150) for _ in range(20)]
+    texts = base + [b.upper() for b in base[:5]] + [base[0]] * 9 + ["", None, "  ", "one two", "one  two", "three"]
+    for b in base:
+        for edits in (1, 2, 3, 4, 5, 8):
+            w = b.split()
+            for k in rng.sample(range(len(w)), edits):
+                w[k] = f"new{rng.randrange(10 ** 6)}"
+            texts.append(" ".join(w))
+    texts += [base[1] + f" tail{k}" for k in range(60)]    # one group of more rows than are compared all with all
+    rows = list(enumerate(texts, 7))
+    sets = [set(simhash.shingle_set((t or "").encode(), 5)[1].tolist()) for t in texts]
+    low = list(range(len(texts)))
+
+    def top(k):
+        while low[k] != k:
+            k = low[k]
+        return k
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low[max(top(a), top(b))] = min(top(a), top(b))
+    want = {i: top(k) + 7 for k, (i, _) in enumerate(rows)}
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows] + [(7, texts[0], 2), (None, texts[0], 3)], "doc_id long, text string, component_id int")
+    got = simhash.similar_groups(df, tile=tile).collect()
+    assert len(got) == len(texts) + 1 and {r["doc_id"]: r["component_id"] for r in got} == want
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["None", *map(str, set(want.values()))])
+    assert simhash.similar_groups(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
@@ -280,7 +312,7 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     assert not kept & leaked
     labels = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").join(docs, "doc_id").select("doc_id")
     clean = {r["doc_id"] for r in labels.collect()} - leaked
-    copies = {r["doc_id"] for r in simhash.near_duplicates(docs, words=5).filter("doc_id <> component_id").collect()}
+    copies = {r["doc_id"] for r in simhash.similar_groups(docs).filter("doc_id <> component_id").collect()}
     assert len(clean - copies - kept) <= 0.05 * len(clean)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
