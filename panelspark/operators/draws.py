@@ -1,7 +1,7 @@
 """Summaries of sampler draws ``(run, param, chain, iter, value)``.
 
-Iterations of a chain are consecutive integers.  A parameter may hold any share
-of the rows: every ordered step goes through ``split``.
+Iterations of a chain are distinct integers; gaps, as in thinned chains, are allowed.
+A parameter may hold any share of the rows: every ordered step goes through ``split``.
 """
 
 from __future__ import annotations
@@ -35,16 +35,20 @@ def posterior_quantiles(draws: DataFrame, keys: list = KEYS, probs: dict = QUANT
 
 
 def split_halves(draws: DataFrame) -> DataFrame:
-    """Add ``half`` (0 or 1), ``pos`` within the half and its length ``n_half``; an odd middle draw is dropped."""
-    chains = written(
-        draws.groupBy(*KEYS, "chain").agg(F.min("iter").alias("_lo"), F.max("iter").alias("_hi")), "chains")
-    length = F.col("_hi") - F.col("_lo") + 1
+    """Add ``half`` (0 or 1), ``pos`` within the half and its length ``n_half``; an odd middle draw is dropped.
+
+    Positions follow the order of the iterations, whatever their numbers; null draws are left out.
+    """
+    keys = [*KEYS, "chain"]
+    numbered = split.number_rows(draws.filter(F.col("value").isNotNull()), keys, "iter", "_seq")
+    chains = written(draws.groupBy(*keys).agg(F.count("value").alias("_len")), "chains")
+    length = F.col("_len")
     n_half = F.floor(length / 2).cast("long")
-    at = F.col("iter") - F.col("_lo")
+    at = F.col("_seq") - 1
     half = F.when(at < n_half, 0).when(at >= length - n_half, 1)
-    out = draws.join(chains, [*KEYS, "chain"]).withColumns({"n_half": n_half, "half": half, "_at": at})
+    out = numbered.join(chains, keys).withColumns({"n_half": n_half, "half": half, "_at": at})
     pos = F.when(F.col("half") == 0, F.col("_at")).otherwise(F.col("_at") - (length - F.col("n_half")))
-    return out.filter(F.col("half").isNotNull()).withColumn("pos", pos).drop("_lo", "_hi", "_at")
+    return out.filter(F.col("half").isNotNull()).withColumn("pos", pos).drop("_len", "_seq", "_at")
 
 
 @dataclass

@@ -275,6 +275,9 @@ _PRIORS = {
 # the same densities in closed form: a Beta with whole parameters has a binomial tail as its mass
 _BETA_MASS = sum(math.comb(14, j) * 0.97 ** j * 0.03 ** (14 - j) for j in range(12, 15))
 _NORMAL_MASS = 0.5 * (1 + math.erf(0.37 / 0.20 / math.sqrt(2)))
+# a truncated Beta's mean needs the mass of a Beta with one more in its first parameter
+_BETA_MEAN = 12 / 15 * sum(math.comb(15, j) * 0.97 ** j * 0.03 ** (15 - j) for j in range(13, 16)) / _BETA_MASS
+_NORMAL_MEAN = 0.37 + 0.20 * math.exp(-(0.37 / 0.20) ** 2 / 2) / math.sqrt(2 * math.pi) / _NORMAL_MASS
 _LOG_PDF = (
     "CASE WHEN x <= 0 AND param IN ('click', 'error', 'purchase') THEN NULL ELSE CASE param "
     f"WHEN 'click' THEN CASE WHEN x <= 0.97 THEN 11*ln(x) + 2*ln(1-x) + ln({math.factorial(14) / math.factorial(11) / 2}) - ln({_BETA_MASS!r}) END "
@@ -306,13 +309,13 @@ def log_prior(spark, sf):
 
 @register("prior_posterior", sql(
     "SELECT param, family, round(mean, 6) AS mean, round(std, 6) AS std, round((mean - pm)/abs(pm), 4) AS shift FROM s JOIN "
-    "(VALUES ('error', 'Gamma', 1.0e0), ('purchase', 'InverseGamma', 0.25e0), ('view', 'Uniform', 0.5e0)) "
+    f"(VALUES ('click', 'Beta', {_BETA_MEAN!r}::DOUBLE), ('error', 'Gamma', 1.0e0), ('purchase', 'InverseGamma', 0.25e0), "
+    f"('signup', 'Normal', {_NORMAL_MEAN!r}::DOUBLE), ('view', 'Uniform', 0.5e0)) "
     "t(param, family, pm) USING (param)", "dr",
     u="SELECT run, param, value/(value + 20) AS value FROM dr", s=_SUMMARY.format(src="u")))
 def prior_posterior(spark, sf):
     summary = d.posterior_summary(_unit(draws(spark, sf, numbered=False)))
-    plain = {k: v for k, v in _PRIORS.items() if v[3] is None and v[4] is None}
-    out = d.prior_posterior(summary, priors.prior_table(spark, plain))
+    out = d.prior_posterior(summary, priors.prior_table(spark, _PRIORS))
     return rounded(rounded(out.select("param", "family", "mean", "std", "shift"), 6, "mean", "std"), 4, "shift")
 
 

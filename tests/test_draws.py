@@ -1,11 +1,12 @@
 """Draw diagnostics against brute force on small fixtures."""
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pytest
-from statistics import NormalDist
+from pyspark.sql import functions as F
 
 from panelspark.functions import priors
 from panelspark.operators import draws as d
@@ -125,6 +126,15 @@ def test_effective_sample_size(draws, args):
     assert got["ar"]["ess_bulk"] < got["mixed"]["ess_bulk"] / 5
 
 
+def test_thinned_chains_and_null_draws_count_as_they_are(spark, draws):
+    few = draws.filter("param in ('ar', 'tied')")
+    gaps = few.withColumn("iter", F.col("iter") * 5 + 3)
+    gaps = gaps.union(gaps.filter("iter % 7 = 0").selectExpr("run", "param", "chain", "iter + 1", "cast(null as double)"))
+    for measure in (d.effective_sample_size, d.rhat_split):
+        want, got = ({tuple(r)[:2]: tuple(r)[2:] for r in measure(x).collect()} for x in (few, gaps))
+        assert want.keys() == got.keys() and all(got[k] == pytest.approx(v, rel=1e-9) for k, v in want.items())
+
+
 def test_report_has_every_parameter(draws):
     got = {r["param"]: r for r in rows(posterior_report(draws, 100.0, **SPLIT))}
     assert set(got) == set(KINDS)
