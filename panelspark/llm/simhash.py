@@ -16,7 +16,8 @@ ten of 64 bits, too many for bands.  There fingerprints have ``64 * WIDE`` bits
 shingles, and groups share one of ``KEYS`` pairs of smallest shingle hashes, which
 two such texts miss with a probability of 0.0003.  Tiles are compared as above within a wide
 radius, larger groups return the shortest connecting edges, and every edge is
-checked by the exact similarity of its two shingle sets.
+checked by the exact similarity of its two shingle sets.  Where rejected edges left
+a larger group in several parts, a second pass checks all pairs of different parts within the radius.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 1 << 15    # shingles whose bits are unpacked at once
 WIDE = 8            # 64-bit words of a wide fingerprint
 WIDE_RADIUS = 108   # of 512 bits: similarity 0.8 differs in 78 bits, standard deviation 8
+EVERY = 32          # rows of a tile pair up to which all its links are returned at once
 KEYS = 8            # groups a text is dealt to by its smallest shingle hashes
 _ODD = np.random.default_rng(20250119).integers(1, 1 << 63, WIDE + 2 * KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -235,14 +237,24 @@ def _shortest_edges(apart: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _wide_links(radius: int, every: int = 32):
-    """Per tile pair: all links where it has at most ``every`` rows, else the shortest that connect what is linked."""
-    def found(node, tile, bits):
+def _wide_links(radius: int, across: bool = False):
+    """Per tile pair: all links where it has at most ``EVERY`` rows, else the shortest that connect what is linked.
+
+    With ``across``: all links between rows of different ``part``, where it has more.
+    """
+    def found(node, tile, part, bits):
+        if across and (len(node) <= EVERY or (part == part[0]).all()):
+            return
         apart = _distances(bits)
         if tile[0] != tile[-1]:
             apart[tile[:, None] == tile[None, :]] = 1 << 14
         np.fill_diagonal(apart, 1 << 14)
-        edges = np.argwhere(np.triu(apart <= radius)) if len(node) <= every else np.array(_shortest_edges(apart, radius), np.int64).reshape(-1, 2)
+        if across:
+            edges = np.argwhere(np.triu((apart <= radius) & (part[:, None] != part[None, :])))
+        elif len(node) <= EVERY:
+            edges = np.argwhere(np.triu(apart <= radius))
+        else:
+            edges = np.array(_shortest_edges(apart, radius), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], names=["a", "b"])
 
     def run(batches):
@@ -250,29 +262,61 @@ def _wide_links(radius: int, every: int = 32):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(c).to_numpy() for c in ("pair", "tile", "node")]
+            cols = [b.column(c).to_numpy() for c in ("pair", "tile", "node", "part")]
             cols.append(np.frombuffer(b"".join(b.column("bits").to_pylist()), "<u8").reshape(-1, WIDE))
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
             starts = np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1]]))
             for at, end in zip(starts, starts[1:]):    # rows are sorted by pair: the last may go on
-                yield from found(held[2][at:end], held[1][at:end], held[3][at:end])
+                yield from found(*[held[c][at:end] for c in (2, 1, 3, 4)])
             held = [x[starts[-1]:] for x in held]
         if held is not None:
-            yield from found(held[2], held[1], held[3])
+            yield from found(*[held[c] for c in (2, 1, 3, 4)])
     return run
 
 
-def similar_pairs(classes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) between the ``node`` of classes with wide fingerprints ``bits`` within ``radius`` that share one of their ``keys``."""
+def similar_pairs(classes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE, roots: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) between the ``node`` of classes with wide fingerprints ``bits`` within ``radius`` that share one of their ``keys``.
+
+    With ``roots`` (node, root) of the links verified so far: only what the first call left out, pairs of different
+    roots in groups of more than ``EVERY`` rows.
+    """
     spark = classes.sparkSession
-    rows = classes.select("node", "bits", "ones", F.explode("keys").alias("key"))
-    dealt = _deal(rows, ["key"], ["node", "bits"], radius, tile, 1, "inner")
+    part = F.col("node") if roots is None else F.coalesce("root", "node")
+    named = classes if roots is None else classes.join(roots, "node", "left")
+    rows = named.select("node", "bits", "ones", part.alias("part"), F.explode("keys").alias("key"))
+    if roots is not None:
+        open_keys = (rows.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+                     .filter((F.col("n") > EVERY) & (F.col("low") < F.col("high"))).select("key"))
+        rows = written(rows.join(written(open_keys, "open"), "key", "left_semi"), "parts")
+    dealt = _deal(rows, ["key"], ["node", "part", "bits"], radius, tile, 1 if roots is None else EVERY, "inner")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     edges = (dealt.repartition(n, "pair").sortWithinPartitions("pair", "tile")
-             .mapInArrow(_wide_links(radius), "a long, b long"))
+             .mapInArrow(_wide_links(radius, roots is not None), "a long, b long"))
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
+def _alike(edges: DataFrame, rows: DataFrame, classes: DataFrame, words: int, least: float) -> DataFrame:
+    """The edges (a, b) whose shingle sets, taken again from the texts of their classes, are ``least`` similar or more."""
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    wanted = written(classes.join(nodes, "node").select("node", F.col("low").alias("doc_id")), "wanted")
+
+    def sets(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                found = [shingle_set(t, words) for t in bytes_of(b.column("text").slice(at, 256))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array([d for d, _ in found], np.uint64).view(np.int64)),
+                     pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    # an id may be repeated with other words, so the digest is compared again
+    again = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(sets, "node long, hashes array<long>")
+    again = written(again.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    both = (edges.join(again.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+            .join(again.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b"))
+    shared = F.size(F.array_intersect("ha", "hb"))
+    return written(both.filter(shared >= least * (F.size("ha") + F.size("hb") - shared)).select("a", "b"), "alike")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, tile: int = TILE,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable over texts whose shingle sets are ``least`` similar or more.
@@ -296,26 +340,10 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, tile: in
     fps = written(rows.mapInArrow(measure, "doc_id long, node long, bits binary, ones int, keys array<long>"), "wide")
     classes = written(fps.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("bits").alias("bits"), F.first("ones").alias("ones"),
                                               F.first("keys").alias("keys")), "classes")
-    edges = written(similar_pairs(classes, tile=tile), "candidates")
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    wanted = written(classes.join(nodes, "node").select("node", F.col("low").alias("doc_id")), "wanted")
-
-    def sets(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                found = [shingle_set(t, words) for t in bytes_of(b.column("text").slice(at, 256))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array([d for d, _ in found], np.uint64).view(np.int64)),
-                     pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64()))], names=["node", "hashes"])
-
-    # an id may be repeated with other words, so the digest is compared again
-    again = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(sets, "node long, hashes array<long>")
-    again = written(again.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    both = (edges.join(again.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
-            .join(again.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b"))
-    shared = F.size(F.array_intersect("ha", "hb"))
-    alike = both.filter(shared >= least * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
-    roots = written(components(alike), "roots")
+    first = _alike(written(similar_pairs(classes, tile=tile), "candidates"), rows, classes, words, least)
+    roots = written(components(first), "roots")
+    more = _alike(written(similar_pairs(classes, tile=tile, roots=roots), "candidates"), rows, classes, words, least)
+    roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
     linked = classes.join(roots, "node").select("node", "root", "low")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     named = linked.select("node", "root").join(lowest, "root").select("node", "component_id")

@@ -202,6 +202,29 @@ def test_copies_with_edits_equal_all_pairs(spark, tile):
     assert simhash.similar_groups(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_no_link_is_lost_behind_a_rejected_edge(spark):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(80)]
+    places = [3, 11, 14, 25, 38, 41, 44, 60, 63, 77]
+    texts = set()
+    while len(texts) < 90:
+        words = list(base)
+        for k in rng.sample(places, rng.randrange(0, 7)):
+            words[k] = f"x{k}"
+        texts.add(" ".join(words))
+    texts = sorted(texts)
+    sets = [{tuple(w[k:k + 5]) for k in range(76)} for w in (t.split() for t in texts)]
+    linked = [(a, b) for a in range(90) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    low = list(range(90))
+    for _ in range(90):
+        for a, b in linked:
+            low[a] = low[b] = min(low[a], low[b])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tile in (simhash.TILE, 40):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df, tile=tile).collect()}
+        assert got == dict(enumerate(low))
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
