@@ -147,6 +147,18 @@ def test_report_has_every_parameter(draws):
     assert r["ess_per_sec"] == pytest.approx(r["ess_bulk"] / 100)
 
 
+def test_report_takes_seconds_per_run(spark, draws):
+    ar = draws.filter("param = 'ar'")
+    two = ar.unionByName(ar.selectExpr("'other' AS run", "param", "chain", "iter", "value"))
+    two = two.unionByName(ar.selectExpr("'untimed' AS run", "param", "chain", "iter", "value"))
+    seconds = spark.createDataFrame([("r", 100.0), ("other", 50.0), ("other", 20.0)], "run string, seconds double")
+    got = {r["run"]: r for r in rows(posterior_report(two, seconds))}
+    assert set(got) == {"r", "other", "untimed"} and "_seconds" not in got["r"]
+    assert got["r"]["ess_per_sec"] == pytest.approx(got["r"]["ess_bulk"] / 100)
+    assert got["other"]["ess_per_sec"] == pytest.approx(got["r"]["ess_bulk"] / 50)
+    assert got["untimed"]["ess_per_sec"] is None
+
+
 def test_correlation_and_histogram(draws):
     got = {(r["param_a"], r["param_b"]): r["corr"] for r in rows(d.param_correlation(draws, ["mixed", "tied", "ar"]))}
     a, b = chains("mixed").ravel(), chains("ar").ravel()
