@@ -153,7 +153,8 @@ def _sides(spark, sf):
     status = F.col("o_orderstatus")
     return quarterly(spark, sf, "o_orderstatus").groupBy(*KEY, "date", "quarter_idx").agg(
         F.sum("v").alias("total"), F.sum(F.when(status == "F", F.col("v"))).alias("done"),
-        F.sum(F.when(status == "O", F.col("v"))).alias("still_open"))
+        F.sum(F.when(status == "O", F.col("v"))).alias("still_open"),
+        F.sum(F.when(status == "P", F.col("v"))).alias("partial"))
 
 
 @register("real_per_capita", sql(
@@ -372,6 +373,15 @@ def wide_to_long(spark, sf):
                                ["done", "still_open"])
 
 
+@register("wide_to_long_statuses", sql(
+    "SELECT series_key, date, 'done' AS series, done AS value FROM d UNION ALL "
+    "SELECT series_key, date, 'still_open', still_open FROM d UNION ALL SELECT series_key, date, 'partial', partial FROM d", "q5s",
+    d=_SIDES.replace(" AS still_open FROM", " AS still_open, sum(v) FILTER (o_orderstatus = 'P') AS partial FROM")))
+def wide_to_long_statuses(spark, sf):
+    cols = ["done", "still_open", "partial"]
+    return series.wide_to_long(_sides(spark, sf).select(*KEY, "date", *cols), [*KEY, "date"], cols)
+
+
 @register("component_filter", sql(
     "SELECT variable, component, count(*) AS n FROM ct WHERE component NOT IN ('mean', 'initial_conditions', "
     "'Initial_values', 'constant') GROUP BY 1, 2", "ct"))

@@ -232,6 +232,20 @@ _CUT = "SELECT * REPLACE (CASE WHEN scenario = 'base' THEN tau_c_ss ELSE 0.20e0
     "unnest([max(y) FILTER (scenario = 'base'), max(c) FILTER (scenario = 'base'), max(G_c + G_h + G_s) FILTER (scenario = 'base')]) AS b "
     "FROM ss GROUP BY 1)", "dr2", mn=_MEANS, cu=_CUT, ss=f"SELECT * FROM ({steady_sql('SELECT * FROM cu')})"))
 def policy_from_draws(spark, sf):
+    return _cut_by_run(spark, sf).filter(F.col("variable").isin("y", "c", "G_total"))
+
+
+@register("policy_from_draws_all", sql(
+    "SELECT run, variable, round(CASE WHEN variable = 'ecv' THEN 100*(exp(bu - su) - 1) ELSE 100*(sv - bv)/abs(bv) END, 3) + 0.0 "
+    f"AS cut_pct FROM (SELECT s.run, v.variable, {_PICK.format(t='s')} AS sv, {_PICK.format(t='b')} AS bv, s.utility AS su, "
+    "b.utility AS bu FROM ss s JOIN ss b ON b.run = s.run AND b.scenario = 'base' AND s.scenario = 'cut', "
+    f"(VALUES {_LABEL_ROWS}) v(ord, variable, label))", "dr2", mn=_MEANS, cu=_CUT, ss=f"SELECT * FROM ({steady_sql('SELECT * FROM cu')})"))
+def policy_from_draws_all(spark, sf):
+    return _cut_by_run(spark, sf)
+
+
+def _cut_by_run(spark, sf):
+    """Every variable's change under the cut, per run, at the means of the run's draws."""
     d = draws(spark, sf, runs=True, numbered=False)
     value, name = F.lit(None).cast("double"), {}
     for event, (param, low, div) in _MAP.items():
@@ -240,7 +254,7 @@ def policy_from_draws(spark, sf):
     d = d.withColumns({"value": value, "param": lookup(F.col("param"), name)})
     means = rows_from_means(posterior_summary(d), list(name.values())).withColumn("p_ss", F.lit(0.0255))
     table = policy.counterfactual_table(means, ["run"], [("cut", {"tau_c_ss": 0.20})])
-    return table.filter(F.col("variable").isin("y", "c", "G_total")).select("run", "variable", "cut_pct")
+    return table.select("run", "variable", "cut_pct")
 
 
 # -- sweeps --------------------------------------------------------------------------------

@@ -150,11 +150,27 @@ _COEF = ("SELECT series_key, 0 AS pos, 'gf' AS predictor, 'gf' AS target, (d*ff
          "SELECT series_key, 3, 'go', 'go', (a*oo - b*fo)/(a*d - b*b) FROM gram")
 
 
-def _panel(spark, sf):
+_THREE = ["gf", "go", "gp"]
+_PANEL3 = _PANEL.replace(" AS go FROM", " AS go, max(g) FILTER (o_orderstatus = 'P') AS gp FROM")
+_GRAM3 = ("SELECT series_key, sum(lf*lf) AS a, sum(lf*lo) AS b, sum(lf*lp) AS c, sum(lo*lo) AS d, sum(lo*lp) AS e, sum(lp*lp) AS f, "
+          + ", ".join(f"sum(l{x}*g{y}) AS {x}{y}" for y in "fop" for x in "fop")
+          + " FROM (SELECT *, " + ", ".join(f"lag(g{x}) OVER w AS l{x}" for x in "fop")
+          + " FROM panel WINDOW w AS (PARTITION BY series_key ORDER BY quarter_idx)) WHERE "
+          + " AND ".join(f"{c} IS NOT NULL" for c in ("gf", "go", "gp", "lf", "lo", "lp")) + " GROUP BY 1")
+_ADJ3 = ("SELECT *, a*i11 + b*i12 + c*i13 AS det FROM (SELECT *, d*f - e*e AS i11, c*e - b*f AS i12, b*e - c*d AS i13, "
+         "a*f - c*c AS i22, b*c - a*e AS i23, a*d - b*b AS i33 FROM gram)")
+_COEF3 = " UNION ALL ".join(
+    f"SELECT series_key, {3 * j + i} AS pos, '{_THREE[i]}' AS predictor, '{_THREE[j]}' AS target, "
+    f"({r[0]}*f{y} + {r[1]}*o{y} + {r[2]}*p{y})/det AS coef FROM adj"
+    for j, y in enumerate("fop") for i, r in enumerate((("i11", "i12", "i13"), ("i12", "i22", "i23"), ("i13", "i23", "i33"))))
+
+
+def _panel(spark, sf, **more: str):
+    """Growth by status, one column each; ``more`` names columns of further statuses."""
     q = quarterly(spark, sf, "o_orderstatus")
     growth = dlog(q, ["series_key", "o_orderstatus"], {"g": "v"}, scale=1.0)
-    wide = long_to_wide(growth, ["series_key", "quarter_idx"], "o_orderstatus", "g", ["F", "O"])
-    return wide.withColumnsRenamed({"F": "gf", "O": "go"})
+    names = {"F": "gf", "O": "go", **more}
+    return long_to_wide(growth, ["series_key", "quarter_idx"], "o_orderstatus", "g", list(names)).withColumnsRenamed(names)
 
 
 @register("var1_ols", sql("SELECT series_key, pos, predictor, target, round(coef, 6) AS coef FROM coef", "q5s",
@@ -163,14 +179,33 @@ def var1_ols(spark, sf):
     return rounded(moments.var1_ols(_panel(spark, sf), ["series_key"], ["gf", "go"]), 6, "coef")
 
 
-@register("moment_distance", sql(
-    "SELECT s.series_key, CASE WHEN s.series_key = '5-LOW' THEN 1e6 ELSE round(sum((1 + s.pos)*pow(s.coef - t.coef, 2)), 6) END "
-    "AS distance FROM coef s JOIN coef t ON t.series_key = '1-URGENT' AND t.pos = s.pos GROUP BY 1", "q5s",
-    panel=_PANEL, gram=_GRAM, coef=_COEF))
-def moment_distance(spark, sf):
-    coef = moments.var1_ols(_panel(spark, sf), ["series_key"], ["gf", "go"])
+def _distances(coef):
+    """Distance of every series' moments to those of the first; one series is out of bounds."""
     target = coef.filter("series_key = '1-URGENT'").withColumn("w", (1 + F.col("pos")).cast("double"))
     theta = coef.withColumns({"alpha": F.lit(0.33), "beta": F.lit(0.99), "delta": F.lit(0.025), "gamma": F.lit(2.0),
                               "rho": F.when(F.col("series_key") == "5-LOW", 1.0).otherwise(0.95)})
     theta = theta.withColumn("out_of_bounds", moments.out_of_bounds())
     return rounded(moments.moment_distance(theta, target, ["series_key"], weight="w"), 6, "distance")
+
+
+@register("moment_distance", sql(
+    "SELECT s.series_key, CASE WHEN s.series_key = '5-LOW' THEN 1e6 ELSE round(sum((1 + s.pos)*pow(s.coef - t.coef, 2)), 6) END "
+    "AS distance FROM coef s JOIN coef t ON t.series_key = '1-URGENT' AND t.pos = s.pos GROUP BY 1", "q5s",
+    panel=_PANEL, gram=_GRAM, coef=_COEF))
+def moment_distance(spark, sf):
+    return _distances(moments.var1_ols(_panel(spark, sf), ["series_key"], ["gf", "go"]))
+
+
+# -- the same over every status --------------------------------------------------------------
+@register("var1_ols_statuses", sql("SELECT series_key, pos, predictor, target, round(coef, 6) AS coef FROM coef", "q5s",
+                                   panel=_PANEL3, gram=_GRAM3, adj=_ADJ3, coef=_COEF3))
+def var1_ols_statuses(spark, sf):
+    return rounded(moments.var1_ols(_panel(spark, sf, P="gp"), ["series_key"], _THREE), 6, "coef")
+
+
+@register("moment_distance_statuses", sql(
+    "SELECT s.series_key, CASE WHEN s.series_key = '5-LOW' THEN 1e6 ELSE round(sum((1 + s.pos)*pow(s.coef - t.coef, 2)), 6) END "
+    "AS distance FROM coef s JOIN coef t ON t.series_key = '1-URGENT' AND t.pos = s.pos GROUP BY 1", "q5s",
+    panel=_PANEL3, gram=_GRAM3, adj=_ADJ3, coef=_COEF3))
+def moment_distance_statuses(spark, sf):
+    return _distances(moments.var1_ols(_panel(spark, sf, P="gp"), ["series_key"], _THREE))
