@@ -1,7 +1,10 @@
 """Document fingerprints as invertible Bloom lookup sketches.
 
-A text is a multiset of paragraphs: its lines, cut further after sentence ends.  Every
-paragraph's digest (with the number of its repetition, so repeats differ) is added to
+A text is a multiset of paragraphs: its lines, cut further after sentence ends, and after
+128 to 256 bytes where a hash of the last eight bytes is small (a text's first paragraph
+sooner, from 8 to 16 bytes and then in doubled steps).  Every cut depends on the bytes
+before it only, so an unchanged beginning of a text gives the same paragraphs, the last
+one excepted, whatever follows.  Every paragraph's digest (with the number of its repetition, so repeats differ) is added to
 one cell in each of three hash tables; a cell holds a count, the exclusive-or of its
 digests and of their check values.  Subtracting two sketches cancels what the texts
 share.  Peeling then recovers the digests that only one of them has: a
@@ -30,19 +33,39 @@ from panelspark.llm.common import id_and_text, texts_of
 
 CELLS = 24            # of the stored fingerprint; a multiple of three
 _GROWTH = 4
+_FIRST, _LONG = 8, 128    # bytes after which the first piece of a text and any other piece may end; it ends at twice as many
 _MASK = (1 << 64) - 1
 _SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)    # one odd multiplier per table
 
 
+def _pieces(unit: bytes, least: int) -> list[bytes]:
+    """A long paragraph in pieces of ``least`` to ``2 * least`` bytes; ``least`` doubles up to ``_LONG``."""
+    out, at, n = [], 0, len(unit)
+    # of the eight bytes from every place on
+    mixed = np.ndarray(n - 7, "<u8", unit, strides=(1,)) * np.uint64(_SPREAD[0])
+    while n - at > least:
+        small = mixed[at + least - 8:at + 2 * least - 8] < np.uint64((1 << 65) // least)    # two in ``least``
+        k = int(small.argmax())
+        end = at + least + k if small[k] else at + 2 * least
+        if end >= n:
+            break
+        out.append(unit[at:end])
+        at, least = end, min(2 * least, _LONG)
+    out.append(unit[at:])
+    return out
+
+
 def digests(text: str) -> list[int]:
     """64-bit digests of the paragraphs of a text, repeats told apart by their number."""
     import xxhash
-    hashed, times, out = xxhash.xxh64_intdigest, {}, []
+    hashed, times, out, least = xxhash.xxh64_intdigest, {}, [], _FIRST
     for unit in text.replace(". ", ".\n").encode().split(b"\n"):
         if unit:
-            k = times.get(unit, 0)
-            times[unit] = k + 1
-            out.append(hashed(unit, k))
+            for piece in _pieces(unit, least) if len(unit) > least else (unit,):
+                k = times.get(piece, 0)
+                times[piece] = k + 1
+                out.append(hashed(piece, k))
+            least = _LONG
     return out
 
 
