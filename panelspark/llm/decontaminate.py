@@ -1,8 +1,10 @@
 """Benchmark passages in documents, found by the q-gram lemma.
 
 Texts are compared as folded bytes: a-z and other scripts kept, everything else one
-space.  Every benchmark item is cut into windows of ``WINDOW`` bytes, half overlapping (a
-shorter item is one window).  A window of m bytes that occurs with at most k
+space.  Every benchmark item is cut into windows of ``WINDOW`` bytes, half overlapping,
+and of ``SHORT`` bytes, one every ``STEP`` (a shorter item is one window).  The short ones
+find a passage from anywhere inside an item: ``SHORT + STEP - 1`` bytes in common always
+hold a whole one; the long ones allow more edits in one place.  A window of m bytes that occurs with at most k
 edits shares at least m + 1 - q - kq of its q-grams with the stretch it occurs in, on
 diagonals at most k apart.  So:
 
@@ -28,6 +30,7 @@ from panelspark.llm.common import bytes_of, id_and_text
 
 Q = 8
 WINDOW = 96
+SHORT, STEP = 64, 8
 ERRORS = 0.08                # edits per byte of a window
 BLOCK_BYTES = 1 << 20        # benchmark text held by a task at once
 PIECE = 1024                 # marked positions whose q-grams are looked up at once
@@ -58,6 +61,15 @@ def least_shared(size: int) -> int:
     return size + 1 - Q - edits_allowed(size) * Q
 
 
+def _windows(folded: bytes) -> list[tuple[int, bytes]]:
+    """Places and bytes of the windows of an item, its end included."""
+    out = set()
+    for size, step in ((WINDOW, WINDOW // 2), (SHORT, STEP)):
+        last = max(0, len(folded) - size)
+        out |= {(at, folded[at:at + size]) for at in (*range(0, last, step), last)}
+    return sorted(out)
+
+
 class Benchmark:
     """Windows of the items of one block and an index of their q-grams."""
 
@@ -66,21 +78,19 @@ class Benchmark:
         codes, owner, place = [], [], []
         for item, text in items:
             folded = fold(text)
-            step, last = WINDOW // 2, max(0, len(folded) - WINDOW)
-            for at in sorted({*range(0, last, step), last}):
-                w = folded[at:at + WINDOW]
+            for at, w in _windows(folded):
                 if len(w) < 2 * Q or least_shared(len(w)) < 1:    # too short to tell from chance
                     continue
                 g = grams(w)
                 codes.append(g)
-                owner.append(np.full(len(g), len(self.windows)))
-                place.append(np.arange(len(g)))
+                owner.append(np.full(len(g), len(self.windows), np.int32))
+                place.append(np.arange(len(g), dtype=np.int16))
                 self.windows.append((item, at, w))
         code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         order = np.argsort(code, kind="stable")
         self.code = code[order]
-        self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int64))[order]
-        self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
+        self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int32))[order]
+        self.place = (np.concatenate(place) if place else np.zeros(0, np.int16))[order]
         self.marks = np.zeros(1 << _BITS, bool)
         self.marks[_slot(self.code)] = True
         self.sizes = np.array([len(w) for _, _, w in self.windows], np.int64)
@@ -117,7 +127,7 @@ class Benchmark:
         if not n.any():
             return []
         at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        window = self.owner[at]
+        window = self.owner[at].astype(np.int64)
         # diagonals in strips of k + 1; a band is a strip and the next one, so bands overlap by half
         strip = (np.repeat(hit, n) - self.place[at]) // (self.allowed[window] + 1)
         first, many = int(strip.min()), int(strip.max() - strip.min()) + 2
