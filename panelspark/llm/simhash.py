@@ -23,6 +23,7 @@ a larger group in several parts, a second pass checks all pairs of different par
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -325,6 +326,11 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, tile: in
     class; null, empty and blank texts are one class too.  A text shorter than a
     shingle is one shingle.  Repeated rows repeat.  Rows without an id are left out.
     """
+    return _groups(docs, words, least, tile, id_col, text_col).select("doc_id", "component_id")
+
+
+def _groups(docs: DataFrame, words: int, least: float, tile: int, id_col: str, text_col: str) -> DataFrame:
+    """``similar_groups`` with the class of every row (node) and its group (root), which ids alone may not tell."""
     rows = id_and_text(docs, id_col, text_col).filter("doc_id is not null")
 
     def measure(batches):
@@ -346,10 +352,10 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, tile: in
     roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
     linked = classes.join(roots, "node").select("node", "root", "low")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = linked.select("node", "root").join(lowest, "root").select("node", "component_id")
-    final = written(classes.select("node", "low").join(named, "node", "left")
-                    .select("node", F.coalesce("component_id", "low").alias("component_id")), "components")
-    return fps.select("doc_id", "node").join(final, "node").select("doc_id", "component_id")
+    named = linked.select("node", "root").join(lowest, "root").select("node", "root", "component_id")
+    final = written(classes.select("node", "low").join(named, "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "low").alias("component_id")), "components")
+    return fps.select("doc_id", "node").join(final, "node").select("doc_id", "node", "root", "component_id")
 
 
 # -- components -------------------------------------------------------------------
@@ -399,10 +405,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, tile: int
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that represent their group of near duplicates: the smallest id of each.
 
-    Groups are those of ``similar_groups``.  Of repeated rows with the same id one
-    stays.  Rows without an id cannot be named as a representative and all stay.
+    Groups are those of ``similar_groups``.  Of rows of a group with the same id one stays;
+    an id that is repeated with unrelated texts stays once for each group it represents.
+    Rows without an id cannot be named as a representative and all stay.
     """
-    found = similar_groups(docs, words, least, TILE, id_col, text_col)
-    kept = written(found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct(), "kept")
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    found = written(_groups(docs, words, least, TILE, id_col, text_col), "groups")
+    kept = written(found.filter("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("node").alias("_node"))
+                   .select(F.col("doc_id").alias(id_col), "_node"), "kept")
+    mixed = written(found.groupBy(F.col("doc_id").alias(id_col)).agg(F.min("node").alias("a"), F.max("node").alias("b"))
+                    .filter("a <> b").select(id_col), "mixed")    # ids of several texts; only theirs are read again
+
+    @F.pandas_udf("long")
+    def node_of(texts: pd.Series) -> pd.Series:
+        found = [shingle_set(("" if t is None else t).encode(), words)[0] for t in texts]
+        return pd.Series(np.array(found, np.uint64).view(np.int64))
+
+    one = docs.join(kept.join(mixed, id_col, "left_anti"), id_col, "left_semi").dropDuplicates([id_col])
+    several = (docs.join(mixed, id_col, "left_semi").withColumn("_node", node_of(F.col(text_col).cast("string")))
+               .join(kept, [id_col, "_node"], "left_semi").dropDuplicates([id_col, "_node"]).select(*docs.columns))
+    return one.select(*docs.columns).unionByName(several).unionByName(docs.filter(F.col(id_col).isNull()))
