@@ -1,16 +1,17 @@
-"""The ten operators and the pipeline as registered queries over whole tables."""
+"""The thirteen operators and the pipeline as registered queries over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import (arrow_pack, backoff_lm, decontaminate, iblt, lang_mixture, quality, sharding, simhash,
-                            token_count, unigram)
+from panelspark.llm import (arrow_pack, backoff_lm, decontaminate, filter_audit, iblt, importance, lang_mixture, mixing,
+                            quality, sharding, simhash, token_count, unigram)
 from panelspark.session import scratch_path
 
 QUERIES: dict = {}
-ORACLE: dict = {}    # checksums, models, sketches and Viterbi paths have no SQL form; tests/llm holds brute-force versions
+# checksums, models, sketches, subset sums and Viterbi paths have no SQL form; tests/llm holds brute-force versions
+ORACLE: dict = {"op11_filter_audit": filter_audit.SQL}
 
 
 def tokenizer_file(name: str) -> str:
@@ -83,6 +84,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@register
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 @register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
