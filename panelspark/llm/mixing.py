@@ -28,6 +28,7 @@ SHARE_PERCENT = 150
 REPEATS = 2
 SEED = 11
 RESERVE = 1 << 16       # words of a budget left to the dynamic program
+ASIDE = 8               # documents of a length kept for it
 WIDEST = 1 << 22        # the widest remaining budget it takes at once
 SOURCE = ["_unnamed", "_source"]    # null sources apart from the source of empty name, and last
 
@@ -64,16 +65,22 @@ def subset_sum(lengths: list[int], counts: list[int], budget: int) -> list[int]:
 def fit_budget(lengths: list[int], counts: list[int], budget: int, reserve: int = RESERVE, widest: int = WIDEST) -> list[int]:
     """How many documents of each (distinct, positive) length sum up to ``budget`` or closely below."""
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    whole, taken, used, seen = sum(n * c for n, c in zip(lengths, counts)), [0] * len(lengths), 0, 0
+    aside, room = [0] * len(lengths), reserve
+    for i in reversed(order):    # a few documents of each short length, so the dynamic program can choose
+        aside[i] = min(counts[i], ASIDE, room // lengths[i])
+        room -= aside[i] * lengths[i]
+    free = [c - a for c, a in zip(counts, aside)]
+    whole, taken, used, seen = sum(n * c for n, c in zip(lengths, free)), [0] * len(lengths), 0, 0
     even = max(0, budget - reserve)
     for i in order:
-        seen += lengths[i] * counts[i]
-        taken[i] = min(counts[i], (even * seen // max(whole, 1) - used) // lengths[i])
+        seen += lengths[i] * free[i]
+        taken[i] = min(free[i], (even * seen // max(whole, 1) - used) // lengths[i])
         used += taken[i] * lengths[i]
-    for i in order:    # only where documents are longer than the dynamic program is wide
-        if budget - used > widest:
-            more = min(counts[i] - taken[i], (budget - used - reserve) // lengths[i])
-            taken[i], used = taken[i] + max(0, more), used + max(0, more) * lengths[i]
+    for kept in (reserve, 0):    # only where documents are longer than the dynamic program is wide
+        for i in order:
+            if budget - used > widest:
+                more = min(counts[i] - taken[i], max(0, budget - used - kept) // lengths[i])
+                taken[i], used = taken[i] + more, used + more * lengths[i]
     rest = [i for i in order if taken[i] < counts[i] and lengths[i] <= budget - used]
     if budget - used <= widest:
         for i, more in zip(rest, subset_sum([lengths[i] for i in rest], [counts[i] - taken[i] for i in rest], budget - used)):
