@@ -246,9 +246,14 @@ def test_mix(docs):
     assert {(r["source_size"], round(r["target"], 6)) for r in rows} == want
     taken: dict = {}
     for r in rows:
-        taken[r["target"]] = taken.get(r["target"], 0) + r["taken"]
+        taken.setdefault((r["source_size"], r["target"]), []).append((r["size"], r["taken"]))
         assert r["taken"] in (0, r["size"], 2 * r["size"])
-    assert all(0 <= round(t) - n <= 1 for t, n in taken.items())
+    for (whole, target), own in taken.items():
+        sums = {0}
+        for size, _ in own:
+            sums |= {s + size for s in sums}
+        repeats = round(target) // whole
+        assert sum(t for _, t in own) == repeats * whole + max(s for s in sums if s <= round(target) - repeats * whole)
     again = mixing.mix_sources(docs.repartition(3, "text")).collect()
     assert sorted(map(str, again)) == sorted(str(r) for r in mixing.mix_sources(docs).collect())
 
@@ -270,5 +275,5 @@ def test_mix_of_nothing_of_empty_texts_and_of_one_hot_length(spark, docs):
     hot = spark.range(4000).selectExpr("if(id < 2000, 1, id) AS doc_id", "'five words in each text' AS text",
                                        "if(id % 4 = 0, 'a', if(id % 4 = 1, 'b', 'c')) AS source")
     rows = mixing.mix_sources(hot).collect()
-    for target in {r["target"] for r in rows}:
-        assert 0 <= target - sum(r["taken"] for r in rows if r["target"] == target) < 5
+    for whole, target in {(r["source_size"], r["target"]) for r in rows}:
+        assert 0 <= target - sum(r["taken"] for r in rows if (r["source_size"], r["target"]) == (whole, target)) < 5
