@@ -1,12 +1,14 @@
 """Summaries of sampler draws ``(run, param, chain, iter, value)``.
 
 Iterations of a chain are distinct integers; gaps, as in thinned chains, are allowed.
-A parameter may hold any share of the rows: every ordered step goes through ``split``.
+A parameter may hold any share of the rows: every step in value order is a sample sort
+(``ranks``), every step along a chain works on blocks of it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,13 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.operators import split
+from panelspark.operators import ranks, split
 from panelspark.session import written
 
 KEYS = ["run", "param"]
 QUANTILES = {"q025": 0.025, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q975": 0.975}
-MAX_LAG = 250       # longest autocovariance used by the effective sample size
+_TAILS = {"_q05": 0.05, "_q95": 0.95}
+FIRST_LAGS = 256     # lags of the first round of autocovariances
+LAG_GROWTH = 8       # each further round reaches so many times as far
 CHAIN_BLOCK = 65536  # draws per Arrow group when autocovariances are summed
+_PARTS = 1024        # pieces an iteration range is cut into when a chain is halved
 
 
 def posterior_summary(draws: DataFrame, keys: list = KEYS) -> DataFrame:
@@ -29,9 +34,56 @@ def posterior_summary(draws: DataFrame, keys: list = KEYS) -> DataFrame:
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("value").alias("n"))
 
 
-def posterior_quantiles(draws: DataFrame, keys: list = KEYS, probs: dict = QUANTILES, **split_args) -> DataFrame:
+def posterior_quantiles(draws: DataFrame, keys: list = KEYS, probs: dict = QUANTILES) -> DataFrame:
     """2.5, 25, 50, 75 and 97.5 % quantiles, linearly interpolated."""
-    return split.exact_quantiles(draws, keys, "value", probs, **split_args)
+    return ranks.exact_quantiles(draws, keys, "value", probs)
+
+
+def _smallest_iterations(draws: DataFrame, targets: DataFrame) -> DataFrame:
+    """(run, param, chain, name, iter): the ``k``-th smallest iteration of a chain for rows (.., name, k, low, width).
+
+    The range [low, low + width) of a target is cut into at most 1024 parts, the draws are counted by part, and the search goes on
+    in the part that holds the target, until a part has no gaps.  A chain without gaps needs no pass at all;
+    nothing but counts is shuffled.
+    """
+    chain = [*KEYS, "chain"]
+    done, state = [], written(targets, "targets")
+    while True:
+        full = (F.col("n") == F.col("width")) | (F.col("width") == 1)
+        done.append(state.filter(full).select(*chain, "name", (F.col("low") + F.col("k") - 1).alias("iter")))
+        state = state.filter(~full)
+        if state.isEmpty():
+            return reduce(DataFrame.union, done)
+        step = F.ceil(F.col("width") / _PARTS).cast("long")
+        counted = (draws.join(state.select(*chain, "name", "k", "low", "width"), chain)
+                   .filter((F.col("iter") >= F.col("low")) & (F.col("iter") < F.col("low") + F.col("width")))
+                   .withColumn("_step", step).withColumn("_at", F.floor((F.col("iter") - F.col("low")) / F.col("_step")))
+                   .groupBy(*chain, "name", "k", "low", "width", "_step", "_at").agg(F.count(F.lit(1)).alias("n")))
+        upto = Window.partitionBy(*chain, "name").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)    # at most 1024 rows
+        counted = counted.withColumn("_upto", F.sum("n").over(upto))
+        state = written(counted.filter((F.col("_upto") >= F.col("k")) & (F.col("_upto") - F.col("n") < F.col("k"))).select(
+            *chain, "name", (F.col("k") - F.col("_upto") + F.col("n")).alias("k"), (F.col("low") + F.col("_at") * F.col("_step")).alias("low"),
+            F.least("_step", F.col("width") - F.col("_at") * F.col("_step")).alias("width"), "n"), "targets")
+
+
+def with_half(draws: DataFrame) -> DataFrame:
+    """Add ``half`` (0, 1, or null for the middle draw of an odd chain) from the iterations where each chain is cut.
+
+    The draws themselves are not shuffled: the cuts are one row per chain.
+    """
+    chain = [*KEYS, "chain"]
+    kept = draws.filter(F.col("value").isNotNull())
+    chains = kept.groupBy(*chain).agg(
+        F.count(F.lit(1)).alias("n"), F.min("iter").cast("long").alias("low"), F.max("iter").cast("long").alias("_last"))
+    half = F.floor(F.col("n") / 2).cast("long")
+    targets = chains.filter("n > 1").select(
+        *chain, F.inline(F.array(F.struct(F.lit("end").alias("name"), half.alias("k")),
+                                 F.struct(F.lit("begin").alias("name"), (F.col("n") - half + 1).alias("k")))),
+        "low", (F.col("_last") - F.col("low") + 1).alias("width"), "n")
+    cuts = _smallest_iterations(kept, targets).groupBy(*chain).agg(
+        *[F.max(F.when(F.col("name") == n, F.col("iter"))).alias(f"_{n}") for n in ("end", "begin")])
+    half = F.when(F.col("iter") <= F.col("_end"), 0).when(F.col("iter") >= F.col("_begin"), 1)
+    return kept.join(written(cuts, "cuts"), chain, "left").withColumn("half", half).drop("_end", "_begin")
 
 
 def split_halves(draws: DataFrame) -> DataFrame:
@@ -39,6 +91,10 @@ def split_halves(draws: DataFrame) -> DataFrame:
 
     Positions follow the order of the iterations, whatever their numbers; null draws are left out.
     """
+    return _numbered(draws).filter(F.col("half").isNotNull())
+
+
+def _numbered(draws: DataFrame) -> DataFrame:
     keys = [*KEYS, "chain"]
     numbered = split.number_rows(draws.filter(F.col("value").isNotNull()), keys, "iter", "_seq")
     chains = written(draws.groupBy(*keys).agg(F.count("value").alias("_len")), "chains")
@@ -48,23 +104,23 @@ def split_halves(draws: DataFrame) -> DataFrame:
     half = F.when(at < n_half, 0).when(at >= length - n_half, 1)
     out = numbered.join(chains, keys).withColumns({"n_half": n_half, "half": half, "_at": at})
     pos = F.when(F.col("half") == 0, F.col("_at")).otherwise(F.col("_at") - (length - F.col("n_half")))
-    return out.filter(F.col("half").isNotNull()).withColumn("pos", pos).drop("_len", "_seq", "_at")
+    return out.withColumn("pos", pos).drop("_len", "_seq", "_at")
 
 
 @dataclass
 class Prepared:
-    """What several diagnostics of the same draws share, so the draws are read less often."""
+    """What several diagnostics of the same draws share: one sort of the draws by value."""
 
-    halves: DataFrame           # draws with their half chain
-    cuts: DataFrame | None      # cut points of parameters too large for one task
-    quantiles: DataFrame        # exact quantiles per run and parameter, written
+    ranked: DataFrame       # counted draws with ``half``, their places among all draws (n) and among those in a half (kept)
+    quantiles: DataFrame    # exact quantiles per run and parameter, written
 
 
-def prepare(draws: DataFrame, **split_args) -> Prepared:
-    cuts = split.value_cuts(draws, KEYS, "value", **split_args)
-    probs = {**QUANTILES, "_q05": 0.05, "_q95": 0.95}
-    quantiles = written(split.exact_quantiles(draws, KEYS, "value", probs, cuts=cuts), "quantiles")
-    return Prepared(split_halves(draws), cuts, quantiles)
+def prepare(draws: DataFrame, along: bool = False) -> Prepared:
+    """Sort the draws by value; ``along`` keeps every draw and its position in the chain, for autocovariances."""
+    carry = ["chain", "half", *(["n_half", "pos"] if along else [])]
+    halved = written(_numbered(draws), "numbered") if along else with_half(draws)
+    ranked = ranks.ranked(halved, KEYS, "value", carry, {"n": F.lit(1), "kept": F.col("half").isNotNull()})
+    return Prepared(ranked, written(ranks.quantiles_of(ranked, KEYS, "value", {**QUANTILES, **_TAILS}), "quantiles"))
 
 
 def _rhat(moments: DataFrame, name: str) -> DataFrame:
@@ -77,67 +133,77 @@ def _rhat(moments: DataFrame, name: str) -> DataFrame:
 
 def rhat_split(draws: DataFrame) -> DataFrame:
     """R-hat over chains split in two; accept below 1.05."""
-    moments = split_halves(draws).groupBy(*KEYS, "chain", "half").agg(
+    moments = with_half(draws).filter(F.col("half").isNotNull()).groupBy(*KEYS, "chain", "half").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
     return _rhat(moments, "rhat")
 
 
-def _score_moments(scores: DataFrame) -> DataFrame:
+def _score_moments(scores: DataFrame, count: str) -> DataFrame:
     agg = scores.groupBy(*KEYS, "chain", "half").agg(
-        F.sum("_cnt").alias("n"),
-        F.sum(F.col("_cnt") * F.col("z")).alias("_s1"),
-        F.sum(F.col("_cnt") * F.col("z") * F.col("z")).alias("_s2"))
+        F.sum(count).alias("n"),
+        F.sum(F.col(count) * F.col("z")).alias("_s1"),
+        F.sum(F.col(count) * F.col("z") * F.col("z")).alias("_s2"))
     var = F.try_divide(F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("n"), F.col("n") - 1)
     return agg.select(*KEYS, "chain", "half", "n", (F.col("_s1") / F.col("n")).alias("mean"), var.alias("var"))
 
 
-def rhat_rank(draws: DataFrame, prepared: Prepared | None = None, acov: DataFrame | None = None,
-              **split_args) -> DataFrame:
+def rhat_rank(draws: DataFrame, prepared: Prepared | None = None) -> DataFrame:
     """Rank-normalised R-hat: bulk, folded around the median (tail), and the larger of the two.
 
-    With ``acov`` (a result of ``autocovariance``) the bulk part needs no pass over the draws.
+    Two sorts in all: the draws by value, and the counted distances to the median.
     """
-    prepared = prepared or prepare(draws, **split_args)
-    halves = prepared.halves.select(*KEYS, "chain", "half", "value")
-    carry = ["chain", "half"]
-    if acov is None:
-        moments = _score_moments(split.rank_scores(halves, KEYS, "value", carry, cuts=prepared.cuts))
-    else:
-        n = F.col("n_half")
-        moments = acov.filter("signal = 'bulk' AND lag = 0").select(
-            *KEYS, "chain", "half", n.alias("n"), "mean", F.try_divide(F.col("acov") * n, n - 1).alias("var"))
+    prepared = prepared or prepare(draws)
+    halves = prepared.ranked.filter(F.col("half").isNotNull())
     median = prepared.quantiles.select(*KEYS, F.col("q50").alias("_median"))
-    folded = (halves.join(median, KEYS)
-              .select(*KEYS, *carry, F.abs(F.col("value") - F.col("_median")).alias("value")))
-    bulk = _rhat(moments, "rhat_bulk")
-    tail = _rhat(_score_moments(split.rank_scores(folded, KEYS, "value", carry, **split_args)), "rhat_tail")
+    folded = halves.join(median, KEYS).select(
+        *KEYS, "chain", "half", F.abs(F.col("value") - F.col("_median")).alias("value"), "kept")
+    tails = ranks.ranked(folded, KEYS, "value", ["chain", "half"], {"kept": F.col("kept")})
+    bulk = _rhat(_score_moments(ranks.with_scores(halves, "kept"), "kept"), "rhat_bulk")
+    tail = _rhat(_score_moments(ranks.with_scores(tails, "kept"), "kept"), "rhat_tail")
     return bulk.join(tail, KEYS).withColumn("rhat", F.greatest("rhat_bulk", "rhat_tail"))
 
 
 _SIGNALS = ("bulk", "low", "high")
+_SUMS = ("products", "first", "last", "total")
+
+
+def signals_of(prepared: Prepared) -> DataFrame:
+    """The three signals of the sample-size estimates along each half chain, written.
+
+    ``bulk`` is the normal score of the draw, ``low`` and ``high`` flag draws at
+    or below the 5 % and 95 % quantile.
+    """
+    ends = prepared.quantiles.select(*KEYS, *_TAILS)
+    scored = ranks.with_scores(prepared.ranked.filter(F.col("half").isNotNull()), "kept").join(ends, KEYS)
+    flags = [(F.col("value") <= F.col(q)).cast("double").alias(s) for q, s in (("_q05", "low"), ("_q95", "high"))]
+    return written(scored.select(*KEYS, "chain", "half", "n_half", "pos", F.col("z").alias("bulk"), *flags), "signals")
 
 
-def _lag_sums(keys: list, block: int, max_lag: int):
-    """Per block of one half chain: lagged products and the sums of its first and last rows."""
+def _lag_sums(keys: list, block: int, width: int):
+    """Per block of one half chain and window of lags: lagged products, and the sums before and after each lag.
+
+    The block's draws meet the ``block + width - 1`` draws that begin ``lag`` later; one
+    circular correlation of that length holds all lags of the window without wrapping (overlap-save).
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        pos = pdf["pos"].to_numpy()
-        n_half = int(pdf["n_half"].iloc[0])
-        start = int(pdf["_block"].iloc[0]) * block
-        core = int(np.searchsorted(pos, start + block))
-        lags = np.arange(min(max_lag, n_half - 1) + 1)
+        pos, n_half = pdf["pos"].to_numpy(), int(pdf["n_half"].iloc[0])
+        start, lag = int(pdf["_block"].iloc[0]) * block, int(pdf["_lag"].iloc[0])
+        own = slice(*np.searchsorted(pos, [start, start + block]))
+        met = slice(*np.searchsorted(pos, [start + lag, start + lag + block + width - 1]))
+        lags = np.arange(lag, min(lag + width, n_half))
         frames = []
         for signal in _SIGNALS:
             x = pdf[signal].to_numpy(dtype=float)
-            own = x[:core]
-            reach = [max(0, min(core, len(x) - k)) for k in lags]
-            cum = np.concatenate([[0.0], np.cumsum(own)])
+            mine, other = x[own], x[met]
+            size = 1 << max(1, int(max(len(mine), len(other)) + len(lags)).bit_length())
+            both = np.fft.irfft(np.conj(np.fft.rfft(mine, size)) * np.fft.rfft(other, size), size)
+            cum = np.concatenate([[0.0], np.cumsum(mine)])
             frames.append(pd.DataFrame({
-                "signal": signal, "lag": lags,
-                "products": [float(own[:m] @ x[k:k + m]) for k, m in zip(lags, reach)],
+                "signal": signal, "lag": lags, "products": both[:len(lags)],
                 # sums over pos < lag and over pos >= n_half - lag
-                "first": cum[np.searchsorted(pos[:core], lags)],
-                "last": cum[-1] - cum[np.searchsorted(pos[:core], n_half - lags)],
+                "first": cum[np.searchsorted(pos[own], lags)],
+                "last": cum[-1] - cum[np.searchsorted(pos[own], n_half - lags)],
                 "total": cum[-1]}))
         out = pd.concat(frames, ignore_index=True)
         for c in keys:
@@ -147,59 +213,37 @@ def _lag_sums(keys: list, block: int, max_lag: int):
     return run
 
 
-def autocovariance(draws: DataFrame, max_lag: int = MAX_LAG, block: int = CHAIN_BLOCK,
-                   prepared: Prepared | None = None, **split_args) -> DataFrame:
-    """Autocovariances of each split half chain for the three signals of the sample-size estimates.
+def autocovariance(signals: DataFrame, first: int = 0, last: int = FIRST_LAGS, block: int = CHAIN_BLOCK) -> DataFrame:
+    """Autocovariances of each split half chain for the lags ``first`` to ``last - 1``.
 
-    ``bulk`` is the normal score of the draw, ``low`` and ``high`` flag draws at
-    or below the 5 % and 95 % quantile.  A half chain is cut into blocks that
-    also see the next ``max_lag`` draws, so the sums over lagged pairs add up
-    exactly and no task holds a whole chain.
+    A half chain is cut into blocks of ``block`` draws and the lags into windows of at most as
+    many; a block also gets the draws that its window of lags reaches, so the sums over lagged pairs
+    add up exactly, a task holds at most three blocks, and every draw is sent a bounded number of times per window.
     """
-    if block < max_lag:
-        raise ValueError("block must be at least max_lag")
-    prepared = prepared or prepare(draws, **split_args)
-    halves = prepared.halves
-    scores = (split.rank_scores(halves.select(*KEYS, "value"), KEYS, "value", cuts=prepared.cuts)
-              .select(*KEYS, "value", F.col("z").alias("bulk")))
-    ends = prepared.quantiles.select(*KEYS, "_q05", "_q95")
-    signals = (halves.join(scores, [*KEYS, "value"]).join(ends, KEYS)
-               .withColumns({"low": (F.col("value") <= F.col("_q05")).cast("double"),
-                             "high": (F.col("value") <= F.col("_q95")).cast("double")}))
+    width = min(block, last - first)
+    chain = [*KEYS, "chain", "half"]
     own = F.floor(F.col("pos") / block).cast("long")
-    halo = (F.col("pos") % block < max_lag) & (own > 0)
-    group = [*KEYS, "chain", "half", "_block"]
-    blocks = signals.select(
-        *KEYS, "chain", "half", "n_half", "pos", *_SIGNALS,
-        F.explode(F.when(halo, F.array(own, own - 1)).otherwise(F.array(own))).alias("_block"))
+    late = F.col("pos") - F.col("_lag")
+    low = F.greatest(F.floor((late - (width - 1)) / block), F.lit(0)).cast("long")
+    high = F.floor(late / block).cast("long")
+    blocks = F.when(late < 0, F.array(own)).otherwise(F.array_union(F.array(own), F.sequence(low, high)))
+    windows = F.array(*[F.lit(w).cast("long") for w in range(first, last, width)])
+    rows = (signals.filter(F.col("n_half") > first).withColumn("_lag", F.explode(windows)).filter(F.col("_lag") < F.col("n_half"))
+            .withColumn("_block", F.explode(blocks)))
     schema = T.StructType([
-        T.StructField("signal", T.StringType()), T.StructField("lag", T.LongType()),
-        T.StructField("products", T.DoubleType()), T.StructField("first", T.DoubleType()),
-        T.StructField("last", T.DoubleType()), T.StructField("total", T.DoubleType()),
-        *[blocks.schema[c] for c in group[:-1]], T.StructField("n_half", T.LongType())])
-    sums = (blocks.groupBy(*group).applyInPandas(_lag_sums(group[:-1], block, max_lag), schema)
-            .groupBy(*KEYS, "chain", "half", "n_half", "signal", "lag")
-            .agg(*[F.sum(c).alias(c) for c in ("products", "first", "last", "total")]))
+        T.StructField("signal", T.StringType()), T.StructField("lag", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in _SUMS],
+        *[signals.schema[c] for c in chain], T.StructField("n_half", T.LongType())])
+    sums = (rows.groupBy(*chain, "_lag", "_block").applyInPandas(_lag_sums(chain, block, width), schema)
+            .filter(F.col("lag") < last).groupBy(*chain, "n_half", "signal", "lag").agg(*[F.sum(c).alias(c) for c in _SUMS]))
     n = F.col("n_half").cast("double")
     mean = F.col("total") / n
     pairs = F.col("products") - mean * (2 * F.col("total") - F.col("first") - F.col("last")) \
         + (n - F.col("lag")) * mean * mean
-    return sums.select(*KEYS, "chain", "half", "n_half", "signal", "lag", mean.alias("mean"), (pairs / n).alias("acov"))
-
-
-def effective_sample_size(draws: DataFrame, max_lag: int = MAX_LAG, block: int = CHAIN_BLOCK,
-                          **split_args) -> DataFrame:
-    """``ess_bulk`` and ``ess_tail`` (the smaller of the 5 % and 95 % flags)."""
-    return ess_from(autocovariance(draws, max_lag, block, **split_args), max_lag)
-
+    return sums.select(*chain, "n_half", "signal", "lag", mean.alias("mean"), (pairs / n).alias("acov"))
 
-def ess_from(acov: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
-    """Effective sample sizes from autocovariances.
 
-    Autocorrelations over all split chains are added in pairs while the pairs
-    stay positive, forced to be non-increasing; lags reach ``max_lag`` as in the
-    estimator's published default.
-    """
+def _pair_sums(acov: DataFrame, max_lag: int | None) -> DataFrame:
+    """Autocorrelations over all split chains added in pairs of lags, and whether the pairs so far are positive."""
     lags = acov.groupBy(*KEYS, "signal", "lag").agg(
         F.avg("acov").alias("acov"), F.var_samp("mean").alias("_b"),
         F.avg("n_half").alias("_n"), F.min("n_half").alias("_n_min"), F.sum("n_half").alias("_draws"),
@@ -211,28 +255,57 @@ def ess_from(acov: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
 
     # every half chain contributes to lag 0, so its row describes the group
     lags = lags.withColumns({f"{c}0": at_zero(c) for c in ("_w", "_b", "_n", "_n_min", "_draws")})
-    top = F.least(F.lit(max_lag), F.col("_n_min0") - 4)
+    top = F.col("_n_min0") - 4
+    top = top if max_lag is None else F.least(F.lit(max_lag), top)
     var_plus = (F.col("_n0") - 1) / F.col("_n0") * F.col("_w0") + F.coalesce(F.col("_b0"), F.lit(0.0))
     rho = F.when(F.col("lag") == 0, 1.0).otherwise(1 - F.try_divide(F.col("_w0") - F.col("acov"), var_plus))
     pairs = (lags.withColumn("_top", top).withColumn("_rho", rho)
              .withColumn("_pair", F.floor(F.col("lag") / 2))
              .filter((F.col("_pair") * 2 < F.col("_top")))
-             .groupBy(*KEYS, "signal", "_pair", "_draws0", "_w0")
+             .groupBy(*KEYS, "signal", "_pair", "_draws0", "_w0", "_top")
              .agg(F.sum("_rho").alias("_p"), F.max(F.when(F.col("lag") % 2 == 0, F.col("_rho"))).alias("_even")))
     run = Window.partitionBy(*KEYS, "signal").orderBy("_pair").rowsBetween(Window.unboundedPreceding, 0)
     positive = F.min(F.when(F.col("_pair") == 0, 1.0).otherwise(F.col("_p"))).over(run) > 0
-    pairs = pairs.withColumns({"_alive": positive, "_mono": F.min("_p").over(run)})
+    return pairs.withColumns({"_alive": positive, "_mono": F.min("_p").over(run)})
+
+
+def effective_sample_size(draws: DataFrame, max_lag: int | None = None, block: int = CHAIN_BLOCK,
+                          first_lags: int = FIRST_LAGS, prepared: Prepared | None = None) -> DataFrame:
+    """``ess_bulk`` and ``ess_tail`` (the smaller of the 5 % and 95 % flags), and ``lag_limited``.
+
+    Autocorrelations over all split chains are added in pairs while the pairs stay positive, forced to be
+    non-increasing.  Lags are extended, for the parameters that need it, until a pair is not
+    positive; ``lag_limited`` tells that none was up to ``max_lag`` or, by default, the length of the half
+    chains, so the estimate is too high.  Rounds reach 256, 2 048, 16 384, ... lags: their number grows with the logarithm
+    of the longest memory of any chain.
+    """
+    if first_lags % 2:
+        raise ValueError("first_lags must be even, so that no pair of lags is split between rounds")
+    signals = signals_of(prepared or prepare(draws, along=True))
+    done, first, last, left = [], 0, first_lags, signals
+    while True:
+        done.append(written(autocovariance(left, first, last, block), "acov"))
+        pairs = _pair_sums(reduce(DataFrame.union, done), max_lag)
+        ends = pairs.groupBy(*KEYS, "signal").agg(F.min("_alive").alias("_alive"), F.max("_top").alias("_top"))
+        further = written(ends.filter(F.col("_alive") & (F.col("_top") > last)).select(*KEYS).distinct(), "further")
+        if further.isEmpty():
+            return _ess_from(pairs)
+        left, first, last = signals.join(further, KEYS, "left_semi"), last, last * LAG_GROWTH
+
+
+def _ess_from(pairs: DataFrame) -> DataFrame:
     agg = pairs.groupBy(*KEYS, "signal", "_draws0", "_w0").agg(
-        F.sum(F.when(F.col("_alive"), F.col("_mono"))).alias("_sum"),
+        F.sum(F.when(F.col("_alive"), F.col("_mono"))).alias("_sum"), F.min("_alive").alias("_alive"),
         F.coalesce(F.min_by("_even", F.when(~F.col("_alive"), F.col("_pair"))), F.max_by("_even", "_pair")).alias("_even"))
     tau = F.greatest(F.lit(0.0), 2 * F.col("_sum") + F.greatest(F.lit(0.0), F.col("_even")) - 1)
     draws_n = F.col("_draws0").cast("double")
     ess = F.when(F.col("_w0") > 0, F.least(F.coalesce(F.try_divide(F.lit(1.0), tau), F.log10(draws_n)),
                                            F.log10(draws_n)) * draws_n)
-    by_signal = agg.select(*KEYS, "signal", ess.alias("ess"))
+    by_signal = agg.select(*KEYS, "signal", ess.alias("ess"), (F.col("_alive") & (F.col("_w0") > 0)).alias("_limited"))
     return by_signal.groupBy(*KEYS).agg(
         F.max(F.when(F.col("signal") == "bulk", F.col("ess"))).alias("ess_bulk"),
-        F.min(F.when(F.col("signal") != "bulk", F.col("ess"))).alias("ess_tail"))
+        F.min(F.when(F.col("signal") != "bulk", F.col("ess"))).alias("ess_tail"),
+        F.coalesce(F.max("_limited"), F.lit(False)).alias("lag_limited"))
 
 
 def with_errors(summary: DataFrame, ess: DataFrame, seconds: Column | float) -> DataFrame:
@@ -282,7 +355,7 @@ def pair_hist2d(draws: DataFrame, params: list, bins: int = 20) -> DataFrame:
             .groupBy("run", "param_a", "param_b", "bin_a", "bin_b").agg(F.count(F.lit(1)).alias("n")))
 
 
-def density(draws: DataFrame, points: int = 64, bins: int = 512, pad: float = 4.0, **split_args) -> DataFrame:
+def density(draws: DataFrame, points: int = 64, bins: int = 512, pad: float = 4.0) -> DataFrame:
     """Gaussian kernel density of every chain on an even grid, ``(run, param, chain, i, x, density)``.
 
     Draws are counted into ``bins`` cells first; the kernel then runs over
@@ -295,7 +368,7 @@ def density(draws: DataFrame, points: int = 64, bins: int = 512, pad: float = 4.
     stats = draws.groupBy(*keys).agg(
         F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.stddev_samp("value").alias("_sd"),
         F.count("value").cast("double").alias("_n"))
-    iqr = split.exact_quantiles(draws, keys, "value", {"_q1": 0.25, "_q3": 0.75}, **split_args)
+    iqr = ranks.exact_quantiles(draws, keys, "value", {"_q1": 0.25, "_q3": 0.75})
     spread = F.when(F.col("_q3") > F.col("_q1"), F.least(F.col("_sd"), (F.col("_q3") - F.col("_q1")) / 1.34)) \
         .otherwise(F.col("_sd"))
     every = written(stats.join(iqr, keys).withColumn("_bw", 0.9 * spread * F.pow("_n", F.lit(-0.2))), "bandwidth")

@@ -1,24 +1,17 @@
-"""Ordered work inside groups of any size.
+"""Row numbers and running totals inside groups of any size.
 
-Ranks, row numbers, running totals and exact quantiles need an order within a
-group, and a plain window would pull the whole group into one task.  Here a
-group is cut into ordered pieces; each piece is worked on separately and the
-totals of the earlier pieces (a small table) are added.  Key columns must not
-be null.
+They need an order within a group, and a plain window would pull the whole group
+into one task.  Here a group is cut into ordered pieces; each piece is worked on
+separately and the totals of the earlier pieces (a small table) are added.  Key
+columns must not be null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.numeric import with_norm_ppf
-from panelspark.session import written
-
-BLOCK = 1 << 20             # order values per piece in number_rows and running_mean
-ROWS_PER_SPLIT = 250_000     # a value-ordered group above this is cut into pieces
-MAX_SPLITS = 4096
-FIND = "find"               # ``cuts`` argument: look for groups that need cutting
+BLOCK = 1 << 20    # order values per piece
 
 
 def _with_block(df: DataFrame, order: str, width: int) -> DataFrame:
@@ -57,125 +50,3 @@ def running_mean(df: DataFrame, keys: list, order: str, value: str, name: str =
     return (cut.join(before, [*keys, "_block"])
             .withColumn(name, F.try_divide(total, count))
             .drop("_block", "_s0", "_n0"))
-
-
-def value_cuts(df: DataFrame, keys: list, value: str, rows_per_split: int = ROWS_PER_SPLIT,
-               max_splits: int = MAX_SPLITS) -> DataFrame | None:
-    """Cut points for the groups that are too large for one task, or None if there are none.
-
-    The cut points come from a quantile sketch and only balance the work; every
-    result stays exact whatever they are.  They are written out once because a
-    sketch may differ from one evaluation to the next.
-    """
-    hot = df.groupBy(*keys).agg(F.count(value).alias("_size")).filter(F.col("_size") > rows_per_split)
-    if hot.isEmpty():
-        return None
-    hot = written(hot, "hot")
-    grid = ", ".join(f"{i / max_splits!r}D" for i in range(1, max_splits))
-    sketch = (df.join(hot, keys, "left_semi").groupBy(*keys)
-              .agg(F.expr(f"percentile_approx(`{value}`, array({grid}), {10 * max_splits})").alias("_q")))
-    pieces = F.least(F.lit(max_splits), F.ceil(F.col("_size") / rows_per_split)).cast("int")
-    picked = F.transform(
-        F.sequence(F.lit(1), F.col("_pieces") - 1),
-        lambda i: F.element_at(F.col("_q"), F.greatest(F.lit(1), (i * max_splits / F.col("_pieces")).cast("int"))))
-    return written(
-        sketch.join(hot, keys).withColumn("_pieces", pieces)
-        .select(*keys, F.array_sort(F.array_distinct(picked)).alias("_cuts")), "cuts")
-
-
-def with_bucket(df: DataFrame, keys: list, value: str, cuts: DataFrame | None) -> DataFrame:
-    """Add ``_bucket``: how many cut points of the group are at or below the value."""
-    if cuts is None:
-        return df.withColumn("_bucket", F.lit(0))
-    strides = F.array(*[F.lit(1 << i) for i in range(MAX_SPLITS.bit_length(), -1, -1)])
-    found = F.aggregate(
-        strides, F.lit(0),
-        lambda pos, step: F.when(F.get(F.col("_cuts"), pos + step - 1) <= F.col(value), pos + step).otherwise(pos))
-    return df.join(cuts, keys, "left").withColumn("_bucket", F.coalesce(found, F.lit(0))).drop("_cuts")
-
-
-def _bucket_offsets(bucketed: DataFrame, keys: list, value: str) -> DataFrame:
-    """(keys, _bucket, _size, _before, _n): rows in the bucket, in earlier buckets, in the group."""
-    whole = Window.partitionBy(*keys)
-    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count(value).alias("_size"))
-    return sizes.select(
-        *keys, "_bucket", "_size",
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_size").over(whole).alias("_n"))
-
-
-def exact_quantiles(df: DataFrame, keys: list, value: str, probs: dict, rows_per_split: int = ROWS_PER_SPLIT,
-                    max_splits: int = MAX_SPLITS, cuts: DataFrame | str | None = FIND) -> DataFrame:
-    """Exact quantiles with linear interpolation; ``probs`` maps output name to probability.
-
-    Small groups use ``percentile``.  When some group is larger than
-    ``rows_per_split``, only the value ranges that hold a wanted rank are
-    sorted: counts per range locate them first.  ``cuts`` takes the result of
-    ``value_cuts`` when several steps share it.
-    """
-    df = df.filter(F.col(value).isNotNull())
-    if isinstance(cuts, str):
-        cuts = value_cuts(df, keys, value, rows_per_split, max_splits)
-    names = list(probs)
-    if cuts is None:
-        ps = F.array(*[F.lit(float(probs[n])) for n in names])
-        agg = df.groupBy(*keys).agg(F.percentile(value, ps).alias("_q"))
-        return agg.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-
-    bucketed = with_bucket(df.select(*keys, value), keys, value, cuts)
-    offsets = _bucket_offsets(bucketed, keys, value)
-
-    def pos(n: str) -> Column:
-        return (F.col("_n") - 1) * F.lit(float(probs[n]))
-
-    def holds(rank: Column, first: Column, size: Column) -> Column:
-        return (rank >= first) & (rank < first + size)
-
-    wanted = F.lit(False)
-    for n in names:
-        for r in (F.floor(pos(n)), F.ceil(pos(n))):
-            wanted = wanted | holds(r, F.col("_before"), F.col("_size"))
-    need = written(offsets.filter(wanted).select(*keys, "_bucket", "_before", "_n"), "ranks")
-    tied = (bucketed.join(need, [*keys, "_bucket"])
-            .groupBy(*keys, "_bucket", "_before", "_n", value).agg(F.count(F.lit(1)).alias("_ties")))
-    upto = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = tied.withColumn("_first", F.col("_before") + F.sum("_ties").over(upto) - F.col("_ties"))
-    picks = []
-    for n in names:
-        lower = F.max(F.when(holds(F.floor(pos(n)), F.col("_first"), F.col("_ties")), F.col(value)))
-        upper = F.max(F.when(holds(F.ceil(pos(n)), F.col("_first"), F.col("_ties")), F.col(value)))
-        frac = F.max(pos(n) - F.floor(pos(n)))
-        picks.append((lower * (1 - frac) + upper * frac).alias(n))
-    return placed.groupBy(*keys).agg(*picks)
-
-
-def rank_scores(df: DataFrame, keys: list, value: str, carry: list = (), rows_per_split: int = ROWS_PER_SPLIT,
-                max_splits: int = MAX_SPLITS, cuts: DataFrame | str | None = FIND) -> DataFrame:
-    """Average ranks and normal scores of the distinct values of each group.
-
-    Returns ``(keys, carry, value, _cnt, rank, z)`` with one row per distinct
-    value and ``carry``; ``z`` is the inverse normal of (rank - 3/8)/(n + 1/4).
-    Equal values are counted before they are sorted, so a value that fills half
-    a group is one row here.
-    """
-    carry = list(carry)
-    df = df.filter(F.col(value).isNotNull())
-    if isinstance(cuts, str):
-        cuts = value_cuts(df, keys, value, rows_per_split, max_splits)
-    counted = df.groupBy(*keys, *carry, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    counted = with_bucket(counted, keys, value, cuts)
-    piece = Window.partitionBy(*keys, "_bucket")
-    ordered = piece.orderBy(value)
-    upto = F.sum("_cnt").over(ordered.rangeBetween(Window.unboundedPreceding, 0))
-    ties = F.sum("_cnt").over(ordered.rangeBetween(0, 0))  # peers only; same sort as the line above
-    if cuts is None:
-        ranked = counted.withColumns({"_upto": upto, "_ties": ties, "_n": F.sum("_cnt").over(piece)})
-        ranked = ranked.withColumn("_before", F.lit(0))
-    else:
-        offsets = _bucket_offsets(with_bucket(df.select(*keys, value), keys, value, cuts), keys, value)
-        ranked = (counted.withColumns({"_upto": upto, "_ties": ties})
-                  .join(written(offsets, "offsets"), [*keys, "_bucket"]))
-    ranked = ranked.withColumn("rank", F.col("_before") + F.col("_upto") - (F.col("_ties") - 1) / 2)
-    scored = with_norm_ppf(ranked, (F.col("rank") - 0.375) / (F.col("_n") + 0.25), "z")
-    return scored.select(*keys, *carry, value, "_cnt", "rank", "z")

@@ -128,7 +128,6 @@ def rhat_rank(spark, sf):
     return rounded(d.rhat_rank(draws(spark, sf, stored=True)), 6, "rhat_bulk", "rhat_tail", "rhat")
 
 
-_LAGS = 250
 _ESS = {
     "h": _HALVES,
     "hz": f"SELECT *, {ppf_sql('p')} AS z FROM ({_ranked('h')})",
@@ -141,35 +140,35 @@ _ESS = {
     "ac": "SELECT a.run, a.param, a.chain, a.half, a.n_half, a.signal, b.pos - a.pos AS lag, max(a.m) AS m, "
           "sum((a.x - a.m)*(b.x - b.m))/max(a.n_half) AS acov FROM cen a JOIN cen b ON a.run = b.run AND a.param = b.param "
           "AND a.chain = b.chain AND a.half = b.half AND a.signal = b.signal "
-          f"AND b.pos BETWEEN a.pos AND a.pos + {_LAGS} GROUP BY 1, 2, 3, 4, 5, 6, 7",
+          "AND b.pos >= a.pos GROUP BY 1, 2, 3, 4, 5, 6, 7",
     "top": "SELECT run, param, signal, var_samp(m) AS b, avg(n_half) AS n, min(n_half) AS nmin, sum(n_half) AS total, "
            "avg(acov*n_half/(n_half-1)) AS w FROM ac WHERE lag = 0 GROUP BY 1, 2, 3",
     "rho": "SELECT run, param, signal, lag // 2 AS pair, lag, total, w, CASE WHEN lag = 0 THEN 1.0 ELSE "
            "1 - (w - acov)/((n-1)/n*w + coalesce(b, 0)) END AS rho FROM (SELECT run, param, signal, lag, avg(acov) AS acov "
            "FROM ac GROUP BY 1, 2, 3, 4) JOIN top USING (run, param, signal) "
-           f"WHERE (lag // 2)*2 < least({_LAGS}, nmin - 4)",
+           "WHERE (lag // 2)*2 < nmin - 4",
     "pr2": "SELECT run, param, signal, pair, total, w, sum(rho) AS p, sum(rho) FILTER (lag % 2 = 0) AS even "
            "FROM rho GROUP BY 1, 2, 3, 4, 5, 6",
     "mono": "SELECT *, min(CASE WHEN pair = 0 THEN 1.0 ELSE p END) OVER wp > 0 AS alive, min(p) OVER wp AS mono FROM pr2 "
             "WINDOW wp AS (PARTITION BY run, param, signal ORDER BY pair ROWS UNBOUNDED PRECEDING)",
-    "tau": "SELECT run, param, signal, total, w, greatest(0.0, 2*sum(mono) FILTER (alive) + greatest(0.0, "
+    "tau": "SELECT run, param, signal, total, w, bool_and(alive) AS alive, greatest(0.0, 2*sum(mono) FILTER (alive) + greatest(0.0, "
            "coalesce(min_by(even, pair) FILTER (NOT alive), max_by(even, pair))) - 1) AS tau FROM mono GROUP BY 1, 2, 3, 4, 5",
-    "es": "SELECT run, param, signal, CASE WHEN w > 0 THEN CASE WHEN tau = 0 THEN log10(total) ELSE "
+    "es": "SELECT run, param, signal, coalesce(alive AND w > 0, false) AS limited, CASE WHEN w > 0 THEN CASE WHEN tau = 0 THEN log10(total) ELSE "
           "least(1/tau, log10(total)) END * total END AS ess FROM tau",
-    "ess": "SELECT run, param, max(ess) FILTER (signal = 'bulk') AS ess_bulk, min(ess) FILTER (signal <> 'bulk') AS ess_tail "
-           "FROM es GROUP BY 1, 2",
+    "ess": "SELECT run, param, max(ess) FILTER (signal = 'bulk') AS ess_bulk, min(ess) FILTER (signal <> 'bulk') AS ess_tail, "
+           "bool_or(limited) AS lag_limited FROM es GROUP BY 1, 2",
 }
 
 
 @register("effective_sample_size", sql(
-    "SELECT run, param, round(ess_bulk, 4) AS ess_bulk, round(ess_tail, 4) AS ess_tail FROM ess", "dr", **_ESS))
+    "SELECT run, param, round(ess_bulk, 4) AS ess_bulk, round(ess_tail, 4) AS ess_tail, lag_limited FROM ess", "dr", **_ESS))
 def effective_sample_size(spark, sf):
     return rounded(d.effective_sample_size(draws(spark, sf, stored=True)), 4, "ess_bulk", "ess_tail")
 
 
 @register("posterior_report", sql(
     "SELECT run, param, round(mean, 6) AS mean, round(std, 6) AS std, round(std/sqrt(ess_bulk), 6) AS mcse, "
-    "round(ess_bulk, 4) AS ess_bulk, round(ess_tail, 4) AS ess_tail, round(greatest(rhat_bulk, rhat_tail), 6) AS rhat, "
+    "round(ess_bulk, 4) AS ess_bulk, round(ess_tail, 4) AS ess_tail, lag_limited, round(greatest(rhat_bulk, rhat_tail), 6) AS rhat, "
     f"round(ess_bulk/{SECONDS}, 4) AS ess_per_sec, " + ", ".join(f"round({n}, 6) AS {n}" for n in d.QUANTILES)
     + " FROM s JOIN q USING (run, param) JOIN ess USING (run, param) JOIN rb USING (run, param) JOIN rt USING (run, param)",
     "dr", **_ESS, f=_FOLD, fz=f"SELECT *, {ppf_sql('p')} AS z FROM ({_ranked('f')})", rb=_rhat_sql("hz", "z", "rhat_bulk"),

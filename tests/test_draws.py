@@ -10,14 +10,11 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import priors
 from panelspark.operators import draws as d
-from panelspark.operators import labels
+from panelspark.operators import labels, ranks
 from panelspark.plans.posterior import posterior_report
 from panelspark.sources import tables as io
 from conftest import rows
 
-SPLIT = {"rows_per_split": 100, "max_splits": 16}
-
-
 def chains(kind, n=401, m=3, seed=1):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(m, n))
@@ -88,7 +85,7 @@ def ess(h, max_lag=250):
 
 
 def test_summary_and_quantiles(draws):
-    got = {r["param"]: r for r in rows(d.posterior_summary(draws).join(d.posterior_quantiles(draws, **SPLIT), d.KEYS))}
+    got = {r["param"]: r for r in rows(d.posterior_summary(draws).join(d.posterior_quantiles(draws), d.KEYS))}
     for k in KINDS:
         x = chains(k).ravel()
         assert got[k]["mean"] == pytest.approx(x.mean(), abs=1e-12)
@@ -104,18 +101,19 @@ def test_rhat(draws):
     assert got["mixed"] < 1.05 < got["shifted"]
 
 
-@pytest.mark.parametrize("args", [{}, SPLIT])
-def test_rhat_rank(draws, args):
-    got = {r["param"]: r for r in rows(d.rhat_rank(draws, **args))}
+@pytest.mark.parametrize("size", [1 << 21, 100])
+def test_rhat_rank(draws, size, monkeypatch):
+    monkeypatch.setattr(ranks, "ROWS_PER_TASK", size)
+    got = {r["param"]: r for r in rows(d.rhat_rank(draws))}
     for k in ("mixed", "shifted", "tied", "ar"):
         h = halves(chains(k))
         assert got[k]["rhat_bulk"] == pytest.approx(rhat(scores(h)), rel=1e-9), k
         assert got[k]["rhat_tail"] == pytest.approx(rhat(scores(np.abs(h - np.median(chains(k))))), rel=1e-9), k
 
 
-@pytest.mark.parametrize("args", [{}, {"block": 64, "max_lag": 40, **SPLIT}])
+@pytest.mark.parametrize("args", [{}, {"block": 64, "max_lag": 40}, {"block": 50, "first_lags": 4}])
 def test_effective_sample_size(draws, args):
-    lag = args.get("max_lag", 250)
+    lag = args.get("max_lag", 10 ** 9)
     got = {r["param"]: r for r in rows(d.effective_sample_size(draws, **args))}
     for k in ("mixed", "shifted", "tied", "ar"):
         h = halves(chains(k))
@@ -126,6 +124,52 @@ def test_effective_sample_size(draws, args):
     assert got["ar"]["ess_bulk"] < got["mixed"]["ess_bulk"] / 5
 
 
+def test_slow_chains_need_many_lags(spark):
+    """An autoregression of .999 against a direct sum over all lags; a trend never ends."""
+    rng = np.random.default_rng(5)
+    x = np.zeros((2, 6000))
+    for t in range(1, x.shape[1]):
+        x[:, t] = 0.999 * x[:, t - 1] + rng.normal(size=2)
+    trend = np.tile(np.arange(300.0), (2, 1))
+    pdf = pd.concat([pd.DataFrame({"run": "r", "param": p, "chain": c, "iter": np.arange(y.shape[1]), "value": y[c]})
+                     for p, y in (("slow", x), ("trend", trend), ("quick", rng.normal(size=(2, 400)))) for c in range(2)])
+    df = spark.createDataFrame(pdf, io.DRAWS)
+    got = {r["param"]: r for r in rows(d.effective_sample_size(df, block=1000))}
+    h = halves(x)
+    assert got["slow"]["ess_bulk"] == pytest.approx(ess(scores(h), 10 ** 9), rel=1e-7)
+    assert not got["slow"]["lag_limited"] and not got["quick"]["lag_limited"] and got["trend"]["lag_limited"]
+    short = {r["param"]: r for r in rows(d.effective_sample_size(df, max_lag=250))}
+    assert short["slow"]["lag_limited"] and not short["quick"]["lag_limited"]
+    assert short["slow"]["ess_bulk"] > 1.3 * got["slow"]["ess_bulk"]
+
+
+def test_lagged_products_by_direct_sum(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(237, 3))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["bulk", "low", "high"]).assign(
+        run="r", param="p", chain=1, half=0, n_half=237, pos=np.arange(237)))
+    for first, last, block in ((0, 8, 50), (8, 64, 20), (0, 237, 40), (200, 500, 300)):
+        got = d.autocovariance(df, first, last, block).toPandas()
+        assert sorted(got["lag"].unique()) == list(range(first, min(last, 237)))
+        for k, name in enumerate(("bulk", "low", "high")):
+            c = x[:, k] - x[:, k].mean()
+            mine = got[got["signal"] == name].set_index("lag")["acov"]
+            assert all(mine[g] == pytest.approx((c[:237 - g] * c[g:]).sum() / 237, abs=1e-12) for g in mine.index)
+
+
+def test_chains_are_halved_without_numbering(spark, monkeypatch):
+    monkeypatch.setattr(d, "_PARTS", 4)
+    rng = np.random.default_rng(9)
+    shapes = {"even": np.arange(10), "odd": np.arange(11) + 7, "one": np.array([5]), "thin": np.arange(0, 900, 9), "two": np.array([-4, 10 ** 12]),
+              "gaps": np.sort(rng.choice(10 ** 6, 301, replace=False)), "late": 10 ** 15 + np.sort(rng.choice(10 ** 4, 50, replace=False))}
+    pdf = pd.concat([pd.DataFrame({"run": "r", "param": p, "chain": 1, "iter": i, "value": 1.0}) for p, i in shapes.items()])
+    got = d.with_half(spark.createDataFrame(pdf, io.DRAWS)).toPandas().sort_values(["param", "iter"])
+    for p, i in shapes.items():
+        n, h = len(i), len(i) // 2
+        mine = [None if np.isnan(v) else int(v) for v in got[got["param"] == p]["half"]]
+        assert mine == [0] * h + [None] * (n % 2) + [1] * h, p
+
+
 def test_thinned_chains_and_null_draws_count_as_they_are(spark, draws):
     few = draws.filter("param in ('ar', 'tied')")
     gaps = few.withColumn("iter", F.col("iter") * 5 + 3)
@@ -136,7 +180,7 @@ def test_thinned_chains_and_null_draws_count_as_they_are(spark, draws):
 
 
 def test_report_has_every_parameter(draws):
-    got = {r["param"]: r for r in rows(posterior_report(draws, 100.0, **SPLIT))}
+    got = {r["param"]: r for r in rows(posterior_report(draws, 100.0))}
     assert set(got) == set(KINDS)
     for k in ("mixed", "shifted", "tied", "ar"):
         h = halves(chains(k))

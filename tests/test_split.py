@@ -1,4 +1,4 @@
-"""Split groups must give the same answers as one big window."""
+"""Row numbers and running means in pieces must give the same answers as one big window."""
 
 import random
 from statistics import NormalDist
@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import with_norm_ppf
 from panelspark.operators import split
-from conftest import rows
-
-SPLIT = {"rows_per_split": 40, "max_splits": 16}
-
 
 @pytest.fixture(scope="module")
 def data(spark):
@@ -45,47 +41,6 @@ def test_running_mean(data):
     assert np.allclose(m["running_mean"], m["m"])
 
 
-@pytest.mark.parametrize("args", [{}, SPLIT, {"rows_per_split": 10, "max_splits": 8}])
-def test_exact_quantiles(data, args):
-    pdf, df = data
-    probs = {"a": 0.0, "b": 0.025, "c": 0.5, "d": 0.731, "e": 1.0}
-    got = {r["k"]: r for r in rows(split.exact_quantiles(df, ["k"], "v", probs, **args))}
-    for k, g in pdf.groupby("k"):
-        for n, p in probs.items():
-            assert got[k][n] == pytest.approx(np.quantile(g["v"], p), abs=1e-12), (k, n)
-
-
-@pytest.mark.parametrize("args", [{}, SPLIT, {"rows_per_split": 10, "max_splits": 8}])
-def test_rank_scores(data, args):
-    pdf, df = data
-    got = split.rank_scores(df, ["k"], "v", **args).toPandas()
-    want = pdf.assign(r=pdf.groupby("k")["v"].rank(method="average"), n=pdf.groupby("k")["v"].transform("size"))
-    want = want.drop_duplicates(["k", "v"])
-    m = got.merge(want, on=["k", "v"])
-    assert len(m) == len(want) == len(got)
-    assert np.allclose(m["rank"], m["r"])
-    z = [NormalDist().inv_cdf((r - 0.375) / (n + 0.25)) for r, n in zip(m["r"], m["n"])]
-    assert np.allclose(m["z"], z, atol=1e-12)
-    assert got["_cnt"].sum() == len(pdf)
-
-
-def test_buckets_split_the_hot_group_only(data):
-    _, df = data
-    cuts = split.value_cuts(df, ["k"], "v", **SPLIT)
-    assert [r["k"] for r in cuts.collect()] == ["hot"]
-    sizes = split.with_bucket(df, ["k"], "v", cuts).groupBy("k", "_bucket").count().toPandas()
-    assert (sizes["k"] == "hot").sum() > 5 and (sizes["k"] == "small").sum() == 1
-    assert split.value_cuts(df, ["k"], "v") is None
-
-
-def test_partitioning_changes_nothing(data):
-    _, df = data
-    a = split.rank_scores(df.repartition(1), ["k"], "v", **SPLIT).toPandas()
-    b = split.rank_scores(df.repartition(7, "i"), ["k"], "v", **SPLIT).toPandas()
-    m = a.merge(b, on=["k", "v"])
-    assert (m["rank_x"] == m["rank_y"]).all() and len(m) == len(a)
-
-
 def test_inverse_normal_against_stdlib(spark):
     ps = [1e-12, 1e-6, 0.01, 0.0749, 0.075, 0.3, 0.5, 0.6, 0.925, 0.99, 1 - 1e-9]
     df = spark.createDataFrame([(p,) for p in ps] + [(0.0,), (1.0,)], "p double")
