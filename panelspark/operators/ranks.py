@@ -25,7 +25,8 @@ from panelspark.functions.numeric import with_norm_ppf
 from panelspark.session import written
 
 ROWS_PER_TASK = 1 << 21    # rows a task sorts and holds; sets the number of ranges of large inputs
-_RUN_FIRST, _RUN_LAST, _GROUP_FIRST, _GROUP_LAST = 1, 2, 4, 8    # what reaches an end of its partition
+# bits of a row: its run of equal values, or its group, reaches an end of the partition; it is the first or last row there
+_RUN_FIRST, _RUN_LAST, _GROUP_FIRST, _GROUP_LAST, _ROW_FIRST, _ROW_LAST = 1, 2, 4, 8, 16, 32
 
 
 def _changes(column: pa.ChunkedArray) -> np.ndarray:
@@ -54,6 +55,8 @@ def _number(keys: list, value: str, carry: list, counts: list):
         (v0, v1), (g0, g1), last = _bounds(same_value), _bounds(group), len(cell) - 1
         at = np.flatnonzero(cell)
         edge = (_RUN_FIRST * (v0 == 0) | _RUN_LAST * (v1 == last) | _GROUP_FIRST * (g0 == 0) | _GROUP_LAST * (g1 == last))
+        edge[0] |= _ROW_FIRST
+        edge[at[-1]] |= _ROW_LAST
         out = rows.select([*keys, value, *carry]).take(pa.array(at))
         for name in counts:
             n = rows.column(name).to_numpy()
@@ -68,29 +71,50 @@ def _number(keys: list, value: str, carry: list, counts: list):
     return run
 
 
-_PLACES = ("start", "first_v0", "first_v1", "last_v0", "last_v1", "first_g0", "first_g1", "last_g0", "last_g1")
+_EXTENTS = [(kind, bit, row) for kind, first, last in (("v", _RUN_FIRST, _RUN_LAST), ("g", _GROUP_FIRST, _GROUP_LAST))
+            for bit, row in ((first, _ROW_FIRST), (last, _ROW_LAST))]
 
 
-def _places(summary: list, keys: list, value: str, counts: list) -> list[tuple]:
-    """Per partition and count: rows before it, and the whole extent of the runs and groups at its two ends."""
-    summary = sorted(summary, key=lambda r: r["_part"])
-    columns = []
+def _places(summary: list, keys: list, value: str, counts: list) -> tuple[np.ndarray, dict]:
+    """Partitions in order, and per count the rows before each and the whole extents of the runs and groups at its ends."""
+    parts = sorted({r["_part"] for r in summary})
+    rows = {(r["_part"], bit): r for r in summary for bit in (_ROW_FIRST, _ROW_LAST) if r["_edge"] & bit}
+    places: dict = {}
     for name in counts:
-        start, extent, ends = 0, {}, []
-        for r in summary:
-            found = []
-            for end in ("first", "last"):
-                who = tuple(r[end][k] for k in keys)
-                for kind, key in (("v", (*who, repr(r[end][value]))), ("g", who)):
-                    low, high = start + r[f"{name}_{end}_{kind}0"], start + r[f"{name}_{end}_{kind}1"]
-                    known = extent.setdefault((kind, key), [low, high])
-                    known[0], known[1] = min(known[0], low), max(known[1], high)
-                    found.append(known)
-            ends.append((start, found))
-            start += r[f"{name}_rows"]
-        # ``found`` holds the extents of first run, first group, last run, last group
-        columns.append([(s, *fv, *lv, *fg, *lg) for s, (fv, fg, lv, lg) in ends])
-    return [(r["_part"], *(v for c in columns for v in c[i])) for i, r in enumerate(summary)]
+        starts, start, extent = [], 0, {}
+        ends: dict = {bit: [] for _, bit, _ in _EXTENTS}
+        for part in parts:
+            for kind, bit, which in _EXTENTS:
+                r = rows[part, which]
+                who = (kind, *(r[k] for k in keys), *([repr(r[value])] if kind == "v" else []))
+                low, high = start + r[f"{name}_{kind}0"], start + r[f"{name}_{kind}1"]
+                known = extent.setdefault(who, [low, high])
+                known[0], known[1] = min(known[0], low), max(known[1], high)
+                ends[bit].append(known)    # shared, so it ends as the whole extent
+            starts.append(start)
+            start += rows[part, _ROW_FIRST][f"{name}_rows"]
+        places[name] = np.array(starts, np.int64), {bit: np.array(found, np.int64) for bit, found in ends.items()}
+    return np.array(parts), places
+
+
+def _resolve(keep: list, parts: np.ndarray, places: dict):
+    """Places in the whole group from places in a partition."""
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at, edge = np.searchsorted(parts, b.column("_part").to_numpy()), b.column("_edge").to_numpy()
+            columns, names = [b.column(c) for c in keep], list(keep)
+            for name, (starts, ends) in places.items():
+                found = {c: starts[at] + b.column(f"{name}_{c}").to_numpy() for c in ("v0", "v1", "g0", "g1")}
+                for kind, bit, _ in _EXTENTS:
+                    here = np.flatnonzero(edge & bit)
+                    for i in (0, 1):
+                        found[f"{kind}{i}"][here] = ends[bit][at[here], i]
+                columns += [b.column(name), *(pa.array(found[c] - found["g0"]) for c in ("v0", "v1", "g1"))]
+                names += [name, f"{name}_before", f"{name}_upto", f"{name}_all"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+    return run
 
 
 def ranked(df: DataFrame, keys: list, value: str, carry: list = (), counts: dict[str, Column] | None = None) -> DataFrame:
@@ -115,49 +139,43 @@ def ranked(df: DataFrame, keys: list, value: str, carry: list = (), counts: dict
                            T.StructField("_edge", T.IntegerType()), T.StructField("_part", T.IntegerType())])
     sorted_rows = written(dealt.sortWithinPartitions(*order).drop("_at").mapInArrow(_number(keys, value, carry, names), schema), "ranked")
 
-    def at_edge(bit: int, column: str) -> Column:
-        return F.max(F.when(F.col("_edge").bitwiseAND(bit) > 0, F.col(column)))
-
-    who = F.struct(*keys, value)
-    summary = sorted_rows.groupBy("_part").agg(
-        F.min(who).alias("first"), F.max(who).alias("last"),
-        *[F.max(f"{n}_rows").alias(f"{n}_rows") for n in names],
-        *[at_edge(bit, f"{n}_{kind}{i}").alias(f"{n}_{end}_{kind}{i}") for n in names for i in (0, 1) for end, kind, bit in (
-            ("first", "v", _RUN_FIRST), ("last", "v", _RUN_LAST), ("first", "g", _GROUP_FIRST), ("last", "g", _GROUP_LAST))])
-    places = df.sparkSession.createDataFrame(    # one row per partition, as for the ranges of a sort
-        _places(summary.collect(), keys, value, names),
-        ", ".join(["_part int", *[f"{n}_{p} long" for n in names for p in _PLACES]]))
-    out = sorted_rows.join(F.broadcast(places), "_part")
+    # at most two rows per partition, as for the ranges of a sort
+    summary = sorted_rows.filter(F.col("_edge") >= _ROW_FIRST).collect()
+    parts, places = _places(summary, keys, value, names)
+    keep = [*keys, value, *carry]
+    schema = T.StructType([*[rows.schema[c] for c in keep], *[
+        T.StructField(n + s, T.LongType()) for n in names for s in ("", "_before", "_upto", "_all")]])
+    return sorted_rows.mapInArrow(_resolve(keep, parts, places), schema)
 
-    def place(name: str, kind: str, i: int) -> Column:
-        first, last = (_RUN_FIRST, _RUN_LAST) if kind == "v" else (_GROUP_FIRST, _GROUP_LAST)
-        edge = F.col("_edge")
-        return (F.when(edge.bitwiseAND(first) > 0, F.col(f"{name}_first_{kind}{i}"))
-                .when(edge.bitwiseAND(last) > 0, F.col(f"{name}_last_{kind}{i}"))
-                .otherwise(F.col(f"{name}_start") + F.col(f"{name}_{kind}{i}")))
 
-    return out.select(*keys, value, *carry, *[c for n in names for c in (
-        F.col(n), (place(n, "v", 0) - place(n, "g", 0)).alias(f"{n}_before"),
-        (place(n, "v", 1) - place(n, "g", 0)).alias(f"{n}_upto"), (place(n, "g", 1) - place(n, "g", 0)).alias(f"{n}_all"))])
+def _pick(keys: list, value: str, probs: list, count: str):
+    """Rows that hold the lower or upper neighbour of a quantile, with its weight."""
+    def run(batches):
+        for b in batches:
+            before, upto, n = (b.column(f"{count}_{c}").to_numpy() for c in ("before", "upto", "all"))
+            for i, p in enumerate(probs):
+                pos = (n - 1) * p
+                low = np.floor(pos)
+                for side, (rank, weight) in enumerate(((low, 1 - (pos - low)), (np.ceil(pos), pos - low))):
+                    here = pa.array(np.flatnonzero((rank >= before) & (rank < upto)))
+                    if len(here):
+                        yield pa.RecordBatch.from_arrays(
+                            [*(b.column(k).take(here) for k in keys), b.column(value).cast(pa.float64()).take(here),
+                             pa.array(weight).take(here), pa.array([2 * i + side] * len(here), pa.int32())],
+                            names=[*keys, "_v", "_w", "_i"])
+    return run
 
 
 def quantiles_of(rows: DataFrame, keys: list, value: str, probs: dict, count: str = "n") -> DataFrame:
     """Quantiles with linear interpolation from a result of ``ranked``; ``probs`` maps output name to probability."""
-    def holds(rank: Column) -> Column:
-        return (rank >= F.col(f"{count}_before")) & (rank < F.col(f"{count}_upto"))
-
-    def pos(p: float) -> Column:
-        return (F.col(f"{count}_all") - 1) * F.lit(float(p))
-
-    wanted = F.lit(False)
-    for p in probs.values():
-        wanted = wanted | holds(F.floor(pos(p))) | holds(F.ceil(pos(p)))
-    picks = []
-    for name, p in probs.items():
-        lower, upper = (F.max(F.when(holds(r), F.col(value))) for r in (F.floor(pos(p)), F.ceil(pos(p))))
-        part = F.max(pos(p) - F.floor(pos(p)))
-        picks.append((lower * (1 - part) + upper * part).alias(name))
-    return rows.filter(wanted).groupBy(*keys).agg(*picks)
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("_v", T.DoubleType()), T.StructField("_w", T.DoubleType()),
+                           T.StructField("_i", T.IntegerType())])
+    picked = rows.mapInArrow(_pick(keys, value, [float(p) for p in probs.values()], count), schema)
+    # a neighbour may come in several rows of the same value: two per quantile and group are left
+    ends = picked.groupBy(*keys, "_i").agg(F.max("_v").alias("_v"), F.max("_w").alias("_w"))
+    part = F.col("_v") * F.col("_w")
+    return ends.groupBy(*keys).agg(*[
+        F.sum(F.when(F.floor(F.col("_i") / 2) == i, part)).alias(n) for i, n in enumerate(probs)])
 
 
 def exact_quantiles(df: DataFrame, keys: list, value: str, probs: dict) -> DataFrame:
