@@ -141,15 +141,6 @@ def shock_name_match(spark, sf):
 _PANEL = ("SELECT series_key, quarter_idx, max(g) FILTER (o_orderstatus = 'F') AS gf, max(g) FILTER (o_orderstatus = 'O') AS go "
           "FROM (SELECT *, ln(v) - lag(ln(v)) OVER (PARTITION BY series_key, o_orderstatus ORDER BY quarter_idx) AS g FROM q5s) "
           "WHERE g IS NOT NULL GROUP BY 1, 2")
-_GRAM = ("SELECT series_key, sum(lf*lf) AS a, sum(lf*lo) AS b, sum(lo*lo) AS d, sum(lf*gf) AS ff, sum(lo*gf) AS of, "
-         "sum(lf*go) AS fo, sum(lo*go) AS oo FROM (SELECT *, lag(gf) OVER w AS lf, lag(go) OVER w AS lo FROM panel "
-         "WINDOW w AS (PARTITION BY series_key ORDER BY quarter_idx)) WHERE lf IS NOT NULL GROUP BY 1")
-_COEF = ("SELECT series_key, 0 AS pos, 'gf' AS predictor, 'gf' AS target, (d*ff - b*of)/(a*d - b*b) AS coef FROM gram UNION ALL "
-         "SELECT series_key, 1, 'go', 'gf', (a*of - b*ff)/(a*d - b*b) FROM gram UNION ALL "
-         "SELECT series_key, 2, 'gf', 'go', (d*fo - b*oo)/(a*d - b*b) FROM gram UNION ALL "
-         "SELECT series_key, 3, 'go', 'go', (a*oo - b*fo)/(a*d - b*b) FROM gram")
-
-
 _THREE = ["gf", "go", "gp"]
 _PANEL3 = _PANEL.replace(" AS go FROM", " AS go, max(g) FILTER (o_orderstatus = 'P') AS gp FROM")
 _GRAM3 = ("SELECT series_key, sum(lf*lf) AS a, sum(lf*lo) AS b, sum(lf*lp) AS c, sum(lo*lo) AS d, sum(lo*lp) AS e, sum(lp*lp) AS f, "
@@ -174,26 +165,26 @@ def _panel(spark, sf, **more: str):
 
 
 @register("var1_ols", sql("SELECT series_key, pos, predictor, target, round(coef, 6) AS coef FROM coef", "q5s",
-                          panel=_PANEL, gram=_GRAM, coef=_COEF))
+                          panel=_PANEL3, gram=_GRAM3, adj=_ADJ3, coef=_COEF3))
 def var1_ols(spark, sf):
-    return rounded(moments.var1_ols(_panel(spark, sf), ["series_key"], ["gf", "go"]), 6, "coef")
+    return rounded(moments.var1_ols(_panel(spark, sf, P="gp"), ["series_key"], _THREE), 6, "coef")
 
 
-def _distances(coef):
+def _distances(coef, digits: int = 6, **how):
     """Distance of every series' moments to those of the first; one series is out of bounds."""
     target = coef.filter("series_key = '1-URGENT'").withColumn("w", (1 + F.col("pos")).cast("double"))
     theta = coef.withColumns({"alpha": F.lit(0.33), "beta": F.lit(0.99), "delta": F.lit(0.025), "gamma": F.lit(2.0),
                               "rho": F.when(F.col("series_key") == "5-LOW", 1.0).otherwise(0.95)})
     theta = theta.withColumn("out_of_bounds", moments.out_of_bounds())
-    return rounded(moments.moment_distance(theta, target, ["series_key"], weight="w"), 6, "distance")
+    return rounded(moments.moment_distance(theta, target, ["series_key"], **(how or {"weight": "w"})), digits, "distance")
 
 
 @register("moment_distance", sql(
     "SELECT s.series_key, CASE WHEN s.series_key = '5-LOW' THEN 1e6 ELSE round(sum((1 + s.pos)*pow(s.coef - t.coef, 2)), 6) END "
     "AS distance FROM coef s JOIN coef t ON t.series_key = '1-URGENT' AND t.pos = s.pos GROUP BY 1", "q5s",
-    panel=_PANEL, gram=_GRAM, coef=_COEF))
+    panel=_PANEL3, gram=_GRAM3, adj=_ADJ3, coef=_COEF3))
 def moment_distance(spark, sf):
-    return _distances(moments.var1_ols(_panel(spark, sf), ["series_key"], ["gf", "go"]))
+    return _distances(moments.var1_ols(_panel(spark, sf, P="gp"), ["series_key"], _THREE))
 
 
 # -- the same over every status --------------------------------------------------------------
@@ -209,3 +200,56 @@ def var1_ols_statuses(spark, sf):
     panel=_PANEL3, gram=_GRAM3, adj=_ADJ3, coef=_COEF3))
 def moment_distance_statuses(spark, sf):
     return _distances(moments.var1_ols(_panel(spark, sf, P="gp"), ["series_key"], _THREE))
+
+
+# -- moment distance with the inverse long-run covariance as its matrix ---------------------------------
+_LAGS = 4
+_RESID3 = {y: f"g{y} - (" + " + ".join(f"b{3 * j + i}*l{x}" for i, x in enumerate("fop")) + ")" for j, y in enumerate("fop")}
+_LONG_RUN = {
+    "panel": _PANEL3, "gram": _GRAM3, "adj": _ADJ3, "coef": _COEF3,
+    "b": "SELECT series_key, " + ", ".join(f"max(coef) FILTER (pos = {p}) AS b{p}" for p in range(9)) + " FROM coef GROUP BY 1",
+    "lagged": "SELECT *, " + ", ".join(f"lag(g{x}) OVER w AS l{x}" for x in "fop")
+              + " FROM panel WINDOW w AS (PARTITION BY series_key ORDER BY quarter_idx)",
+    "full_rows": "SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY quarter_idx) AS t FROM lagged JOIN b USING (series_key) "
+                 "WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in ("gf", "go", "gp", "lf", "lo", "lp")),
+    "score": " UNION ALL ".join(f"SELECT series_key, t, {3 * j + i} AS pos, l{x}*({_RESID3[y]}) AS s FROM full_rows"
+                                for j, y in enumerate("fop") for i, x in enumerate("fop")),
+    "long_run": "SELECT a.series_key, a.pos AS p, b.pos AS q, "
+                f"sum((1 - abs(a.t - b.t)/{_LAGS + 1}e0)*a.s*b.s) AS v FROM score a JOIN score b ON a.series_key = b.series_key "
+                f"AND abs(a.t - b.t) <= {_LAGS} GROUP BY 1, 2, 3",
+    "bread": " UNION ALL ".join(f"SELECT series_key, {i} AS i, {j} AS j, i{min(i, j) + 1}{max(i, j) + 1}/det AS v FROM adj"
+                                for i in range(3) for j in range(3)),
+    "cov": "SELECT s.series_key, (s.p // 3)*3 + l.i AS pos_a, (s.q // 3)*3 + r.j AS pos_b, sum(l.v*s.v*r.v) AS cov FROM long_run s "
+           "JOIN bread l ON l.series_key = s.series_key AND l.j = s.p % 3 "
+           "JOIN bread r ON r.series_key = s.series_key AND r.i = s.q % 3 GROUP BY 1, 2, 3",
+}
+
+
+def _coefficient_covariance(spark, sf):
+    return moments.moment_covariance(_panel(spark, sf, P="gp"), ["series_key"], _THREE, _LAGS)
+
+
+@register("moment_covariance", sql(
+    "SELECT series_key, CAST(pos_a AS INTEGER) AS pos_a, CAST(pos_b AS INTEGER) AS pos_b, round(cov, 8) AS cov FROM cov", "q5s", **_LONG_RUN))
+def moment_covariance(spark, sf):
+    return rounded(_coefficient_covariance(spark, sf).drop("weight"), 8, "cov")
+
+
+# elimination over the rows (covariance of the first series | gaps of every series), one pivot a step
+_SOLVE = (
+    "SELECT 0 AS step, i, j, v FROM start UNION ALL SELECT step + 1, i, j, CASE WHEN i = step THEN v/p ELSE v - c*r/p END FROM ("
+    "SELECT *, max(v) FILTER (i = step AND j = CAST(step AS VARCHAR)) OVER () AS p, "
+    "max(v) FILTER (j = CAST(step AS VARCHAR)) OVER (PARTITION BY i) AS c, max(v) FILTER (i = step) OVER (PARTITION BY j) AS r "
+    "FROM solve) WHERE step < 9")
+_GAPS = "SELECT s.series_key, s.pos, s.coef - t.coef AS d FROM coef s JOIN coef t ON t.series_key = '1-URGENT' AND t.pos = s.pos"
+
+
+@register("moment_distance_matrix", sql(
+    "SELECT g.series_key, CASE WHEN g.series_key = '5-LOW' THEN 1e6 ELSE round(sum(g.d*s.v), 4) END AS distance FROM gaps g "
+    "JOIN solve s ON s.step = 9 AND s.j = g.series_key AND s.i = g.pos GROUP BY 1", "q5s", **_LONG_RUN, gaps=_GAPS,
+    start="SELECT pos_a AS i, CAST(pos_b AS VARCHAR) AS j, cov AS v FROM cov WHERE series_key = '1-URGENT' "
+          "UNION ALL SELECT pos, series_key, d FROM gaps",
+    solve=_SOLVE).replace("WITH ", "WITH RECURSIVE ", 1))
+def moment_distance_matrix(spark, sf):
+    weights = _coefficient_covariance(spark, sf).filter("series_key = '1-URGENT'").drop("series_key")
+    return _distances(moments.var1_ols(_panel(spark, sf, P="gp"), ["series_key"], _THREE), matrix=weights, digits=4)

@@ -120,3 +120,52 @@ def test_missing_moments_cost_the_penalty(spark):
                                "id string, pos int, coef double, out_of_bounds boolean")
     got = {r["id"]: r["distance"] for r in rows(moments.moment_distance(df, target, ["id"]))}
     assert got == {"full": 1.25, "half": moments.PENALTY, "out": moments.PENALTY}
+
+
+def bartlett(x, lags):
+    """Covariance of the flattened coefficients by the sum over pairs of dates."""
+    past, now = x[:-1], x[1:]
+    n, k = past.shape
+    coef = np.linalg.lstsq(past, now, rcond=None)[0]
+    u = now - past @ coef
+    g = np.stack([past[:, i] * u[:, j] for j in range(k) for i in range(k)], axis=1)
+    s = sum((1 - abs(a - b) / (lags + 1)) * np.outer(g[a], g[b]) for a in range(n) for b in range(n) if abs(a - b) <= lags)
+    bread = np.kron(np.eye(k), np.linalg.inv(past.T @ past))
+    return coef.ravel(order="F"), bread @ s @ bread
+
+
+@pytest.mark.parametrize("lags", [0, 1, 5])
+def test_distance_with_the_inverse_long_run_covariance(spark, lags):
+    rng = np.random.default_rng(12)
+    cols, data, series = ["f", "o", "p"], [], {}
+    for k in ("a", "b", "c"):
+        x = np.zeros((50, 3))
+        for t in range(1, 50):
+            x[t] = 0.5 * x[t - 1] + rng.normal(size=3)
+        series[k] = x
+        data += [(k, t, *map(float, row)) for t, row in enumerate(x)]
+    df = spark.createDataFrame(data, "k string, quarter_idx int, f double, o double, p double").repartition(5)
+    want = {k: bartlett(x, lags) for k, x in series.items()}
+    found = moments.moment_covariance(df, ["k"], cols, lags)
+    for k, g in found.toPandas().groupby("k"):
+        g = g.sort_values(["pos_a", "pos_b"])
+        assert np.allclose(g["cov"], want[k][1].ravel(), rtol=1e-9, atol=1e-12)
+    coef = moments.var1_ols(df, ["k"], cols)
+    got = {r["k"]: r["distance"] for r in rows(moments.moment_distance(
+        coef, coef.filter("k = 'a'"), ["k"], matrix=found.filter("k = 'a'")))}
+    for k in series:
+        d = want[k][0] - want["a"][0]
+        assert got[k] == pytest.approx(d @ np.linalg.inv(want["a"][1]) @ d, rel=1e-7, abs=1e-9)
+    identity = spark.createDataFrame([(p, p, 1.0) for p in range(9)], "pos_a int, pos_b int, weight double")
+    plain, same = ({r["k"]: r["distance"] for r in rows(moments.moment_distance(coef, coef.filter("k = 'a'"), ["k"], matrix=m))}
+                   for m in (None, identity))
+    assert all(same[k] == pytest.approx(plain[k], abs=1e-12) for k in series)
+
+
+def test_matrix_distance_keeps_the_penalty(spark):
+    target = spark.createDataFrame([(0, 1.0), (1, 2.0)], "pos int, coef double")
+    df = spark.createDataFrame([("full", 0, 1.5, False), ("full", 1, 3.0, False), ("half", 0, 1.0, False), ("out", 0, 1.0, True),
+                                ("out", 1, 2.0, True)], "id string, pos int, coef double, out_of_bounds boolean")
+    matrix = spark.createDataFrame([(0, 0, 2.0), (0, 1, 0.5), (1, 0, 0.5), (1, 1, 1.0)], "pos_a int, pos_b int, weight double")
+    got = {r["id"]: r["distance"] for r in rows(moments.moment_distance(df, target, ["id"], matrix=matrix))}
+    assert got == {"full": 2 * 0.25 + 2 * 0.5 * 0.5 + 1.0, "half": moments.PENALTY, "out": moments.PENALTY}
