@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -316,43 +317,149 @@ def with_errors(summary: DataFrame, ess: DataFrame, seconds: Column | float) ->
         "ess_per_sec": F.try_divide(F.col("ess_bulk"), per)})
 
 
-def _one_row_per_draw(draws: DataFrame, params: list) -> DataFrame:
-    return (draws.filter(F.col("param").isin(*params)).groupBy("run", "chain", "iter")
-            .pivot("param", list(params)).agg(F.first("value", ignorenulls=True)))
-
-
 def _pairs(params: list) -> list:
     return [(a, b) for i, a in enumerate(params) for b in params[i + 1:]]
 
 
-def param_correlation(draws: DataFrame, params: list) -> DataFrame:
-    """Correlation of every pair of the named parameters, ``(run, param_a, param_b, corr)``."""
-    pairs = _pairs(params)
-    wide = _one_row_per_draw(draws, params).groupBy("run").agg(
-        *[F.corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("param_a"), F.lit(b).alias("param_b"), F.col(f"_c{i}").alias("corr"))
-                     for i, (a, b) in enumerate(pairs)])
-    return wide.select("run", F.inline(rows))
-
-
-def pair_hist2d(draws: DataFrame, params: list, bins: int = 20) -> DataFrame:
-    """Counts over a grid for every pair of parameters, ``(run, param_a, param_b, bin_a, bin_b, n)``."""
-    picked = draws.filter(F.col("param").isin(*params))
-    range_of = picked.groupBy("run").pivot("param", list(params)).agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"))
-    joined = _one_row_per_draw(draws, params).join(written(range_of, "ranges"), ["run"])
-
-    def cell(p: str) -> Column:
-        width = (F.col(f"{p}_hi") - F.col(f"{p}_lo")) / bins
-        at = F.floor(F.try_divide(F.col(p) - F.col(f"{p}_lo"), width))
-        return F.least(F.lit(bins - 1), F.coalesce(at, F.when(F.col(p).isNotNull(), 0))).cast("int")
-
-    joined = joined.withColumns({f"_b_{p}": F.when(F.col(p).isNotNull(), cell(p)) for p in params})
-    rows = F.array(*[F.struct(F.lit(a).alias("param_a"), F.lit(b).alias("param_b"),
-                              F.col(f"_b_{a}").alias("bin_a"), F.col(f"_b_{b}").alias("bin_b"))
-                     for a, b in _pairs(params)])
-    return (joined.select("run", F.inline(rows)).filter(F.col("bin_a").isNotNull() & F.col("bin_b").isNotNull())
-            .groupBy("run", "param_a", "param_b", "bin_a", "bin_b").agg(F.count(F.lit(1)).alias("n")))
+_PAIR_SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
+_PARTIAL = "run {run}, pair int, cell int, sums array<double>, n long"
+
+
+def _pair_totals(k: int, bins: int):
+    """Sums and cell counts of all pairs of ``k`` parameters over the draws of a task, run by run.
+
+    Rows arrive ordered by draw.  They are laid out as one matrix row per draw; products of that
+    matrix with its pattern of present values are the sums of every pair at once.
+    """
+    first, second = np.triu_indices(k, 1)
+
+    def totals(x: np.ndarray, bin_of: np.ndarray) -> list:
+        present = (~np.isnan(x)).astype(float)
+        x = np.nan_to_num(x)
+        once, square = x.T @ present, (x * x).T @ present
+        sums = [m[first, second] for m in (present.T @ present, once, once.T, square, square.T, x.T @ x)]
+        cells = np.zeros((len(first), bins * bins), np.int64)
+        if bins:
+            for p, (i, j) in enumerate(zip(first, second)):
+                both = (bin_of[:, i] >= 0) & (bin_of[:, j] >= 0)
+                cells[p] = np.bincount(bin_of[both, i] * bins + bin_of[both, j], minlength=bins * bins)
+        return [np.stack(sums, axis=1), cells]
+
+    def partial(run, kind, sums: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
+        pair, cell = np.nonzero(cells)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([run] * (len(sums) + len(pair)), kind),
+             pa.array(np.concatenate([np.arange(len(sums)), pair]), pa.int32()),
+             pa.array(np.concatenate([np.full(len(sums), -1), cell]), pa.int32()),
+             pa.array([*sums.tolist(), *[None] * len(pair)], pa.list_(pa.float64())),
+             pa.array(np.concatenate([np.zeros(len(sums), np.int64), cells[pair, cell]]), pa.int64())],
+            names=["run", "pair", "cell", "sums", "n"])
+
+    def run(batches):
+        rest, held, kind = None, None, None
+
+        def draws_of(rows: pa.Table):
+            """(run, totals) of whole draws."""
+            codes = [rows.column(c).combine_chunks().dictionary_encode() for c in ("run", "chain", "iter")]
+            ids = np.stack([c.indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in codes])
+            new = np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(axis=0)])
+            draw, run_of = np.cumsum(new) - 1, ids[0][new]
+            x, bin_of = np.full((draw[-1] + 1, k), np.nan), np.full((draw[-1] + 1, k), -1, np.int64)
+            at = rows.column("_p").to_numpy()
+            x[draw, at], bin_of[draw, at] = rows.column("_x").to_numpy(), rows.column("_bin").to_numpy()
+            names = codes[0].dictionary.to_pylist()
+            for start, end in zip(*_segments(run_of)):
+                yield names[run_of[start]] if run_of[start] >= 0 else None, totals(x[start:end], bin_of[start:end])
+
+        def add(rows: pa.Table):
+            nonlocal held
+            for name, found in draws_of(rows):
+                if held and held[0] == name:
+                    held = (name, [a + b for a, b in zip(held[1], found)])
+                else:
+                    if held:
+                        yield partial(held[0], kind, *held[1])
+                    held = (name, found)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kind = b.schema.field("run").type
+            rows = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
+            cut = _last_draw(rows)    # the last draw may go on in the next batch
+            rest = rows.slice(cut)
+            if cut:
+                yield from add(rows.slice(0, cut))
+        if rest is not None:
+            yield from add(rest)
+        if held:
+            yield partial(held[0], kind, *held[1])
+    return run
+
+
+def _segments(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return start, np.append(start[1:], len(codes))
+
+
+def _last_draw(rows: pa.Table) -> int:
+    """Where the last draw of ordered rows begins."""
+    at = rows.num_rows - 1
+    last = [rows.column(c)[at] for c in ("run", "chain", "iter")]
+    while at and all(rows.column(c)[at - 1] == v for c, v in zip(("run", "chain", "iter"), last)):
+        at -= 1
+    return at
+
+
+def pair_partials(draws: DataFrame, params: list, bins: int = 0) -> DataFrame:
+    """Sums, and counts over a grid of ``bins`` cells a side, of every pair of parameters: one stored table of partial results.
+
+    Draws of one iteration meet in one task by a hash of (run, chain, iter), the only shuffle of their size; neither a run nor a
+    parameter is a key of it.  A task then hands on its sums and the cells it has seen: what is shuffled
+    after that depends on pairs, cells and tasks, not on the draws.  Values are centred at their mean first, so sums of
+    squares keep their digits.
+    """
+    k = len(params)
+    picked = draws.filter(F.col("param").isin(*params) & F.col("value").isNotNull())
+    shape = written(picked.groupBy("run", "param").agg(
+        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.avg("value").alias("_mean")), "ranges")
+    at = F.floor(F.try_divide(F.col("value") - F.col("_lo"), (F.col("_hi") - F.col("_lo")) / max(bins, 1)))
+    rows = picked.join(shape, ["run", "param"]).select(
+        "run", "chain", "iter", (F.array_position(F.array(*[F.lit(p) for p in params]), F.col("param")) - 1).cast("int").alias("_p"),
+        (F.col("value") - F.col("_mean")).alias("_x"), F.least(F.lit(bins - 1), F.coalesce(at, F.lit(0))).cast("int").alias("_bin"))
+    together = rows.repartition("run", "chain", "iter").sortWithinPartitions("run", "chain", "iter", "_p", "_x")
+    return written(together.mapInArrow(_pair_totals(k, bins), _PARTIAL.format(run=draws.schema["run"].dataType.simpleString())), "pairs")
+
+
+def _named(pair: Column, params: list) -> list[Column]:
+    return [F.array(*[F.lit(p[i]) for p in _pairs(params)])[pair].alias(n) for i, n in enumerate(("param_a", "param_b"))]
+
+
+def param_correlation(draws: DataFrame, params: list, partials: DataFrame | None = None) -> DataFrame:
+    """Correlation of every pair of the named parameters over the draws that have both, ``(run, param_a, param_b, corr)``.
+
+    Null where a parameter does not vary.  ``partials`` takes a result of ``pair_partials``, with any ``bins``.
+    """
+    partials = pair_partials(draws, params) if partials is None else partials
+    sums = partials.filter(F.col("cell") < 0).groupBy("run", "pair").agg(
+        *[F.sum(F.col("sums")[i]).alias(c) for i, c in enumerate(_PAIR_SUMS)])
+
+    def product(ab: str, a: str, b: str) -> Column:
+        return F.col(ab) - F.try_divide(F.col(a) * F.col(b), F.col("n"))
+
+    corr = F.try_divide(product("sab", "sa", "sb"), F.sqrt(product("saa", "sa", "sa") * product("sbb", "sb", "sb")))
+    return sums.filter(F.col("n") > 0).select("run", *_named(F.col("pair"), params), corr.alias("corr"))
+
+
+def pair_hist2d(draws: DataFrame, params: list, bins: int = 20, partials: DataFrame | None = None) -> DataFrame:
+    """Counts over a grid for every pair of parameters, ``(run, param_a, param_b, bin_a, bin_b, n)``.
+
+    ``partials`` takes a result of ``pair_partials`` with the same ``bins``.
+    """
+    partials = pair_partials(draws, params, bins) if partials is None else partials
+    counts = partials.filter(F.col("cell") >= 0).groupBy("run", "pair", "cell").agg(F.sum("n").alias("n"))
+    return counts.select("run", *_named(F.col("pair"), params), F.floor(F.col("cell") / bins).cast("int").alias("bin_a"),
+                         (F.col("cell") % bins).alias("bin_b"), "n")
 
 
 def density(draws: DataFrame, points: int = 64, bins: int = 512, pad: float = 4.0) -> DataFrame:

@@ -365,19 +365,15 @@ def long_to_wide(spark, sf):
     return wide.withColumnsRenamed({p: f"p{p[0]}" for p in _PRIORITIES})
 
 
-@register("wide_to_long", sql(
+_SIDES_LONG = sql(
     "SELECT series_key, date, 'done' AS series, done AS value FROM d UNION ALL "
-    "SELECT series_key, date, 'still_open', still_open FROM d", "q5s", d=_SIDES))
-def wide_to_long(spark, sf):
-    return series.wide_to_long(_sides(spark, sf).select(*KEY, "date", "done", "still_open"), [*KEY, "date"],
-                               ["done", "still_open"])
+    "SELECT series_key, date, 'still_open', still_open FROM d UNION ALL SELECT series_key, date, 'partial', partial FROM d", "q5s",
+    d=_SIDES.replace(" AS still_open FROM", " AS still_open, sum(v) FILTER (o_orderstatus = 'P') AS partial FROM"))
 
 
-@register("wide_to_long_statuses", sql(
-    "SELECT series_key, date, 'done' AS series, done AS value FROM d UNION ALL "
-    "SELECT series_key, date, 'still_open', still_open FROM d UNION ALL SELECT series_key, date, 'partial', partial FROM d", "q5s",
-    d=_SIDES.replace(" AS still_open FROM", " AS still_open, sum(v) FILTER (o_orderstatus = 'P') AS partial FROM")))
-def wide_to_long_statuses(spark, sf):
+@register("wide_to_long_statuses", _SIDES_LONG)
+@register("wide_to_long", _SIDES_LONG)
+def wide_to_long(spark, sf):
     cols = ["done", "still_open", "partial"]
     return series.wide_to_long(_sides(spark, sf).select(*KEY, "date", *cols), [*KEY, "date"], cols)
 

@@ -226,21 +226,16 @@ _CUT = "SELECT * REPLACE (CASE WHEN scenario = 'base' THEN tau_c_ss ELSE 0.20e0
        "(VALUES ('base'), ('cut')) t(scenario)"
 
 
-@register("policy_from_draws", sql(
-    "SELECT run, variable, round(100*(s - b)/abs(b), 3) AS cut_pct FROM (SELECT run, unnest(['y', 'c', 'G_total']) AS variable, "
-    "unnest([max(y) FILTER (scenario = 'cut'), max(c) FILTER (scenario = 'cut'), max(G_c + G_h + G_s) FILTER (scenario = 'cut')]) AS s, "
-    "unnest([max(y) FILTER (scenario = 'base'), max(c) FILTER (scenario = 'base'), max(G_c + G_h + G_s) FILTER (scenario = 'base')]) AS b "
-    "FROM ss GROUP BY 1)", "dr2", mn=_MEANS, cu=_CUT, ss=f"SELECT * FROM ({steady_sql('SELECT * FROM cu')})"))
-def policy_from_draws(spark, sf):
-    return _cut_by_run(spark, sf).filter(F.col("variable").isin("y", "c", "G_total"))
-
-
-@register("policy_from_draws_all", sql(
+_CUT_BY_RUN = sql(
     "SELECT run, variable, round(CASE WHEN variable = 'ecv' THEN 100*(exp(bu - su) - 1) ELSE 100*(sv - bv)/abs(bv) END, 3) + 0.0 "
     f"AS cut_pct FROM (SELECT s.run, v.variable, {_PICK.format(t='s')} AS sv, {_PICK.format(t='b')} AS bv, s.utility AS su, "
     "b.utility AS bu FROM ss s JOIN ss b ON b.run = s.run AND b.scenario = 'base' AND s.scenario = 'cut', "
-    f"(VALUES {_LABEL_ROWS}) v(ord, variable, label))", "dr2", mn=_MEANS, cu=_CUT, ss=f"SELECT * FROM ({steady_sql('SELECT * FROM cu')})"))
-def policy_from_draws_all(spark, sf):
+    f"(VALUES {_LABEL_ROWS}) v(ord, variable, label))", "dr2", mn=_MEANS, cu=_CUT, ss=f"SELECT * FROM ({steady_sql('SELECT * FROM cu')})")
+
+
+@register("policy_from_draws_all", _CUT_BY_RUN)
+@register("policy_from_draws", _CUT_BY_RUN)
+def policy_from_draws(spark, sf):
     return _cut_by_run(spark, sf)
 
 

@@ -156,18 +156,22 @@ _COEF3 = " UNION ALL ".join(
     for j, y in enumerate("fop") for i, r in enumerate((("i11", "i12", "i13"), ("i12", "i22", "i23"), ("i13", "i23", "i33"))))
 
 
-def _panel(spark, sf, **more: str):
-    """Growth by status, one column each; ``more`` names columns of further statuses."""
+def _panel(spark, sf):
+    """Growth by status, one column each."""
     q = quarterly(spark, sf, "o_orderstatus")
     growth = dlog(q, ["series_key", "o_orderstatus"], {"g": "v"}, scale=1.0)
-    names = {"F": "gf", "O": "go", **more}
+    names = {"F": "gf", "O": "go", "P": "gp"}
     return long_to_wide(growth, ["series_key", "quarter_idx"], "o_orderstatus", "g", list(names)).withColumnsRenamed(names)
 
 
-@register("var1_ols", sql("SELECT series_key, pos, predictor, target, round(coef, 6) AS coef FROM coef", "q5s",
-                          panel=_PANEL3, gram=_GRAM3, adj=_ADJ3, coef=_COEF3))
+_COEF_SQL = sql("SELECT series_key, pos, predictor, target, round(coef, 6) AS coef FROM coef", "q5s",
+                panel=_PANEL3, gram=_GRAM3, adj=_ADJ3, coef=_COEF3)
+
+
+@register("var1_ols_statuses", _COEF_SQL)
+@register("var1_ols", _COEF_SQL)
 def var1_ols(spark, sf):
-    return rounded(moments.var1_ols(_panel(spark, sf, P="gp"), ["series_key"], _THREE), 6, "coef")
+    return rounded(moments.var1_ols(_panel(spark, sf), ["series_key"], _THREE), 6, "coef")
 
 
 def _distances(coef, digits: int = 6, **how):
@@ -179,27 +183,16 @@ def _distances(coef, digits: int = 6, **how):
     return rounded(moments.moment_distance(theta, target, ["series_key"], **(how or {"weight": "w"})), digits, "distance")
 
 
-@register("moment_distance", sql(
+_DISTANCE_SQL = sql(
     "SELECT s.series_key, CASE WHEN s.series_key = '5-LOW' THEN 1e6 ELSE round(sum((1 + s.pos)*pow(s.coef - t.coef, 2)), 6) END "
     "AS distance FROM coef s JOIN coef t ON t.series_key = '1-URGENT' AND t.pos = s.pos GROUP BY 1", "q5s",
-    panel=_PANEL3, gram=_GRAM3, adj=_ADJ3, coef=_COEF3))
-def moment_distance(spark, sf):
-    return _distances(moments.var1_ols(_panel(spark, sf, P="gp"), ["series_key"], _THREE))
-
+    panel=_PANEL3, gram=_GRAM3, adj=_ADJ3, coef=_COEF3)
 
-# -- the same over every status --------------------------------------------------------------
-@register("var1_ols_statuses", sql("SELECT series_key, pos, predictor, target, round(coef, 6) AS coef FROM coef", "q5s",
-                                   panel=_PANEL3, gram=_GRAM3, adj=_ADJ3, coef=_COEF3))
-def var1_ols_statuses(spark, sf):
-    return rounded(moments.var1_ols(_panel(spark, sf, P="gp"), ["series_key"], _THREE), 6, "coef")
 
-
-@register("moment_distance_statuses", sql(
-    "SELECT s.series_key, CASE WHEN s.series_key = '5-LOW' THEN 1e6 ELSE round(sum((1 + s.pos)*pow(s.coef - t.coef, 2)), 6) END "
-    "AS distance FROM coef s JOIN coef t ON t.series_key = '1-URGENT' AND t.pos = s.pos GROUP BY 1", "q5s",
-    panel=_PANEL3, gram=_GRAM3, adj=_ADJ3, coef=_COEF3))
-def moment_distance_statuses(spark, sf):
-    return _distances(moments.var1_ols(_panel(spark, sf, P="gp"), ["series_key"], _THREE))
+@register("moment_distance_statuses", _DISTANCE_SQL)
+@register("moment_distance", _DISTANCE_SQL)
+def moment_distance(spark, sf):
+    return _distances(moments.var1_ols(_panel(spark, sf), ["series_key"], _THREE))
 
 
 # -- moment distance with the inverse long-run covariance as its matrix ---------------------------------
@@ -226,7 +219,7 @@ _LONG_RUN = {
 
 
 def _coefficient_covariance(spark, sf):
-    return moments.moment_covariance(_panel(spark, sf, P="gp"), ["series_key"], _THREE, _LAGS)
+    return moments.moment_covariance(_panel(spark, sf), ["series_key"], _THREE, _LAGS)
 
 
 @register("moment_covariance", sql(
@@ -252,4 +245,4 @@ _GAPS = "SELECT s.series_key, s.pos, s.coef - t.coef AS d FROM coef s JOIN coef
     solve=_SOLVE).replace("WITH ", "WITH RECURSIVE ", 1))
 def moment_distance_matrix(spark, sf):
     weights = _coefficient_covariance(spark, sf).filter("series_key = '1-URGENT'").drop("series_key")
-    return _distances(moments.var1_ols(_panel(spark, sf, P="gp"), ["series_key"], _THREE), matrix=weights, digits=4)
+    return _distances(moments.var1_ols(_panel(spark, sf), ["series_key"], _THREE), matrix=weights, digits=4)

@@ -1,6 +1,7 @@
 """Draw diagnostics against brute force on small fixtures."""
 
 import math
+from collections import Counter
 from statistics import NormalDist
 
 import numpy as np
@@ -170,6 +171,47 @@ def test_chains_are_halved_without_numbering(spark, monkeypatch):
         assert mine == [0] * h + [None] * (n % 2) + [1] * h, p
 
 
+@pytest.mark.parametrize("batch", [10_000, 37])
+def test_all_pairs_of_many_parameters_in_one_pass(spark, batch):
+    """23 parameters, missing draws, one that does not vary, two runs; draws that lie across Arrow batches."""
+    rng = np.random.default_rng(4)
+    names, bins, frames, want = [f"p{i}" for i in range(23)], 6, [], {}
+    for run, n in (("a", 150), ("b", 40)):
+        x = 1e6 + rng.normal(size=(n, 23)) @ rng.normal(size=(23, 23))
+        x[:, 5] = 2.5
+        x[rng.random(x.shape) < 0.1] = np.nan
+        x[:, 7] = np.nan if run == "b" else x[:, 7]
+        want[run] = x
+        frames += [pd.DataFrame({"run": run, "param": p, "chain": np.arange(n) % 3, "iter": np.arange(n) // 3, "value": x[:, i]})
+                   for i, p in enumerate(names)]
+    df = spark.createDataFrame(pd.concat(frames).dropna(), io.DRAWS).repartition(5)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        partials = d.pair_partials(df, names, bins)
+        corr = {(r["run"], r["param_a"], r["param_b"]): r["corr"] for r in d.param_correlation(df, names, partials).collect()}
+        hist = d.pair_hist2d(df, names, bins, partials).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for run, x in want.items():
+        lo, hi = np.nanmin(x, axis=0), np.nanmax(x, axis=0)
+        for i in range(23):
+            for j in range(i + 1, 23):
+                both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+                a, b, found = x[both, i], x[both, j], corr.get((run, names[i], names[j]))
+                if 5 in (i, j) or not both.any():
+                    assert found is None
+                else:
+                    assert found == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-9)
+        for i, j in ((0, 1), (3, 22), (5, 9), (6, 7)):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            cells = [np.minimum(bins - 1, np.floor((x[both, c] - lo[c]) / ((hi[c] - lo[c]) / bins))).astype(int) if hi[c] > lo[c]
+                     else np.zeros(both.sum(), int) for c in (i, j)]
+            mine = hist[(hist["run"] == run) & (hist["param_a"] == names[i]) & (hist["param_b"] == names[j])]
+            got = {(r.bin_a, r.bin_b): r.n for r in mine.itertuples()}
+            assert got == dict(Counter(zip(cells[0].tolist(), cells[1].tolist())))
+
+
 def test_thinned_chains_and_null_draws_count_as_they_are(spark, draws):
     few = draws.filter("param in ('ar', 'tied')")
     gaps = few.withColumn("iter", F.col("iter") * 5 + 3)

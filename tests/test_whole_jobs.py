@@ -15,10 +15,10 @@ ROOT = os.path.join(os.path.dirname(os.path.abspath(__file__)), "..")
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 @pytest.mark.parametrize("name, column, values", [
-    ("var1_ols_statuses", "target", {"gf", "go", "gp"}),
-    ("moment_distance_statuses", None, None),
-    ("wide_to_long_statuses", "series", {"done", "still_open", "partial"}),
-    ("policy_from_draws_all", None, None)])
+    ("var1_ols", "target", {"gf", "go", "gp"}),
+    ("moment_distance", None, None),
+    ("wide_to_long", "series", {"done", "still_open", "partial"}),
+    ("policy_from_draws", None, None)])
 def test_whole_jobs_equal_their_twins(spark, name, column, values):
     import duckdb
     sys.path.insert(0, os.path.join(ROOT, "tools"))
@@ -35,7 +35,7 @@ def test_whole_jobs_equal_their_twins(spark, name, column, values):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 def test_var1_over_three_statuses_is_least_squares(spark):
     from panelspark.registry.shock_queries import _panel
-    panel = _panel(spark, SF, P="gp").toPandas()
+    panel = _panel(spark, SF).toPandas()
     got = contract.queries()["var1_ols_statuses"](spark, SF).toPandas()
     for key, g in got.sort_values("pos").groupby("series_key"):
         x = panel[panel.series_key == key].sort_values("quarter_idx")[["gf", "go", "gp"]].to_numpy(float)
