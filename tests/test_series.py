@@ -233,3 +233,49 @@ def test_columns_are_found_by_header(spark, tmp_path):
         write_draws(draws, str(tmp_path / "draws"))
     write_draws(draws.filter("run = 'a'").limit(1), str(tmp_path / "draws"))
     assert read_draws(spark, str(tmp_path / "draws"), "a").count() == 1 and read_draws(spark, str(tmp_path / "draws"), "b").count() == 2
+
+
+def test_asof_over_range_ends_long_keys_and_odd_rows(spark):
+    """A key with 10 000 annual rows, keys without any, null keys and dates; whatever the ranges."""
+    import datetime
+    import random
+    rng = random.Random(2)
+    years = {"long": {y: float(y % 97) for y in rng.sample(range(1, 9999), 9000)}, "one": {2001: 5.0}, "few": {1999: 1.0, 2003: 9.0, 2004: 0.0}}
+    annual = [(k, y, v) for k, ys in years.items() for y, v in ys.items()] + [(None, 2000, 3.0), ("one", None, 4.0), ("few", 2000, None)]
+    q = [("long", datetime.date(rng.randrange(1, 9999), rng.choice([1, 4, 7, 10]), 1), i) for i in range(4000)]
+    q += [(k, datetime.date(y, m, 1), y) for k in ("one", "few", "none", None) for y in range(1997, 2008) for m in (1, 4, 10)] + [("one", None, 0)]
+    df = spark.createDataFrame(q, "k string, date date, note int").repartition(7)
+    known = spark.createDataFrame(annual, "k string, year int, value double").repartition(3)
+
+    def want(k, d):
+        ys = sorted(years.get(k, {})) if k is not None and d is not None else []
+        at = [y for y in ys if y <= d.year] if ys else []
+        if not ys:
+            return None
+        if not at:
+            return years[k][ys[0]]
+        if len(at) == len(ys):
+            return years[k][ys[-1]]
+        f = (d.month - 1) // 3 / 4
+        return years[k][at[-1]] * (1 - f) + years[k][ys[len(at)]] * f
+
+    for ranges in ("4", "23"):
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        try:
+            got = align.asof_interpolate(df, known, ["k"]).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert sorted(((r["k"], r["date"], r["note"]) for r in got), key=str) == sorted(q, key=str)
+        assert all(r["interpolated"] == pytest.approx(want(r["k"], r["date"]), abs=1e-9) if want(r["k"], r["date"]) is not None
+                   else r["interpolated"] is None for r in got)
+
+
+def test_a_repeated_year_is_an_error(spark):
+    q = spark.createDataFrame([("a", 2001)], "k string, y int").selectExpr("k", "make_date(y, 1, 1) AS date")
+    annual = spark.createDataFrame([("a", 2000, 1.0), ("a", 2000, 2.0), ("b", 2000, 2.0)], "k string, year int, value double")
+    with pytest.raises(Exception, match="repeats the year 2000"):
+        align.asof_interpolate(q, annual, ["k"]).collect()
+    # the two rows of the year in neighbouring partitions
+    ends = [{"k": "a", "_part": p, "_end": e, "_v0": 1.0, "_v1": 2000.0} for p in (0, 1) for e in (1, 2)]
+    with pytest.raises(ValueError, match="repeats the year 2000"):
+        align._from_neighbours(ends, ["k"])
