@@ -7,7 +7,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,14 +24,14 @@ def common_periods(*dfs: DataFrame, on: list) -> DataFrame:
     return reduce(lambda a, b: a.intersect(b), [d.select(*on) for d in dfs])
 
 
-def first_match(df: DataFrame, keys: list, tiebreak: str) -> DataFrame:
+def first_match(df: DataFrame, keys: list, tiebreak: str | Column) -> DataFrame:
     """One row per key: the first in ``tiebreak`` order.
 
     A min-by aggregate instead of a row number: duplicates collapse before the
     shuffle, so a key with very many copies costs one row per input split.
     """
     rest = [c for c in df.columns if c not in keys]
-    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(tiebreak)).alias("_first"))
+    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(tiebreak) if isinstance(tiebreak, str) else tiebreak).alias("_first"))
     return kept.select(*keys, *[F.col("_first")[c].alias(c) for c in rest])
 
 

@@ -190,15 +190,19 @@ def laffer_peak(swept: DataFrame, ids: list) -> DataFrame:
 
 
 def posterior_functional(params: DataFrame, scenarios: list = SCENARIOS) -> DataFrame:
-    """Over all draws: mean and spread of the share and revenue effects, and how often revenue does not fall."""
-    both = solve_scenarios(params, scenarios).filter((F.col("status") == "ok") & (F.col("base_status") == "ok"))
+    """Over all draws: mean and spread of the share and revenue effects, and how often revenue does not fall.
+
+    ``n`` draws have a solution with and without the scenario; ``failed`` counts the others, which the statistics leave out.
+    """
+    both = solve_scenarios(params, scenarios)
+    solved = (F.col("status") == "ok") & (F.col("base_status") == "ok")
     revenue = pct_change(total_revenue(), total_revenue("base_"))
     gain = ecv(F.col("base_utility"), F.col("utility"), F.col("beta").cast("double")) * 100
-    per = both.select("scenario", revenue.alias("revenue_pct"), gain.alias("ecv_pct"),
-                      (100 * (F.col("underground_share") - F.col("base_underground_share"))).alias("share_pp"))
+    per = both.select("scenario", solved.alias("_solved"), *[F.when(solved, c).alias(n) for n, c in (
+        ("revenue_pct", revenue), ("ecv_pct", gain), ("share_pp", 100 * (F.col("underground_share") - F.col("base_underground_share"))))])
     stats = []
     for c in ("revenue_pct", "ecv_pct", "share_pp"):
         stats += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std")]
     return per.groupBy("scenario").agg(
-        F.count(F.lit(1)).alias("n"), *stats,
+        F.count(F.when(F.col("_solved"), 1)).alias("n"), F.count(F.when(~F.coalesce("_solved", F.lit(False)), 1)).alias("failed"), *stats,
         F.avg((F.col("revenue_pct") >= 0).cast("double")).alias("self_financing_share"))

@@ -25,6 +25,19 @@ def period_filter(df: DataFrame, lo: str | None = None, hi: str | None = None, c
     return df
 
 
+def quarters_between(df: DataFrame, day: str, lo: str | None = None, hi: str | None = None) -> DataFrame:
+    """Rows whose day lies in a quarter from that of ``lo`` to before that of ``hi``.
+
+    The bounds are compared with the raw column, so a scan takes them as its own filter;
+    use it before days are truncated and summed, ``period_filter`` on dates that are quarters already.
+    """
+    column, kind = F.col(day), df.schema[day].dataType
+    for bound, keep in ((lo, column.__ge__), (hi, column.__lt__)):
+        if bound is not None:
+            df = df.filter(keep(F.trunc(F.lit(bound).cast("date"), "quarter").cast(kind)))
+    return df
+
+
 def real_series(nominal: Column, deflator: Column, pop: Column) -> Column:
     """Real value per head; null when the deflator or the population is zero."""
     return F.try_divide(F.try_divide(nominal, deflator), pop)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.periods import quarter_idx, quarter_start
+from panelspark.operators.series import quarters_between
 from panelspark.operators.split import number_rows
 from panelspark.operators.steady import CALIBRATED
 from panelspark.session import written
@@ -47,9 +48,9 @@ def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
 
 
 # -- orders as a quarterly panel ------------------------------------------------
-def quarterly(spark, sf, *extra: str) -> DataFrame:
-    """Order value per priority (and ``extra`` columns) and quarter."""
-    o = table(spark, sf, "orders")
+def quarterly(spark, sf, *extra: str, lo: str | None = None, hi: str | None = None) -> DataFrame:
+    """Order value per priority (and ``extra`` columns) and quarter, from the quarter of ``lo`` to before that of ``hi``."""
+    o = quarters_between(table(spark, sf, "orders"), "o_orderdate", lo, hi)
     day = F.col("o_orderdate").cast("date")
     return (o.select(F.col("o_orderpriority").alias("series_key"), *extra, quarter_start(day).alias("date"),
                      quarter_idx(day).alias("quarter_idx"), "o_totalprice")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import numeric, periods
 from panelspark.operators import align, labels, series
-from panelspark.plans.observables import annualised_growth, level_series, observables
+from panelspark.plans.observables import RawFile, annualised_growth, level_series, observables, tables_from_files
 from panelspark.registry.base import (VIEWS, contributions, money, quarterly, register, rounded, sql, table)
 from panelspark.session import scratch_path, written
 from panelspark.sources import tables as io
@@ -124,7 +124,7 @@ def valid_points(spark, sf):
 @register("period_filter", sql(
     "SELECT series_key, date, v FROM q5 WHERE date >= DATE '1996-01-01' AND date < DATE '2000-01-01'", "q5"))
 def period_filter(spark, sf):
-    return series.period_filter(quarterly(spark, sf), "1996-01-01", "2000-01-01", "left").select(*KEY, "date", "v")
+    return quarterly(spark, sf, lo="1996-01-01", hi="2000-01-01").select(*KEY, "date", "v")
 
 
 _SAMPLES = [("early", None, "1998-01-01"), ("full", None, None), ("late", "1998-01-01", None)]
@@ -405,11 +405,7 @@ def _obs_sql(column: str) -> str:
     return f"round(100.0*(ln({column}) - lag(ln({column})) OVER (PARTITION BY series_key ORDER BY quarter_idx)), 6)"
 
 
-@register("observables", sql(
-    "SELECT series_key, date, obs_c, obs_inv, obs_Gc, obs_Gh, obs_wh FROM (SELECT series_key, date, "
-    + ", ".join(f"{_obs_sql('lev_' + c)} AS obs_{c}" for c in ("c", "inv", "Gc", "Gh", "wh"))
-    + ", row_number() OVER (PARTITION BY series_key ORDER BY quarter_idx) AS rn FROM lev) "
-      "WHERE rn > 1 AND date >= DATE '1996-01-01'",
+_OBS_CTES = dict(
     q=f"SELECT o_orderpriority AS series_key, {VIEWS['q5'].split('series_key, ')[1].split(', CAST(sum')[0]}, "
       "CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS gdp, "
       "CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderstatus = 'F') AS DOUBLE) AS cons, "
@@ -426,31 +422,74 @@ def _obs_sql(column: str) -> str:
       "WHERE date <= DATE '2001-04-01' AND cons IS NOT NULL AND inv IS NOT NULL AND d1 IS NOT NULL AND tax2 IS NOT NULL",
     lev="SELECT series_key, date, quarter_idx, cons/pop AS lev_c, inv/pop AS lev_inv, "
         f"sum(tax1) {_OBS_WIN}/(nom/gdp)/pop AS lev_Gc, sum(tax2) {_OBS_WIN}/(nom/gdp)/pop AS lev_Gh, "
-        "d1/(nom/gdp)/pop AS lev_wh FROM a"))
-def observable_series(spark, sf):
+        "d1/(nom/gdp)/pop AS lev_wh FROM a")
+_OBS_SQL = sql(
+    "SELECT series_key, date, obs_c, obs_inv, obs_Gc, obs_Gh, obs_wh FROM (SELECT series_key, date, "
+    + ", ".join(f"{_obs_sql('lev_' + c)} AS obs_{c}" for c in ("c", "inv", "Gc", "Gh", "wh"))
+    + ", row_number() OVER (PARTITION BY series_key ORDER BY quarter_idx) AS rn FROM lev) "
+      "WHERE rn > 1 AND date >= DATE '1996-01-01'", **_OBS_CTES)
+
+
+def _observable_sources(spark, sf):
+    """The columns of the five sources, and the population by year, from one pass over the orders."""
     o = table(spark, sf, "orders")
     day = F.col("o_orderdate").cast("date")
     o = o.withColumns({"series_key": F.col("o_orderpriority"), "date": periods.quarter_start(day),
                        "_nom": F.col("o_totalprice") * (1 + F.col("o_custkey") % 10),
                        "_tax": F.when(F.col("o_orderkey") % 5 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))})
-    keys, on = ["series_key"], ["series_key", "date"]
     status = F.col("o_orderstatus")
 
     def total(col, where=None):
         amount = F.col(col).cast("decimal(18,2)")
         return F.sum(amount if where is None else F.when(where, amount)).cast("double")
 
-    # one pass over the orders; the sources of the plan are then columns of this table
-    sources = written(o.groupBy(*on).agg(
+    sources = written(o.groupBy("series_key", "date").agg(
         total("o_totalprice").alias("GDP"), total("o_totalprice", status == "F").alias("C"),
         total("o_totalprice", status == "O").alias("I"), total("o_totalprice", status == "P").alias("D1"),
         total("_nom").alias("GDP_nominal"), total("_tax").alias("IS"), total("_tax", status != "P").alias("IRPF")), "sources")
+    return sources, o.groupBy("series_key", F.year("date").alias("year")).agg(F.count_distinct("o_custkey").cast("double").alias("value"))
+
 
-    def source(*cols):
-        return sources.select(*on, *cols).dropna(subset=list(cols))
+_SOURCES = (("GDP", "C", "I"), ("GDP_nominal",), ("D1",), ("IS", "IRPF"))
 
-    population = o.groupBy(*keys, F.year("date").alias("year")).agg(F.count_distinct("o_custkey").cast("double").alias("value"))
-    levels = level_series(source("GDP", "C", "I"), source("GDP_nominal"), source("D1"), source("IS", "IRPF"), population, keys,
-                          last_date="2001-04-01")
+
+@register("observables", _OBS_SQL)
+def observable_series(spark, sf):
+    sources, population = _observable_sources(spark, sf)
+    parts = [sources.select(*KEY, "date", *cols).dropna(subset=list(cols)) for cols in _SOURCES]
+    levels = level_series(*parts, population, KEY, last_date="2001-04-01")
     cols = [f"obs_{s}" for s in ("c", "inv", "Gc", "Gh", "wh")]
-    return rounded(observables(levels, keys, on_nonpositive="null"), 6, *cols)
+    return rounded(observables(levels, KEY, on_nonpositive="null"), 6, *cols)
+
+
+def _raw_files(spark, sf):
+    """The sources as delimited files: columns in another order, and every period once more, with other values, further down."""
+    sources, population = _observable_sources(spark, sf)
+    files = []
+    for cols in (*_SOURCES, ("value",)):
+        first = population if cols == ("value",) else sources.select(*KEY, "date", *cols).dropna(subset=list(cols))
+        period = F.col("year").cast("string") if cols == ("value",) else periods.quarter_label(F.col("date"))
+        again = first.withColumns({c: 3 * F.col(c) + 1 for c in cols})
+        lines = first.withColumn("_copy", F.lit(0)).union(again.withColumn("_copy", F.lit(1))).select(
+            *[F.col(c).alias(f"{c} total") for c in reversed(cols)], period.alias("TIME_PERIOD"), F.col("series_key").alias("geo"), "_copy")
+        path = scratch_path(spark, "raw")
+        lines.coalesce(1).sortWithinPartitions("_copy", F.desc("TIME_PERIOD"), "geo").drop("_copy").write.csv(path, header=True, sep=";")
+        files.append(RawFile(path, "TIME_PERIOD", {c: f"{c} total" for c in cols}, key="geo", sep=";"))
+    return files
+
+
+@register("observables_from_files", _OBS_SQL)
+def observables_from_files(spark, sf):
+    growth, _ = tables_from_files(spark, *_raw_files(spark, sf), last_date="2001-04-01", on_nonpositive="null")
+    return rounded(growth, 6, *[f"obs_{s}" for s in ("c", "inv", "Gc", "Gh", "wh")])
+
+
+_LEVELS = ["lev_c", "lev_inv", "lev_Gc", "lev_Gh", "lev_wh"]
+
+
+@register("levels_from_files", sql(
+    "SELECT series_key, date, quarter_idx, " + ", ".join(f"round({c}, 4) AS {c}" for c in _LEVELS)
+    + " FROM lev WHERE date >= DATE '1996-01-01'", **_OBS_CTES))
+def levels_from_files(spark, sf):
+    _, levels = tables_from_files(spark, *_raw_files(spark, sf), last_date="2001-04-01", on_nonpositive="null")
+    return rounded(levels, 4, *_LEVELS)

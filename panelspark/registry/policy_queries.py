@@ -192,7 +192,7 @@ def welfare_ecv(spark, sf):
 
 
 @register("posterior_functional", sql(
-    "SELECT scenario, count(*) AS n, round(avg(rev), 6) AS revenue_pct_mean, round(stddev_samp(rev), 6) AS revenue_pct_std, "
+    "SELECT scenario, count(rev) AS n, count(*) - count(rev) AS failed, round(avg(rev), 6) AS revenue_pct_mean, round(stddev_samp(rev), 6) AS revenue_pct_std, "
     "round(avg(ecv), 6) AS ecv_pct_mean, round(stddev_samp(ecv), 6) AS ecv_pct_std, round(avg(pp), 6) AS share_pp_mean, "
     "round(stddev_samp(pp), 6) AS share_pp_std, round(avg(CAST(rev >= 0 AS DOUBLE)), 6) AS self_financing_share FROM "
     "(SELECT s.scenario, 100*((s.G_c + s.G_h + s.G_s) - (b.G_c + b.G_h + b.G_s))/(b.G_c + b.G_h + b.G_s) AS rev, "
@@ -201,7 +201,7 @@ def welfare_ecv(spark, sf):
     "pr", sc=_SCEN, ss=f"SELECT * FROM ({_SOLVED})"))
 def functional(spark, sf):
     out = policy.posterior_functional(spread(params(spark, sf), ["draw_id"]))
-    return rounded(out, 6, *[c for c in out.columns if c not in ("scenario", "n")])
+    return rounded(out, 6, *[c for c in out.columns if c not in ("scenario", "n", "failed")])
 
 
 @register("append_rows", sql(

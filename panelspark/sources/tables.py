@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NULLS = ("", "NA")
+LINE = "_line"    # place of a row in its file, where a reader is asked for it
 
 # Names of the sampler's own columns, kept apart from the parameters.
 SAMPLER_INTERNALS = (
@@ -25,9 +26,11 @@ DRAWS = T.StructType([
 
 
 def read_delimited(spark: SparkSession, path: str, columns: list, period: str, sep: str = ",",
-                   nulls: tuple = NULLS, types: dict | None = None) -> DataFrame:
+                   nulls: tuple = NULLS, types: dict | None = None, lines: bool = False) -> DataFrame:
     """The named ``columns`` of delimited text, found by the file's header in any order.
 
+    ``lines`` adds ``LINE``, which orders rows as the files do, for ``first_match``.
+
     A name the header lacks is an error.  Every field is read as text, the strings in ``nulls`` become null, rows
     without a period are dropped and the fields named in ``types`` are cast.  A
     field that does not parse as its type is null rather than an error.
@@ -43,6 +46,9 @@ def read_delimited(spark: SparkSession, path: str, columns: list, period: str, s
     for c in columns:
         text = F.when(~F.trim(F.col(c)).isin(*nulls), F.col(c))
         picked.append((text.try_cast(types[c]) if c in types else text).alias(c))
+    if lines:
+        picked.append(F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"),
+                               F.monotonically_increasing_id().alias("row")).alias(LINE))
     return raw.select(*picked).filter(F.col(period).isNotNull())
 
 

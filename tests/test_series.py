@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import numeric, periods
 from panelspark.operators import align, labels, series
-from panelspark.plans.observables import level_series, observables
+from panelspark.plans.observables import RawFile, level_series, observables, tables_from_files
 from panelspark.sources import tables as io
 from conftest import rows
 
@@ -279,3 +279,62 @@ def test_a_repeated_year_is_an_error(spark):
     ends = [{"k": "a", "_part": p, "_end": e, "_v0": 1.0, "_v1": 2000.0} for p in (0, 1) for e in (1, 2)]
     with pytest.raises(ValueError, match="repeats the year 2000"):
         align._from_neighbours(ends, ["k"])
+
+
+def test_repeated_dates_count_once(spark):
+    acc = spark.createDataFrame([("k", day(1995 + i // 4, i % 4 + 1), 10.0 + i, 5.0, 5.0) for i in range(4)],
+                                "geo string, date date, GDP double, C double, I double")
+    tax = [("k", day(1995, q), v, v) for q, v in ((1, 1.0), (2, 10.0), (2, 11.0), (3, 2.0), (4, 3.0))]
+    tax = spark.createDataFrame(tax, "geo string, date date, IS double, IRPF double")
+    nom, lab = acc.selectExpr("geo", "date", "GDP AS GDP_nominal"), acc.selectExpr("geo", "date", "C AS D1")
+    pop = spark.createDataFrame([("k", 1995, 1.0)], "geo string, year int, value double")
+    got = rows(level_series(acc.union(acc), nom, lab, tax, pop.union(pop), ["geo"]), "date")
+    assert [r["lev_Gc"] for r in got] == pytest.approx([1.0, 11.0, 13.0, 16.0])    # the smaller of the two counts
+
+
+def test_raw_files_to_observables(spark, tmp_path):
+    """Headers in different orders, unreadable and repeated periods, one plan for growth and levels."""
+    quarters = [(y, q) for y in range(1995, 2000) for q in (1, 2, 3, 4)]
+    label = [f"{y}-Q{q}" for y, q in quarters]
+    gdp, cons, inv, nominal, pay, corp, inc = zip(*[
+        (100.0 + i, 60.0 + i * i / 10, 20.0 + i, 110.0 + 2 * i, 50.0 + i, (-1.0) ** i * 3 + 5, 9.0 + i) for i in range(20)])
+
+    def write(name, header, lines, sep=","):
+        (tmp_path / name).write_text("\n".join(sep.join(map(str, x)) for x in [header, *lines]) + "\n")
+        return str(tmp_path / name)
+
+    accounts = write("a.csv", ["I", "TIME_PERIOD", "unused", "C", "geo", "GDP"],
+                     [(inv[i], label[i], "x", cons[i], "Spain", gdp[i]) for i in reversed(range(20))]
+                     + [(1, label[7], "x", 1, "Spain", 1), ("", "", "", "", "", ""), (1, "NA", "x", 1, "Spain", 1)], ";")
+    nom = write("n.csv", ["TIME_PERIOD", "GDP"], [(label[i], nominal[i]) for i in range(20)] + [(label[3], 7)])
+    labour = write("d.csv", ["OBS_VALUE", "na_item", "TIME_PERIOD"], [(pay[i], "D1", label[i]) for i in range(20)] + [(1, "D2", label[0])])
+    taxes = write("t.csv", ["fecha", "IRPF_Meur", "IS_Meur"], [(label[i], inc[i], corp[i]) for i in range(20)] + [("2025-Q1", 1, 1)])
+    people = write("p.csv", ["TIME_PERIOD", "OBS_VALUE"], [(y, 1000 + 10 * (y - 1995)) for y in range(1995, 2000)] + [(1995, 5)])
+    growth, levels = tables_from_files(
+        spark, RawFile(accounts, "TIME_PERIOD", {"GDP": "GDP", "C": "C", "I": "I"}, key="geo", sep=";"),
+        RawFile(nom, "TIME_PERIOD", {"GDP_nominal": "GDP"}, constant="Spain"),
+        RawFile(labour, "TIME_PERIOD", {"D1": "OBS_VALUE"}, constant="Spain", filters={"na_item": "D1"}),
+        RawFile(taxes, "fecha", {"IS": "IS_Meur", "IRPF": "IRPF_Meur"}, constant="Spain"),
+        RawFile(people, "TIME_PERIOD", {"value": "OBS_VALUE"}, constant="Spain"))
+    pop = [1000 + 10 * (y - 1995) + (10 * (q - 1) / 4 if y < 1999 else 0) for y, q in quarters]
+    deflator = [n / g for n, g in zip(nominal, gdp)]
+    want = {"c": [c / p for c, p in zip(cons, pop)], "inv": [c / p for c, p in zip(inv, pop)],
+            "wh": [c / f / p for c, f, p in zip(pay, deflator, pop)],
+            "Gc": [sum(corp[max(0, i - 3):i + 1]) / deflator[i] / pop[i] for i in range(20)],
+            "Gh": [sum(inc[max(0, i - 3):i + 1]) / deflator[i] / pop[i] for i in range(20)]}
+    got, flat = rows(growth, "date"), rows(levels, "date")
+    assert [r["date"] for r in got] == [r["date"] for r in flat] == [day(*q) for q in quarters[4:]]
+    for name, level in want.items():
+        assert [r[f"lev_{name}"] for r in flat] == pytest.approx(level[4:], rel=1e-12)
+        assert [r[f"obs_{name}"] for r in got] == pytest.approx([100 * math.log(level[i] / level[i - 1]) for i in range(4, 20)], abs=1e-9)
+
+
+def test_quarter_bounds_reach_the_scan(spark, tmp_path):
+    days = [dt.datetime(1995, 12, 31), dt.datetime(1996, 1, 1), dt.datetime(1997, 3, 31, 23, 59), dt.datetime(1997, 4, 1)]
+    for kind in ("date", "timestamp"):
+        path = str(tmp_path / kind)
+        spark.createDataFrame([(x,) for x in days], "d timestamp").selectExpr(f"CAST(d AS {kind}) AS d").write.parquet(path)
+        df = series.quarters_between(spark.read.parquet(path), "d", "1996-02-10", "1997-05-01")
+        assert df.count() == 2
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(d," in plan and "LessThan(d," in plan

@@ -143,7 +143,13 @@ def test_posterior_functional(spark):
     got = {r["scenario"]: r for r in rows(policy.posterior_functional(df))}
     assert got["cf1"]["n"] == 8
     assert 0 < got["cf1"]["self_financing_share"] < 1
-    assert math.isfinite(got["cf4"]["ecv_pct_std"])
+    assert math.isfinite(got["cf4"]["ecv_pct_std"]) and got["cf1"]["failed"] == 0
+
+
+def test_draws_without_a_solution_are_counted(spark):
+    df = parameter_rows(spark, {"id": 1, **POINT}, {"id": 2, **POINT}, {"id": 3, **POINT, "phi": None})
+    for r in rows(policy.posterior_functional(df)):
+        assert (r["n"], r["failed"]) == (2, 1) and r["share_pp_mean"] is not None
 
 
 def test_open_brackets_and_positive_hours(spark):
