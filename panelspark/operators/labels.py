@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.session import written
+
 # Components of a decomposition that are not shocks.
 NON_SHOCKS = ("mean", "initial_conditions", "Initial_values", "constant")
 INITIAL = ("Initial_values", "initial_conditions")
@@ -62,8 +64,14 @@ def relabel(df: DataFrame, col: str, labels: dict | DataFrame, name: str = "labe
     return joined.withColumn(name, F.coalesce(F.col("_text"), F.col(col))).drop("_code", "_text")
 
 
-def select_params(draws: DataFrame, groups: dict, col: str = "param") -> DataFrame:
-    """Keep the parameters named in ``groups`` and label each with its group."""
+def select_params(draws: DataFrame, groups: dict | DataFrame, col: str = "param") -> DataFrame:
+    """Keep the parameters named in ``groups`` and label each with its group.
+
+    ``groups`` is a dict of lists, or a table ``(param, group)``; a parameter of several groups of a table comes once in each.
+    """
+    if isinstance(groups, DataFrame):
+        members = written(groups.select(F.col("param").alias(col), "group").distinct(), "groups")    # one row per parameter and group
+        return draws.join(members, col).select(*draws.columns, "group")
     member = {p: g for g, ps in groups.items() for p in ps}
     return draws.filter(F.col(col).isin(*member)).withColumn("group", lookup(F.col(col), member))
 

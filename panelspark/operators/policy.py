@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.labels import POLICY_LABELS, lookup
 from panelspark.operators.steady import PARAMS, VARIABLES, steady_state, total_revenue
-from panelspark.session import spread
+from panelspark.session import spread, written
 
 # The four policy scenarios.
 SCENARIOS = [
@@ -31,6 +31,7 @@ RANGES = {
 }
 REPORTED = VARIABLES[:10]
 GRID_POINTS = 25
+COPIES = 64    # numbers a table of definitions is dealt out under
 
 
 def scenario_array(scenarios: list) -> Column:
@@ -42,8 +43,24 @@ def scenario_array(scenarios: list) -> Column:
     return F.array(*[one(n, o) for n, o in scenarios])
 
 
-def cross_scenarios(params: DataFrame, scenarios: list) -> DataFrame:
-    """Every parameter row with every scenario; adds ``scenario`` and ``overrides``."""
+def _with_every(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every row of ``df`` beside every row of a table of definitions.
+
+    Each definition is dealt out ``COPIES`` times under a number, each row of ``df`` draws one of the numbers, and
+    an equality on it brings them together: an even join whatever the definitions, broadcast if their
+    stored table is small, and a plan that does not grow with them.
+    """
+    copies = written(rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))), "definitions")
+    return df.withColumn("_copy", F.pmod(F.monotonically_increasing_id(), F.lit(COPIES)).cast("int")).join(copies, "_copy").drop("_copy")
+
+
+def cross_scenarios(params: DataFrame, scenarios: list | DataFrame) -> DataFrame:
+    """Every parameter row with every scenario; adds ``scenario`` and ``overrides``.
+
+    ``scenarios`` is a list, or a table ``(scenario, overrides)`` with a map from parameter to value.
+    """
+    if isinstance(scenarios, DataFrame):
+        return _with_every(params, scenarios.select("scenario", F.col("overrides").cast("map<string,double>")))
     return params.select("*", F.inline(scenario_array(scenarios)))
 
 
@@ -100,13 +117,13 @@ def ecv(base_utility: Column, alt_utility: Column, beta: Column) -> Column:
     return F.exp((1 - beta) * gap) - 1
 
 
-def solve_scenarios(params: DataFrame, scenarios: list = SCENARIOS) -> DataFrame:
+def solve_scenarios(params: DataFrame, scenarios: list | DataFrame = SCENARIOS) -> DataFrame:
     """Baseline (``base_`` columns) and scenario solution of every row and scenario."""
     solved = steady_state(params, "base_")
     return steady_state(apply_overrides(cross_scenarios(solved, scenarios)))
 
 
-def scenario_changes(params: DataFrame, ids: list, scenarios: list = SCENARIOS, reversed_ecv: bool = True,
+def scenario_changes(params: DataFrame, ids: list, scenarios: list | DataFrame = SCENARIOS, reversed_ecv: bool = True,
                      digits: int | None = 3) -> DataFrame:
     """Long table ``(ids, scenario, ord, variable, pct)`` in report order.
 
@@ -150,24 +167,34 @@ def grid_value(lo: Column, hi: Column, i: Column, n: int) -> Column:
     return lo + i * (hi - lo) / (n - 1)
 
 
-def param_grid(df: DataFrame, ranges: dict = RANGES, n: int = GRID_POINTS) -> DataFrame:
-    """Equally spaced values per instrument, both ends included; adds ``instrument, i, grid_value``."""
-    each = F.array(*[F.struct(F.lit(p).alias("instrument"), F.lit(float(lo)).alias("_lo"), F.lit(float(hi)).alias("_hi"))
-                     for p, (lo, hi) in ranges.items()])
-    out = df.select("*", F.inline(each)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def param_grid(df: DataFrame, ranges: dict | DataFrame = RANGES, n: int = GRID_POINTS) -> DataFrame:
+    """Equally spaced values per instrument, both ends included; adds ``instrument, i, grid_value``.
+
+    ``ranges`` is a dict, or a table ``(instrument, lo, hi)``.
+    """
+    if isinstance(ranges, DataFrame):
+        out = _with_every(df, ranges.select("instrument", F.col("lo").cast("double").alias("_lo"), F.col("hi").cast("double").alias("_hi")))
+    else:
+        each = F.array(*[F.struct(F.lit(p).alias("instrument"), F.lit(float(lo)).alias("_lo"), F.lit(float(hi)).alias("_hi"))
+                         for p, (lo, hi) in ranges.items()])
+        out = df.select("*", F.inline(each))
+    out = out.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return out.withColumn("grid_value", grid_value(F.col("_lo"), F.col("_hi"), F.col("i"), n)).drop("_lo", "_hi")
 
 
-def sweep(params: DataFrame, ids: list, ranges: dict = RANGES, n: int = GRID_POINTS) -> DataFrame:
+def sweep(params: DataFrame, ids: list, ranges: dict | DataFrame = RANGES, n: int = GRID_POINTS) -> DataFrame:
     """Replace one instrument at a time by every grid value and solve again.
 
+    A table of ``ranges`` may name any parameter.
+
     Adds ``base_value`` (the row's own rate), the solution, ``G_total`` and
     ``welfare``.  A failed point keeps its row with nulls and a ``status``.
     """
     grid = param_grid(spread(params, ids), ranges, n)
-    own = F.coalesce(*[F.when(F.col("instrument") == p, F.col(p)) for p in ranges])
+    names = [p for p in PARAMS if p in params.columns] if isinstance(ranges, DataFrame) else list(ranges)
+    own = F.coalesce(*[F.when(F.col("instrument") == p, F.col(p)) for p in names])
     grid = grid.withColumn("base_value", own)
-    grid = grid.withColumns({p: F.when(F.col("instrument") == p, F.col("grid_value")).otherwise(F.col(p)) for p in ranges})
+    grid = grid.withColumns({p: F.when(F.col("instrument") == p, F.col("grid_value")).otherwise(F.col(p)) for p in names})
     out = steady_state(grid)
     return out.withColumns({
         "G_total": F.when(F.col("status") == "ok", total_revenue()),
@@ -189,7 +216,7 @@ def laffer_peak(swept: DataFrame, ids: list) -> DataFrame:
                        "base_value", side.alias("side"))
 
 
-def posterior_functional(params: DataFrame, scenarios: list = SCENARIOS) -> DataFrame:
+def posterior_functional(params: DataFrame, scenarios: list | DataFrame = SCENARIOS) -> DataFrame:
     """Over all draws: mean and spread of the share and revenue effects, and how often revenue does not fall.
 
     ``n`` draws have a solution with and without the scenario; ``failed`` counts the others, which the statistics leave out.

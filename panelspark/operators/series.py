@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.periods import quarter_idx
+from panelspark.session import written
 
 
 def period_filter(df: DataFrame, lo: str | None = None, hi: str | None = None, closed: str = "both",
@@ -47,12 +48,14 @@ def implicit_deflator(nominal: Column, real: Column) -> Column:
     return F.try_divide(nominal, real)
 
 
-def split_samples(df: DataFrame, samples: list, date: str = "date") -> DataFrame:
+def split_samples(df: DataFrame, samples: list | DataFrame, date: str = "date") -> DataFrame:
     """Label rows with every sample they belong to.
 
-    ``samples`` lists ``(name, first date or None, day after the last or None)``.
-    The handful of definitions is an array literal, so no join is needed.
+    ``samples`` lists ``(name, first date or None, day after the last or None)``: an array literal, so no
+    join is needed.  Or it is a table ``(sample, lo, hi)`` of any length with the same meaning.
     """
+    if isinstance(samples, DataFrame):
+        return _split_by_table(df, samples, date)
     defs = F.array(*[
         F.struct(F.lit(n).alias("sample"), F.lit(lo).cast("date").alias("lo"), F.lit(hi).cast("date").alias("hi"))
         for n, lo, hi in samples])
@@ -61,6 +64,28 @@ def split_samples(df: DataFrame, samples: list, date: str = "date") -> DataFrame
     return df.withColumn("_s", F.explode(hit)).withColumn("sample", F.col("_s.sample")).drop("_s")
 
 
+def _split_by_table(df: DataFrame, samples: DataFrame, date: str) -> DataFrame:
+    """Samples meet the distinct dates in bins of a year, then the rows by date.
+
+    An interval is listed under every year it touches within the dates there are, so the join is an equality and its
+    size is that of dates times the samples they really lie in.  Null dates belong to samples without any bound.
+    """
+    day, lo, hi = F.col("_day"), F.col("_lo"), F.col("_hi")
+    days = written(df.select(F.col(date).cast("date").alias("_day")).distinct(), "days")    # at most one row per day of the calendar
+    span = days.agg(F.min(F.year(day)).alias("_from"), F.max(F.year(day)).alias("_to")).withColumn("_one", F.lit(1))
+    table = samples.select("sample", F.col("lo").cast("date").alias("_lo"), F.col("hi").cast("date").alias("_hi"))
+    begin, end = F.greatest(F.coalesce(F.year(lo), "_from"), "_from"), F.least(F.coalesce(F.year(hi), "_to"), "_to")
+    years = F.when(begin <= end, F.sequence(begin, end))
+    open_ended = F.when(lo.isNull() & hi.isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.array().cast("array<int>"))
+    binned = table.withColumn("_one", F.lit(1)).join(span, "_one").withColumn(
+        "_year", F.explode(F.concat(F.coalesce(years, F.array().cast("array<int>")), open_ended)))
+    dated = days.withColumn("_day_year", F.year(day))
+    inside = day.isNull() | ((lo.isNull() | (day >= lo)) & (hi.isNull() | (day < hi)))
+    matches = dated.join(binned, F.col("_day_year").eqNullSafe(F.col("_year"))).filter(inside).select("_day", "sample")
+    found = written(matches, "samples")
+    return df.join(found, df[date].cast("date").eqNullSafe(found["_day"])).select(*[df[c] for c in df.columns], found["sample"])
+
+
 def sample_info(df: DataFrame, keys: list, date: str = "date") -> DataFrame:
     """Row count and date range per sample."""
     return df.groupBy(*keys).agg(

@@ -138,6 +138,25 @@ def sample_split(spark, sf):
     return series.split_samples(quarterly(spark, sf), _SAMPLES).select("sample", *KEY, "date", "v")
 
 
+_EXPANDING = ("SELECT 'to ' || CAST(y AS VARCHAR) AS sample, NULL::DATE AS lo, make_date(y, 7, 1) AS hi FROM yrs UNION ALL "
+              "SELECT 'five from ' || CAST(y AS VARCHAR), make_date(y, 4, 1), make_date(y + 5, 4, 1) FROM yrs")
+
+
+@register("sample_table", sql(
+    "SELECT sample, series_key, date, v FROM q5 JOIN smp ON (lo IS NULL OR date >= lo) AND (hi IS NULL OR date < hi)", "q5",
+    yrs="SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders", smp=_EXPANDING))
+def sample_table(spark, sf):
+    """Expanding and rolling samples, one of each per year of the data."""
+    years = table(spark, sf, "orders").select(F.year("o_orderdate").alias("y")).distinct()
+    name = F.col("y").cast("string")
+    none = F.lit(None).cast("date")
+    samples = years.select(F.inline(F.array(
+        F.struct(F.concat(F.lit("to "), name).alias("sample"), none.alias("lo"), F.make_date("y", F.lit(7), F.lit(1)).alias("hi")),
+        F.struct(F.concat(F.lit("five from "), name).alias("sample"), F.make_date("y", F.lit(4), F.lit(1)).alias("lo"),
+                 F.make_date(F.col("y") + 5, F.lit(4), F.lit(1)).alias("hi")))))
+    return series.split_samples(quarterly(spark, sf), samples).select("sample", *KEY, "date", "v")
+
+
 @register("sample_info", sql(
     "SELECT sample, series_key, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM s GROUP BY 1, 2",
     "q5", s=_SAMPLE_SQL))

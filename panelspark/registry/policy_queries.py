@@ -9,7 +9,7 @@ from panelspark.operators.draws import posterior_summary
 from panelspark.operators.labels import lookup
 from panelspark.operators.steady import CALIBRATED, EXTRA, VARIABLES, calibrate_b0, size_table, steady_state, total_revenue
 from panelspark.plans.policy import rows_from_means
-from panelspark.registry.base import draws, params, register, rounded, sql
+from panelspark.registry.base import draws, params, register, rounded, sql, table
 from panelspark.session import spread
 
 _STEPS = 58    # halvings of an interval of at most 120
@@ -137,6 +137,31 @@ def overrides(spark, sf):
     return out.select("draw_id", "scenario", "tau_c_ss", "p_ss", "tau_s_ss")
 
 
+@register("scenario_table", sql(
+    "SELECT draw_id, n_name AS scenario, CAST(0.10 AS DOUBLE) + CAST(0.01 AS DOUBLE)*n_nationkey AS tau_c_ss, "
+    "CASE WHEN n_regionkey = 0 THEN CAST(0.03 AS DOUBLE) ELSE p_ss END AS p_ss FROM pr, nation", "pr"))
+def scenario_table(spark, sf):
+    """One scenario per nation, from a table."""
+    share = F.lit(0.10) + F.lit(0.01) * F.col("n_nationkey")
+    more = F.when(F.col("n_regionkey") == 0, F.create_map(F.lit("p_ss"), F.lit(0.03))).otherwise(F.expr("cast(map() as map<string,double>)"))
+    scenarios = table(spark, sf, "nation").select(
+        F.col("n_name").alias("scenario"), F.map_concat(F.create_map(F.lit("tau_c_ss"), share), more).alias("overrides"))
+    out = policy.apply_overrides(policy.cross_scenarios(params(spark, sf), scenarios))
+    return out.select("draw_id", "scenario", "tau_c_ss", "p_ss")
+
+
+@register("range_table", sql(
+    "SELECT draw_id, instrument, CAST(i AS INTEGER) AS i, round(lo + i*(hi - lo)/4, 9) AS grid_value FROM pr, "
+    "(SELECT CASE r_regionkey WHEN 0 THEN 'tau_c_ss' WHEN 1 THEN 'tau_h_ss' WHEN 2 THEN 'tau_s_ss' WHEN 3 THEN 'p_ss' ELSE 'alpha' END "
+    "AS instrument, CAST(0.01 AS DOUBLE)*(r_regionkey + 1) AS lo, CAST(0.1 AS DOUBLE)*(r_regionkey + 1) AS hi FROM region), range(5) t(i)", "pr"))
+def range_table(spark, sf):
+    """One instrument per region, from a table; the last is no tax."""
+    at = F.col("r_regionkey").cast("int")
+    names = F.array(*[F.lit(n) for n in ("tau_c_ss", "tau_h_ss", "tau_s_ss", "p_ss", "alpha")])
+    ranges = table(spark, sf, "region").select(names[at].alias("instrument"), (0.01 * (at + 1)).alias("lo"), (0.1 * (at + 1)).alias("hi"))
+    return rounded(policy.param_grid(params(spark, sf), ranges, 5).select("draw_id", "instrument", "i", "grid_value"), 9, "grid_value")
+
+
 @register("unknown_overrides", "SELECT 'tau_x' AS name, count(*) AS n FROM part UNION ALL SELECT 'zeta', count(*) FROM part")
 def unknown(spark, sf):
     wrong = [("one", {"tau_x": 1.0, "p_ss": 0.03}), ("two", {"zeta": 2.0})]
