@@ -32,29 +32,38 @@ def _square(column: pd.Series, k: int) -> np.ndarray:
     return np.stack(column.to_numpy()).reshape(-1, k, k)
 
 
+def _triangles(keys: list, columns: list):
+    """Triangular factor of the rows of each key in a batch, and of factors met before: as few rows as there are columns."""
+    def run(batches):
+        for pdf in batches:
+            for key, rows in pdf.groupby(keys, dropna=False, sort=False):
+                r = np.linalg.qr(rows[columns].to_numpy(float), mode="r")
+                yield pd.DataFrame(dict(zip(keys, key)) | {c: r[:, i] for i, c in enumerate(columns)})
+    return run
+
+
 def var1_ols(panel: DataFrame, keys: list, cols: list, order: str = "quarter_idx") -> DataFrame:
     """Least squares of ``Y_t`` on ``Y_(t-1)`` without intercept, per key.
 
     Returns ``(keys, pos, predictor, target, coef)``; ``pos`` counts column by
-    column (the target varies slowest).  Cross products are summed by Spark; the
-    k-by-k solve sees one small row per key.
+    column (the target varies slowest).  Rows of lagged and present values are reduced to
+    triangular factors batch by batch, and the stacked factors of a key to one: products, which would square the condition
+    number, are never formed.  The last solve sees 2k rows per key.
     """
     k = len(cols)
-    gram = _cross_products(_complete(panel, keys, cols, order), keys, cols)
-
-    def solve(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            coef = np.linalg.pinv(_square(pdf["_xx"], k)) @ _square(pdf["_xy"], k)
-            out = {c: np.repeat(pdf[c].to_numpy(), k * k) for c in keys}
-            out["pos"] = np.tile(np.arange(k * k, dtype=np.int32), len(pdf))
-            out["predictor"] = np.tile(np.tile(cols, k), len(pdf))
-            out["target"] = np.tile(np.repeat(cols, k), len(pdf))
-            out["coef"] = np.transpose(coef, (0, 2, 1)).reshape(-1)
-            yield pd.DataFrame(out)
-
-    return gram.mapInPandas(solve, _fields(panel, keys, "pos int, predictor string, target string, coef double"))
+    lagged = [f"_l_{c}" for c in cols]
+    complete = _complete(panel, keys, cols, order).select(*keys, *[F.col(c).cast("double").alias(c) for c in [*lagged, *cols]])
+    small = complete.mapInPandas(_triangles(keys, [*lagged, *cols]), complete.schema)
+    kinds = _fields(panel, keys, "pos int, predictor string, target string, coef double")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = np.linalg.qr(pdf[[*lagged, *cols]].to_numpy(float), mode="r")
+        coef = np.linalg.lstsq(r[:, :k], r[:, k:], rcond=None)[0]
+        first = {c: pdf[c].iloc[0] for c in keys}
+        return pd.DataFrame({"pos": np.arange(k * k, dtype=np.int32), "predictor": np.tile(cols, k),
+                             "target": np.repeat(cols, k), "coef": coef.T.reshape(-1)}).assign(**first)
+
+    return small.groupBy(*keys).applyInPandas(solve, kinds)
 
 
 def moment_covariance(panel: DataFrame, keys: list, cols: list, lags: int, order: str = "quarter_idx") -> DataFrame:

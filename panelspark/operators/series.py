@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.periods import quarter_idx
+from panelspark.operators.ordered import number_in_order
 from panelspark.session import written
 
 
@@ -92,6 +93,30 @@ def sample_info(df: DataFrame, keys: list, date: str = "date") -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
 
 
+BLOCK_ROWS = 1 << 17    # rows of one unkeyed series that a task sees at once
+
+
+def _first_of_all(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with one aggregate over all of it, a single row, beside every row."""
+    only = df.agg(value.alias(name)).withColumn("_one", F.lit(1))
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(only), "_one").drop("_one")
+
+
+def over_rows(df: DataFrame, order: str, back: int, columns: dict) -> DataFrame:
+    """Add columns over the ``back`` rows before each row, and the row itself, of one series without keys.
+
+    Rows are numbered by ranges of ``order`` and cut into blocks; a block also gets the last ``back`` rows of the block before
+    it, so no task holds more than a block.  ``columns`` maps a name to a function of the window.
+    """
+    size = max(BLOCK_ROWS, back)
+    placed = number_in_order(df, [order], "_place")
+    own, last = F.floor(F.col("_place") / size), F.col("_place") % size >= size - back
+    sent = placed.withColumn("_own", own).withColumn("_block", F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy("_block").orderBy("_place").rowsBetween(-back, 0)
+    out = sent.select("*", *[f(w).alias(n) for n, f in columns.items()]).filter(F.col("_block") == F.col("_own"))
+    return out.select(*[c for c in df.columns if c not in columns], *columns)
+
+
 def _within(keys: list) -> Window:
     """Window over one series; a window without keys would put a whole table into one task."""
     if not keys:
@@ -114,9 +139,9 @@ def rolling_sum(df: DataFrame, keys: list, value: str, name: str, n: int = 4, or
     """
     if mode not in ("rows", "calendar"):
         raise ValueError(f"unknown mode {mode}")
+    if not keys and mode == "rows":
+        return over_rows(df, order, n - 1, {name: lambda w: F.when(F.count(value).over(w) >= min_periods, F.sum(value).over(w))})
     if not keys:
-        if mode != "calendar":
-            raise ValueError("a rolling sum without keys needs mode='calendar'")
         spread = (df.select(F.explode(F.sequence(F.col(order), F.col(order) + n - 1)).alias(order), value)
                   .groupBy(order).agg(F.sum(value).alias(name), F.count(value).alias("_n")))
         out = df.join(spread, [order], "left")
@@ -167,7 +192,10 @@ def dlog(df: DataFrame, keys: list, cols: dict, order: str = "quarter_idx", scal
 
 def index_base(df: DataFrame, keys: list, value: str, name: str, order: str = "quarter_idx",
                base: float = 100.0) -> DataFrame:
-    """``base`` times the value relative to the first row of the series."""
+    """``base`` times the value relative to the first row of the series; without ``keys``, of the whole table."""
+    if not keys:
+        first = _first_of_all(df, F.min_by(value, order), "_first")
+        return first.withColumn(name, F.lit(base) * F.try_divide(F.col(value), F.col("_first"))).drop("_first")
     w = _within(keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.lit(base) * F.try_divide(F.col(value), F.first(value).over(w)))
 
@@ -184,7 +212,9 @@ def signed_stack(df: DataFrame, keys: list, rank: str, value: str) -> DataFrame:
 
 
 def thin(df: DataFrame, keys: list, k: int, order: str = "quarter_idx") -> DataFrame:
-    """Every ``k``-th row of a series, starting with the first."""
+    """Every ``k``-th row of a series, starting with the first; without ``keys``, of the whole table."""
+    if not keys:
+        return number_in_order(df, [order], "_place").filter(F.col("_place") % k == 0).drop("_place")
     w = _within(keys).orderBy(order)
     return df.withColumn("_pos", F.row_number().over(w)).filter((F.col("_pos") - 1) % k == 0).drop("_pos")
 
@@ -192,8 +222,8 @@ def thin(df: DataFrame, keys: list, k: int, order: str = "quarter_idx") -> DataF
 def axis_ticks(df: DataFrame, keys: list, date: str = "date", every_years: int = 4) -> DataFrame:
     """First quarters of every ``every_years``-th year, and the first row if it is a January."""
     january = F.month(date) == 1
-    return (df.withColumn("_start", F.min(date).over(_within(keys)))
-            .filter(january & ((F.col(date) == F.col("_start")) | (F.year(date) % every_years == 0)))
+    started = df.withColumn("_start", F.min(date).over(_within(keys))) if keys else _first_of_all(df, F.min(date), "_start")
+    return (started.filter(january & ((F.col(date) == F.col("_start")) | (F.year(date) % every_years == 0)))
             .drop("_start").withColumn("tick", F.year(date).cast("string")))
 
 
@@ -202,7 +232,9 @@ def sort_by_period(df: DataFrame, keys: list = (), date: str = "date") -> DataFr
 
 
 def head_by_time(df: DataFrame, keys: list, n: int, order: str = "quarter_idx") -> DataFrame:
-    """First ``n`` rows of every series; Spark limits each group before the shuffle."""
+    """First ``n`` rows of every series, or of the whole table without ``keys``; Spark limits each group before the shuffle."""
+    if not keys:
+        return df.orderBy(order).limit(n)
     w = _within(keys).orderBy(order)
     return df.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") <= n).drop("_pos")
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators.labels import INITIAL, NON_SHOCKS, SHOCK_GROUPS, is_component_shock, lookup, match_shock_name
 
 OTHER = "other"    # shocks of no group
+BLOCK = 1 << 12    # dates, and horizons, convolved at once
 
 
 def fevd(irf: DataFrame, horizons: list | None = None, keys: list = ("run", "variable"), shock: str = "shock",
@@ -65,24 +68,60 @@ def component_total(contrib: DataFrame, keys: list = ("run", "variable", "t"), c
     ).withColumn("total", F.col("shocks") + F.coalesce("initial", F.lit(0.0)))
 
 
+def _dense(first: int, at: list, values: list) -> tuple[np.ndarray, np.ndarray]:
+    where = np.asarray(at, np.int64) - first
+    dense, present = np.zeros(where.max() + 1), np.zeros(where.max() + 1)
+    dense[where], present[where] = values, 1.0
+    return dense, present
+
+
+def _convolve(block: int, out: list, t_max: int | None):
+    """Block of shocks times block of responses: the dates they reach, a row each."""
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                lo, at_h = row["_tb"] * block, row["_hb"] * block
+                e, dated = _dense(lo, [x["t"] for x in row["_shocks"]], [x["v"] for x in row["_shocks"]])
+                r, known = _dense(at_h, [x["h"] for x in row["_path"]], [x["v"] for x in row["_path"]])
+                odd_e, odd_r = ~np.isfinite(e), ~np.isfinite(r)
+                value = np.convolve(np.where(odd_e, 0, e), np.where(odd_r, 0, r))
+                hit = np.convolve(dated, known) > 0.5
+                if odd_e.any() or odd_r.any():    # a date without a number spoils the dates it reaches, no others
+                    value[np.convolve(odd_e * 1.0, known) + np.convolve(dated, odd_r * 1.0) > 0.5] = np.nan
+                t = np.flatnonzero(hit)
+                when = t + lo + at_h
+                if t_max is not None:
+                    t, when = t[when <= t_max], when[when <= t_max]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([row[c]] * len(t), b.schema.field(c).type) for c in out), pa.array(when, pa.int64()), pa.array(value[t])],
+                    names=[*out, "_t", "_v"])
+    return run
+
+
 def shock_convolution(irf: DataFrame, shocks: DataFrame, keys: list = ("run", "shock"), t: str = "t",
-                      t_max: int | None = None) -> DataFrame:
+                      t_max: int | None = None, block: int = BLOCK) -> DataFrame:
     """Contribution of each shock to each variable: responses weighted by past shocks.
 
-    ``sum over h of irf(h) * shock(t-h)``.  The response of a (variable, shock)
-    travels as one array, so the join carries one row per shock date and
-    variable; dates beyond the last shock are cut by ``t_max``.
+    ``sum over h of irf(h) * shock(t-h)`` by overlap-add: dates and horizons are cut into blocks of ``block``, every
+    block of shocks is convolved with every block of responses of its keys in one go, and the pieces that
+    reach over a block's end are added to the next.  A pair of blocks costs two blocks of rows, not one per date and
+    horizon, and a task holds one pair at a time.  Repeated rows add up, null values count for nothing.
+    ``t_max`` cuts dates beyond the last shock.
     """
     keys = list(keys)
-    steps = irf.groupBy(*keys, "variable", "h").agg(F.sum("value").alias("value"))  # one entry per horizon
-    paths = steps.groupBy(*keys, "variable").agg(
-        F.array_sort(F.collect_list(F.struct("h", F.col("value").alias("v")))).alias("_path"))
-    hits = (shocks.select(*keys, F.col(t).alias("_t0"), F.col("value").alias("_e")).join(paths, keys)
-            .select(*keys, "variable", "_t0", "_e", F.inline("_path"))
-            .withColumn(t, F.col("_t0") + F.col("h")))
-    if t_max is not None:
-        hits = hits.filter(F.col(t) <= t_max)
-    return hits.groupBy(*keys, "variable", t).agg(F.sum(F.col("_e") * F.col("v")).alias("value"))
+
+    def blocks(df: DataFrame, by: list, at: str, label: str, name: str) -> DataFrame:
+        one = df.filter(F.col("value").isNotNull()).groupBy(*by, F.col(at).cast("long").alias(label)).agg(
+            F.sum("value").cast("double").alias("v"))
+        return one.groupBy(*by, F.floor(F.col(label) / block).alias(f"_{label}b")).agg(
+            F.collect_list(F.struct(label, "v")).alias(name))    # at most ``block`` entries
+
+    pairs = blocks(shocks, keys, t, "t", "_shocks").join(blocks(irf, [*keys, "variable"], "h", "h", "_path"), keys)
+    out = [*keys, "variable"]
+    kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    schema = ", ".join([*(f"`{c}` {kind[c]}" for c in out), "_t long", "_v double"])
+    reached = pairs.mapInArrow(_convolve(block, out, t_max), schema)
+    return reached.groupBy(*out, F.col("_t").cast(shocks.schema[t].dataType).alias(t)).agg(F.sum("_v").alias("value"))
 
 
 def half_life(rho: Column) -> Column:

@@ -138,6 +138,27 @@ def sample_split(spark, sf):
     return series.split_samples(quarterly(spark, sf), _SAMPLES).select("sample", *KEY, "date", "v")
 
 
+# -- one long series without keys: event values in the order of their ids ------------------
+def _one_series(spark, sf):
+    return table(spark, sf, "events").select("event_id", "value").filter(F.col("value").isNotNull())
+
+
+@register("rolling_sum_row_mode", sql(
+    "SELECT event_id, round(sum(value) OVER (ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS rolled "
+    "FROM events WHERE value IS NOT NULL"))
+def rolling_sum_row_mode(spark, sf):
+    out = series.rolling_sum(_one_series(spark, sf), [], "value", "rolled", n=7, order="event_id")
+    return rounded(out.select("event_id", "rolled"), 4, "rolled")
+
+
+@register("thin_one_series", sql(
+    "SELECT event_id, round(100*value/nullif(first_value, 0), 4) AS idx FROM (SELECT event_id, value, row_number() OVER w AS rn, "
+    "first(value) OVER w AS first_value FROM events WHERE value IS NOT NULL WINDOW w AS (ORDER BY event_id)) WHERE (rn - 1) % 16 = 0"))
+def thin_one_series(spark, sf):
+    indexed = series.index_base(_one_series(spark, sf), [], "value", "idx", order="event_id")
+    return rounded(series.thin(indexed, [], 16, order="event_id").select("event_id", "idx"), 4, "idx")
+
+
 _EXPANDING = ("SELECT 'to ' || CAST(y AS VARCHAR) AS sample, NULL::DATE AS lo, make_date(y, 7, 1) AS hi FROM yrs UNION ALL "
               "SELECT 'five from ' || CAST(y AS VARCHAR), make_date(y, 4, 1), make_date(y + 5, 4, 1) FROM yrs")
 

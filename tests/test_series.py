@@ -72,8 +72,6 @@ def test_rolling_modes(panel):
     assert r[("a", 7987)]["rows4"] == lags
     one = rows(series.rolling_sum(panel.filter("k = 'b'"), [], "v", "s", mode="calendar", min_periods=3), "quarter_idx")
     assert [x["s"] for x in one] == [None, None, 30.0, 30.0]
-    with pytest.raises(ValueError):
-        series.rolling_sum(panel, [], "v", "s")
 
 
 def test_dlog(panel):
@@ -93,7 +91,7 @@ def test_one_long_series_is_not_gathered(panel):
     assert got[0]["g"] == pytest.approx(100 * math.log(7991 / 7990)) and got[0]["date"] == day(1995, 2)
     assert "SinglePartition" not in series.dlog(one, [], {"g": "v"})._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
-        series.thin(panel, [], 4)
+        series.signed_stack(panel, [], "quarter_idx", "v")
 
 
 def test_samples_index_ticks_thin(panel):
@@ -338,3 +336,36 @@ def test_quarter_bounds_reach_the_scan(spark, tmp_path):
         assert df.count() == 2
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "GreaterThanOrEqual(d," in plan and "LessThan(d," in plan
+
+
+def test_one_series_without_keys_in_row_mode(spark, monkeypatch):
+    """Frames that reach over the ends of blocks, gaps in the order, nulls; no task holds the whole series."""
+    import random
+    rng = random.Random(5)
+    at = sorted(rng.sample(range(10 ** 6), 500))
+    values = [None if rng.random() < 0.1 else rng.uniform(-5, 5) for _ in at]
+    df = spark.createDataFrame(list(zip(at, values)), "quarter_idx int, v double").repartition(6)
+    for block, n in ((64, 4), (5, 4), (10, 37), (1 << 17, 1)):
+        monkeypatch.setattr(series, "BLOCK_ROWS", block)
+        rolled = series.rolling_sum(df, [], "v", "s", n=n, min_periods=2 if n > 1 else 1)
+        got = {r["quarter_idx"]: r["s"] for r in rolled.collect()}
+        assert len(got) == 500
+        for i, a in enumerate(at):
+            known = [v for v in values[max(0, i - n + 1):i + 1] if v is not None]
+            want = sum(known) if len(known) >= (2 if n > 1 else 1) else None
+            assert got[a] == (pytest.approx(want, abs=1e-9) if want is not None else None)
+        if block == 64:
+            windows = rolled._jdf.queryExecution().executedPlan().toString().split("Window")
+            assert len(windows) > 1 and not any("SinglePartition" in w and "_place" in w.split("SinglePartition")[0] for w in windows[1:2])
+    assert [r["quarter_idx"] for r in rows(series.thin(df, [], 7), "quarter_idx")] == at[::7]
+    assert [r["quarter_idx"] for r in rows(series.head_by_time(df, [], 9), "quarter_idx")] == at[:9]
+    whole = df.filter("v IS NOT NULL")
+    first = next(v for v in values if v is not None)
+    got = {r["quarter_idx"]: r["x"] for r in series.index_base(whole, [], "v", "x").collect()}
+    assert all(got[a] == pytest.approx(100 * v / first) for a, v in zip(at, values) if v is not None)
+
+
+def test_ticks_of_one_series(spark):
+    days = [day(y, q) for y in range(1995, 2005) for q in (1, 2, 3, 4)]
+    df = spark.createDataFrame([(x,) for x in days], "date date")
+    assert [r["tick"] for r in rows(series.axis_ticks(df, []), "date")] == ["1995", "1996", "2000", "2004"]

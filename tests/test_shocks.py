@@ -169,3 +169,48 @@ def test_matrix_distance_keeps_the_penalty(spark):
     matrix = spark.createDataFrame([(0, 0, 2.0), (0, 1, 0.5), (1, 0, 0.5), (1, 1, 1.0)], "pos_a int, pos_b int, weight double")
     got = {r["id"]: r["distance"] for r in rows(moments.moment_distance(df, target, ["id"], matrix=matrix))}
     assert got == {"full": 2 * 0.25 + 2 * 0.5 * 0.5 + 1.0, "half": moments.PENALTY, "out": moments.PENALTY}
+
+
+@pytest.mark.parametrize("block", [7, 64, 1 << 12])
+def test_convolution_by_blocks(spark, block):
+    """Gaps in dates and horizons, repeated rows, nulls, NaN and negative dates against the sum over all pairs."""
+    rng = np.random.default_rng(10)
+    e = [("r", "a", int(t), float(rng.normal())) for t in rng.choice(np.arange(-50, 400), 120, replace=False)] + [("r", "a", 5, 2.0), ("r", "a", 6, None)]
+    e += [("r", "b", 10, float("nan")), ("r", "b", 300, 1.0), ("r", "unused", 1, 1.0)]
+    p = [("r", v, s, int(h), float(rng.normal())) for v in ("x", "y") for s in "ab" for h in rng.choice(60, 25, replace=False)] + [("r", "x", "a", 3, 1.5)]
+    want = {}
+    for _, s, t, v in e:
+        for _, var, s2, h, r in p:
+            if s == s2 and v is not None and t + h <= 380:
+                want[var, s, t + h] = want.get((var, s, t + h), 0.0) + v * r
+    got = shocks.shock_convolution(spark.createDataFrame(p, "run string, variable string, shock string, h int, value double"),
+                                   spark.createDataFrame(e, "run string, shock string, t int, value double"), t_max=380, block=block)
+    assert dict(got.dtypes)["t"] == "int"
+    found = {(r["variable"], r["shock"], r["t"]): r["value"] for r in got.collect()}
+    assert found.keys() == want.keys()
+    assert all(found[k] == pytest.approx(v, abs=1e-9, nan_ok=True) for k, v in want.items())
+
+
+def test_a_long_convolution_makes_few_rows(spark):
+    e = spark.range(10_000).selectExpr("'r' AS run", "'a' AS shock", "CAST(id AS INT) AS t", "1.0D AS value")
+    p = spark.range(200).selectExpr("'r' AS run", "'x' AS variable", "'a' AS shock", "CAST(id AS INT) AS h", "1.0D AS value")
+    got = {r["t"]: r["value"] for r in shocks.shock_convolution(p, e, t_max=9_999).collect()}
+    assert len(got) == 10_000 and got[0] == 1 and got[199] == got[9_999] == pytest.approx(200)
+
+
+def test_near_collinear_panel_equals_least_squares(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 1)).cumsum(axis=0) * 0.1 + np.zeros((400, 3))
+    x[:, 1] += 1e-5 * rng.normal(size=400)
+    x[:, 2] += 1e-4 * rng.normal(size=400)
+    df = spark.createDataFrame([("k", t, *map(float, r)) for t, r in enumerate(x)], "k string, quarter_idx int, a double, b double, c double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = moments.var1_ols(df, ["k"], ["a", "b", "c"]).toPandas().sort_values("pos")["coef"].to_numpy()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    want = np.linalg.lstsq(x[:-1], x[1:], rcond=None)[0].ravel(order="F")
+    assert np.allclose(got, want, rtol=1e-8, atol=1e-8)
+    past = x[:-1]
+    plain = (np.linalg.pinv(past.T @ past) @ (past.T @ x[1:])).ravel(order="F")
+    assert np.abs(plain - want).max() > 10 * np.abs(got - want).max()
