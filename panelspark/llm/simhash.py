@@ -17,7 +17,9 @@ shingles, and groups share one of ``KEYS`` pairs of smallest shingle hashes, whi
 two such texts miss with a probability of 0.0003.  Tiles are compared as above within a wide
 radius, larger groups return the shortest connecting edges, and every edge is
 checked by the exact similarity of its two shingle sets.  Where rejected edges left
-a larger group in several parts, a second pass checks all pairs of different parts within the radius.
+a larger group in several parts, a second pass brings the shingle sets themselves to its tiles: pairs of
+different parts within the radius are checked there and then, and only edges that connect
+parts leave the tile, at most one less than it has rows.
 """
 
 from __future__ import annotations
@@ -238,67 +240,110 @@ def _shortest_edges(apart: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _wide_links(radius: int, across: bool = False):
-    """Per tile pair: all links where it has at most ``EVERY`` rows, else the shortest that connect what is linked.
-
-    With ``across``: all links between rows of different ``part``, where it has more.
-    """
-    def found(node, tile, part, bits):
-        if across and (len(node) <= EVERY or (part == part[0]).all()):
-            return
-        apart = _distances(bits)
-        if tile[0] != tile[-1]:
-            apart[tile[:, None] == tile[None, :]] = 1 << 14
-        np.fill_diagonal(apart, 1 << 14)
-        if across:
-            edges = np.argwhere(np.triu((apart <= radius) & (part[:, None] != part[None, :])))
-        elif len(node) <= EVERY:
-            edges = np.argwhere(np.triu(apart <= radius))
-        else:
-            edges = np.array(_shortest_edges(apart, radius), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], names=["a", "b"])
+def _by_pair(found, columns: list):
+    """Runs ``found`` on the rows of each tile pair; rows come sorted by pair, and the last may go on in the next batch."""
+    def read(b, c):
+        if c == "bits":
+            return np.frombuffer(b"".join(b.column(c).to_pylist()), "<u8").reshape(-1, WIDE)
+        if c == "hashes":
+            sets = np.empty(b.num_rows, object)
+            ends, flat = b.column(c).offsets.to_numpy(), b.column(c).values.to_numpy()
+            sets[:] = [flat[x:y] for x, y in zip(ends, ends[1:])]
+            return sets
+        return b.column(c).to_numpy()
 
     def run(batches):
         held = None
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(c).to_numpy() for c in ("pair", "tile", "node", "part")]
-            cols.append(np.frombuffer(b"".join(b.column("bits").to_pylist()), "<u8").reshape(-1, WIDE))
+            cols = [read(b, c) for c in ["pair", *columns]]
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
             starts = np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1]]))
-            for at, end in zip(starts, starts[1:]):    # rows are sorted by pair: the last may go on
-                yield from found(*[held[c][at:end] for c in (2, 1, 3, 4)])
+            for at, end in zip(starts, starts[1:]):
+                yield found(*[x[at:end] for x in held[1:]])
             held = [x[starts[-1]:] for x in held]
         if held is not None:
-            yield from found(*[held[c] for c in (2, 1, 3, 4)])
+            yield found(*held[1:])
     return run
 
 
-def similar_pairs(classes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE, roots: DataFrame | None = None) -> DataFrame:
-    """Edges (a, b) between the ``node`` of classes with wide fingerprints ``bits`` within ``radius`` that share one of their ``keys``.
+def _edges(node: np.ndarray, edges) -> pa.RecordBatch:
+    edges = np.asarray(edges, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], names=["a", "b"])
 
-    With ``roots`` (node, root) of the links verified so far: only what the first call left out, pairs of different
-    roots in groups of more than ``EVERY`` rows.
-    """
-    spark = classes.sparkSession
-    part = F.col("node") if roots is None else F.coalesce("root", "node")
-    named = classes if roots is None else classes.join(roots, "node", "left")
-    rows = named.select("node", "bits", "ones", part.alias("part"), F.explode("keys").alias("key"))
-    if roots is not None:
-        open_keys = (rows.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
-                     .filter((F.col("n") > EVERY) & (F.col("low") < F.col("high"))).select("key"))
-        rows = written(rows.join(written(open_keys, "open"), "key", "left_semi"), "parts")
-    dealt = _deal(rows, ["key"], ["node", "part", "bits"], radius, tile, 1 if roots is None else EVERY, "inner")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    edges = (dealt.repartition(n, "pair").sortWithinPartitions("pair", "tile")
-             .mapInArrow(_wide_links(radius, roots is not None), "a long, b long"))
+
+def _apart(bits: np.ndarray, tile: np.ndarray) -> np.ndarray:
+    """Differing bits of the pairs a tile pair is there for; far more than any radius elsewhere."""
+    apart = _distances(bits)
+    if tile[0] != tile[-1]:
+        apart[tile[:, None] == tile[None, :]] = 1 << 14
+    np.fill_diagonal(apart, 1 << 14)
+    return apart
+
+
+def _wide_links(radius: int):
+    """Per tile pair: all links where it has at most ``EVERY`` rows, else the shortest that connect what is linked."""
+    def found(node, tile, bits):
+        apart = _apart(bits, tile)
+        return _edges(node, np.argwhere(np.triu(apart <= radius)) if len(node) <= EVERY else _shortest_edges(apart, radius))
+    return _by_pair(found, ["node", "tile", "bits"])
+
+
+_AT_ONCE = 1 << 22    # hashes of other rows that a row is compared with at once
+
+
+def _checked_links(radius: int, least: float):
+    """Per tile pair: edges between rows ``least`` similar or more that connect different parts, each connection once."""
+    def found(node, tile, bits, part, hashes):
+        if (part == part[0]).all():
+            return _edges(node, [])
+        near = _apart(bits, tile) <= radius
+        sizes = np.array([len(h) for h in hashes])
+        distinct, ids = np.unique(np.concatenate(hashes), return_inverse=True)
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        mine, group = np.zeros(len(distinct), bool), np.unique(part, return_inverse=True)[1]
+        edges = []
+        for i in range(len(node)):
+            others = np.flatnonzero(near[i, i + 1:] & (group[i + 1:] != group[i])) + i + 1
+            low, high = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
+            others = others[(low >= least * high) & (low > 0)]
+            if not len(others):
+                continue
+            mine[ids[begins[i]:begins[i + 1]]] = True
+            step = max(1, _AT_ONCE // int(sizes[others].max()))
+            for at in range(0, len(others), step):
+                js = others[at:at + step]
+                starts = np.concatenate([[0], np.cumsum(sizes[js])])
+                flat = np.concatenate([ids[begins[j]:begins[j + 1]] for j in js])
+                shared = np.add.reduceat(mine[flat].astype(np.int64), starts[:-1])
+                for j in js[shared >= least * (sizes[i] + sizes[js] - shared)]:
+                    if group[j] != group[i]:
+                        edges.append((i, j))
+                        group[group == group[j]] = group[i]
+            mine[ids[begins[i]:begins[i + 1]]] = False
+        return _edges(node, edges)
+    return _by_pair(found, ["node", "tile", "bits", "part", "hashes"])
+
+
+def _tile_partitions(spark) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def _alike(edges: DataFrame, rows: DataFrame, classes: DataFrame, words: int, least: float) -> DataFrame:
-    """The edges (a, b) whose shingle sets, taken again from the texts of their classes, are ``least`` similar or more."""
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+def similar_pairs(classes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) between the ``node`` of classes with wide fingerprints ``bits`` within ``radius`` that share one of their ``keys``."""
+    rows = classes.select("node", "bits", "ones", F.explode("keys").alias("key"))
+    dealt = _deal(rows, ["key"], ["node", "bits"], radius, tile, 1, "inner")
+    return _ordered(dealt.repartition(_tile_partitions(classes.sparkSession), "pair").sortWithinPartitions("pair", "tile")
+                    .mapInArrow(_wide_links(radius), "a long, b long"))
+
+
+def _sets_of(nodes: DataFrame, rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(node, hashes): the shingle sets of some classes, taken again from one text of each."""
     wanted = written(classes.join(nodes, "node").select("node", F.col("low").alias("doc_id")), "wanted")
 
     def sets(batches):
@@ -311,13 +356,32 @@ def _alike(edges: DataFrame, rows: DataFrame, classes: DataFrame, words: int, le
 
     # an id may be repeated with other words, so the digest is compared again
     again = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(sets, "node long, hashes array<long>")
-    again = written(again.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    both = (edges.join(again.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
-            .join(again.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b"))
+    return written(again.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def _alike(edges: DataFrame, rows: DataFrame, classes: DataFrame, words: int, least: float) -> DataFrame:
+    """The edges (a, b) whose shingle sets are ``least`` similar or more."""
+    sets = _sets_of(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), rows, classes, words)
+    both = (edges.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b"))
     shared = F.size(F.array_intersect("ha", "hb"))
     return written(both.filter(shared >= least * (F.size("ha") + F.size("hb") - shared)).select("a", "b"), "alike")
 
 
+def _across_parts(classes: DataFrame, roots: DataFrame, rows: DataFrame, words: int, least: float, radius: int, tile: int) -> DataFrame:
+    """What the first pass may have left out: alike pairs of different ``roots`` in groups of more than ``EVERY`` rows."""
+    named = classes.join(roots, "node", "left").select(
+        "node", "bits", "ones", F.coalesce("root", "node").alias("part"), F.explode("keys").alias("key"))
+    open_keys = (named.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+                 .filter((F.col("n") > EVERY) & (F.col("low") < F.col("high"))).select("key"))
+    open_rows = written(named.join(written(open_keys, "open"), "key", "left_semi"), "parts")
+    sets = _sets_of(open_rows.select("node").distinct(), rows, classes, words)
+    dealt = _deal(open_rows, ["key"], ["node", "part", "bits"], radius, tile, EVERY, "inner").join(sets, "node")
+    spark = classes.sparkSession
+    return written(_ordered(dealt.repartition(_tile_partitions(spark), "pair").sortWithinPartitions("pair", "tile")
+                            .mapInArrow(_checked_links(radius, least), "a long, b long")), "across")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, tile: int = TILE,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable over texts whose shingle sets are ``least`` similar or more.
@@ -348,7 +412,7 @@ def _groups(docs: DataFrame, words: int, least: float, tile: int, id_col: str, t
                                               F.first("keys").alias("keys")), "classes")
     first = _alike(written(similar_pairs(classes, tile=tile), "candidates"), rows, classes, words, least)
     roots = written(components(first), "roots")
-    more = _alike(written(similar_pairs(classes, tile=tile, roots=roots), "candidates"), rows, classes, words, least)
+    more = _across_parts(classes, roots, rows, words, least, WIDE_RADIUS, tile)
     roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
     linked = classes.join(roots, "node").select("node", "root", "low")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -409,9 +473,12 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str =
     an id that is repeated with unrelated texts stays once for each group it represents.
     Rows without an id cannot be named as a representative and all stay.
     """
+    node = "_node"
+    while node in docs.columns:
+        node += "_"
     found = written(_groups(docs, words, least, TILE, id_col, text_col), "groups")
-    kept = written(found.filter("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("node").alias("_node"))
-                   .select(F.col("doc_id").alias(id_col), "_node"), "kept")
+    kept = written(found.filter("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("node").alias(node))
+                   .select(F.col("doc_id").alias(id_col), node), "kept")
     mixed = written(found.groupBy(F.col("doc_id").alias(id_col)).agg(F.min("node").alias("a"), F.max("node").alias("b"))
                     .filter("a <> b").select(id_col), "mixed")    # ids of several texts; only theirs are read again
 
@@ -421,6 +488,6 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str =
         return pd.Series(np.array(found, np.uint64).view(np.int64))
 
     one = docs.join(kept.join(mixed, id_col, "left_anti"), id_col, "left_semi").dropDuplicates([id_col])
-    several = (docs.join(mixed, id_col, "left_semi").withColumn("_node", node_of(F.col(text_col).cast("string")))
-               .join(kept, [id_col, "_node"], "left_semi").dropDuplicates([id_col, "_node"]).select(*docs.columns))
+    several = (docs.join(mixed, id_col, "left_semi").withColumn(node, node_of(F.col(text_col).cast("string")))
+               .join(kept, [id_col, node], "left_semi").dropDuplicates([id_col, node]).select(*docs.columns))
     return one.select(*docs.columns).unionByName(several).unionByName(docs.filter(F.col(id_col).isNull()))
