@@ -69,6 +69,32 @@ def historical_stack(spark, sf):
     return rounded(out.select("variable", "t", "group", "pos_top", "neg_top"), 2, "pos_top", "neg_top")
 
 
+_DATE = "make_date(CAST(t // 4 AS INTEGER), CAST(t % 4 AS INTEGER)*3 + 1, 1)"
+_STACKED = ", ".join(f"round({x}, 2) + 0.0 AS {n}" for n, x in (
+    ("pos_bottom", "sum(greatest(c, 0)) OVER w - greatest(c, 0)"), ("pos_top", "sum(greatest(c, 0)) OVER w"),
+    ("neg_bottom", "sum(least(c, 0)) OVER w - least(c, 0)"), ("neg_top", "sum(least(c, 0)) OVER w")))
+
+
+@register("historical_decomposition", sql(
+    f"SELECT run, variable, CAST(t AS INTEGER) AS t, {_DATE} AS date, CASE WHEN t % 4 = 0 AND (t = (SELECT min(t) FROM ct) OR (t // 4) % 4 = 0) "
+    "THEN CAST(t // 4 AS VARCHAR) END AS tick, part, CAST(coalesce(rank, -1) AS INTEGER) AS rank, round(c, 2) + 0.0 AS value, pos_bottom, pos_top, neg_bottom, "
+    "neg_top FROM (SELECT * FROM bars UNION ALL BY NAME SELECT * FROM ini UNION ALL BY NAME SELECT * FROM tot)", "ct",
+    gr=f"SELECT run, variable, t, {_GROUP_CASE} AS part, {_RANK_CASE} AS rank, sum(value) AS c FROM ct "
+       "WHERE component IN ('eps_a', 'eps_c', 'eps_p') GROUP BY 1, 2, 3, 4, 5",
+    bars=f"SELECT *, {_STACKED} FROM gr WINDOW w AS (PARTITION BY run, variable, t ORDER BY rank ROWS UNBOUNDED PRECEDING)",
+    ini="SELECT run, variable, t, 'initial' AS part, sum(value) AS c, 0.0::DOUBLE AS pos_bottom, round(greatest(sum(value), 0), 2) + 0.0 AS pos_top, "
+        "0.0::DOUBLE AS neg_bottom, round(least(sum(value), 0), 2) + 0.0 AS neg_top FROM ct WHERE component = 'Initial_values' GROUP BY 1, 2, 3",
+    tot="SELECT run, variable, t, 'total' AS part, coalesce(sum(value) FILTER (component <> 'mean'), 0) AS c FROM ct GROUP BY 1, 2, 3"))
+def historical_decomposition(spark, sf):
+    from panelspark.plans.decomposition import STACK
+    from panelspark.plans.decomposition import historical_decomposition as plan
+    contrib = contributions(spark, sf)
+    quarters = contrib.select("t").distinct()
+    dates = quarters.withColumn("date", F.make_date(F.floor(F.col("t") / 4).cast("int"), F.col("t") % 4 * 3 + 1, F.lit(1)))
+    drawn = plan(contrib, dates, _GROUPS)
+    return rounded(drawn.withColumn("rank", F.coalesce("rank", F.lit(-1))), 2, "value", *STACK)
+
+
 def _daily(spark, sf):
     e = table(spark, sf, "events")
     path = e.groupBy(F.lit("all").alias("run"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("variable"),

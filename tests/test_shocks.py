@@ -214,3 +214,25 @@ def test_near_collinear_panel_equals_least_squares(spark):
     past = x[:-1]
     plain = (np.linalg.pinv(past.T @ past) @ (past.T @ x[1:])).ravel(order="F")
     assert np.abs(plain - want).max() > 10 * np.abs(got - want).max()
+
+
+def test_historical_decomposition(spark, contrib):
+    import datetime as dt
+
+    from panelspark.plans.decomposition import historical_decomposition
+    dates = spark.createDataFrame([(1, dt.date(1997, 1, 1)), (2, dt.date(2000, 1, 1)), (3, dt.date(2001, 1, 1))], "t int, date date")
+    got = rows(historical_decomposition(contrib, dates))
+    at = {(r["run"], r["t"], r["part"]): r for r in got}
+    assert len(at) == len(got)
+    assert at["one", 2, "initial"]["value"] == 0.5 and ("two", 2, "initial") not in at
+    assert at["one", 2, "total"]["value"] == 1 - 2 + 3 - 4 + 0.5 and at["one", 2, "total"]["pos_top"] is None
+    assert at["one", 1, "total"]["tick"] == "1997" and at["one", 2, "total"]["tick"] == "2000"
+    for run in ("one", "two"):
+        for t in (1, 2):
+            bars = sorted((r for k, r in at.items() if k[:2] == (run, t) and r["rank"] is not None), key=lambda r: r["rank"])
+            up = down = 0.0
+            for r in bars:
+                v = r["value"]
+                assert (r["pos_bottom"], r["pos_top"]) == (up, up + max(v, 0)) and (r["neg_bottom"], r["neg_top"]) == (down, down + min(v, 0))
+                up, down = up + max(v, 0), down + min(v, 0)
+            assert up + down + (0.5 if run == "one" else 0) == at[run, t, "total"]["value"]
