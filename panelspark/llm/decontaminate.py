@@ -9,11 +9,15 @@ edits shares at least m + 1 - q - kq of its q-grams with the stretch it occurs i
 diagonals at most k apart.  So:
 
 1. positions of a document whose q-gram occurs in any item are marked by one table
-   look-up each; stretches with too few marks for any window are left out;
-2. in what is left, shared q-grams are counted per window and band of ``2k + 1``
-   diagonals, every band overlapping the next by half, and bands that meet the
-   window's bound are kept;
-3. a kept band is verified by edit distance inside the band.
+   look-up each; hits too few for every window size in any stretch of that size are left out;
+2. in what is left, shared q-grams are counted per item and band of ``2k + 1``
+   diagonals, every band overlapping the next by half; where an item's band meets the
+   bound of some window, they are counted again per window, and bands that meet the
+   window's own bound are kept;
+3. kept bands are verified by edit distance inside the band, many bands at a time.
+
+Items are indexed apart by length, so a short item with a low bound does not weaken the
+bounds of the others.
 
 The benchmark is a stated query set.  It is read in blocks of bounded size, each held
 against all documents, so a large benchmark takes more passes and no more memory.
@@ -33,8 +37,10 @@ WINDOW = 96
 SHORT, STEP = 64, 8
 ERRORS = 0.08                # edits per byte of a window
 BLOCK_BYTES = 1 << 20        # benchmark text held by a task at once
-PIECE = 1024                 # marked positions whose q-grams are looked up at once
+PAIRS = 1 << 18              # shared q-grams (place in the text, place in an item) held at once
+VERIFY = 1 << 13             # bands verified at once
 _BITS = 22
+_ORIGINS = 64                # diagonals of a band fit below this
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
 
@@ -70,126 +76,210 @@ def _windows(folded: bytes) -> list[tuple[int, bytes]]:
     return sorted(out)
 
 
-class Benchmark:
-    """Windows of the items of one block and an index of their q-grams."""
+def _repeat(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The indices low to low + n - 1 of every entry, one after the other."""
+    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
 
-    def __init__(self, items: list[tuple[int, bytes]]):
-        self.windows: list[tuple[int, int, bytes]] = []    # item, place in the item, bytes
-        codes, owner, place = [], [], []
-        for item, text in items:
-            folded = fold(text)
-            for at, w in _windows(folded):
-                if len(w) < 2 * Q or least_shared(len(w)) < 1:    # too short to tell from chance
-                    continue
-                g = grams(w)
-                codes.append(g)
-                owner.append(np.full(len(g), len(self.windows), np.int32))
-                place.append(np.arange(len(g), dtype=np.int16))
-                self.windows.append((item, at, w))
-        code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
+
+def _in_bands(key: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the key of every row, and whether a key and its next one meet the bound, from the left and from the right.
+
+    A key is a strip of diagonals; a strip and the next one make a band.
+    """
+    keys, at, count = np.unique(key, return_inverse=True, return_counts=True)
+    follows = np.append(keys[1:] == keys[:-1] + 1, False)
+    meets = count + np.where(follows, np.append(count[1:], 0), 0) >= bound[keys]
+    return keys, at, meets, np.append(False, meets[:-1] & follows[:-1])
+
+
+class _Bounds:
+    """``bound[key]`` for keys of the form owner * many + strip."""
+
+    def __init__(self, bounds: np.ndarray, many: int):
+        self.bounds, self.many = bounds, many
+
+    def __getitem__(self, key: np.ndarray) -> np.ndarray:
+        return self.bounds[key // self.many]
+
+
+class _Index:
+    """q-grams of some items, and which windows each belongs to."""
+
+    def __init__(self, items: list[tuple[bytes, list[tuple[int, int, int]]]]):
+        """Per item its folded text and (number, place, size) of its windows."""
+        code = [grams(text) for text, _ in items]
+        item = np.repeat(np.arange(len(items)), [len(c) for c in code])
+        place = np.concatenate([np.arange(len(c)) for c in code])
+        code = np.concatenate(code)
+        first = np.concatenate([[0], np.cumsum([len(t) + 1 - Q for t, _ in items])])
+        self.number, self.size = (np.array([w[k] for _, ws in items for w in ws], np.int64) for k in (0, 2))
+        # windows of every q-gram of an item, in order of the q-grams
+        many = self.size + 1 - Q
+        gram = _repeat(np.array([first[i] + w[1] for i, (_, ws) in enumerate(items) for w in ws], np.int64), many)
+        owner = np.repeat(np.arange(len(self.size), dtype=np.int32), many)
+        self.owner = owner[np.argsort(gram, kind="stable")]
+        owners = np.bincount(gram, minlength=len(code))
+        low = np.cumsum(owners) - owners
         order = np.argsort(code, kind="stable")
-        self.code = code[order]
-        self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int32))[order]
-        self.place = (np.concatenate(place) if place else np.zeros(0, np.int16))[order]
+        self.code, self.item, self.place = code[order], item[order], place[order]
+        self.low, self.owners = low[order], owners[order]
         self.marks = np.zeros(1 << _BITS, bool)
         self.marks[_slot(self.code)] = True
-        self.sizes = np.array([len(w) for _, _, w in self.windows], np.int64)
-        self.bounds = np.array([least_shared(s) for s in self.sizes], np.int64)
-        self.allowed = np.array([edits_allowed(s) for s in self.sizes], np.int64)
-        self.least = int(self.bounds.min(initial=1 << 30))
-        self.span = int((self.sizes + self.allowed).max(initial=0))
-
-    def find(self, text: bytes) -> list[tuple[int, int, int, int, int]]:
-        """(item, place in the item, begin, end, edits) of windows that occur in a folded text."""
-        g = grams(text)
+        self.allowed = np.array([edits_allowed(s) for s in self.size], np.int64)
+        self.bounds = np.array([least_shared(s) for s in self.size], np.int64)
+        of = np.repeat(np.arange(len(items)), [len(ws) for _, ws in items])
+        self.item_bounds = np.full(len(items), 1 << 30, np.int64)
+        np.minimum.at(self.item_bounds, of, self.bounds)
+        self.item_allowed = np.zeros(len(items), np.int64)
+        np.maximum.at(self.item_allowed, of, self.allowed)
+        self.classes = sorted({(least_shared(s), s + edits_allowed(s)) for s in self.size.tolist()})
+        self.span = max(s for _, s in self.classes)
+
+    def bands(self, g: np.ndarray) -> set[tuple[int, int]]:
+        """(window, strip) of bands of a text's q-grams that meet the window's bound."""
         hit = np.flatnonzero(self.marks[_slot(g)])
-        if len(hit) < self.least:
-            return []
-        # a hit stays if some stretch of the longest window's span around it holds enough hits
-        ahead = np.searchsorted(hit, hit + self.span)
-        dense = np.flatnonzero(ahead - np.arange(len(hit)) >= self.least)
-        if not len(dense):
-            return []
-        cover = np.zeros(len(hit) + 1, np.int64)
-        np.add.at(cover, dense, 1)
-        np.add.at(cover, ahead[dense], -1)
+        # a hit stays if, for some window size, a stretch of that size holds it and enough hits
+        cover = np.zeros(len(hit) + 1, np.int32)
+        for bound, span in self.classes:
+            if len(hit) >= bound:
+                near = np.flatnonzero(hit[bound - 1:] - hit[:len(hit) - bound + 1] < span)
+                cover[near] += 1
+                cover[near + bound] -= 1
         hit = hit[np.cumsum(cover[:-1]) > 0]
-        out = []
-        for at in range(0, len(hit), PIECE):    # pieces overlap by more than any window, so memory follows a piece
-            end = np.searchsorted(hit, hit[min(at + PIECE, len(hit)) - 1] + 2 * self.span)
-            out += self._piece(text, g, hit[at:end])
-        return sorted(set(out))
-
-    def _piece(self, text: bytes, g: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        shared = g[hit]
-        low = np.searchsorted(self.code, shared)
-        n = np.searchsorted(self.code, shared, "right") - low
-        if not n.any():
-            return []
-        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        window = self.owner[at].astype(np.int64)
-        # diagonals in strips of k + 1; a band is a strip and the next one, so bands overlap by half
-        strip = (np.repeat(hit, n) - self.place[at]) // (self.allowed[window] + 1)
+        if not len(hit):
+            return set()
+        low = np.searchsorted(self.code, g[hit])
+        n = np.searchsorted(self.code, g[hit], "right") - low
+        out, total, at = set(), np.cumsum(n), 0
+        while at < len(hit):    # pieces overlap by more than any window, so memory follows a piece
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+            stop = int(np.searchsorted(hit, hit[end - 1] + 2 * self.span))
+            out |= self._piece(hit[at:stop], low[at:stop], n[at:stop])
+            at = end
+        return out
+
+    def _piece(self, hit: np.ndarray, low: np.ndarray, n: np.ndarray) -> set[tuple[int, int]]:
+        entry, h = _repeat(low, n), np.repeat(hit, n)
+        if not len(entry):
+            return set()
+        diagonal, item = h - self.place[entry], self.item[entry]
+        strip = diagonal // (self.item_allowed[item] + 1)
+        first, many = int(strip.min()), int(strip.max() - strip.min()) + 2
+        _, at, left, right = _in_bands(item * many + strip - first, _Bounds(self.item_bounds, many))
+        kept = (left | right)[at]
+        if not kept.any():
+            return set()
+        entry, diagonal = entry[kept], diagonal[kept]
+        each = self.owners[entry]
+        window, diagonal = self.owner[_repeat(self.low[entry], each)].astype(np.int64), np.repeat(diagonal, each)
+        strip = diagonal // (self.allowed[window] + 1)
         first, many = int(strip.min()), int(strip.max() - strip.min()) + 2
-        key, count = np.unique(window * many + strip - first, return_counts=True)
-        follows = np.append(key[1:] == key[:-1] + 1, False)
-        both = count + np.where(follows, np.append(count[1:], 0), 0)
         # the band that starts one strip earlier holds the same q-grams as a strip whose predecessor is empty
-        kept = np.flatnonzero(both >= self.bounds[key // many])
-        out, done = [], set()
-        for w, b in zip((key[kept] // many).tolist(), (key[kept] % many + first).tolist()):
-            if (w, b - 1) in done:    # found in the band that overlaps this one
-                continue
-            item, place, pattern = self.windows[w]
-            k = int(self.allowed[w])
-            begin = b * (k + 1) - (k + 1)
-            exact = text.find(pattern, max(0, begin), max(0, begin) + len(pattern) + 3 * (k + 1))
-            found = (exact, exact + len(pattern), 0) if exact >= 0 else banded(pattern, text, begin, 3 * (k + 1), k)
-            if found:
+        keys, _, meets, _ = _in_bands(window * many + strip - first, _Bounds(self.bounds, many))
+        keys = keys[meets]
+        return set(zip((keys // many).tolist(), (keys % many + first).tolist()))
+
+
+class Benchmark:
+    """Windows of the items of one block, ``(item, place in the item, bytes)``, and indexes of their q-grams by length of the item."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.windows: list[tuple[int, int, bytes]] = []
+        by_length: dict = {}
+        for item, text in items:
+            folded, mine = fold(text), []
+            for at, w in _windows(folded):
+                if len(w) >= 2 * Q and least_shared(len(w)) >= 1:    # else too short to tell from chance
+                    mine.append((len(self.windows), at, len(w)))
+                    self.windows.append((item, at, w))
+            if mine:
+                by_length.setdefault(min(len(folded), SHORT).bit_length(), []).append((folded, mine))
+        self.indexes = [_Index(group) for _, group in sorted(by_length.items())]
+
+    def find(self, text: bytes) -> list[tuple[int, int, int, int, int]]:
+        """(item, place in the item, begin, end, edits) of windows that occur in a folded text."""
+        return self.find_all([text])[0]
+
+    def find_all(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int, int]]]:
+        """``find`` of many folded texts, whose bands are verified together."""
+        found: list[list] = [[] for _ in texts]    # (window, strip, begin, end, edits)
+        waiting: dict = {}                         # by window size: (text, window, strip, begin, stretch of the text)
+
+        def verify(size: int) -> None:
+            todo = waiting.pop(size)
+            patterns = [self.windows[w][2] for _, w, _, _, _ in todo]
+            for (t, w, b, begin, _), edits, origin, end in zip(todo, *banded(patterns, [r[4] for r in todo], edits_allowed(size))):
+                if edits <= edits_allowed(size):
+                    found[t].append((w, b, max(0, begin + origin), min(begin + size + end, len(texts[t])), edits))
+
+        for t, text in enumerate(texts):
+            g = grams(text)
+            for index in self.indexes:
+                for own, b in index.bands(g):
+                    w = int(index.number[own])
+                    _, place, pattern = self.windows[w]
+                    size, k = len(pattern), int(index.allowed[own])
+                    begin = place + (b - 1) * (k + 1)    # diagonals are those of the item
+                    exact = text.find(pattern, max(0, begin), max(0, begin) + size + 3 * (k + 1))
+                    if exact >= 0:
+                        found[t].append((w, b, exact, exact + size, 0))
+                        continue
+                    begin -= k
+                    stop = begin + band_width(k) + size
+                    stretch = text[max(0, begin):max(0, stop)]
+                    stretch = bytes(min(max(0, -begin), stop - begin)) + stretch
+                    waiting.setdefault(size, []).append((t, w, b, begin, stretch.ljust(stop - begin, b"\0")))
+                    if len(waiting[size]) == VERIFY:
+                        verify(size)
+        for size in list(waiting):
+            verify(size)
+        return [self._distinct(rows) for rows in found]
+
+    def _distinct(self, rows: list) -> list[tuple[int, int, int, int, int]]:
+        out, done = set(), set()
+        for w, b, begin, end, edits in sorted(rows):
+            if (w, b - 1) not in done:    # else found in the band that overlaps this one
                 done.add((w, b))
-                out.append((item, place, *found))
-        return out
+                out.add((*self.windows[w][:2], begin, end, edits))
+        return sorted(out, key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
+
+
+def band_width(allowed: int) -> int:
+    """Diagonals of a band of three strips with room for the edits on either side."""
+    return 3 * (allowed + 1) + 2 * allowed + 1
 
 
-def banded(pattern: bytes, text: bytes, begin: int, width: int, allowed: int) -> tuple[int, int, int] | None:
-    """Best (begin, end, edits) of ``pattern`` in ``text`` on diagonals ``begin`` to ``begin + width``, within ``allowed`` edits.
+def banded(patterns: list[bytes], stretches: list[bytes], allowed: int) -> tuple[list, list, list]:
+    """Fewest edits, and diagonals of begin and end, of patterns of one length inside their bands.
 
-    Row i holds the cost of matching the first i bytes so that they end on diagonal
-    ``begin + d``; a match may begin on any diagonal of the band.
+    A stretch is the text below a band: diagonal d starts at its byte d; bytes outside the text are zero and match
+    nothing.  Row i of the alignment holds, per diagonal, the cost of matching the first i bytes so that they end there,
+    with the diagonal they began on packed below it; a match may begin on any diagonal.  Bands are columns, so a row
+    is worked out for all of them at once, and columns that can no longer succeed are left out every 16 rows.
     """
-    lo, hi, big = -allowed, width + allowed, len(pattern) + len(text) + 1
-    size = hi - lo + 1
-    cost, origin = [0] * size, list(range(size))
-    for d in range(size):
-        if not 0 <= begin + lo + d <= len(text):
-            cost[d] = big
-    for i, c in enumerate(pattern):
-        shift = begin + lo + i
-        new, where = [big] * size, [0] * size
-        best = big
-        for d in range(size):
-            j = shift + d                     # text position this cell has read before the byte
-            v, o = cost[d] + 1, origin[d]     # replaced
-            if 0 <= j < len(text):
-                if text[j] == c:
-                    v -= 1
-            else:
-                v = big
-            if d + 1 < size and cost[d + 1] + 1 < v and j + 1 <= len(text):    # missing from the text
-                v, o = cost[d + 1] + 1, origin[d + 1]
-            if d and new[d - 1] + 1 < v and 0 <= j < len(text):                # extra in the text
-                v, o = new[d - 1] + 1, where[d - 1]
-            new[d], where[d] = v, o
-            if v < best:
-                best = v
-        if best > allowed:
-            return None
-        cost, origin = new, where
-    v, d = min((v, d) for d, v in enumerate(cost))
-    if v > allowed:
-        return None
-    end = begin + lo + len(pattern) + d
-    return max(0, begin + lo + origin[d]), min(end, len(text)), v
+    m, width, n = len(patterns[0]), band_width(allowed), len(patterns)
+    p = np.frombuffer(b"".join(patterns), np.uint8).reshape(n, m).T.copy()
+    t = np.frombuffer(b"".join(stretches), np.uint8).reshape(n, m + width).T.copy()
+    one = np.int32(_ORIGINS)
+    ramp = (np.arange(width, dtype=np.int32) * one)[:, None]
+    state = np.repeat(np.arange(width, dtype=np.int32)[:, None], n, 1)
+    alive = np.arange(n)
+    edits, origin, last = np.full(n, allowed + 1), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(m):
+        new = state + (t[i:i + width] != p[i]) * one                      # matched or replaced
+        np.minimum(new[:-1], state[1:] + one, out=new[:-1])               # missing from the text
+        state = np.minimum.accumulate(new - ramp, axis=0) + ramp          # extra in the text
+        if i % 16 == 15:
+            keep = state.min(0) < (allowed + 1) * one
+            if not keep.all():
+                state, t, p, alive = state[:, keep], t[:, keep], p[:, keep], alive[keep]
+                if not len(alive):
+                    break
+    if len(alive):
+        end = (state // one).argmin(0)
+        best = state[end, np.arange(len(alive))]
+        edits[alive], origin[alive], last[alive] = best // one, best % one, end
+    return edits.tolist(), origin.tolist(), last.tolist()
 
 
 def _blocks_of(benchmark: DataFrame, item_col: str, text_col: str):
@@ -221,10 +311,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             names = ["doc_id", "item_id", "windows", "edits", "begin", "end", "passage"]
             for b in batches:
                 found = []
-                for doc_id, text in zip(b.column("doc_id").to_pylist(), bytes_of(b.column("text"))):
-                    folded = fold(text)
+                texts = [fold(t) for t in bytes_of(b.column("text"))]
+                for doc_id, folded, hits in zip(b.column("doc_id").to_pylist(), texts, index.find_all(texts)):
                     by_item: dict = {}
-                    for item, at, begin, end, edits in index.find(folded):
+                    for item, at, begin, end, edits in hits:
                         by_item.setdefault(item, []).append((at, begin, end, edits))
                     for item, hits in by_item.items():
                         begin, end = min(h[1] for h in hits), max(h[2] for h in hits)
@@ -244,7 +334,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         def run(batches, block=block):
             index = Benchmark(block.value)
             for b in batches:
-                texts = bytes_of(b.column(b.schema.get_field_index(text_col)))
-                yield b.filter(pa.array([not index.find(fold(t)) for t in texts], pa.bool_()))
+                texts = [fold(t) for t in bytes_of(b.column(b.schema.get_field_index(text_col)))]
+                yield b.filter(pa.array([not found for found in index.find_all(texts)], pa.bool_()))
         docs = docs.mapInArrow(run, docs.schema)
     return docs
