@@ -12,6 +12,7 @@ from panelspark.operators import labels
 from panelspark.plans.posterior import posterior_report
 from panelspark.registry.base import draws, register, rounded, sql, table
 from panelspark.session import scratch_path
+from panelspark.sources import runs
 from panelspark.sources import tables as io
 
 SECONDS = 60.0
@@ -73,6 +74,19 @@ def draws_roundtrip(spark, sf):
     return io.read_draws(spark, path, run="second")
 
 
+@register("committed_runs", sql(
+    "SELECT run, param, chain, row_number() OVER (PARTITION BY run, param, chain ORDER BY event_id) AS iter, "
+    "CASE WHEN run = 'first' THEN 2*value ELSE value END AS value FROM "
+    "(SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'first' ELSE 'second' END AS run, event_type AS param, "
+    "CAST(user_id % 3 AS INTEGER) AS chain, value FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL)"))
+def committed_runs(spark, sf):
+    path, found = scratch_path(spark, "runs"), draws(spark, sf, runs=True, stored=True)
+    runs.commit_draws(found.withColumn("value", 2 * F.col("value")), path)
+    runs.commit_draws(found.filter("run = 'second'"), path)
+    runs.stage_draws(found.withColumn("value", -F.col("value")), path)    # never committed
+    return runs.read_committed(spark, path)
+
+
 @register("draws_wide_to_long", sql(
     "SELECT 'all' AS run, param, chain, iter, value FROM (SELECT CAST(p_partkey % 3 AS INTEGER) AS chain, "
     "p_partkey AS iter, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM part) "

@@ -9,6 +9,7 @@ from panelspark.operators import align, labels, series
 from panelspark.plans.observables import RawFile, annualised_growth, level_series, observables, tables_from_files
 from panelspark.registry.base import (VIEWS, contributions, money, quarterly, register, rounded, sql, table)
 from panelspark.session import scratch_path, written
+from panelspark.sources import checked
 from panelspark.sources import tables as io
 
 KEY = ["series_key"]
@@ -53,6 +54,44 @@ def observables_readback(spark, sf):
     return io.read_observables(spark, path, list(short.values()))
 
 
+_FAULTY = ("SELECT o_orderkey, CASE WHEN o_orderkey % 19 = 3 THEN NULL ELSE CAST(year(o_orderdate) AS VARCHAR) END AS period, "
+           "CASE WHEN o_orderkey % 23 = 5 THEN NULL ELSE o_totalprice END AS v, o_orderkey % 29 = 7 AS wide, "
+           "o_orderkey % 23 = 5 AS unparsed FROM orders")
+
+
+def _faulty_files(spark, sf):
+    """Every order as a line of one of two sets of files with other column orders, some lines with a planted fault."""
+    o, key = table(spark, sf, "orders"), F.col("o_orderkey")
+    amount = F.when(key % 23 == 5, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    lines = o.select(key.cast("string").alias("key"), F.when(key % 19 != 3, F.year("o_orderdate").cast("string")).alias("period"),
+                     F.concat(amount, F.when(key % 29 == 7, ";more").otherwise("")).alias("v"), (key % 2).alias("_set"))
+    paths = []
+    for k, order in enumerate((["key", "period", "v"], ["v", "key", "period"])):
+        paths.append(scratch_path(spark, "faulty"))
+        # without quoting, a separator inside a field makes one field too many
+        lines.filter(F.col("_set") == k).select(*order).write.option("quote", "\0").csv(paths[-1], header=True, sep=";")
+    return paths
+
+
+def _read_faulty(spark, sf):
+    return checked.read_checked(spark, _faulty_files(spark, sf), ["key", "period", "v"], "period", ";", types={"key": "long", "v": "double"})
+
+
+@register("delimited_checked", sql(
+    "SELECT o_orderkey AS key, period, v FROM f WHERE period IS NOT NULL AND NOT wide", f=_FAULTY))
+def delimited_checked(spark, sf):
+    return _read_faulty(spark, sf)[0]
+
+
+@register("delimited_rejects", sql(
+    "SELECT reason, col AS \"column\", reason = 'does not parse' AS kept, count(*) AS n FROM (SELECT "
+    "CASE WHEN wide THEN 'field count' WHEN period IS NULL THEN 'no period' WHEN unparsed THEN 'does not parse' END AS reason, "
+    "CASE WHEN wide THEN NULL WHEN period IS NULL THEN 'period' WHEN unparsed THEN 'v' END AS col FROM f) "
+    "WHERE reason IS NOT NULL GROUP BY 1, 2, 3", f=_FAULTY))
+def delimited_rejects(spark, sf):
+    return _read_faulty(spark, sf)[1].groupBy("reason", "column", "kept").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- periods and scalar functions -----------------------------------------------------
 @register("quarter_parse", sql(
     "SELECT period, make_date(CAST(substr(period, 1, 4) AS INTEGER), CAST(right(period, 1) AS INTEGER)*3 - 2, 1) AS date, "
