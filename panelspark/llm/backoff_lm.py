@@ -8,8 +8,10 @@ over all bigrams, taken over all contexts whose count falls into the same
 
 Automaton.  States are the contexts and the empty context.  A state has an arc for
 every bigram seen after it, weighted log10 p(w|h), and a failure arc weighted
-log10(1 - l(h)) to the empty state, which has an arc for every word.  One
-traversal from left to right carries the state and adds the weights.
+log10(1 - l(h)) to the empty state, which has an arc for every word.  An arc leads
+to the state of its word, or to the empty state if that word is no context.  One
+traversal from left to right carries the state and adds the weights; all texts of
+a block take their steps together.
 
 Scale.  No model is ever held whole.  A block is a stretch of a scan partition of
 bounded text.  In three passes over the documents a block (1) sends the
@@ -121,6 +123,64 @@ class Block:
         return back
 
 
+class Automaton:
+    """The part of the model that a block's texts can reach, as states with arcs and failure arcs.
+
+    States are the words of the block, ``start`` and ``empty``.  Arcs are sorted by (state, word); ``fail_to`` and
+    ``fail_weight`` belong to states, and ``empty`` takes every word w with ``base[w]``, so a traversal always ends there.
+    """
+
+    def __init__(self, block: Block, count: np.ndarray, pairs: np.ndarray, starts: int, unigram: np.ndarray, continues: np.ndarray):
+        """``count`` and ``pairs``: training counts of the block's sorted distinct words and bigrams."""
+        n = len(block.words)
+        self.start, self.empty, self.words = n, n + 1, n
+        context = np.append(count, [starts, 0])
+        share = continues[_class_of(context)]
+        self.base = np.log10(unigram)
+        self.fail_to = np.full(n + 2, self.empty, np.int32)
+        self.fail_weight = np.where(context > 0, np.log10(1 - share), 0.0)
+        self.next = np.where(count > 0, np.arange(n), self.empty).astype(np.int32)    # the state after a word
+        at = np.unique(block.pair_hash, return_index=True)[1][pairs > 0]
+        pairs = pairs[pairs > 0]
+        state = np.where(block.first[at], self.start, block.word_at[at - 1])
+        word = block.word_at[at]
+        weight = np.log10(share[state] * pairs / context[state] + (1 - share[state]) * unigram[word])
+        key = state.astype(np.int64) * n + word
+        order = np.argsort(key)
+        # a last arc that no state has, so that every search ends on an arc
+        self.arc, self.arc_weight = np.append(key[order], np.int64(1) << 62), np.append(weight[order], 0.0)
+
+    def run(self, word_at: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Summed weights of texts given as words of the block, ``tokens`` of them each, one after the other."""
+        order = np.argsort(-tokens, kind="stable")
+        at, left = (np.cumsum(tokens) - tokens)[order], np.sort(tokens)    # longest first; texts that end leave the front part
+        state, total = np.full(len(tokens), self.start, np.int64), np.zeros(len(tokens))
+        for step in range(int(tokens.max(initial=0))):
+            n = len(left) - int(np.searchsorted(left, step, "right"))
+            word = word_at[at[:n] + step]
+            self._step(state[:n], word, total[:n])
+            state[:n] = self.next[word]
+        out = np.empty(len(tokens))
+        out[order] = total
+        return out
+
+    def _step(self, state: np.ndarray, word: np.ndarray, total: np.ndarray) -> None:
+        """Adds the weight of one word per text: along failure arcs until a state has an arc for it."""
+        key = state * self.words + word
+        arc = np.searchsorted(self.arc, key)
+        found = self.arc[arc] == key
+        total += np.where(found, self.arc_weight[arc], 0.0)
+        missed = np.flatnonzero(~found)
+        if len(missed):
+            state, word = state[missed], word[missed]
+            total[missed] += np.where(state == self.empty, self.base[word], self.fail_weight[state])
+            on = np.flatnonzero(state != self.empty)
+            if len(on):
+                rest = np.zeros(len(on))
+                self._step(self.fail_to[state[on]].astype(np.int64), word[on], rest)
+                total[missed[on]] += rest
+
+
 def _class_of(count: np.ndarray) -> np.ndarray:
     return np.minimum(CLASSES - 1, np.log2(np.maximum(count, 1)) * STEPS).astype(np.uint8)
 
@@ -244,21 +304,13 @@ def score_texts(docs: DataFrame, modulus: int = 5, held: int = 1, id_col: str =
     def run(batches):
         for block, b in _blocks(batches, modulus, held):
             count = _answers(f"{folder}/words", block, b.check)
-            _, at = np.unique(b.pair_hash, return_inverse=True)
-            pair = _answers(f"{folder}/pairs", block, b.check)[at]
-            known = count[b.word_at]
-            unigram = (known + 0.5) / (total + 0.5 * (distinct + 1))
-            base = np.log10(unigram)
-            context = b.contexts(count, starts)
-            share = continues[_class_of(context)]
-            # an arc where the bigram was seen, else the failure arc and the arc of the empty state
-            arc = np.log10(np.where(pair > 0, share * pair / np.maximum(context, 1), 0) + (1 - share) * unigram)
-            fail = np.where(context > 0, np.log10(1 - share), 0.0) + base
-            weight = np.where(pair > 0, arc, fail)
+            unigram = (count + 0.5) / (total + 0.5 * (distinct + 1))
+            model = Automaton(b, count, _answers(f"{folder}/pairs", block, b.check), starts, unigram, continues)
+            known, base = count[b.word_at], model.base[b.word_at]
             begin = b.ends - b.tokens
             add = lambda x: np.add.reduceat(x, begin)
             cols = [pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.tokens, pa.int64()), pa.array(add((known > 0).astype(np.int64))),
-                    pa.array(np.full(len(b.ids), int(total))), pa.array(add(base)), pa.array(add(weight))]
+                    pa.array(np.full(len(b.ids), int(total))), pa.array(add(base)), pa.array(model.run(b.word_at, b.tokens))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
