@@ -20,6 +20,10 @@ checked by the exact similarity of its two shingle sets.  Where rejected edges l
 a larger group in several parts, a second pass brings the shingle sets themselves to its tiles: pairs of
 different parts within the radius are checked there and then, and only edges that connect
 parts leave the tile, at most one less than it has rows.
+
+Bits of few shingles are too coarse for that radius, so pairs whose smaller text has at most ``SHORT`` distinct shingles
+are found exactly: sets that similar share one of their first shingles under any common order (prefix filter),
+here the rare ones first.  Groups of an equal such shingle are tiled by set size and checked like the second pass.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ _BLOCK = 1 << 15    # shingles whose bits are unpacked at once
 WIDE = 8            # 64-bit words of a wide fingerprint
 WIDE_RADIUS = 108   # of 512 bits: similarity 0.8 differs in 78 bits, standard deviation 8
 EVERY = 32          # rows of a tile pair up to which all its links are returned at once
+SHORT = 20          # distinct shingles up to which the smaller text of a pair is joined exactly
 KEYS = 8            # groups a text is dealt to by its smallest shingle hashes
 _ODD = np.random.default_rng(20250119).integers(1, 1 << 63, WIDE + 2 * KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -382,6 +387,27 @@ def _across_parts(classes: DataFrame, roots: DataFrame, rows: DataFrame, words:
                             .mapInArrow(_checked_links(radius, least), "a long, b long")), "across")
 
 
+def _short_links(classes: DataFrame, roots: DataFrame, least: float, tile: int) -> DataFrame:
+    """Alike pairs of different ``roots`` whose smaller text has at most ``SHORT`` shingles, as edges that connect them; none is missed."""
+    longest = int(SHORT / least + 1e-9)
+    short = written(classes.filter(F.size("few") > 0).join(roots, "node", "left")
+                    .select("node", "bits", F.coalesce("root", "node").alias("part"), "few"), "short")
+    each = short.select("node", F.size("few").alias("ones"), F.explode("few").alias("key"))
+    common = written(each.groupBy("key").agg(F.count("*").alias("often")).filter(F.col("often") > EVERY), "common")
+    placed = each.join(common, "key", "left").groupBy("node", "ones").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "key"))).alias("keys"))    # at most ``longest``
+    first = F.slice("keys", 1, (F.col("ones") - F.ceil(F.col("ones") * least - 1e-9) + 1).cast("int"))
+    rows = written(placed.select("node", "ones", F.explode(first.getField("key")).alias("key"))
+                   .join(short.select("node", "bits", "part"), "node"), "prefixes")
+    open_keys = (rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+                 .filter(F.col("low") < F.col("high")).select("key"))
+    open_rows = written(rows.join(written(open_keys, "open"), "key", "left_semi"), "parts")
+    dealt = _deal(open_rows, ["key"], ["node", "part", "bits"], longest, tile, 1, "inner")
+    dealt = dealt.join(short.select("node", F.col("few").alias("hashes")), "node")
+    return written(_ordered(dealt.repartition(_tile_partitions(classes.sparkSession), "pair").sortWithinPartitions("pair", "tile")
+                            .mapInArrow(_checked_links(64 * WIDE, least), "a long, b long")), "short_links")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, tile: int = TILE,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable over texts whose shingle sets are ``least`` similar or more.
@@ -396,6 +422,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, tile: in
 def _groups(docs: DataFrame, words: int, least: float, tile: int, id_col: str, text_col: str) -> DataFrame:
     """``similar_groups`` with the class of every row (node) and its group (root), which ids alone may not tell."""
     rows = id_and_text(docs, id_col, text_col).filter("doc_id is not null")
+    longest = int(SHORT / least + 1e-9)
 
     def measure(batches):
         for b in batches:
@@ -404,15 +431,17 @@ def _groups(docs: DataFrame, words: int, least: float, tile: int, id_col: str, t
             ones = [int.from_bytes(bits).bit_count() for bits, _ in wide]
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(np.array([d for d, _ in found], np.uint64).view(np.int64)), pa.array([w[0] for w in wide], pa.binary()),
-                 pa.array(ones, pa.int32()), pa.array([w[1] for w in wide], pa.list_(pa.int64()))],
-                names=["doc_id", "node", "bits", "ones", "keys"])
+                 pa.array(ones, pa.int32()), pa.array([w[1] for w in wide], pa.list_(pa.int64())),
+                 pa.array([h.view(np.int64) if len(h) <= longest else None for _, h in found], pa.list_(pa.int64()))],
+                names=["doc_id", "node", "bits", "ones", "keys", "few"])
 
-    fps = written(rows.mapInArrow(measure, "doc_id long, node long, bits binary, ones int, keys array<long>"), "wide")
+    fps = written(rows.mapInArrow(measure, "doc_id long, node long, bits binary, ones int, keys array<long>, few array<long>"), "wide")
     classes = written(fps.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("bits").alias("bits"), F.first("ones").alias("ones"),
-                                              F.first("keys").alias("keys")), "classes")
+                                              F.first("keys").alias("keys"), F.first("few").alias("few")), "classes")
     first = _alike(written(similar_pairs(classes, tile=tile), "candidates"), rows, classes, words, least)
     roots = written(components(first), "roots")
     more = _across_parts(classes, roots, rows, words, least, WIDE_RADIUS, tile)
+    more = more.union(_short_links(classes, roots, least, tile))
     roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
     linked = classes.join(roots, "node").select("node", "root", "low")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
