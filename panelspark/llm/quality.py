@@ -158,14 +158,14 @@ def _bin(margin: np.ndarray) -> np.ndarray:
 
 
 def _isotonic(bins: list[int], sums: list[float], counts: list[int]) -> np.ndarray:
-    """Non-decreasing level of every bin: pooled means, linear between the centres of the pools."""
-    pools: list[list[float]] = []    # sum, count, weighted bin
+    """Non-decreasing level of every bin: the pooled mean from a pool's first to its last bin, linear between two pools."""
+    pools: list[list[float]] = []    # sum, count, first bin, last bin
     for b, s, n in zip(bins, sums, counts):
-        pools.append([s, n, b * n])
+        pools.append([s, n, b, b])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            last = pools.pop()
-            pools[-1] = [x + y for x, y in zip(pools[-1], last)]
-    return np.interp(np.arange(BINS), [p[2] / p[1] for p in pools], [p[0] / p[1] for p in pools])
+            s, n, _, last = pools.pop()
+            pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2], last]
+    return np.interp(np.arange(BINS), [b for p in pools for b in p[2:]], [p[0] / p[1] for p in pools for _ in p[2:]])
 
 
 def scores(x: np.ndarray, model: dict) -> np.ndarray:
@@ -193,7 +193,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: in
     """Scores of every whole text, learned from the labels of rows whose crc32(doc_id as text) mod ``modulus`` is not ``held``.
 
     Statistics are taken once and kept in a small table; labels, language, source and
-    id are no inputs.  Null and empty texts get the score of an empty text.  Repeated rows repeat.
+    id are no inputs.  Null and empty texts get the score of an empty text, long texts count whole.  Repeated rows
+    repeat; a repeated id gets every label of its id.  Equal margins have equal scores.  Without rows or labels
+    nothing is learned and every score is 0.5.  Other columns are not read, whatever their names.
     """
     stats = written(measure(docs, id_col, text_col), "stats")
     return score_stats(stats, fit_held(stats, labels, modulus, held), modulus, held, least)
@@ -204,7 +206,11 @@ def fit_held(stats: DataFrame, labels: DataFrame, modulus: int = 4, held: int =
 
 
 def keep_good(docs: DataFrame, model: dict, least: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is ``least`` or more."""
+    """The rows of ``docs``, all columns, whose score is ``least`` or more.
+
+    Rows are independent: repeated ones stay or go together, null and empty texts are scored as empty, long ones
+    whole.  Under a model without labels all scores are 0.5, so nothing is kept.  An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
