@@ -150,14 +150,44 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         run, "doc_id long, lang_pred string, score double, languages array<string>")
 
 
+def explained(codes: np.ndarray, chosen: list[int], shares: np.ndarray, log_p: np.ndarray) -> bool:
+    """Whether the mixture explains the trigrams no worse than equal chances for every bucket, up to the penalty of a language."""
+    if not len(codes):
+        return False
+    kinds, counts = np.unique(codes, return_counts=True)
+    fitted = counts @ np.log(shares @ np.exp(log_p[np.ix_(chosen, kinds)].astype(np.float64)))
+    return bool(fitted + OVERLAP * 0.5 * np.log(len(codes) + 1) >= -len(codes) * np.log(log_p.shape[1]))
+
+
+def verdicts(texts: pa.Array, model: dict, least: float = 0.25) -> list[str]:
+    """``kept`` or the first rule that rejects a text: ``no_letter``, ``unexplained`` (by any learned language), ``mixed``."""
+    letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_pylist()
+    out = []
+    for text, has in zip(bytes_of(texts), letters):
+        if not has or not model["langs"]:
+            out.append("no_letter")
+            continue
+        codes = trigram_codes(text)
+        chosen, shares = mixture(codes, model["log_p"])
+        out.append("unexplained" if not explained(codes, chosen, shares, model["log_p"])
+                   else "kept" if shares.max() >= least else "mixed")
+    return out
+
+
 def keep_identified(docs: DataFrame, model: dict, least: float = 0.25, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is identified with a share of ``least`` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs``, all columns, whose language is identified.
+
+    A text goes if it is null or has no letter, if the learned languages explain its trigrams worse than chance would
+    (letter noise, scripts that were not learned), or if its leading language has a share below ``least``.  Rows are
+    independent: repeated ones stay or go together.  Long texts count whole.  A model without languages identifies
+    nothing.  An empty table stays empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)    # languages x BUCKETS floats
 
     def run(batches):
         for b in batches:
-            found = classify(b.column(b.schema.get_field_index(text_col)), shared.value)
-            yield b.filter(pa.array([f[0] != UNDETERMINED and f[1] >= least for f in found], pa.bool_()))
+            found = verdicts(b.column(b.schema.get_field_index(text_col)), shared.value, least)
+            yield b.filter(pa.array([f == "kept" for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
