@@ -18,6 +18,7 @@ succeeded returned, so files of lost or repeated task attempts are never listed.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 
@@ -30,6 +31,7 @@ from panelspark.llm.chunks import ChunkCache, Irregular
 from panelspark.llm.common import id_and_text, open_folder, texts_of, worker_cache
 
 ROWS = 64           # sequences in a record batch
+SPACE = "\u0120"    # how byte-level vocabularies write the byte of a space
 MANIFEST = "name string, first_doc long, docs long, tokens long, sequences long"
 
 
@@ -38,34 +40,45 @@ class Encoder:
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
-        from tokenizers.processors import ByteLevel
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")    # tasks are parallel already
         self.library = Tokenizer.from_file(file)
-        self.width = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        # exact offsets tell which chunk a token of several joined chunks is from; ids do not depend on them
-        self.library.post_processor = ByteLevel(trim_offsets=False)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.width = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)    # ids of tokens whose first byte is a space
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.chunks = ChunkCache(self.whole, self.many, tuple(t.content for t in self.library.get_added_tokens_decoder().values()))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
     def many(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks with their space, encoded in one call."""
+        """Ids of chunks with their space, encoded in one call: a chunk has one space, so a token that opens with it begins a chunk."""
         if not chunks:
             return []
-        found = self.library.encode(" " + " ".join(chunks), add_special_tokens=False)
-        ids = np.array(found.ids, self.width)
-        ends = np.cumsum([1 + len(c) for c in chunks])
-        cuts = np.searchsorted(np.array([a for a, _ in found.offsets]), ends).tolist()
-        raw, width = ids.tobytes(), ids.itemsize
-        return [raw[a * width:b * width] for a, b in zip([0, *cuts], cuts)]
+        ids = np.array(self.library.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, self.width)
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(chunks):    # a vocabulary that does not keep spaces in front
+            return [self.whole(" " + c) for c in chunks]
+        raw, starts = ids.tobytes(), (starts * ids.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every whole text.  Chunks are looked up once; only those not remembered are learned, all together."""
         split = [t.split(" ") for t in texts]
-        self.chunks.learn([s[1:] for s in split])
-        out = []
+        flat = [c for s in split for c in s[1:]]
+        found = list(map(self.chunks.get, flat))
+        unknown = [k for k, v in enumerate(found) if v is None]
+        self.chunks.learn([{flat[k] for k in unknown}])
+        for k in unknown:
+            found[k] = self.chunks.get(flat[k])
+        out, at = [], 0
         for text, (first, *rest) in zip(texts, split):
+            mine = found[at:at + len(rest)]
+            at += len(rest)
             try:
-                out.append(self.whole(first) + b"".join(map(self.chunks.__getitem__, rest)))
+                if None in mine:    # long chunks are not remembered, irregular ones do not stand alone
+                    mine = [self.chunks[c] if v is None else v for c, v in zip(rest, mine)]
+                out.append(self.whole(first) + b"".join(mine))
             except Irregular:
                 out.append(self.whole(text))
         return out
@@ -180,13 +193,20 @@ def documents_of(folder: str, name: str):
                 held = flat[n:]
 
 
-def sequence(folder: str, name: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of sequence ``k`` of a shard; ids are a view of the mapped file where the folder is local."""
+def views(folder: str, name: str, k: int) -> tuple[pa.Array, pa.Array]:
+    """Ids and mask of sequence ``k`` of a shard as Arrow arrays; where the folder is local both are views of the mapped file."""
     fs, path = open_folder(folder)
     file = f"{path}/{name}.seq.arrow"
     source = pa.memory_map(file) if fs.type_name == "local" else fs.open_input_file(file)
     b = pa.ipc.open_file(source).get_batch(k // ROWS)
-    return tuple(b.column(c)[k % ROWS].values.to_numpy(zero_copy_only=c == "ids") for c in ("ids", "mask"))
+    ids, mask = (b.column(c)[k % ROWS].values for c in ("ids", "mask"))
+    return ids, mask
+
+
+def sequence(folder: str, name: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``views`` for numpy: ids stay a view; masks are bit-packed in the file, which numpy cannot view, so they are unpacked."""
+    ids, mask = views(folder, name, k)
+    return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
 
 def read_packed(spark: SparkSession, folder: str) -> DataFrame:
