@@ -9,7 +9,9 @@ segmentation.  A character no piece covers becomes its UTF-8 bytes.
 
 Spaces become the marker U+2581 and one marker is put in front of the text.  No piece
 has a marker after another character, so a text may be cut in front of every marker
-that follows a visible character and its words segmented, and remembered, one by one.
+that follows a visible character and its words segmented, and remembered, apart.  The
+new words of a few texts go through trie and Viterbi together, one array step per byte
+of the longest; long stretches without a space, which hardly repeat, go one by one.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,9 @@ from panelspark.llm.common import id_and_text, texts_of, worker_cache
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0    # below the lowest piece score, as in the published algorithm
 WORD_LIMIT = 1_000_000      # words remembered per worker
+LONGEST = 64                # longer words hardly repeat and are not remembered
+TOGETHER = 1 << 17          # characters of texts whose words are looked up together
+WORDS_TOGETHER = 1024       # words segmented together: few enough for the arrays to stay in the processor's cache
 
 
 class DoubleArray:
@@ -74,7 +81,7 @@ class DoubleArray:
             for c, t in kids.items():
                 check[b + c + 1] = at
                 place[t] = b + c + 1
-        self.base, self.check, self.value = base, check, value
+        self.base, self.check, self.value = array("i", base), array("i", check), array("i", value)
 
 
 class Unigram:
@@ -91,11 +98,18 @@ class Unigram:
             raise ValueError(f"{file} has no byte fallback")
         self.byte_of = {i: v for v, i in self.byte_ids.items()}
         self.silent = {i for i in range(size) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
+        self.spelled = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.silent else p.encode()
+                        for i, p in enumerate(self.pieces)]
         total = math.log(sum(1 / (r + 1) for r in range(len(normal))))
         self.score = {i: -math.log(r + 1) - total for r, i in enumerate(normal)}
         self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
         self.trie = DoubleArray([self.pieces[i].encode() for i in normal])
         self.normal = normal
+        self.arrays = [np.frombuffer(a, np.int32) for a in (self.trie.base, self.trie.check, self.trie.value)]
+        # by place in the trie; the last place stands for a character no piece covers
+        self.piece_of = np.array([*normal, -1], np.int32)
+        self.score_of = np.array([*(self.score[i] for i in normal), self.unknown])
+        self.byte_id = np.array([self.byte_ids[c] for c in range(256)], np.int32)
         cut = all(MARK not in p.lstrip(MARK) for p in (self.pieces[i] for i in normal))
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if cut else None
         self.words: dict[str, bytes] = {}
@@ -138,36 +152,114 @@ class Unigram:
             j = i
         return out[::-1]
 
-    def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = np.array(self.viterbi(word), "<u4").tobytes()
-            if len(word) <= 64:
-                if len(self.words) >= WORD_LIMIT:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
+    def viterbi_all(self, words: list[str]) -> list[bytes]:
+        """``viterbi`` of many short words at once, as little-endian unsigned 32-bit ids of each.
+
+        A word of n bytes has n + 1 nodes in a row.  Paths to a node are tried in the same
+        order and with the same sums as one by one, so equal scores fall the same way.
+        """
+        base, check, value = self.arrays
+        raw = [w.encode() for w in words]
+        size = np.array([len(r) for r in raw])
+        text = np.frombuffer(b"".join(raw), np.uint8)
+        first = np.cumsum(size) - size
+        of, node0 = np.repeat(np.arange(len(raw)), size), first + np.arange(len(raw))
+        end = (first + size)[of]
+        begin = np.flatnonzero((text & 0xC0) != 0x80)
+        lead = text[begin]
+        width = 1 + (lead >= 0xC0) + (lead >= 0xE0).astype(int) + (lead >= 0xF0)
+        # all pieces from every character on: places that leave the trie drop out of the walk
+        starts, ends, places, single = [], [], [], np.zeros(len(begin), bool)
+        at, state, length = np.arange(len(begin)), np.zeros(len(begin), np.int32), 0
+        while True:
+            inside = (begin[at] + length < end[begin[at]]) & (base[state] != 0)
+            at, state = at[inside], state[inside]
+            if not len(at):
+                break
+            to = base[state] + text[begin[at] + length] + 1
+            there = check[to] == state
+            at, state, length = at[there], to[there], length + 1
+            found = value[state] >= 0
+            starts.append(begin[at[found]])
+            ends.append(starts[-1] + length)
+            places.append(value[state[found]])
+            single[at[found]] |= width[at[found]] == length
+        starts.append(begin[~single])
+        ends.append(starts[-1] + width[~single])
+        places.append(np.full(len(starts[-1]), len(self.normal), np.int32))
+        starts, ends, places = np.concatenate(starts), np.concatenate(ends), np.concatenate(places)
+        # arcs in the order of their place in the word; no two arcs of one step reach the same node
+        step = (starts - first[of[starts]]).astype(np.int16)
+        order = np.argsort(step, kind="stable")
+        bounds = np.cumsum(np.bincount(step))
+        word = of[starts[order]]
+        source, target, place = starts[order] + word, ends[order] + word, places[order]
+        score = self.score_of[place]
+        nodes = len(text) + len(raw)
+        best, back, arc = np.full(nodes, -np.inf), np.zeros(nodes, np.int64), np.zeros(nodes, np.int32)
+        best[node0] = 0.0
+        for lo, hi in zip([0, *bounds[:-1]], bounds):
+            total = best[source[lo:hi]] + score[lo:hi]
+            better = lo + np.flatnonzero(total > best[target[lo:hi]])
+            best[target[better]] = total[better - lo]
+            back[target[better]] = source[better]
+            arc[target[better]] = place[better]
+        on, node, origin = np.zeros(nodes, bool), node0 + size, node0
+        while len(node):
+            left = node != origin
+            node, origin = node[left], origin[left]
+            on[node] = True
+            node = back[node]
+        node = np.flatnonzero(on)
+        owner = np.searchsorted(node0, node, side="right") - 1
+        ids = self.piece_of[arc[node]]
+        count = np.where(ids < 0, node - back[node], 1)
+        if (ids < 0).any():    # unknown characters become the ids of their bytes
+            flat = np.repeat(ids, count)
+            nth = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
+            byte = np.repeat(back[node] - owner, count) + nth
+            ids = np.where(flat < 0, self.byte_id[text[byte]], flat)
+        data, stop = ids.astype("<u4").tobytes(), (4 * np.cumsum(count)[np.cumsum(np.bincount(owner)) - 1]).tolist()
+        return [data[lo:hi] for lo, hi in zip([0, *stop[:-1]], stop)]
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Remembers the short words of some texts that are not known yet."""
+        every = set().union(*texts)
+        new = every.difference(self.words)
+        if len(self.words) + len(new) > WORD_LIMIT:
+            self.words.clear()
+            new = every
+        short = [w for w in new if len(w) <= LONGEST]
+        for lo in range(0, len(short), WORDS_TOGETHER):
+            part = short[lo:lo + WORDS_TOGETHER]
+            self.words.update(zip(part, self.viterbi_all(part)))
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of whole texts, in their order; empty text has none."""
+        lo = 0
+        while lo < len(texts):
+            hi, held = lo, 0
+            while hi < len(texts) and held < TOGETHER:
+                held += len(texts[hi])
+                hi += 1
+            marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts[lo:hi]]
+            words = [self.cut.findall(m) if self.cut else [m] if m else [] for m in marked]
+            self.learn(words)
+            known = self.words.get
+            for ws in words:
+                yield np.frombuffer(b"".join([known(w) or np.array(self.viterbi(w), "<u4").tobytes() for w in ws]), "<u4")
+            lo = hi
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; empty text has none."""
-        if not text:
-            return np.zeros(0, "<u4")
-        marked = MARK + text.replace(" ", MARK)
-        words = self.cut.findall(marked) if self.cut else [marked]
-        known = self.words.get
-        return np.frombuffer(b"".join([known(w) or self.word(w) for w in words]), "<u4")
+        return next(self.encode_all([text]))
 
     def decode(self, ids) -> str:
         """Text of ids: pieces joined, byte runs read as UTF-8, markers back to spaces, the leading marker dropped.
 
         Exact for every text without U+2581, which reads back as a space.
         """
-        out = bytearray()
-        for i in ids.tolist() if isinstance(ids, np.ndarray) else ids:
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif i not in self.silent:
-                out += self.pieces[i].encode()
+        out = b"".join(map(self.spelled.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
         text = out.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
@@ -188,7 +280,7 @@ def encode_texts(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: s
             for at in range(0, b.num_rows, 512):    # ids of few texts at a time
                 part = b.slice(at, 512)
                 texts = texts_of(part.column("text"))
-                ids = [model.encode(t) for t in texts]
+                ids = list(model.encode_all(texts))
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 flat = pa.array(np.concatenate(ids).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -223,13 +315,14 @@ def encode_and_check(docs: DataFrame, file: str, id_col: str = "doc_id", text_co
         is_byte = np.zeros(len(model.pieces), bool)
         is_byte[list(model.byte_of)] = True
         for b in batches:
-            rows = []
-            for t in texts_of(b.column("text")):
-                ids = model.encode(t)
-                rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.tobytes()), model.decode(ids) == t))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *[pa.array([r[k] for r in rows], pa.bool_() if k == 3 else pa.int64()) for k in range(4)]],
-                names=["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "exact"])
+            for at in range(0, b.num_rows, 512):    # texts and ids of few rows at a time
+                part = b.slice(at, 512)
+                rows, texts = [], texts_of(part.column("text"))
+                for t, ids in zip(texts, model.encode_all(texts)):
+                    rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.tobytes()), model.decode(ids) == t))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), *[pa.array([r[k] for r in rows], pa.bool_() if k == 3 else pa.int64()) for k in range(4)]],
+                    names=["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "exact"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(
         run, "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, exact boolean")
